@@ -126,7 +126,7 @@ def first_n_per_block(with_power: DataFrame, n: int = 3) -> DataFrame:
     w = Window.partitionBy(TS).orderBy(F.col("REPORTER").asc_nulls_last(), F.col("TX_HASH"))
     return (
         with_power.select(TS, "REPORTER", "POWER", "POWER_OF_AGGR", "TX_HASH")
-        .withColumn("rn", F.row_number().over(w).cast("long"))
+        .withColumn("rn", F.row_number().over(w))
         .where(F.col("rn") <= n)
-        .drop("TX_HASH")
+        .select(TS, "REPORTER", "POWER", "POWER_OF_AGGR", F.col("rn").cast("long").alias("rn"))
     )

@@ -149,3 +149,297 @@ def _overlay_series(i: Inputs) -> DataFrame:
 @query("locf_series")
 def _locf_series(i: Inputs) -> DataFrame:
     return series.network_power_series(i.snapshots, bucket_spec("24h", i.now_ms))
+
+
+# ---------------------------------------------------------------- statistics
+
+from reportlake.operators import filters, registry, stats  # noqa: E402
+from reportlake.functions import metrics  # noqa: E402
+from reportlake.functions.casts import to_double  # noqa: E402
+
+
+@query("stats_counts")
+def _stats_counts(i: Inputs) -> DataFrame:
+    return stats.stats_counts(i.reports)
+
+
+@query("unique_query_ids_30d")
+def _unique_ids(i: Inputs) -> DataFrame:
+    return stats.unique_query_ids(i.reports, i.now_ms)
+
+
+@query("average_agreement")
+def _average_agreement(i: Inputs) -> DataFrame:
+    return stats.average_agreement(i.reports)
+
+
+@query("value_stats")
+def _value_stats(i: Inputs) -> DataFrame:
+    return stats.value_stats(i.reports)
+
+
+@query("recent_activity")
+def _recent_activity(i: Inputs) -> DataFrame:
+    return stats.recent_activity(i.reports)
+
+
+@query("questionable_stats")
+def _questionable_stats(i: Inputs) -> DataFrame:
+    return stats.questionable_stats(i.reports, i.now_ms)
+
+
+@query("top_reporters")
+def _top_reporters(i: Inputs) -> DataFrame:
+    return stats.top_reporters(i.reports)
+
+
+@query("top_query_ids")
+def _top_query_ids(i: Inputs) -> DataFrame:
+    return stats.top_query_ids(i.reports)
+
+
+@query("query_type_distribution")
+def _query_types(i: Inputs) -> DataFrame:
+    return stats.query_type_distribution(i.reports)
+
+
+@query("queries_24h")
+def _queries_24h(i: Inputs) -> DataFrame:
+    return stats.queries_24h(i.reports, i.now_ms, i.mappings)
+
+
+@query("power_distribution_query")
+def _power_distribution_query(i: Inputs) -> DataFrame:
+    return stats.power_distribution_query(i.reports, i.registry)
+
+
+@query("query_block_info")
+def _query_block_info(i: Inputs) -> DataFrame:
+    return stats.query_block_info(i.reports)
+
+
+@query("power_distribution_overall")
+def _power_distribution_overall(i: Inputs) -> DataFrame:
+    return stats.power_distribution_overall(i.reports, i.registry)
+
+
+@query("absent_reporters")
+def _absent_reporters(i: Inputs) -> DataFrame:
+    return stats.absent_reporters(i.reports, i.now_ms, i.registry)
+
+
+@query("reporter_tx_stats")
+def _reporter_tx_stats(i: Inputs) -> DataFrame:
+    return stats.reporter_tx_stats(i.reports)
+
+
+# ---------------------------------------------------------------- registry
+
+
+@query("active_power")
+def _active_power(i: Inputs) -> DataFrame:
+    return registry.active_power(i.registry, i.reports, i.now_ms)
+
+
+@query("unknown_reporters")
+def _unknown_reporters(i: Inputs) -> DataFrame:
+    return registry.unknown_reporters(i.reports, i.registry)
+
+
+@query("placeholder_reporters")
+def _placeholder_reporters(i: Inputs) -> DataFrame:
+    return registry.placeholder_reporters(i.reports, i.registry, i.now_ms)
+
+
+@query("upsert_registry")
+def _upsert_registry(i: Inputs) -> DataFrame:
+    # a later dump of the building segment with refreshed power and names
+    later = (
+        i.registry.join(i.table("customer").select(F.concat(F.lit("reporter1"), F.lpad(F.col("c_custkey").cast("string"), 24, "0")).alias("address"), "c_mktsegment"), "address")
+        .where(F.col("c_mktsegment") == "BUILDING")
+        .drop("c_mktsegment")
+        .withColumn("power", F.col("power") + 7)
+        .withColumn("moniker", F.concat(F.col("moniker"), F.lit(" v2")))
+        .withColumn("fetched_at", F.col("fetched_at") + 60000)
+        .withColumn("updated_at", F.col("updated_at") + 60000)
+    )
+    return registry.upsert_registry(i.registry, later)
+
+
+@query("reporters_page")
+def _reporters_page(i: Inputs) -> DataFrame:
+    return registry.reporters_page(i.registry, i.reports, sort_by="power", limit=100, offset=0)
+
+
+@query("reporters_page_search")
+def _reporters_page_search(i: Inputs) -> DataFrame:
+    return registry.reporters_page(i.registry, i.reports, search="00001", sort_by="commission_rate", limit=50, offset=10)
+
+
+@query("reporters_page_jailed")
+def _reporters_page_jailed(i: Inputs) -> DataFrame:
+    return registry.reporters_page(i.registry, i.reports, jailed_only=True, sort_by="last_updated", limit=1000)
+
+
+@query("reporter_detail")
+def _reporter_detail(i: Inputs) -> DataFrame:
+    strongest = i.registry.orderBy(F.col("power").desc(), F.col("address")).limit(1).select("address").scalar()
+    detail = registry.reporter_detail(i.registry, strongest)
+    tx = stats.reporter_tx_stats(i.reports.where(F.col("REPORTER") == strongest)).withColumnRenamed("REPORTER", "address")
+    return detail.join(tx, "address", "left")
+
+
+@query("reporters_summary")
+def _reporters_summary(i: Inputs) -> DataFrame:
+    return registry.reporters_summary(i.registry, i.reports)
+
+
+@query("top_power")
+def _top_power(i: Inputs) -> DataFrame:
+    return registry.top_power(i.registry)
+
+
+@query("commission_distribution")
+def _commission_distribution(i: Inputs) -> DataFrame:
+    return registry.commission_distribution(i.registry)
+
+
+@query("power_utilization")
+def _power_utilization(i: Inputs) -> DataFrame:
+    return registry.power_utilization(i.registry, i.reports, i.now_ms)
+
+
+@query("registry_view")
+def _registry_view(i: Inputs) -> DataFrame:
+    return registry.registry_view(i.registry, i.reports)
+
+
+# ---------------------------------------------------------------- filters, pages, search
+
+SEARCH_TERM = "12"
+
+
+def _filtered(i: Inputs) -> DataFrame:
+    return filters.filter_reports(i.reports, i.now_ms, reporter="0001", query_type="SpotPrice", min_value=10.0, max_value=50.0)
+
+
+@query("filter_reports")
+def _filter_reports(i: Inputs) -> DataFrame:
+    return _filtered(i)
+
+
+@query("filter_questionable")
+def _filter_questionable(i: Inputs) -> DataFrame:
+    return filters.filter_reports(i.reports, i.now_ms, questionable_only=True)
+
+
+@query("reports_page")
+def _reports_page(i: Inputs) -> DataFrame:
+    return filters.reports_page(_filtered(i), limit=100, offset=200)
+
+
+@query("reports_page_last")
+def _reports_page_last(i: Inputs) -> DataFrame:
+    # an offset past the end returns the full last page
+    return filters.null_defaults(filters.reports_page(filters.filter_reports(i.reports, i.now_ms), limit=250, offset=10**9))
+
+
+@query("search_reports")
+def _search_reports(i: Inputs) -> DataFrame:
+    return filters.search_reports(i.reports, SEARCH_TERM, limit=100, offset=50)
+
+
+@query("search_count")
+def _search_count(i: Inputs) -> DataFrame:
+    return filters.search_count(i.reports, SEARCH_TERM, limit=100, offset=50)
+
+
+@query("search_stats")
+def _search_stats(i: Inputs) -> DataFrame:
+    return filters.search_stats(i.reports, SEARCH_TERM)
+
+
+@query("search_top_reporter")
+def _search_top_reporter(i: Inputs) -> DataFrame:
+    return filters.search_top(i.reports, SEARCH_TERM, "REPORTER")
+
+
+@query("search_top_query")
+def _search_top_query(i: Inputs) -> DataFrame:
+    return filters.search_top(i.reports, SEARCH_TERM, "QUERY_ID")
+
+
+@query("report_detail")
+def _report_detail(i: Inputs) -> DataFrame:
+    return filters.report_detail(i.reports)
+
+
+# ---------------------------------------------------------------- per-row metrics
+
+
+def _vt(i: Inputs) -> DataFrame:
+    return i.reports.select("TX_HASH", to_double("VALUE").alias("V"), to_double("TRUSTED_VALUE").alias("T"))
+
+
+@query("numeric_values")
+def _numeric_values(i: Inputs) -> DataFrame:
+    return _vt(i)
+
+
+@query("agreement_pct")
+def _agreement_pct(i: Inputs) -> DataFrame:
+    return _vt(i).select(
+        "TX_HASH",
+        F.round(metrics.agreement_pct("V", "T"), 6).alias("agreement_pct"),
+        F.round(metrics.agreement_pct("V", "T", zero_is_null=True), 6).alias("agreement_pct_ui"),
+    )
+
+
+@query("agreement_class")
+def _agreement_class(i: Inputs) -> DataFrame:
+    return _vt(i).select("TX_HASH", metrics.agreement_class("V", "T").alias("agreement_class"))
+
+
+@query("symmetric_agreement")
+def _symmetric_agreement(i: Inputs) -> DataFrame:
+    return _vt(i).select(
+        "TX_HASH",
+        F.round(metrics.symmetric_agreement("V", "T"), 6).alias("symmetric_agreement"),
+        metrics.symmetric_class("V", "T").alias("symmetric_class"),
+    )
+
+
+@query("deviation_pct")
+def _deviation_pct(i: Inputs) -> DataFrame:
+    return _vt(i).select("TX_HASH", F.round(metrics.deviation_pct("V", "T"), 6).alias("deviation_pct"))
+
+
+@query("exact_match_rate")
+def _exact_match_rate(i: Inputs) -> DataFrame:
+    vt = _vt(i)
+    return vt.agg(F.round(F.avg(metrics.exact_match("V", "T")), 6).alias("exact_match_rate"))
+
+
+@query("query_display_name")
+def _query_display_name(i: Inputs) -> DataFrame:
+    ids = i.reports.select("QUERY_ID").distinct()
+    names = i.mappings.select(F.col("query_id").alias("QUERY_ID"), "name")
+    return ids.join(names, "QUERY_ID", "left").select("QUERY_ID", metrics.query_display_name("QUERY_ID", "name").alias("short_name"))
+
+
+@query("reporter_display_name")
+def _reporter_display_name(i: Inputs) -> DataFrame:
+    reps = i.reports.select("REPORTER").distinct()
+    names = i.registry.select(F.col("address").alias("REPORTER"), "moniker")
+    return reps.join(names, "REPORTER", "left").select(
+        "REPORTER", metrics.reporter_display_name("REPORTER", "moniker").alias("display_name")
+    )
+
+
+@query("questionable")
+def _questionable(i: Inputs) -> DataFrame:
+    from reportlake import constants as K
+
+    return i.reports.where(metrics.questionable(i.now_ms)).select(
+        "TX_HASH", "TIMESTAMP", metrics.questionable(i.now_ms, K.URGENT_WINDOW_MS).alias("urgent")
+    )

@@ -319,3 +319,295 @@ FROM bs LEFT JOIN sb USING (bucket_id)"""
 
 
 SQL["locf_series"] = _locf("24h")
+
+
+# ---------------------------------------------------------------- statistics
+
+BASE = with_(RAW, REPORTS, BOUNDS)
+SAFE_ROWS = f"(SELECT * FROM reports WHERE {SAFE})"
+
+SQL["stats_counts"] = f"""{BASE}
+SELECT COUNT(*) AS total_rows, COUNT(DISTINCT REPORTER) AS unique_reporters,
+       COUNT(DISTINCT QUERY_TYPE) AS unique_query_types FROM {SAFE_ROWS} s"""
+
+SQL["unique_query_ids_30d"] = f"""{BASE}
+SELECT COUNT(DISTINCT QUERY_ID) AS unique_query_ids_30d FROM {SAFE_ROWS} s
+WHERE "TIMESTAMP" >= {NOW - K.UNIQUE_IDS_WINDOW_MS}"""
+
+SQL["average_agreement"] = f"""{BASE},
+casted AS (SELECT {V} AS V, {T} AS T FROM reports)
+SELECT round(AVG(CASE WHEN V = T THEN 100.0
+                      WHEN T IS NOT NULL AND T != 0 THEN greatest(0.0, (1 - abs((V - T) / T)) * 100) END), 2)
+       AS average_agreement
+FROM casted WHERE V IS NOT NULL AND T IS NOT NULL"""
+
+SQL["value_stats"] = f"""{BASE},
+casted AS (SELECT {V} AS V FROM reports)
+SELECT MIN(V) AS min_value, MAX(V) AS max_value, MEDIAN(V) AS median_value FROM casted"""
+
+SQL["recent_activity"] = f"""{BASE}
+SELECT COUNT(*) AS recent_activity FROM reports
+WHERE "CURRENT_TIME" > (SELECT MAX("CURRENT_TIME") - {K.RECENT_ACTIVITY_MS} FROM reports)"""
+
+SQL["questionable_stats"] = f"""{BASE},
+q AS (SELECT COUNT(*) AS total, COUNT(CASE WHEN ({NOW} - "TIMESTAMP") < {K.URGENT_WINDOW_MS} THEN 1 END) AS urgent
+      FROM reports WHERE DISPUTABLE = true AND ({NOW} - "TIMESTAMP") < {K.QUESTIONABLE_WINDOW_MS})
+SELECT total, urgent, urgent > 0 AS has_urgent FROM q"""
+
+
+def _top(key: str, k: int | None) -> str:
+    lim = f"LIMIT {k}" if k else ""
+    return f"""{BASE}
+SELECT {key}, COUNT(*) AS "count" FROM reports GROUP BY {key} ORDER BY "count" DESC, {key} ASC NULLS LAST {lim}"""
+
+
+SQL["top_reporters"] = _top("REPORTER", K.TOP_REPORTERS)
+SQL["top_query_ids"] = _top("QUERY_ID", K.TOP_QUERY_IDS)
+SQL["query_type_distribution"] = _top("QUERY_TYPE", None)
+
+SQL["queries_24h"] = f"""{with_(RAW, REPORTS, MAPPINGS)},
+t AS (SELECT QUERY_ID, COUNT(*) AS report_count, COUNT(DISTINCT REPORTER) AS unique_reporters FROM reports
+      WHERE "TIMESTAMP" >= {NOW - K.ACTIVE_WINDOW_MS} GROUP BY QUERY_ID
+      ORDER BY report_count DESC, QUERY_ID ASC NULLS LAST LIMIT {K.TOP_QUERIES_24H})
+SELECT t.*, {short_name('t.QUERY_ID', 'm.name')} AS short_name FROM t LEFT JOIN mappings m ON m.query_id = t.QUERY_ID"""
+
+LATEST = """
+latest AS (
+  SELECT r.* FROM reports r
+  JOIN (SELECT QUERY_ID, max("TIMESTAMP") AS mt FROM reports
+        WHERE QUERY_ID IS NOT NULL AND "TIMESTAMP" IS NOT NULL GROUP BY QUERY_ID) n
+    ON r.QUERY_ID = n.QUERY_ID AND r."TIMESTAMP" = n.mt)"""
+
+SQL["power_distribution_query"] = f"""{with_(RAW, REPORTS, REGISTRY, LATEST)}
+SELECT l.QUERY_ID, l."TIMESTAMP", l.REPORTER, l.POWER, l."VALUE", l.TRUSTED_VALUE,
+       {display_name('l.REPORTER', 'g.moniker')} AS short_name
+FROM latest l LEFT JOIN registry g ON g.address = l.REPORTER"""
+
+SQL["query_block_info"] = f"""{with_(RAW, REPORTS, LATEST)}
+SELECT QUERY_ID, "TIMESTAMP", QUERY_TYPE, COUNT(*) AS total_reports, COUNT(DISTINCT REPORTER) AS unique_reporters,
+       round(AVG({V}), 6) AS avg_value, MIN({V}) AS min_value, MAX({V}) AS max_value
+FROM latest GROUP BY QUERY_ID, "TIMESTAMP", QUERY_TYPE"""
+
+SAFE_TS = """(SELECT COALESCE((SELECT max("TIMESTAMP") FROM reports WHERE "TIMESTAMP" < (SELECT max("TIMESTAMP") FROM reports)),
+                 (SELECT max("TIMESTAMP") FROM reports)))"""
+
+SQL["power_distribution_overall"] = f"""{with_(RAW, REPORTS, REGISTRY)},
+b AS (SELECT "TIMESTAMP", REPORTER, POWER, TX_HASH FROM reports WHERE "TIMESTAMP" = {SAFE_TS}),
+tot AS (SELECT CAST(SUM(POWER) AS BIGINT) AS total_power FROM b)
+SELECT b.*, tot.total_power,
+       CASE WHEN tot.total_power > 0 THEN round(CAST(b.POWER AS DOUBLE) / tot.total_power * 100.0, 1) ELSE 0.0 END
+         AS power_share,
+       {display_name('b.REPORTER', 'g.moniker')} AS short_name
+FROM b CROSS JOIN tot LEFT JOIN registry g ON g.address = b.REPORTER"""
+
+SQL["absent_reporters"] = f"""{with_(RAW, REPORTS, REGISTRY)},
+recent AS (SELECT DISTINCT REPORTER FROM reports WHERE "CURRENT_TIME" >= {NOW - K.RECENT_ACTIVITY_MS}),
+absent AS (SELECT REPORTER FROM recent
+           WHERE REPORTER NOT IN (SELECT REPORTER FROM reports WHERE "TIMESTAMP" = {SAFE_TS} AND REPORTER IS NOT NULL)),
+last AS (SELECT REPORTER, arg_max(POWER, ("CURRENT_TIME", TX_HASH)) AS last_power,
+                max("CURRENT_TIME") AS last_report_time
+         FROM reports WHERE REPORTER IN (SELECT REPORTER FROM absent) GROUP BY REPORTER)
+SELECT last.*, {display_name('last.REPORTER', 'g.moniker')} AS short_name
+FROM last LEFT JOIN registry g ON g.address = last.REPORTER"""
+
+SQL["reporter_tx_stats"] = f"""{BASE}
+SELECT REPORTER, COUNT(*) AS total_transactions, COUNT(DISTINCT QUERY_ID) AS unique_queries,
+       round(AVG({V}), 6) AS avg_value, MIN("TIMESTAMP") AS first_transaction, MAX("TIMESTAMP") AS last_transaction
+FROM reports GROUP BY REPORTER"""
+
+
+# ---------------------------------------------------------------- registry
+
+REG = with_(RAW, REPORTS, REGISTRY)
+ACTIVE = f"""
+active AS (SELECT DISTINCT REPORTER AS address FROM reports
+           WHERE "CURRENT_TIME" > (SELECT MAX("CURRENT_TIME") - {K.ACTIVE_WINDOW_MS} FROM reports)),
+flagged AS (SELECT r.*, (a.address IS NOT NULL) AS active_24h FROM registry r LEFT JOIN active a USING (address))"""
+
+SQL["active_power"] = f"""{REG}
+SELECT COUNT(DISTINCT address) AS active_reporter_count, CAST(COALESCE(SUM(power), 0) AS BIGINT) AS total_active_power
+FROM registry WHERE address IN (SELECT REPORTER FROM reports WHERE "CURRENT_TIME" >= {NOW - K.ACTIVE_WINDOW_MS})"""
+
+UNKNOWN = """
+unknown AS (SELECT DISTINCT REPORTER AS address FROM reports
+            WHERE REPORTER IS NOT NULL AND REPORTER != ''
+              AND REPORTER NOT IN (SELECT address FROM registry))"""
+
+SQL["unknown_reporters"] = f"{REG},{UNKNOWN} SELECT address FROM unknown"
+
+SQL["placeholder_reporters"] = f"""{REG},{UNKNOWN}
+SELECT * FROM registry
+UNION ALL
+SELECT address, 'Unknown (' || substr(address, 1, {K.PLACEHOLDER_PREFIX}) || '...)' AS moniker, '0' AS commission_rate,
+       false AS jailed, CAST(NULL AS BIGINT) AS jailed_until, CAST(NULL AS BIGINT) AS last_updated,
+       CAST(0 AS BIGINT) AS min_tokens_required, CAST(0 AS INTEGER) AS power,
+       CAST({NOW} AS BIGINT) AS fetched_at, CAST({NOW} AS BIGINT) AS updated_at
+FROM unknown"""
+
+SQL["upsert_registry"] = f"""{REG},
+later AS (
+  SELECT g.address, g.moniker || ' v2' AS moniker, g.commission_rate, g.jailed, g.jailed_until, g.last_updated,
+         g.min_tokens_required, g.power + 7 AS power, g.fetched_at + 60000 AS fetched_at, g.updated_at + 60000 AS updated_at
+  FROM registry g JOIN customer c ON g.address = 'reporter1' || lpad(CAST(c.c_custkey AS VARCHAR), 24, '0')
+  WHERE c.c_mktsegment = 'BUILDING'),
+both_ AS (SELECT * FROM registry UNION ALL SELECT * FROM later)
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY address ORDER BY fetched_at DESC, updated_at DESC, moniker DESC) AS rn
+  FROM both_) x WHERE rn = 1"""
+
+
+def _reporters_page(where: str, order: str, limit: int, offset: int) -> str:
+    return f"""{REG},{ACTIVE}
+SELECT * FROM flagged WHERE {where} ORDER BY {order}, address ASC LIMIT {limit} OFFSET {offset}"""
+
+
+SQL["reporters_page"] = _reporters_page("TRUE", "power DESC NULLS LAST", 100, 0)
+SQL["reporters_page_search"] = _reporters_page(
+    "(contains(moniker, '00001') OR contains(address, '00001'))",
+    "TRY_CAST(commission_rate AS DECIMAL(38,0)) ASC NULLS LAST", 50, 10)
+SQL["reporters_page_jailed"] = _reporters_page("jailed = true", "last_updated ASC NULLS LAST", 1000, 0)
+
+SQL["reporter_detail"] = f"""{REG},
+strongest AS (SELECT address FROM registry ORDER BY power DESC, address LIMIT 1),
+tx AS (SELECT REPORTER AS address, COUNT(*) AS total_transactions, COUNT(DISTINCT QUERY_ID) AS unique_queries,
+              round(AVG({V}), 6) AS avg_value, MIN("TIMESTAMP") AS first_transaction, MAX("TIMESTAMP") AS last_transaction
+       FROM reports WHERE REPORTER = (SELECT address FROM strongest) GROUP BY REPORTER)
+SELECT g.*, tx.total_transactions, tx.unique_queries, tx.avg_value, tx.first_transaction, tx.last_transaction
+FROM registry g LEFT JOIN tx USING (address) WHERE g.address = (SELECT address FROM strongest)"""
+
+SQL["reporters_summary"] = f"""{REG},{ACTIVE}
+SELECT COUNT(*) AS total_reporters, COUNT(CASE WHEN jailed = true THEN 1 END) AS jailed_reporters,
+       COUNT(CASE WHEN active_24h THEN 1 END) AS active_reporters, COALESCE(round(AVG(power), 6), 0.0) AS avg_power,
+       COALESCE(MAX(power), 0) AS max_power, CAST(COALESCE(SUM(power), 0) AS BIGINT) AS total_power
+FROM flagged"""
+
+SQL["top_power"] = f"""{REG}
+SELECT moniker, address, power FROM registry WHERE power > 0 ORDER BY power DESC, address ASC LIMIT {K.TOP_POWER}"""
+
+SQL["commission_distribution"] = f"""{REG}
+SELECT commission_rate, COUNT(*) AS "count" FROM registry GROUP BY commission_rate
+ORDER BY "count" DESC, commission_rate ASC NULLS LAST LIMIT {K.TOP_COMMISSION}"""
+
+SQL["power_utilization"] = f"""{REG},
+act AS (SELECT CAST(COALESCE(SUM(power), 0) AS BIGINT) AS total_active_power FROM registry
+        WHERE address IN (SELECT REPORTER FROM reports WHERE "CURRENT_TIME" >= {NOW - K.ACTIVE_WINDOW_MS})),
+tot AS (SELECT CAST(SUM(power) AS BIGINT) AS total_power FROM registry)
+SELECT act.total_active_power, tot.total_power,
+       CASE WHEN act.total_active_power > 0 AND tot.total_power > 0
+            THEN round(act.total_active_power / tot.total_power * 100.0, 1) END AS power_utilization
+FROM act, tot"""
+
+SQL["registry_view"] = f"""{REG},{ACTIVE},
+m AS (SELECT MAX(power) AS mx, CAST(SUM(power) AS BIGINT) AS tot FROM registry)
+SELECT address,
+       round(TRY_CAST(commission_rate AS DOUBLE) / {K.FIXED_POINT_SCALE // 100}, 1) AS commission_pct,
+       CASE WHEN COALESCE(jailed, false) THEN 'Jailed' WHEN power > 0 THEN 'Free' ELSE 'Jailed' END AS status,
+       CASE WHEN active_24h THEN 'Active' ELSE 'Inactive' END AS activity,
+       CASE WHEN m.mx > 0 THEN round(CAST(power AS DOUBLE) / m.mx * 100.0, 1) ELSE 0.0 END AS power_bar,
+       CASE WHEN m.tot > 0 THEN round(CAST(power AS DOUBLE) / m.tot * 100.0, 1) ELSE 0.0 END AS power_share
+FROM flagged, m"""
+
+
+# ---------------------------------------------------------------- filters, pages, search
+
+SEARCH = "12"
+FILTERED = f"""
+filtered AS (
+  SELECT * FROM reports
+  WHERE contains(REPORTER, '0001') AND QUERY_TYPE = 'SpotPrice' AND {V} >= 10.0 AND {V} <= 50.0 AND ({SAFE}))"""
+
+SQL["filter_reports"] = f"{BASE},{FILTERED} SELECT * FROM filtered"
+
+SQL["filter_questionable"] = f"""{BASE}
+SELECT * FROM reports WHERE COALESCE(DISPUTABLE, false) AND ({NOW} - "TIMESTAMP") < {K.QUESTIONABLE_WINDOW_MS} AND ({SAFE})"""
+
+SQL["reports_page"] = f"""{BASE},{FILTERED}
+SELECT * FROM filtered ORDER BY "TIMESTAMP" DESC NULLS LAST, TX_HASH ASC
+LIMIT 100 OFFSET (SELECT least(200, greatest(0, COUNT(*) - 100)) FROM filtered)"""
+
+SQL["reports_page_last"] = f"""{BASE},
+s AS (SELECT *, row_number() OVER (ORDER BY "TIMESTAMP" DESC NULLS LAST, TX_HASH ASC) AS rn,
+             COUNT(*) OVER () AS total FROM reports WHERE {SAFE})
+SELECT COALESCE(REPORTER, '') AS REPORTER, COALESCE(QUERY_TYPE, '') AS QUERY_TYPE, COALESCE(QUERY_ID, '') AS QUERY_ID,
+       COALESCE(AGGREGATE_METHOD, '') AS AGGREGATE_METHOD, COALESCE(CYCLELIST, false) AS CYCLELIST,
+       COALESCE(POWER, 0) AS POWER, COALESCE("TIMESTAMP", 0) AS "TIMESTAMP", COALESCE(TRUSTED_VALUE, '') AS TRUSTED_VALUE,
+       COALESCE(TX_HASH, '') AS TX_HASH, COALESCE("CURRENT_TIME", 0) AS "CURRENT_TIME", COALESCE(TIME_DIFF, 0) AS TIME_DIFF,
+       COALESCE("VALUE", '') AS "VALUE", COALESCE(DISPUTABLE, false) AS DISPUTABLE, COALESCE(source_file, '') AS source_file
+FROM s WHERE rn > least(1000000000, greatest(0, total - 250)) AND rn <= least(1000000000, greatest(0, total - 250)) + 250"""
+
+MATCHES = f"""
+matches AS (
+  SELECT * FROM reports
+  WHERE (contains(REPORTER, '{SEARCH}') OR contains(QUERY_ID, '{SEARCH}') OR contains(TX_HASH, '{SEARCH}')
+         OR contains("VALUE", '{SEARCH}')) AND ({SAFE}))"""
+
+SQL["search_reports"] = f"""{BASE},{MATCHES}
+SELECT * FROM matches ORDER BY "TIMESTAMP" DESC NULLS LAST, TX_HASH ASC LIMIT 100 OFFSET 50"""
+
+SQL["search_count"] = f"""{BASE},{MATCHES}
+SELECT COUNT(*) AS total, 150 < COUNT(*) AS has_more FROM matches"""
+
+SQL["search_stats"] = f"""{BASE},{MATCHES},
+casted AS (SELECT {V} AS V, {T} AS T, REPORTER, QUERY_ID, "TIMESTAMP", POWER FROM matches)
+SELECT COUNT(*) AS total_matches, COUNT(DISTINCT REPORTER) AS unique_reporters, COUNT(DISTINCT QUERY_ID) AS unique_query_ids,
+       MIN(V) AS min_value, MAX(V) AS max_value,
+       round(AVG(CASE WHEN V IS NOT NULL AND T IS NOT NULL AND V = T THEN 1.0 ELSE 0.0 END), 6) AS avg_agreement,
+       MIN("TIMESTAMP") AS oldest_timestamp, MAX("TIMESTAMP") AS newest_timestamp, CAST(SUM(POWER) AS BIGINT) AS total_power
+FROM casted"""
+
+SQL["search_top_reporter"] = f"""{BASE},{MATCHES}
+SELECT REPORTER, COUNT(*) AS "count" FROM matches GROUP BY REPORTER ORDER BY "count" DESC, REPORTER ASC NULLS LAST LIMIT 1"""
+
+SQL["search_top_query"] = f"""{BASE},{MATCHES}
+SELECT QUERY_ID, COUNT(*) AS "count" FROM matches GROUP BY QUERY_ID ORDER BY "count" DESC, QUERY_ID ASC NULLS LAST LIMIT 1"""
+
+
+def _sym(v: str, t: str) -> str:
+    avg = f"((abs({v}) + abs({t})) / 2.0)"
+    return (f"(CASE WHEN {v} IS NULL OR {t} IS NULL THEN NULL WHEN {v} = {t} THEN 100.0 WHEN {avg} = 0 THEN 0.0 "
+            f"ELSE greatest(0.0, 100.0 * (1.0 - abs({v} - {t}) / {avg})) END)")
+
+
+def _classes(pct: str, classes) -> str:
+    whens = " ".join(f"WHEN {pct} >= {b} THEN '{n}'" for b, n in classes)
+    return f"(CASE WHEN {pct} IS NULL THEN 'n/a' {whens} ELSE 'poor' END)"
+
+
+VT = """
+vt AS (SELECT TX_HASH, {V} AS V, {T} AS T FROM reports)""".replace("{V}", V).replace("{T}", T)
+
+SQL["report_detail"] = f"""{BASE},
+d AS (SELECT *, {V} AS V, {T} AS T FROM reports)
+SELECT TX_HASH, REPORTER, QUERY_TYPE, QUERY_ID, "VALUE", TRUSTED_VALUE, POWER, "TIMESTAMP",
+       CASE WHEN CYCLELIST THEN 'Yes' ELSE 'No' END AS cyclelist_text,
+       CASE WHEN DISPUTABLE THEN 'Yes' ELSE 'No' END AS disputable_text,
+       round({_sym('V', 'T')}, 6) AS agreement, {_classes(_sym('V', 'T'), K.SYMMETRIC_CLASSES)} AS agreement_class
+FROM d"""
+
+
+# ---------------------------------------------------------------- per-row metrics
+
+AGREE = "(CASE WHEN V IS NOT NULL AND T IS NOT NULL AND V = T THEN 100.0 WHEN V IS NOT NULL AND T IS NOT NULL AND T != 0 THEN greatest(0.0, (1 - abs((V - T) / T)) * 100) END)"
+AGREE_UI = "(CASE WHEN V IS NOT NULL AND T IS NOT NULL AND T != 0 THEN (CASE WHEN V = T THEN 100.0 ELSE greatest(0.0, (1 - abs((V - T) / T)) * 100) END) END)"
+
+SQL["numeric_values"] = f"{BASE},{VT} SELECT * FROM vt"
+SQL["agreement_pct"] = f"{BASE},{VT} SELECT TX_HASH, round({AGREE}, 6) AS agreement_pct, round({AGREE_UI}, 6) AS agreement_pct_ui FROM vt"
+SQL["agreement_class"] = f"{BASE},{VT} SELECT TX_HASH, {_classes(AGREE_UI, K.AGREEMENT_CLASSES)} AS agreement_class FROM vt"
+SQL["symmetric_agreement"] = f"""{BASE},{VT}
+SELECT TX_HASH, round({_sym('V', 'T')}, 6) AS symmetric_agreement, {_classes(_sym('V', 'T'), K.SYMMETRIC_CLASSES)} AS symmetric_class FROM vt"""
+SQL["deviation_pct"] = f"""{BASE},{VT}
+SELECT TX_HASH, round(CASE WHEN V IS NOT NULL AND T IS NOT NULL AND T != 0 THEN abs((V - T) / T) * 100 END, 6) AS deviation_pct FROM vt"""
+SQL["exact_match_rate"] = f"""{BASE},{VT}
+SELECT round(AVG(CASE WHEN V IS NOT NULL AND T IS NOT NULL AND V = T THEN 1.0 ELSE 0.0 END), 6) AS exact_match_rate FROM vt"""
+
+SQL["query_display_name"] = f"""{with_(RAW, REPORTS, MAPPINGS)}
+SELECT i.QUERY_ID, {short_name('i.QUERY_ID', 'm.name')} AS short_name
+FROM (SELECT DISTINCT QUERY_ID FROM reports) i LEFT JOIN mappings m ON m.query_id = i.QUERY_ID"""
+
+SQL["reporter_display_name"] = f"""{REG}
+SELECT i.REPORTER, {display_name('i.REPORTER', 'g.moniker')} AS display_name
+FROM (SELECT DISTINCT REPORTER FROM reports) i LEFT JOIN registry g ON g.address = i.REPORTER"""
+
+SQL["questionable"] = f"""{BASE}
+SELECT TX_HASH, "TIMESTAMP", (COALESCE(DISPUTABLE, false) AND ({NOW} - "TIMESTAMP") < {K.URGENT_WINDOW_MS}) AS urgent
+FROM reports WHERE COALESCE(DISPUTABLE, false) AND ({NOW} - "TIMESTAMP") < {K.QUESTIONABLE_WINDOW_MS}"""
