@@ -46,12 +46,14 @@ def dedupe_first_writer(
     return out.select(*[F.col(key) if c == key else F.col(f"__w.{c}").alias(c) for c in df.columns if c == key or c in keep])
 
 
-def dedupe_reports(raw: DataFrame, line_col: str = "line_no") -> DataFrame:
+def dedupe_reports(raw: DataFrame, line_cols: Sequence[str] = ("line_block", "line_no")) -> DataFrame:
     """K1: first writer wins on ``TX_HASH`` ordered by (file number, line order); NULL keys are left out.
 
-    ``line_col`` is the order of a row within its file (kept from the source; dropped from the output).
+    ``line_cols`` give the order of a row within its file (those present are used, then dropped).
     """
-    return dedupe_first_writer(raw, KEY, order=[file_number("source_file"), F.col(line_col)], drop=[line_col])
+    present = [c for c in line_cols if c in raw.columns]
+    order = [file_number("source_file"), *[F.col(c) for c in present]]
+    return dedupe_first_writer(raw, KEY, order=order, drop=present)
 
 
 def null_key_reports(raw: DataFrame) -> DataFrame:
@@ -59,9 +61,13 @@ def null_key_reports(raw: DataFrame) -> DataFrame:
     return raw.where(F.col(KEY).isNull())
 
 
-def append_new_rows(stored: DataFrame, incoming: DataFrame, line_col: str = "line_no") -> DataFrame:
-    """K3: rows of ``incoming`` whose key is not stored yet (deduplicated among themselves first)."""
-    fresh = dedupe_reports(incoming, line_col)
+def append_new_rows(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """K3: rows of ``incoming`` whose key is not stored yet (deduplicated among themselves first).
+
+    Re-reading the two newest files and anti-joining on the key replaces the original's
+    "rows beyond the stored count" rule, which has no meaning on an unordered distributed read.
+    """
+    fresh = dedupe_reports(incoming)
     return fresh.join(stored.select(KEY), on=KEY, how="left_anti")
 
 

@@ -443,3 +443,185 @@ def _questionable(i: Inputs) -> DataFrame:
     return i.reports.where(metrics.questionable(i.now_ms)).select(
         "TX_HASH", "TIMESTAMP", metrics.questionable(i.now_ms, K.URGENT_WINDOW_MS).alias("urgent")
     )
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+from reportlake import sinks  # noqa: E402
+from reportlake.operators import dedupe, snapshots  # noqa: E402
+from reportlake.sources import report_files  # noqa: E402
+from reportlake.sources.dirty_csv import write_dirty_report_csv, write_report_parquet_by_file  # noqa: E402
+from reportlake.streaming import reports as streams  # noqa: E402
+
+_LANDED: dict[tuple, str] = {}
+
+
+def landed_csv(i: Inputs) -> str:
+    """The raw reports landed once per session as untidy CSV files (derived from ``events``)."""
+    key = (id(i.spark), i.sf_dir)
+    if key not in _LANDED:
+        path = i.scratch("csv")
+        write_dirty_report_csv(i.raw_reports, path)
+        _LANDED[key] = path
+    return _LANDED[key]
+
+
+@query("csv_roundtrip")
+def _csv_roundtrip(i: Inputs) -> DataFrame:
+    raw = report_files.read_reports(i.spark, landed_csv(i), headerless_prefix="reporter1")
+    return dedupe.dedupe_reports(raw)
+
+
+@query("load_inventory")
+def _load_inventory(i: Inputs) -> DataFrame:
+    path = landed_csv(i)
+    files = report_files.list_report_files(i.spark, path)
+    raw = report_files.read_reports(i.spark, path, headerless_prefix="reporter1")
+    return sinks.load_inventory(files, dedupe.dedupe_reports(raw)).drop("size_mb")
+
+
+@query("loaded_files")
+def _loaded_files(i: Inputs) -> DataFrame:
+    return report_files.loaded_files(i.reports)
+
+
+@query("classify_files")
+def _classify_files(i: Inputs) -> DataFrame:
+    files = report_files.list_report_files(i.spark, landed_csv(i))
+    return report_files.classify_files(files, keep_historical=20).select("filename", "file_number", "type", "skipped")
+
+
+@query("append_new_rows")
+def _append_new_rows(i: Inputs) -> DataFrame:
+    num = dedupe.file_number("source_file")
+    newest = i.raw_reports.select(F.max(num)).scalar()
+    second = i.raw_reports.where(num < newest).select(F.max(num)).scalar()
+    stored = dedupe.dedupe_reports(i.raw_reports.where(num < newest))
+    incoming = i.raw_reports.where(num >= second)  # the two newest files are re-read
+    return dedupe.append_new_rows(stored, incoming)
+
+
+@query("replace_file_partition")
+def _replace_file_partition(i: Inputs) -> DataFrame:
+    path = i.scratch("table")
+    base = i.reports.withColumn("POWER_OF_AGGR", F.lit(None).cast("long"))
+    sinks.write_report_table(base, path)
+    newest = i.reports.select(F.max_by("source_file", dedupe.file_number("source_file"))).scalar()
+    recomputed = blocks.power_of_aggr(i.reports).where(F.col("source_file") == newest)
+    sinks.replace_file_partition(recomputed.select(*base.columns), path)
+    return sinks.read_report_table(i.spark, path).select(*base.columns)
+
+
+# ---------------------------------------------------------------- snapshots
+
+
+@query("network_power_at_height")
+def _network_power_at_height(i: Inputs) -> DataFrame:
+    from reportlake.functions.core import idiv
+
+    dumps = i.raw_reports.select(idiv("TIMESTAMP", 6000).alias("height"), F.col("POWER").cast("string").alias("power"))
+    return snapshots.network_power_at_height(dumps.where(F.col("height").isNotNull()))
+
+
+@query("height_grid")
+def _height_grid(i: Inputs) -> DataFrame:
+    end = i.snapshots.select(F.max("height")).scalar()
+    return snapshots.height_grid(i.spark, end, days=30)
+
+
+@query("skip_existing_heights")
+def _skip_existing_heights(i: Inputs) -> DataFrame:
+    end = i.snapshots.select(F.max("height")).scalar()
+    grid = snapshots.height_grid(i.spark, end, days=30, interval=100)
+    return dedupe.skip_existing(grid, i.snapshots.select("height"))
+
+
+@query("estimate_height_time")
+def _estimate_height_time(i: Inputs) -> DataFrame:
+    newest = i.snapshots.select(F.max_by(F.struct("height", "timestamp_ms"), "height")).scalar()
+    return snapshots.estimate_height_time(i.spark, newest.getField("height"), newest.getField("timestamp_ms") / 1000.0)
+
+
+@query("recent_snapshots")
+def _recent_snapshots(i: Inputs) -> DataFrame:
+    return snapshots.recent_snapshots(i.snapshots, i.now_ms, 24)
+
+
+@query("all_snapshots")
+def _all_snapshots(i: Inputs) -> DataFrame:
+    return snapshots.all_snapshots(i.snapshots)
+
+
+@query("snapshot_summary")
+def _snapshot_summary(i: Inputs) -> DataFrame:
+    return snapshots.snapshot_summary(i.snapshots)
+
+
+@query("upsert_snapshot")
+def _upsert_snapshot(i: Inputs) -> DataFrame:
+    # a later pass re-measures the realtime heights
+    later = (
+        i.snapshots.where(F.col("sample_type") == "realtime")
+        .withColumn("maximal_power", F.col("maximal_power") + 1)
+        .withColumn("created_at", F.col("created_at") + 1000)
+    )
+    return snapshots.upsert_snapshots(i.snapshots, later)
+
+
+@query("snapshot_throttle")
+def _snapshot_throttle(i: Inputs) -> DataFrame:
+    return snapshots.snapshot_throttle(i.snapshots)
+
+
+# ---------------------------------------------------------------- streams (T1-T5, T8, T10), run availableNow
+
+
+def _landed_parquet(i: Inputs) -> str:
+    key = (id(i.spark), i.sf_dir, "parquet")
+    if key not in _LANDED:
+        path = i.scratch("landed")
+        write_report_parquet_by_file(i.reports, path)
+        _LANDED[key] = path
+    return _LANDED[key]
+
+
+def _run_stream(i: Inputs, name: str, frame: DataFrame, mode: str = "append") -> DataFrame:
+    out, ck = i.scratch(f"{name}-out"), i.scratch(f"{name}-ck")
+    q = streams.run_to_table(frame, out, ck, mode)
+    q.awaitTermination()
+    return i.spark.read.parquet(out)
+
+
+@query("stream_dedupe")
+def _stream_dedupe(i: Inputs) -> DataFrame:
+    table, ck = i.scratch("ingest-table"), i.scratch("ingest-ck")
+    q = streams.ingest_stream(i.spark, landed_csv(i), table, ck, headerless_prefix="reporter1")
+    q.awaitTermination()
+    from reportlake.schema import REPORT_SCHEMA
+
+    return i.spark.read.schema(REPORT_SCHEMA).parquet(table)
+
+
+@query("complete_blocks")
+def _complete_blocks(i: Inputs) -> DataFrame:
+    return _run_stream(i, "blocks", streams.complete_blocks(streams.parquet_report_stream(i.spark, _landed_parquet(i))))
+
+
+@query("stream_histogram")
+def _stream_histogram(i: Inputs) -> DataFrame:
+    return _run_stream(i, "hist", streams.stream_histogram(streams.parquet_report_stream(i.spark, _landed_parquet(i))))
+
+
+@query("stream_questionable")
+def _stream_questionable(i: Inputs) -> DataFrame:
+    return _run_stream(i, "quest", streams.stream_questionable(streams.parquet_report_stream(i.spark, _landed_parquet(i)), i.now_ms))
+
+
+@query("stream_bucket_activity")
+def _stream_bucket_activity(i: Inputs) -> DataFrame:
+    return _run_stream(i, "activity", streams.stream_bucket_activity(streams.parquet_report_stream(i.spark, _landed_parquet(i))))
+
+
+@query("stream_active_reporters")
+def _stream_active_reporters(i: Inputs) -> DataFrame:
+    return _run_stream(i, "active", streams.stream_active_reporters(streams.parquet_report_stream(i.spark, _landed_parquet(i))))

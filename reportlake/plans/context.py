@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reportlake.constants import FIXTURE_NOW_MS
 from reportlake.operators.dedupe import dedupe_reports
+from reportlake.session import ensure_checkpoint_dir
 from reportlake.sources import adapters
 
 
@@ -42,3 +44,8 @@ class Inputs:
     @cached_property
     def snapshots(self) -> DataFrame:
         return adapters.snapshots_from_reports(self.raw_reports)
+
+    def scratch(self, name: str) -> str:
+        """A fresh folder under the shared checkpoint folder (``spark.checkpoint.dir``)."""
+        base = ensure_checkpoint_dir(self.spark).rstrip("/")
+        return f"{base}/reportlake-{name}-{uuid.uuid4().hex[:12]}"

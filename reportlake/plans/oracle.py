@@ -611,3 +611,130 @@ FROM (SELECT DISTINCT REPORTER FROM reports) i LEFT JOIN registry g ON g.address
 SQL["questionable"] = f"""{BASE}
 SELECT TX_HASH, "TIMESTAMP", (COALESCE(DISPUTABLE, false) AND ({NOW} - "TIMESTAMP") < {K.URGENT_WINDOW_MS}) AS urgent
 FROM reports WHERE COALESCE(DISPUTABLE, false) AND ({NOW} - "TIMESTAMP") < {K.QUESTIONABLE_WINDOW_MS}"""
+
+
+# ---------------------------------------------------------------- sources, sinks
+
+FILES = """
+files AS (SELECT DISTINCT source_file AS filename,
+                 CAST(regexp_extract(source_file, '^table_(\\d+)\\.csv$', 1) AS BIGINT) AS file_number FROM raw)"""
+
+SQL["csv_roundtrip"] = SQL["dedupe_reports"]
+SQL["stream_dedupe"] = SQL["dedupe_reports"]
+
+SQL["load_inventory"] = f"""{with_(RAW, REPORTS, FILES)},
+counts AS (SELECT source_file, COUNT(*) AS n FROM reports GROUP BY source_file)
+SELECT f.filename, COALESCE(c.n, 0) AS "rows", f.file_number AS "timestamp",
+       CASE WHEN f.file_number = (SELECT max(file_number) FROM files) THEN 'active' ELSE 'historical' END AS type
+FROM files f LEFT JOIN counts c ON c.source_file = f.filename"""
+
+SQL["loaded_files"] = f"{with_(RAW, REPORTS)} SELECT DISTINCT source_file FROM reports"
+
+SQL["classify_files"] = f"""{with_(RAW, FILES)},
+ranked AS (SELECT *, row_number() OVER (ORDER BY file_number DESC) AS rk FROM files)
+SELECT filename, file_number, CASE WHEN rk = 1 THEN 'active' ELSE 'historical' END AS type,
+       NOT (rk = 1 OR rk <= 21) AS skipped
+FROM ranked"""
+
+FILE_NO = "TRY_CAST(regexp_extract(source_file, '^table_(\\d+)\\.csv$', 1) AS BIGINT)"
+
+SQL["append_new_rows"] = f"""{with_(RAW)},
+mx AS (SELECT max({FILE_NO}) AS newest FROM raw),
+sc AS (SELECT max({FILE_NO}) AS second FROM raw WHERE {FILE_NO} < (SELECT newest FROM mx)),
+stored AS (SELECT DISTINCT TX_HASH FROM raw WHERE {FILE_NO} < (SELECT newest FROM mx) AND TX_HASH IS NOT NULL),
+incoming AS (
+  SELECT * EXCLUDE (rn, line_no) FROM (
+    SELECT *, row_number() OVER (PARTITION BY TX_HASH ORDER BY {FILE_NO}, line_no) AS rn
+    FROM raw WHERE {FILE_NO} >= (SELECT second FROM sc) AND TX_HASH IS NOT NULL) d WHERE rn = 1)
+SELECT * FROM incoming WHERE TX_HASH NOT IN (SELECT TX_HASH FROM stored)"""
+
+SQL["replace_file_partition"] = f"""{with_(RAW, REPORTS, POA)},
+newest AS (SELECT arg_max(source_file, {FILE_NO}) AS f FROM reports)
+SELECT * EXCLUDE (POWER_OF_AGGR),
+       CASE WHEN source_file = (SELECT f FROM newest) THEN POWER_OF_AGGR END AS POWER_OF_AGGR
+FROM with_power"""
+
+
+# ---------------------------------------------------------------- snapshots
+
+SNAP = with_(RAW, SNAPSHOTS)
+
+SQL["network_power_at_height"] = f"""{with_(RAW)}
+SELECT "TIMESTAMP" // 6000 AS height, CAST(COALESCE(SUM(POWER), 0) AS BIGINT) AS maximal_power
+FROM raw WHERE "TIMESTAMP" IS NOT NULL GROUP BY 1"""
+
+
+def _grid(interval: int) -> str:
+    return f"""
+grid AS (
+  SELECT DISTINCT h AS height FROM (
+    SELECT (SELECT max(height) FROM snapshots) AS h
+    UNION ALL
+    SELECT range AS h FROM range(
+      ((greatest(0, (SELECT max(height) FROM snapshots) - {30 * K.BLOCKS_PER_DAY}) + {interval - 1}) // {interval}) * {interval},
+      ((SELECT max(height) FROM snapshots) // {interval}) * {interval} + 1, {interval})) g)"""
+
+
+SQL["height_grid"] = f"{SNAP},{_grid(K.HEIGHT_STEP)} SELECT height FROM grid"
+SQL["skip_existing_heights"] = f"{SNAP},{_grid(100)} SELECT height FROM grid WHERE height NOT IN (SELECT height FROM snapshots)"
+
+SQL["estimate_height_time"] = f"""{SNAP},
+newest AS (SELECT arg_max(height, height) AS h, arg_max(timestamp_ms, height) AS t FROM snapshots)
+SELECT range AS i, h - range * {K.ESTIMATE_STEP_BLOCKS} AS height,
+       CAST(t / 1000.0 - range * {K.ESTIMATE_STEP_BLOCKS * K.ESTIMATE_BLOCK_SECONDS} AS DOUBLE) AS "timestamp"
+FROM newest, range(0, {K.ESTIMATE_POINTS}) WHERE h - range * {K.ESTIMATE_STEP_BLOCKS} > 0"""
+
+SQL["recent_snapshots"] = f"{SNAP} SELECT * FROM snapshots WHERE timestamp_ms >= {NOW - 24 * K.HOUR_MS}"
+SQL["all_snapshots"] = f"{SNAP} SELECT * FROM snapshots"
+
+SUMMARY_AGGS = """COUNT(*) AS points, MIN(maximal_power) AS min_power, MAX(maximal_power) AS max_power,
+       round(AVG(maximal_power), 6) AS avg_power, COUNT(CASE WHEN maximal_power > 0 THEN 1 END) AS positive_points"""
+SQL["snapshot_summary"] = f"""{SNAP},
+s AS (SELECT sample_type, {SUMMARY_AGGS} FROM snapshots GROUP BY sample_type
+      UNION ALL SELECT 'all' AS sample_type, {SUMMARY_AGGS} FROM snapshots)
+SELECT *, points > 5 AS enough FROM s"""
+
+SQL["upsert_snapshot"] = f"""{SNAP},
+later AS (SELECT height, timestamp_ms, maximal_power + 1 AS maximal_power, created_at + 1000 AS created_at, sample_type
+          FROM snapshots WHERE sample_type = 'realtime'),
+both_ AS (SELECT * FROM snapshots UNION ALL SELECT * FROM later)
+SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY height ORDER BY created_at DESC, timestamp_ms DESC, maximal_power DESC) AS rn
+  FROM both_) x WHERE rn = 1"""
+
+SQL["snapshot_throttle"] = f"""WITH RECURSIVE {RAW.strip()},{SNAPSHOTS},
+rt AS (SELECT height, timestamp_ms, maximal_power, row_number() OVER (ORDER BY timestamp_ms, height) AS rn
+       FROM snapshots WHERE sample_type = 'realtime'),
+g(rn, last_kept, kept) AS (
+  SELECT rn, timestamp_ms, true FROM rt WHERE rn = 1
+  UNION ALL
+  SELECT rt.rn,
+         CASE WHEN rt.timestamp_ms - g.last_kept > {K.SNAPSHOT_THROTTLE_MS} THEN rt.timestamp_ms ELSE g.last_kept END,
+         rt.timestamp_ms - g.last_kept > {K.SNAPSHOT_THROTTLE_MS}
+  FROM g JOIN rt ON rt.rn = g.rn + 1)
+SELECT 'default' AS instance, rt.height, rt.timestamp_ms, rt.maximal_power FROM rt JOIN g USING (rn) WHERE g.kept"""
+
+
+# ---------------------------------------------------------------- streams (computed in batch)
+
+SQL["complete_blocks"] = f"""{with_(RAW, REPORTS)}
+SELECT "TIMESTAMP", COUNT(*) AS "rows", CAST(SUM(POWER) AS BIGINT) AS POWER_OF_AGGR FROM reports
+WHERE "TIMESTAMP" < (SELECT max("TIMESTAMP") FROM reports) GROUP BY "TIMESTAMP" """
+
+SQL["stream_histogram"] = f"""{with_(RAW, REPORTS)},
+w AS (SELECT ("TIMESTAMP" // 1800000) * 1800000 AS window_start_ms FROM reports)
+SELECT window_start_ms, window_start_ms + 1800000 AS window_end_ms, COUNT(*) AS "count" FROM w
+WHERE window_start_ms + 1800000 < (SELECT max("TIMESTAMP") FROM reports) GROUP BY window_start_ms"""
+
+SQL["stream_questionable"] = f"""{with_(RAW, REPORTS)}
+SELECT TX_HASH, "TIMESTAMP", REPORTER, QUERY_ID, ({NOW} - "TIMESTAMP") < {K.URGENT_WINDOW_MS} AS urgent
+FROM reports WHERE COALESCE(DISPUTABLE, false) AND ({NOW} - "TIMESTAMP") < {K.QUESTIONABLE_WINDOW_MS}"""
+
+SQL["stream_bucket_activity"] = f"""{with_(RAW, REPORTS)},
+b AS (SELECT "TIMESTAMP", COUNT(*) AS n, SUM(POWER) AS poa FROM reports
+      WHERE "TIMESTAMP" < (SELECT max("TIMESTAMP") FROM reports) GROUP BY "TIMESTAMP"),
+w AS (SELECT ("TIMESTAMP" // 1800000) * 1800000 AS window_start_ms, n, COALESCE(poa, 0) AS poa FROM b),
+x AS (SELECT window_start_ms, poa FROM w, range(0, w.n))
+SELECT window_start_ms, COUNT(*) AS total_reports,
+       PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY poa) AS representative_power_of_aggr
+FROM x WHERE window_start_ms + 1800000 < (SELECT max("TIMESTAMP") FROM reports) GROUP BY window_start_ms"""
