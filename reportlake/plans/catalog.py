@@ -625,3 +625,36 @@ def _stream_bucket_activity(i: Inputs) -> DataFrame:
 @query("stream_active_reporters")
 def _stream_active_reporters(i: Inputs) -> DataFrame:
     return _run_stream(i, "active", streams.stream_active_reporters(streams.parquet_report_stream(i.spark, _landed_parquet(i))))
+
+
+# ---------------------------------------------------------------- document sources
+
+from reportlake.sources import doc_writers, documents  # noqa: E402
+
+
+@query("read_query_mappings")
+def _read_query_mappings(i: Inputs) -> DataFrame:
+    path = i.scratch("mappings")
+    doc_writers.write_mapping_docs(i.mappings, i.table("events"), path)
+    return documents.read_query_mappings(i.spark, path)
+
+
+@query("read_registry_dump")
+def _read_registry_dump(i: Inputs) -> DataFrame:
+    path = i.scratch("dump-json")
+    doc_writers.write_registry_json(i.registry, path)
+    return documents.read_registry_json(i.spark, path, i.now_ms)
+
+
+@query("read_registry_yaml")
+def _read_registry_yaml(i: Inputs) -> DataFrame:
+    path = i.scratch("dump-yaml")
+    doc_writers.write_registry_yaml(i.registry, path)
+    return documents.read_registry_yaml(i.spark, path, i.now_ms)
+
+
+@query("read_power_snapshots")
+def _read_power_snapshots(i: Inputs) -> DataFrame:
+    path = i.scratch("snap-json")
+    doc_writers.write_snapshot_docs(i.snapshots, path)
+    return documents.read_power_snapshots(i.spark, path)

@@ -738,3 +738,12 @@ x AS (SELECT window_start_ms, poa FROM w, range(0, w.n))
 SELECT window_start_ms, COUNT(*) AS total_reports,
        PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY poa) AS representative_power_of_aggr
 FROM x WHERE window_start_ms + 1800000 < (SELECT max("TIMESTAMP") FROM reports) GROUP BY window_start_ms"""
+
+
+# ---------------------------------------------------------------- document sources
+
+SQL["read_query_mappings"] = f"{with_(MAPPINGS)} SELECT query_id, name FROM mappings"
+SQL["read_registry_dump"] = f"{with_(REGISTRY)} SELECT * FROM registry"
+SQL["read_registry_yaml"] = SQL["read_registry_dump"]
+SQL["read_power_snapshots"] = f"""{SNAP}
+SELECT height, timestamp_ms, maximal_power, timestamp_ms AS created_at, 'historical' AS sample_type FROM snapshots"""
