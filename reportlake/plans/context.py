@@ -19,6 +19,7 @@ class Inputs:
     spark: SparkSession
     sf_dir: str
     now_ms: int = FIXTURE_NOW_MS
+    store: str | None = None  # a stored fact table written by :func:`reportlake.sinks.ingest_reports`
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -30,7 +31,11 @@ class Inputs:
 
     @cached_property
     def reports(self) -> DataFrame:
-        """The fact table: first writer wins on TX_HASH."""
+        """The fact table: first writer wins on TX_HASH (read from ``store`` when one is given)."""
+        if self.store:
+            from reportlake.schema import REPORT_SCHEMA
+
+            return self.spark.read.schema(REPORT_SCHEMA).parquet(self.store)
         return dedupe_reports(self.raw_reports)
 
     @cached_property

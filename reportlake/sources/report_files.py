@@ -177,6 +177,20 @@ def read_reports(spark: SparkSession, paths: str | Sequence[str], headerless_pre
     return rows.select(*out)
 
 
+def read_report_dir(spark: SparkSession, directory: str, headerless_prefix: str = K.HEADERLESS_PREFIX,
+                    with_instance: bool = False) -> DataFrame:
+    """S1+S3: read only the ``table_<n>.csv`` files of a folder (other names are ignored).
+
+    The file list (paths only, no content) is taken on the driver, as Spark's own file index does.
+    """
+    paths = [r.path for r in list_report_files(spark, directory).select("path").collect()]
+    if not paths:
+        from reportlake.schema import REPORT_SCHEMA
+
+        return spark.createDataFrame([], REPORT_SCHEMA)
+    return read_reports(spark, paths, headerless_prefix, with_instance)
+
+
 def loaded_files(reports: DataFrame) -> DataFrame:
     """Distinct source files already in the table."""
     return reports.select("source_file").distinct()
