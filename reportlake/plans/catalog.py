@@ -658,3 +658,32 @@ def _read_power_snapshots(i: Inputs) -> DataFrame:
     path = i.scratch("snap-json")
     doc_writers.write_snapshot_docs(i.snapshots, path)
     return documents.read_power_snapshots(i.spark, path)
+
+
+@query("export_search_csv")
+def _export_search_csv(i: Inputs) -> DataFrame:
+    path = i.scratch("export")
+    sinks.export_search_csv(filters.search_reports(i.reports, SEARCH_TERM, limit=1000), path)
+    return i.spark.read.option("header", "true").schema(
+        "`Query ID` string, Reported string, Trusted string, Agreement string, Reporter string, Power int, "
+        "Timestamp string, Disputable string"
+    ).csv(path)
+
+
+@query("stream_dedupe_watermark")
+def _stream_dedupe_watermark(i: Inputs) -> DataFrame:
+    key = (id(i.spark), i.sf_dir, "raw-parquet")
+    if key not in _LANDED:
+        path = i.scratch("landed-raw")
+        write_report_parquet_by_file(i.raw_reports.drop("line_no"), path)
+        _LANDED[key] = path
+    frame = streams.dedupe_within_watermark(streams.parquet_report_stream(i.spark, _LANDED[key]), "1 day")
+    return _run_stream(i, "dedupe-wm", frame.select("TX_HASH"))
+
+
+@query("registry_refresh")
+def _registry_refresh(i: Inputs) -> DataFrame:
+    dumps, table, ck = i.scratch("dumps"), i.scratch("registry"), i.scratch("registry-ck")
+    doc_writers.write_registry_json(i.registry, dumps)
+    streams.registry_refresh_stream(i.spark, dumps, table, ck, i.now_ms).awaitTermination()
+    return streams.latest_registry(i.spark, table)

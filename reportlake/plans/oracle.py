@@ -747,3 +747,16 @@ SQL["read_registry_dump"] = f"{with_(REGISTRY)} SELECT * FROM registry"
 SQL["read_registry_yaml"] = SQL["read_registry_dump"]
 SQL["read_power_snapshots"] = f"""{SNAP}
 SELECT height, timestamp_ms, maximal_power, timestamp_ms AS created_at, 'historical' AS sample_type FROM snapshots"""
+
+SQL["export_search_csv"] = f"""{BASE},{MATCHES},
+page AS (SELECT * FROM matches ORDER BY "TIMESTAMP" DESC NULLS LAST, TX_HASH ASC LIMIT 1000),
+d AS (SELECT *, {V} AS V, {T} AS T FROM page)
+SELECT QUERY_ID AS "Query ID", "VALUE" AS Reported, TRUSTED_VALUE AS Trusted,
+       printf('%.1f', {_sym('V', 'T')}) AS Agreement, REPORTER AS Reporter, POWER AS Power,
+       strftime(epoch_ms("TIMESTAMP"), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST("TIMESTAMP" % 1000 AS VARCHAR), 3, '0') || 'Z'
+         AS "Timestamp",
+       CASE WHEN DISPUTABLE THEN 'Yes' ELSE 'No' END AS Disputable
+FROM d"""
+
+SQL["stream_dedupe_watermark"] = f"{with_(RAW)} SELECT DISTINCT TX_HASH FROM raw WHERE TX_HASH IS NOT NULL"
+SQL["registry_refresh"] = SQL["read_registry_dump"]

@@ -85,12 +85,11 @@ def export_search_csv(rows: DataFrame, path: str) -> DataFrame:
 
 
 def write_snapshots_json(snapshots: DataFrame, path: str) -> None:
-    """K8: snapshots as JSON lines ``{height, power, timestamp}`` (timestamp in epoch seconds)."""
-    snapshots.select(
-        "height",
-        F.col("maximal_power").alias("power"),
-        (F.col("timestamp_ms") / 1000.0).alias("timestamp"),
-    ).write.mode("overwrite").json(path)
+    """K8: snapshots as ``[{height, power, timestamp}]`` documents (one per day, timestamp in seconds),
+    the layout the snapshot source (S11) reads."""
+    from reportlake.sources.doc_writers import write_snapshot_docs
+
+    write_snapshot_docs(snapshots, path)
 
 
 def load_inventory(files: DataFrame, reports: DataFrame) -> DataFrame:

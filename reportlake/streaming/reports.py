@@ -187,3 +187,36 @@ def run_to_table(stream_df: DataFrame, out: str, checkpoint: str, mode: str = "a
         .trigger(availableNow=True)
         .start()
     )
+
+
+def registry_refresh_stream(spark: SparkSession, dumps: str, table: str, checkpoint: str, fetched_at: int,
+                            available_now: bool = True, processing_time: str = "60 seconds") -> StreamingQuery:
+    """Registry dumps (JSON documents) landing in ``dumps`` are upserted into the registry
+    table at ``table`` (K4: newest ``fetched_at`` per address wins, vanished addresses stay).
+
+    The registry is a dimension, so each batch rewrites it whole into a fresh folder version;
+    readers take the newest version (``<table>/v=<batch>``).
+    """
+    from reportlake.operators.registry import upsert_registry
+    from reportlake.schema import REGISTRY_SCHEMA
+    from reportlake.sources.documents import DUMP_SCHEMA, flatten_dump
+
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        incoming = flatten_dump(batch, fetched_at + batch_id)
+        try:
+            current = latest_registry(spark, table)
+        except Exception:  # noqa: BLE001 - first batch: no table yet
+            current = spark.createDataFrame([], REGISTRY_SCHEMA)
+        upsert_registry(current, incoming).write.mode("overwrite").parquet(f"{table}/v={batch_id:012d}")
+
+    stream = spark.readStream.schema(DUMP_SCHEMA).option("multiLine", "true").json(dumps)
+    writer = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
+    return writer.start()
+
+
+def latest_registry(spark: SparkSession, table: str) -> DataFrame:
+    """The newest registry version written by :func:`registry_refresh_stream`."""
+    versions = spark.read.parquet(table)
+    newest = versions.select(F.max("v")).scalar()
+    return versions.where(F.col("v") == newest).drop("v")
