@@ -14,6 +14,11 @@ from reportlake import constants as K
 from reportlake.functions.casts import to_double
 from reportlake.functions.metrics import exact_match, questionable, symmetric_agreement, symmetric_class
 from reportlake.operators.blocks import safe_block_predicate
+from reportlake.operators.ranks import page_after_rank
+
+# Pages up to this offset use a TakeOrdered of offset + limit rows per task; deeper pages select the
+# boundary row exactly by rank (no task buffers more than one range partition).
+DEEP_PAGE_OFFSET = 10_000
 
 TS = "TIMESTAMP"
 
@@ -60,7 +65,13 @@ def reports_page(filtered: DataFrame, limit: int = K.PAGE_DEFAULT, offset: int =
     if total is None:
         total = filtered.count()
     limit, offset = page_offset(total, limit, offset)
-    ordered = filtered.orderBy(*newest_first())
+    return _page(filtered, offset, limit)
+
+
+def _page(rows: DataFrame, offset: int, limit: int) -> DataFrame:
+    if offset > DEEP_PAGE_OFFSET:
+        return page_after_rank(rows, newest_first(), [TS, "TX_HASH"], offset, limit)
+    ordered = rows.orderBy(*newest_first())
     return (ordered.offset(offset) if offset else ordered).limit(limit)
 
 
@@ -96,8 +107,7 @@ def search_matches(reports: DataFrame, q: str, safe: bool = True) -> DataFrame:
 def search_reports(reports: DataFrame, q: str, limit: int = K.PAGE_DEFAULT, offset: int = 0) -> DataFrame:
     """a page of matches, newest first."""
     limit = max(1, min(int(limit), K.PAGE_MAX))
-    ordered = search_matches(reports, q).orderBy(*newest_first())
-    return (ordered.offset(offset) if offset else ordered).limit(limit)
+    return _page(search_matches(reports, q), int(offset), limit)
 
 
 def search_count(reports: DataFrame, q: str, limit: int = K.PAGE_DEFAULT, offset: int = 0) -> DataFrame:

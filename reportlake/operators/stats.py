@@ -45,12 +45,20 @@ def average_agreement(reports: DataFrame) -> DataFrame:
 def value_stats(reports: DataFrame, approx: bool = False) -> DataFrame:
     """A4: min, max and median of the numeric VALUE over all rows.
 
-    The exact median's aggregation buffer is a value -> count map merged map-side, so its size is the
-    number of distinct values, not rows; ``approx=True`` bounds it by the sketch size instead.
+    The exact median is a distributed rank selection (:func:`reportlake.operators.ranks.exact_percentile`):
+    no task holds more than one range partition of the distinct values. ``approx=True`` uses a
+    ``percentile_approx`` sketch instead (one pass, bounded memory, approximate).
     """
     v = to_double("VALUE")
-    med = F.percentile_approx(v, 0.5, 10000).cast("double") if approx else F.median(v)
-    return reports.agg(F.min(v).alias("min_value"), F.max(v).alias("max_value"), med.alias("median_value"))
+    if approx:
+        med = F.percentile_approx(v, 0.5, 10000).cast("double")
+        return reports.agg(F.min(v).alias("min_value"), F.max(v).alias("max_value"), med.alias("median_value"))
+    from reportlake.operators.ranks import exact_percentile
+
+    median = exact_percentile(reports, v, 0.5).scalar()
+    return reports.agg(F.min(v).alias("min_value"), F.max(v).alias("max_value")).select(
+        "min_value", "max_value", median.alias("median_value")
+    )
 
 
 def recent_activity(reports: DataFrame, window_ms: int = K.RECENT_ACTIVITY_MS) -> DataFrame:

@@ -687,3 +687,27 @@ def _registry_refresh(i: Inputs) -> DataFrame:
     doc_writers.write_registry_json(i.registry, dumps)
     streams.registry_refresh_stream(i.spark, dumps, table, ck, i.now_ms).awaitTermination()
     return streams.latest_registry(i.spark, table)
+
+
+@query("commission_pct")
+def _commission_pct(i: Inputs) -> DataFrame:
+    return i.registry.select("address", "commission_rate", metrics.commission_pct("commission_rate").alias("commission_pct"))
+
+
+@query("reporter_status")
+def _reporter_status(i: Inputs) -> DataFrame:
+    flagged = registry.with_active_flag(i.registry, i.reports)
+    return flagged.select(
+        "address",
+        metrics.reporter_status("jailed", "power").alias("status"),
+        F.when(F.col("active_24h"), F.lit("Active")).otherwise(F.lit("Inactive")).alias("activity"),
+    )
+
+
+@query("power_share")
+def _power_share(i: Inputs) -> DataFrame:
+    total = i.registry.select(F.sum("power").cast("long")).scalar()
+    top = i.registry.select(F.max("power")).scalar()
+    return i.registry.select(
+        "address", metrics.share_pct("power", total).alias("power_share"), metrics.share_pct("power", top).alias("power_bar")
+    )

@@ -760,3 +760,19 @@ FROM d"""
 
 SQL["stream_dedupe_watermark"] = f"{with_(RAW)} SELECT DISTINCT TX_HASH FROM raw WHERE TX_HASH IS NOT NULL"
 SQL["registry_refresh"] = SQL["read_registry_dump"]
+
+SQL["commission_pct"] = f"""{with_(REGISTRY)}
+SELECT address, commission_rate, round(TRY_CAST(commission_rate AS DOUBLE) / {K.FIXED_POINT_SCALE // 100}, 1) AS commission_pct
+FROM registry"""
+
+SQL["reporter_status"] = f"""{REG},{ACTIVE}
+SELECT address, CASE WHEN COALESCE(jailed, false) THEN 'Jailed' WHEN power > 0 THEN 'Free' ELSE 'Jailed' END AS status,
+       CASE WHEN active_24h THEN 'Active' ELSE 'Inactive' END AS activity
+FROM flagged"""
+
+SQL["power_share"] = f"""{with_(REGISTRY)},
+m AS (SELECT MAX(power) AS mx, CAST(SUM(power) AS BIGINT) AS tot FROM registry)
+SELECT address,
+       CASE WHEN m.tot > 0 THEN round(CAST(power AS DOUBLE) / m.tot * 100.0, 1) ELSE 0.0 END AS power_share,
+       CASE WHEN m.mx > 0 THEN round(CAST(power AS DOUBLE) / m.mx * 100.0, 1) ELSE 0.0 END AS power_bar
+FROM registry, m"""
