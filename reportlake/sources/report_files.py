@@ -116,11 +116,16 @@ def read_report_cells(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
 
 
 def file_layouts(cells: DataFrame, headerless_prefix: str = K.HEADERLESS_PREFIX) -> DataFrame:
-    """Per file: header or not, and the 1-based cell index of every report column (0 = missing)."""
-    first = cells.groupBy("file_path").agg(
-        F.min(F.struct("block_start", "row_id", "cells")).alias("__first")
-    )
-    head = F.col("__first.cells")
+    """Per file: header or not, and the 1-based cell index of every report column (0 = missing).
+
+    The first line of a file is in the split that starts at byte 0, at the smallest row id of that
+    split: a hash aggregate of longs finds it (one row per file), then a join on (file, row id)
+    fetches its cells. Only first-split rows take part; nothing is sorted.
+    """
+    first_splits = cells.where(F.col("block_start") == 0)
+    first_ids = first_splits.groupBy("file_path").agg(F.min("row_id").alias("row_id"))
+    first = first_splits.join(first_ids, ["file_path", "row_id"], "left_semi")
+    head = F.col("cells")
     has_header = ~F.coalesce(F.trim(head.getItem(0)).startswith(headerless_prefix), F.lit(False))
     names = F.transform(head, lambda x: clean_name(x))
     idx = {
@@ -130,8 +135,8 @@ def file_layouts(cells: DataFrame, headerless_prefix: str = K.HEADERLESS_PREFIX)
     return first.select(
         "file_path",
         has_header.alias("has_header"),
-        F.col("__first.block_start").alias("header_block"),
-        F.col("__first.row_id").alias("header_row"),
+        F.col("block_start").alias("header_block"),
+        F.col("row_id").alias("header_row"),
         *[v.alias(f"__i_{c}") for c, v in idx.items()],
     )
 
