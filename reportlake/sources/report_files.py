@@ -71,24 +71,25 @@ def classify_files(files: DataFrame, keep_historical: int | None = K.HISTORICAL_
     """The largest number is ``active``; others ``historical`` (newest ``keep_historical`` kept,
     files above ``max_historical_bytes`` skipped). Caps are options; ``None`` turns them off.
 
-    The file list has one row per file, so the rank window runs over file metadata only.
+    The newest file is a scalar subquery; the kept set is a TakeOrdered of ``keep_historical + 1``
+    files joined back by path, so no window spans the whole file list.
     """
-    from pyspark.sql import Window
-
-    w = Window.orderBy(F.col("file_number").desc(), F.col("path").desc())
-    ranked = files.withColumn("__rank", F.row_number().over(w))
-    kind = F.when(F.col("__rank") == 1, F.lit("active")).otherwise(F.lit("historical"))
-    out = ranked.withColumn("type", kind)
-    keep = F.col("type") == "active"
+    newest = files.select(F.max("file_number")).scalar()
+    active = F.col("file_number") == newest
+    out = files.withColumn("type", F.when(active, F.lit("active")).otherwise(F.lit("historical")))
     hist_ok = F.lit(True)
     if keep_historical is not None:
-        hist_ok = hist_ok & (F.col("__rank") <= keep_historical + 1)
+        kept = (
+            files.orderBy(F.col("file_number").desc(), F.col("path").desc())
+            .limit(keep_historical + 1)
+            .select("path", F.lit(True).alias("__kept"))
+        )
+        out = out.join(F.broadcast(kept), "path", "left")
+        hist_ok = hist_ok & F.coalesce(F.col("__kept"), F.lit(False))
     if max_historical_bytes is not None:
         hist_ok = hist_ok & (F.col("size") <= max_historical_bytes)
-    out = out.withColumn("skipped", ~(keep | hist_ok)).withColumn(
-        "warn_large", keep & (F.col("size") > K.ACTIVE_WARN_BYTES)
-    )
-    return out.drop("__rank")
+    out = out.withColumn("skipped", ~(active | hist_ok)).withColumn("warn_large", active & (F.col("size") > K.ACTIVE_WARN_BYTES))
+    return out.drop("__kept")
 
 
 def clean_name(c: Column) -> Column:
