@@ -19,7 +19,7 @@ class Inputs:
     spark: SparkSession
     sf_dir: str
     now_ms: int = FIXTURE_NOW_MS
-    store: str | None = None  # a stored fact table written by :func:`reportlake.sinks.ingest_reports`
+    store: str | None = None  # stored tables written by :func:`reportlake.sinks.ingest_all`
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
@@ -35,20 +35,23 @@ class Inputs:
         if self.store:
             from reportlake.schema import REPORT_SCHEMA
 
-            return self.spark.read.schema(REPORT_SCHEMA).parquet(self.store)
+            return self.spark.read.schema(REPORT_SCHEMA).parquet(f"{self.store}/reports")
         return dedupe_reports(self.raw_reports)
 
+    def _stored(self, name: str) -> DataFrame | None:
+        return self.spark.read.parquet(f"{self.store}/{name}") if self.store else None
+
     @cached_property
     def registry(self) -> DataFrame:
-        return adapters.registry_from_customers(self.table("customer"), self.now_ms)
+        return self._stored("registry") or adapters.registry_from_customers(self.table("customer"), self.now_ms)
 
     @cached_property
     def mappings(self) -> DataFrame:
-        return adapters.mappings_from_events(self.table("events"))
+        return self._stored("mappings") or adapters.mappings_from_events(self.table("events"))
 
     @cached_property
     def snapshots(self) -> DataFrame:
-        return adapters.snapshots_from_reports(self.raw_reports)
+        return self._stored("snapshots") or adapters.snapshots_from_reports(self.raw_reports)
 
     def scratch(self, name: str) -> str:
         """A fresh folder under the shared checkpoint folder (``spark.checkpoint.dir``)."""

@@ -32,6 +32,16 @@ def ingest_reports(reports: DataFrame, path: str, files: int | None = None) -> N
      .write.mode("overwrite").parquet(path))
 
 
+def ingest_all(inputs, path: str) -> None:
+    """Load every source once into stored tables under ``path`` (as the dashboard loads its tables at
+    start): ``reports`` (deduplicated, see :func:`ingest_reports`), ``registry``, ``mappings`` and
+    ``snapshots``. Queries then read them with ``Inputs(..., store=path)``."""
+    ingest_reports(inputs.reports, f"{path}/reports")
+    inputs.registry.write.mode("overwrite").parquet(f"{path}/registry")
+    inputs.mappings.write.mode("overwrite").parquet(f"{path}/mappings")
+    inputs.snapshots.write.mode("overwrite").parquet(f"{path}/snapshots")
+
+
 def replace_file_partition(rows_of_files: DataFrame, path: str) -> None:
     """K2: replace the stored rows of exactly the files present in ``rows_of_files``.
 
