@@ -198,7 +198,7 @@ def network_power_series(snapshots: DataFrame, spec: BucketSpec) -> DataFrame:
 
 
 def activity_series(reports: DataFrame, spec: BucketSpec, snapshots: DataFrame | None = None,
-                    safe: bool = True) -> DataFrame:
+                    safe: bool = True, approx: bool = False) -> DataFrame:
     """A22 (flagship): per bucket distinct reporters, reports and the median block power, with the
     network power series (D20) and whether any of it is positive.
 
@@ -206,6 +206,7 @@ def activity_series(reports: DataFrame, spec: BucketSpec, snapshots: DataFrame |
     by their row counts (all rows of a block share the value and every filter here is on the block
     timestamp), so the rows are first reduced to one row per block and Spark's exact ``percentile``
     runs with a frequency column: nothing of the size of the data reaches a single task.
+    ``approx=True`` counts distinct reporters with HyperLogLog++ (one aggregation level less).
     """
     rows = _windowed(reports, spec, safe)
     per_block = rows.groupBy(TS).agg(
@@ -217,7 +218,8 @@ def activity_series(reports: DataFrame, spec: BucketSpec, snapshots: DataFrame |
             "representative_power_of_aggr"
         ),
     )
-    active = rows.groupBy("bucket_id").agg(F.countDistinct("REPORTER").alias("active_reporters"))
+    distinct = F.approx_count_distinct("REPORTER") if approx else F.countDistinct("REPORTER")
+    active = rows.groupBy("bucket_id").agg(distinct.alias("active_reporters"))
     frame = bucket_frame(reports.sparkSession, spec)
     out = frame.join(F.broadcast(active), "bucket_id", "left").join(F.broadcast(power), "bucket_id", "left")
     out = out.select(
