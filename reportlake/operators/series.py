@@ -53,6 +53,7 @@ def reports_histogram(reports: DataFrame, spec: BucketSpec, safe: bool = False)
     frame = bucket_frame(reports.sparkSession, spec)
     return frame.join(F.broadcast(counts), "bucket_id", "left").select(
         "bucket_id",
+        (F.lit(spec.start_ms) + F.col("bucket_id") * spec.interval_ms).alias("bucket_start_ms"),
         time_label(spec).alias("time_label"),
         F.coalesce(F.col("count"), F.lit(0).cast("long")).alias("count"),
     )

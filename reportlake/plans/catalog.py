@@ -711,3 +711,8 @@ def _power_share(i: Inputs) -> DataFrame:
     return i.registry.select(
         "address", metrics.share_pct("power", total).alias("power_share"), metrics.share_pct("power", top).alias("power_bar")
     )
+
+
+@query("reporters_page_total")
+def _reporters_page_total(i: Inputs) -> DataFrame:
+    return registry.reporters_total(i.registry, search="00001")

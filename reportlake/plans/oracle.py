@@ -211,7 +211,8 @@ def _histogram(tf: str, res: str = "fine") -> str:
 tb AS (SELECT ("TIMESTAMP" - {start}) // {interval} AS bucket_id, COUNT(*) AS c FROM reports
        WHERE "TIMESTAMP" >= {start} AND "TIMESTAMP" < {NOW} GROUP BY 1),
 bs AS (SELECT range AS bucket_id FROM range(0, {n}))
-SELECT bs.bucket_id, {label(tf, start, interval, 'bs.bucket_id')} AS time_label, COALESCE(tb.c, 0) AS "count"
+SELECT bs.bucket_id, {start} + bs.bucket_id * {interval} AS bucket_start_ms,
+       {label(tf, start, interval, 'bs.bucket_id')} AS time_label, COALESCE(tb.c, 0) AS "count"
 FROM bs LEFT JOIN tb USING (bucket_id)"""
 
 
@@ -776,3 +777,6 @@ SELECT address,
        CASE WHEN m.tot > 0 THEN round(CAST(power AS DOUBLE) / m.tot * 100.0, 1) ELSE 0.0 END AS power_share,
        CASE WHEN m.mx > 0 THEN round(CAST(power AS DOUBLE) / m.mx * 100.0, 1) ELSE 0.0 END AS power_bar
 FROM registry, m"""
+
+SQL["reporters_page_total"] = f"""{with_(REGISTRY)}
+SELECT COUNT(*) AS total FROM registry WHERE contains(moniker, '00001') OR contains(address, '00001')"""
