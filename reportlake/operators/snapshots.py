@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from reportlake import constants as K
 from reportlake.functions.casts import to_integral
+from reportlake.session import ship_package
 
 
 def network_power_at_height(dumps: DataFrame, height: str = "height", power: str = "power") -> DataFrame:
@@ -122,6 +123,7 @@ def snapshot_throttle(snapshots: DataFrame, gap_ms: int = K.SNAPSHOT_THROTTLE_MS
     ``applyInPandas``; the group holds only that instance's *realtime* snapshots, whose number is
     bounded by elapsed time (at most one per block), not by the report volume.
     """
+    ship_package(snapshots.sparkSession)
     rt = snapshots.where(F.col("sample_type") == "realtime").select(
         (F.col(instance) if instance else F.lit("default")).alias("instance"), "height", "timestamp_ms", "maximal_power"
     )
@@ -140,6 +142,7 @@ def snapshot_throttle_stream(stream: DataFrame, gap_ms: int = K.SNAPSHOT_THROTTL
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    ship_package(stream.sparkSession)
     rt = stream.where(F.col("sample_type") == "realtime").select(
         F.lit("default").alias("instance"), "height", "timestamp_ms", "maximal_power"
     )

@@ -64,6 +64,10 @@ def write_registry_yaml(registry: DataFrame, path: str) -> None:
     """The same pages rendered as YAML text (per page in its task)."""
     import yaml
 
+    from reportlake.session import ship_package
+
+    ship_package(registry.sparkSession)
+
     def render(pdf: pd.DataFrame) -> pd.DataFrame:
         reps = []
         for r in pdf["r"]:

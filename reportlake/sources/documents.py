@@ -92,6 +92,10 @@ def read_registry_yaml(spark: SparkSession, paths: str | Sequence[str], fetched_
     then flattened with the same Spark expressions as JSON dumps. Unparsable files yield no rows."""
     import yaml
 
+    from reportlake.session import ship_package
+
+    ship_package(spark)
+
     def parse(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
             out = []
