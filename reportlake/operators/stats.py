@@ -42,17 +42,27 @@ def average_agreement(reports: DataFrame) -> DataFrame:
     return rows.agg(F.round(F.avg(agreement_pct("V", "T")), 2).alias("average_agreement"))
 
 
-def value_stats(reports: DataFrame, approx: bool = False) -> DataFrame:
+# Exact median strategy: Spark's ``median`` keeps a value -> count map whose final merge runs in one
+# task; it is used only while the measured number of distinct values is under this bound.
+MEDIAN_MAP_MAX_DISTINCT = 1_000_000
+
+
+def value_stats(reports: DataFrame, approx: bool = False, map_max_distinct: int = MEDIAN_MAP_MAX_DISTINCT) -> DataFrame:
     """A4: min, max and median of the numeric VALUE over all rows.
 
-    The exact median is a distributed rank selection (:func:`reportlake.operators.ranks.exact_percentile`):
-    no task holds more than one range partition of the distinct values. ``approx=True`` uses a
-    ``percentile_approx`` sketch instead (one pass, bounded memory, approximate).
+    Exact by default. The number of distinct values is measured first (HyperLogLog, one cheap job):
+    under ``map_max_distinct`` (with a 10 % margin for the estimate) Spark's exact ``median`` runs in one
+    pass; beyond it the median is a distributed rank selection
+    (:func:`reportlake.operators.ranks.exact_percentile`), where no task holds more than one range
+    partition of the distinct values. ``approx=True`` uses a ``percentile_approx`` sketch instead.
     """
     v = to_double("VALUE")
     if approx:
         med = F.percentile_approx(v, 0.5, 10000).cast("double")
         return reports.agg(F.min(v).alias("min_value"), F.max(v).alias("max_value"), med.alias("median_value"))
+    distinct = reports.select(F.approx_count_distinct(v)).first()[0]
+    if distinct * 1.1 <= map_max_distinct:
+        return reports.agg(F.min(v).alias("min_value"), F.max(v).alias("max_value"), F.median(v).alias("median_value"))
     from reportlake.operators.ranks import exact_percentile
 
     median = exact_percentile(reports, v, 0.5).scalar()

@@ -48,3 +48,14 @@ def test_reports_page_deep_path(spark, monkeypatch):
     deep = [tuple(r) for r in filters.reports_page(df, limit=50, offset=300).collect()]
     assert deep == shallow and len(deep) == 50
     assert F is not None
+
+
+def test_value_stats_both_strategies_agree(spark):
+    from reportlake.operators import stats
+
+    rows = [(str(float((i * 7919) % 1013) / 10),) for i in range(2001)] + [("junk",), (None,)]
+    df = spark.createDataFrame(rows, "VALUE string")
+    small = stats.value_stats(df).collect()[0]
+    large = stats.value_stats(df, map_max_distinct=10).collect()[0]
+    assert small == large
+    assert small.median_value == statistics.median(float((i * 7919) % 1013) / 10 for i in range(2001))
