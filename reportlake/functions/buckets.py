@@ -33,8 +33,27 @@ def bucket_spec(timeframe: str, now_ms: int, resolution: str = "fine") -> Bucket
     return BucketSpec(timeframe, interval_ms, n, now_ms)
 
 
-def in_window(spec: BucketSpec, ts: str | Column = "TIMESTAMP") -> Column:
-    """``start <= ts < now``."""
+def time_range(df: DataFrame, lo_ms: int | None, hi_ms: int | None, ts: str = "TIMESTAMP") -> Column:
+    """``lo <= ts < hi`` (either bound optional); on a table stored by ``day`` (UTC days of ``ts``) the
+    equivalent day bounds are added so that Spark prunes whole day folders before reading."""
+    t = F.col(ts)
+    cond = F.lit(True)
+    if lo_ms is not None:
+        cond = cond & (t >= F.lit(lo_ms))
+    if hi_ms is not None:
+        cond = cond & (t < F.lit(hi_ms))
+    if "day" in df.columns:
+        if lo_ms is not None:
+            cond = cond & (F.col("day") >= F.lit(lo_ms // K.DAY_MS))
+        if hi_ms is not None:
+            cond = cond & (F.col("day") <= F.lit((hi_ms - 1) // K.DAY_MS))
+    return cond
+
+
+def in_window(spec: BucketSpec, ts: str | Column = "TIMESTAMP", df: DataFrame | None = None) -> Column:
+    """``start <= ts < now`` (with day pruning when ``df`` is stored by day)."""
+    if df is not None and isinstance(ts, str):
+        return time_range(df, spec.start_ms, spec.now_ms, ts)
     ts = col_(ts)
     return (ts >= F.lit(spec.start_ms)) & (ts < F.lit(spec.now_ms))
 

@@ -25,7 +25,7 @@ TS = "TIMESTAMP"
 
 
 def _windowed(reports: DataFrame, spec: BucketSpec, safe: bool, safe_source: DataFrame | None = None) -> DataFrame:
-    rows = reports.where(in_window(spec))
+    rows = reports.where(in_window(spec, df=reports))
     if safe:
         rows = rows.where(safe_block_predicate(safe_source if safe_source is not None else reports))
     return rows.withColumn("bucket_id", bucket_id(spec))

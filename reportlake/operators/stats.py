@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reportlake import constants as K
+from reportlake.functions.buckets import time_range
 from reportlake.functions.casts import to_double
 from reportlake.functions.metrics import agreement_pct, query_display_name, reporter_display_name, share_pct
 from reportlake.operators.blocks import safe_block_filter, safe_timestamp_value
@@ -31,7 +32,7 @@ def stats_counts(reports: DataFrame, safe: bool = True, approx: bool = False) ->
 
 def unique_query_ids(reports: DataFrame, now_ms: int, window_ms: int = K.UNIQUE_IDS_WINDOW_MS) -> DataFrame:
     """A2: distinct query ids with ``TIMESTAMP >= now - 30d`` (safe filter)."""
-    rows = safe_block_filter(reports).where(F.col(TS) >= F.lit(now_ms - window_ms))
+    rows = safe_block_filter(reports).where(time_range(reports, now_ms - window_ms, None))
     return rows.agg(F.countDistinct("QUERY_ID").alias("unique_query_ids_30d"))
 
 
@@ -80,7 +81,8 @@ def recent_activity(reports: DataFrame, window_ms: int = K.RECENT_ACTIVITY_MS) -
 def questionable_stats(reports: DataFrame, now_ms: int) -> DataFrame:
     """Disputable reports younger than 72 h, of them younger than 48 h, and whether any is."""
     age = F.lit(now_ms) - F.col(TS)
-    rows = reports.where((F.col("DISPUTABLE") == F.lit(True)) & (age < K.QUESTIONABLE_WINDOW_MS))
+    recent = time_range(reports, now_ms - K.QUESTIONABLE_WINDOW_MS + 1, None)  # same rows as the age test
+    rows = reports.where(recent & (F.col("DISPUTABLE") == F.lit(True)) & (age < K.QUESTIONABLE_WINDOW_MS))
     out = rows.agg(
         F.count(F.lit(1)).alias("total"),
         F.count(F.when(age < K.URGENT_WINDOW_MS, F.lit(1))).alias("urgent"),
@@ -110,7 +112,7 @@ def query_type_distribution(reports: DataFrame) -> DataFrame:
 def queries_24h(reports: DataFrame, now_ms: int, mappings: DataFrame | None = None,
                 k: int = K.TOP_QUERIES_24H) -> DataFrame:
     """Query ids reported since ``now - 24h``: reports and distinct reporters, top ``k``."""
-    rows = reports.where(F.col(TS) >= F.lit(now_ms - K.ACTIVE_WINDOW_MS))
+    rows = reports.where(time_range(reports, now_ms - K.ACTIVE_WINDOW_MS, None))
     top = (
         rows.groupBy("QUERY_ID")
         .agg(F.count(F.lit(1)).alias("report_count"), F.countDistinct("REPORTER").alias("unique_reporters"))

@@ -35,7 +35,7 @@ class Inputs:
         if self.store:
             from reportlake.schema import REPORT_SCHEMA
 
-            return self.spark.read.schema(REPORT_SCHEMA).parquet(f"{self.store}/reports")
+            return self.spark.read.schema(REPORT_SCHEMA.add("day", "long")).parquet(f"{self.store}/reports")
         return dedupe_reports(self.raw_reports)
 
     def _stored(self, name: str) -> DataFrame | None:
