@@ -64,9 +64,20 @@ def power_stats(with_power: DataFrame) -> DataFrame:
     )
 
 
-def _bounds(reports: DataFrame) -> Column:
-    """Scalar subquery: struct(mn, mx) of the non-NULL timestamps."""
-    return reports.select(F.struct(F.min(TS).alias("mn"), F.max(TS).alias("mx"))).scalar()
+def _bounds(reports: DataFrame) -> tuple[Column, Column]:
+    """Scalar subqueries ``(mn, mx)`` of the non-NULL timestamps.
+
+    On a table stored by ``day`` (derived from TIMESTAMP) the newest block lies in the newest day
+    folder and the oldest in the oldest one: the day bounds come from partition values and each
+    timestamp bound reads one folder, instead of the TIMESTAMP column of the whole table.
+    """
+    if "day" in reports.columns:
+        days = reports.select(F.struct(F.min("day").alias("lo"), F.max("day").alias("hi"))).scalar()
+        mx = reports.where(F.col("day") == days.getField("hi")).select(F.max(TS)).scalar()
+        mn = reports.where(F.col("day") == days.getField("lo")).select(F.min(TS)).scalar()
+        return mn, mx
+    b = reports.select(F.struct(F.min(TS).alias("mn"), F.max(TS).alias("mx"))).scalar()
+    return b.getField("mn"), b.getField("mx")
 
 
 def safe_block_predicate(reports: DataFrame) -> Column:
@@ -75,8 +86,7 @@ def safe_block_predicate(reports: DataFrame) -> Column:
     With 0 or 1 distinct timestamps every row passes. NULL timestamps never pass once two blocks
     exist (the comparison is NULL).
     """
-    b = _bounds(reports)
-    mn, mx = b.getField("mn"), b.getField("mx")
+    mn, mx = _bounds(reports)
     return mx.isNull() | (mn == mx) | (F.col(TS) < mx)
 
 
