@@ -12,6 +12,8 @@ Scale notes
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,20 +66,35 @@ def power_stats(with_power: DataFrame) -> DataFrame:
     )
 
 
-def _bounds(reports: DataFrame) -> tuple[Column, Column]:
-    """Scalar subqueries ``(mn, mx)`` of the non-NULL timestamps.
+_BOUNDS: "weakref.WeakKeyDictionary[DataFrame, tuple[Column, Column]]" = weakref.WeakKeyDictionary()
+_INDEX: "weakref.WeakKeyDictionary[DataFrame, DataFrame]" = weakref.WeakKeyDictionary()
 
-    On a table stored by ``day`` (derived from TIMESTAMP) the newest block lies in the newest day
-    folder and the oldest in the oldest one: the day bounds come from partition values and each
-    timestamp bound reads one folder, instead of the TIMESTAMP column of the whole table.
-    """
-    if "day" in reports.columns:
-        days = reports.select(F.struct(F.min("day").alias("lo"), F.max("day").alias("hi"))).scalar()
-        mx = reports.where(F.col("day") == days.getField("hi")).select(F.max(TS)).scalar()
-        mn = reports.where(F.col("day") == days.getField("lo")).select(F.min(TS)).scalar()
-        return mn, mx
-    b = reports.select(F.struct(F.min(TS).alias("mn"), F.max(TS).alias("mx"))).scalar()
-    return b.getField("mn"), b.getField("mx")
+
+def use_block_index(reports: DataFrame, index: DataFrame) -> DataFrame:
+    """Declare ``index`` (one row per block: TIMESTAMP, rows, POWER_OF_AGGR; written at ingest by
+    :func:`block_index`) as the block index of the stored table ``reports``. Whole-table block facts
+    (newest/oldest block) are then read from the index instead of the fact table's TIMESTAMP column."""
+    _INDEX[reports] = index
+    return reports
+
+
+def block_index(reports: DataFrame) -> DataFrame:
+    """One row per block with its row count and power sum: a small table (blocks, not reports)."""
+    return reports.where(F.col(TS).isNotNull()).groupBy(TS).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("POWER").cast("long").alias("POWER_OF_AGGR")
+    )
+
+
+def _bounds(reports: DataFrame) -> tuple[Column, Column]:
+    """Scalar subqueries ``(mn, mx)`` of the non-NULL timestamps, memoised per input frame so every
+    safe predicate of one query shares the same two subqueries. With a block index the bounds are a
+    scan of the index (one row per block) instead of the fact table's TIMESTAMP column."""
+    cached = _BOUNDS.get(reports)
+    if cached is None:
+        source = _INDEX.get(reports, reports)
+        b = source.select(F.struct(F.min(TS).alias("mn"), F.max(TS).alias("mx"))).scalar()
+        cached = _BOUNDS[reports] = (b.getField("mn"), b.getField("mx"))
+    return cached
 
 
 def safe_block_predicate(reports: DataFrame) -> Column:
@@ -96,9 +113,11 @@ def safe_block_filter(reports: DataFrame) -> DataFrame:
 
 
 def safe_timestamp_value(reports: DataFrame) -> Column:
-    """D6 as a scalar: second newest distinct timestamp, else the only one, else NULL."""
-    mx = reports.select(F.max(TS)).scalar()
-    second = reports.where(F.col(TS) < mx).select(F.max(TS)).scalar()
+    """D6 as a scalar: second newest distinct timestamp, else the only one, else NULL
+    (read from the block index when the stored table has one)."""
+    source = _INDEX.get(reports, reports)
+    mx = source.select(F.max(TS)).scalar()
+    second = source.where(F.col(TS) < mx).select(F.max(TS)).scalar()
     return F.coalesce(second, mx)
 
 

@@ -35,7 +35,10 @@ class Inputs:
         if self.store:
             from reportlake.schema import REPORT_SCHEMA
 
-            return self.spark.read.schema(REPORT_SCHEMA.add("day", "long")).parquet(f"{self.store}/reports")
+            from reportlake.operators.blocks import use_block_index
+
+            stored = self.spark.read.schema(REPORT_SCHEMA.add("day", "long")).parquet(f"{self.store}/reports")
+            return use_block_index(stored, self.spark.read.parquet(f"{self.store}/blocks"))
         return dedupe_reports(self.raw_reports)
 
     def _stored(self, name: str) -> DataFrame | None:

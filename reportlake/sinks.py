@@ -41,9 +41,12 @@ def ingest_reports(reports: DataFrame, path: str, files: int | None = None) -> N
 
 def ingest_all(inputs, path: str) -> None:
     """Load every source once into stored tables under ``path`` (as the dashboard loads its tables at
-    start): ``reports`` (deduplicated, see :func:`ingest_reports`), ``registry``, ``mappings`` and
-    ``snapshots``. Queries then read them with ``Inputs(..., store=path)``."""
+    start): ``reports`` (deduplicated, see :func:`ingest_reports`), its block index ``blocks`` (one row
+    per block), ``registry``, ``mappings`` and ``snapshots``. Queries then read them with ``Inputs(..., store=path)``."""
+    from reportlake.operators.blocks import block_index
+
     ingest_reports(inputs.reports, f"{path}/reports")
+    block_index(inputs.spark.read.parquet(f"{path}/reports")).write.mode("overwrite").parquet(f"{path}/blocks")
     inputs.registry.write.mode("overwrite").parquet(f"{path}/registry")
     inputs.mappings.write.mode("overwrite").parquet(f"{path}/mappings")
     inputs.snapshots.write.mode("overwrite").parquet(f"{path}/snapshots")
