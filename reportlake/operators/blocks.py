@@ -22,6 +22,11 @@ from reportlake.constants import RECENT_BLOCKS
 TS = "TIMESTAMP"
 
 
+def block_index_of(reports: DataFrame) -> DataFrame | None:
+    """The stored block index declared for ``reports`` (see :func:`use_block_index`), if any."""
+    return _INDEX.get(reports)
+
+
 def block_power(reports: DataFrame) -> DataFrame:
     """One row per block: ``TIMESTAMP, POWER_OF_AGGR = sum(POWER)`` (long)."""
     return reports.groupBy(TS).agg(F.sum("POWER").cast("long").alias("POWER_OF_AGGR"))
@@ -33,7 +38,9 @@ def power_of_aggr(reports: DataFrame) -> DataFrame:
     Rows without a TIMESTAMP belong to no block and get NULL.
     """
     base = reports.drop("POWER_OF_AGGR") if "POWER_OF_AGGR" in reports.columns else reports
-    return base.join(block_power(base).where(F.col(TS).isNotNull()), on=TS, how="left")
+    index = _INDEX.get(reports)
+    sums = index.select(TS, "POWER_OF_AGGR") if index is not None else block_power(base).where(F.col(TS).isNotNull())
+    return base.join(sums, on=TS, how="left")
 
 
 def newest_blocks(reports: DataFrame, n: int = RECENT_BLOCKS) -> DataFrame:

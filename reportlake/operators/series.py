@@ -19,7 +19,7 @@ from reportlake import constants as K
 from reportlake.functions.buckets import BucketSpec, bucket_frame, bucket_id, in_window, time_label
 from reportlake.functions.casts import to_double
 from reportlake.functions.metrics import deviation_pct, query_display_name, reporter_display_name
-from reportlake.operators.blocks import safe_block_predicate
+from reportlake.operators.blocks import block_index_of, safe_block_predicate
 
 TS = "TIMESTAMP"
 
@@ -210,9 +210,15 @@ def activity_series(reports: DataFrame, spec: BucketSpec, snapshots: DataFrame |
     ``approx=True`` counts distinct reporters with HyperLogLog++ (one aggregation level less).
     """
     rows = _windowed(reports, spec, safe)
-    per_block = rows.groupBy(TS).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("POWER").cast("long").alias("poa")
-    ).withColumn("bucket_id", bucket_id(spec))
+    index = block_index_of(reports)
+    if index is not None:  # stored table: the block index already holds rows and power per block
+        blocks_in = index.where(in_window(spec))
+        if safe:
+            blocks_in = blocks_in.where(safe_block_predicate(reports))
+        per_block = blocks_in.select(TS, F.col("rows").alias("n"), F.col("POWER_OF_AGGR").alias("poa"))
+    else:
+        per_block = rows.groupBy(TS).agg(F.count(F.lit(1)).alias("n"), F.sum("POWER").cast("long").alias("poa"))
+    per_block = per_block.withColumn("bucket_id", bucket_id(spec))
     power = per_block.groupBy("bucket_id").agg(
         F.sum("n").alias("total_reports"),
         F.percentile(F.coalesce(F.col("poa"), F.lit(0).cast("long")), F.lit(0.5), F.col("n")).alias(
