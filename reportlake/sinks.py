@@ -43,13 +43,22 @@ def ingest_all(inputs, path: str) -> None:
     """Load every source once into stored tables under ``path`` (as the dashboard loads its tables at
     start): ``reports`` (deduplicated, see :func:`ingest_reports`), its block index ``blocks`` (one row
     per block), ``registry``, ``mappings`` and ``snapshots``. Queries then read them with ``Inputs(..., store=path)``."""
+    from concurrent.futures import ThreadPoolExecutor
+
     from reportlake.operators.blocks import block_index
 
-    ingest_reports(inputs.reports, f"{path}/reports")
-    block_index(inputs.spark.read.parquet(f"{path}/reports")).write.mode("overwrite").parquet(f"{path}/blocks")
-    inputs.registry.write.mode("overwrite").parquet(f"{path}/registry")
-    inputs.mappings.write.mode("overwrite").parquet(f"{path}/mappings")
-    inputs.snapshots.write.mode("overwrite").parquet(f"{path}/snapshots")
+    def facts() -> None:
+        ingest_reports(inputs.reports, f"{path}/reports")
+        block_index(inputs.spark.read.parquet(f"{path}/reports")).write.mode("overwrite").parquet(f"{path}/blocks")
+
+    def dimension(name: str) -> None:
+        getattr(inputs, name).write.mode("overwrite").parquet(f"{path}/{name}")
+
+    # independent Spark jobs submitted concurrently (the scheduler interleaves their tasks)
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        futures = [pool.submit(facts)] + [pool.submit(dimension, n) for n in ("registry", "mappings", "snapshots")]
+        for f in futures:
+            f.result()
 
 
 def replace_file_partition(rows_of_files: DataFrame, path: str) -> None:
