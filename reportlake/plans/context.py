@@ -37,7 +37,10 @@ class Inputs:
 
             from reportlake.operators.blocks import use_block_index
 
-            stored = self.spark.read.schema(REPORT_SCHEMA.add("day", "long")).parquet(f"{self.store}/reports")
+            from pyspark.sql import types as T
+
+            schema = T.StructType(list(REPORT_SCHEMA.fields) + [T.StructField("day", T.LongType(), True)])
+            stored = self.spark.read.schema(schema).parquet(f"{self.store}/reports")
             return use_block_index(stored, self.spark.read.parquet(f"{self.store}/blocks"))
         return dedupe_reports(self.raw_reports)
 

@@ -28,3 +28,10 @@ def test_stored_equals_raw(spark, stored, name):
     cols = [c for c in b.columns]
     key = lambda r: tuple((x is None, str(x)) for x in r)
     assert sorted(map(tuple, a.select(*cols).collect()), key=key) == sorted(map(tuple, b.collect()), key=key)
+
+
+def test_fixed_schema_not_mutated(spark, stored):
+    from reportlake.schema import REPORT_COLUMNS, REPORT_SCHEMA
+
+    Inputs(spark, SF, store=stored).reports
+    assert REPORT_SCHEMA.fieldNames() == REPORT_COLUMNS + ["source_file"]
