@@ -5,7 +5,7 @@ import random
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
+
 
 from reportlake.functions import metrics
 from reportlake.functions.buckets import bucket_spec

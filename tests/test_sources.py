@@ -1,7 +1,6 @@
 """Untidy report files: header sniffing, encoded names, missing/extra cells, junk cells, duplicates."""
 
 import json
-import os
 
 import pytest
 from pyspark.sql import functions as F
