@@ -81,3 +81,47 @@ def test_throttle_stream_equals_batch(spark, tmp_path):
     got = sorted(r.timestamp_ms for r in spark.read.parquet(out).collect())
     want = sorted(r.timestamp_ms for r in snapshots.snapshot_throttle(spark.createDataFrame(rows, schema)).collect())
     assert got == want == [0, hour + 1, 2 * hour + 5, 5 * hour]
+
+
+def _land_parquet(spark, folder, batches):
+    for i, rows in enumerate(batches):
+        part = os.path.join(folder, f"b{i:02d}")
+        spark.createDataFrame(rows, REPORT_SCHEMA).coalesce(1).write.parquet(part)
+        for name in os.listdir(part):
+            os.utime(os.path.join(part, name), (4_000_000 + i * 100, 4_000_000 + i * 100))
+
+
+def _row(ts, power, tx):
+    return ("r", "SpotPrice", "q", "m", True, power, ts, "1", tx, ts, 0, "1", False, "table_1.csv")
+
+
+def test_late_rows_stream_versus_batch(spark, tmp_path):
+    src = str(tmp_path / "src")
+    batches = [
+        [_row(1000, 1, "a"), _row(2000, 2, "b")],
+        [_row(3000, 4, "c"), _row(1000, 8, "late")],  # arrives in the batch that closes block 1000: counted
+        [_row(4000, 32, "d"), _row(1000, 16, "very-late")],  # one batch later: behind the watermark, dropped
+    ]
+    _land_parquet(spark, src, batches)
+    out = str(tmp_path / "out")
+    stream = streams.parquet_report_stream(spark, src + "/*", max_files_per_trigger=1)
+    streams.run_to_table(streams.complete_blocks(stream), out, str(tmp_path / "ck")).awaitTermination()
+    got = {r.TIMESTAMP: r.POWER_OF_AGGR for r in spark.read.parquet(out).collect()}
+    assert got == {1000: 9, 2000: 2, 3000: 4}  # the newest block (4000) stays open
+    rows = [r for b in batches for r in b]
+    batch = blocks.safe_block_filter(spark.createDataFrame(rows, REPORT_SCHEMA))  # the batch path is authoritative
+    assert {r.TIMESTAMP: r.p for r in batch.groupBy("TIMESTAMP").agg(F.sum("POWER").alias("p")).collect()} == {
+        1000: 25, 2000: 2, 3000: 4}
+
+
+def test_stream_histogram_epoch_aligned(spark, tmp_path):
+    src = str(tmp_path / "src")
+    half_hour = 1_800_000
+    rows = [_row(5 * half_hour + 10, 1, "a"), _row(5 * half_hour + 20, 1, "b"), _row(6 * half_hour + 1, 1, "c"),
+            _row(9 * half_hour, 1, "d")]
+    _land_parquet(spark, src, [rows])
+    out = str(tmp_path / "out")
+    streams.run_to_table(streams.stream_histogram(streams.parquet_report_stream(spark, src + "/*")), out,
+                         str(tmp_path / "ck")).awaitTermination()
+    got = sorted((r.window_start_ms, r["count"]) for r in spark.read.parquet(out).collect())
+    assert got == [(5 * half_hour, 2), (6 * half_hour, 1)]  # the window of the newest block is still open
