@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from reportlake.constants import HEADERLESS_PREFIX
 from reportlake.operators import blocks, dedupe
 from reportlake.sources import documents, report_files
 
@@ -15,7 +16,7 @@ BLOCKS = [(1748870488336, POWERS_6), (1748870491820, POWERS_10), (1748870499834,
 
 
 def addr(i):
-    return "tellor1" + f"{i:038d}"
+    return HEADERLESS_PREFIX + "1" + f"{i:038d}"
 
 
 def row(i, ts, power, tx, value="104111", disputable="False"):
@@ -96,11 +97,11 @@ def test_registry_dump_json_and_yaml(spark, tmp_path):
     doc = {
         "pagination": {"total": "3"},
         "reporters": [
-            {"address": "tellor1aaa", "metadata": {"commission_rate": "250000000000000000", "jailed": True,
+            {"address": "addr1aaa", "metadata": {"commission_rate": "250000000000000000", "jailed": True,
                                                   "jailed_until": "2025-06-20T10:11:12.123456789Z",
                                                   "last_updated": "0001-01-01T00:00:00Z",
                                                   "min_tokens_required": "1000000", "moniker": "alpha"}, "power": "42"},
-            {"address": "tellor1bbb", "metadata": {"commission_rate": "50000000000000000", "jailed_until": "bad",
+            {"address": "addr1bbb", "metadata": {"commission_rate": "50000000000000000", "jailed_until": "bad",
                                                   "last_updated": "2025-06-01T00:00:00Z", "min_tokens_required": "5",
                                                   "moniker": "beta"}},
             {"metadata": {"moniker": "no address"}},
@@ -113,8 +114,8 @@ def test_registry_dump_json_and_yaml(spark, tmp_path):
     for df in (documents.read_registry_json(spark, str(tmp_path / "d.json"), 7),
                documents.read_registry_yaml(spark, str(tmp_path / "d.yaml"), 7)):
         rows = {r.address: r for r in df.collect()}
-        assert set(rows) == {"tellor1aaa", "tellor1bbb"}
-        a, b = rows["tellor1aaa"], rows["tellor1bbb"]
+        assert set(rows) == {"addr1aaa", "addr1bbb"}
+        a, b = rows["addr1aaa"], rows["addr1bbb"]
         assert (a.power, a.jailed, a.last_updated, a.jailed_until) == (42, True, None, 1750414272123)
         assert (b.power, b.jailed, b.jailed_until, b.last_updated) == (0, False, None, 1748736000000)
         assert a.fetched_at == 7 and b.min_tokens_required == 5

@@ -15,8 +15,8 @@ def _rows(day):
     out = []
     for k in range(6):
         ts = day * 86400000 + (k // 2) * 600000
-        out.append(f"tellor1r{k},SpotPrice,q{k % 3},weighted-median,true,{10 + k},{ts},1.0,TX{day}-{k},{ts + 5},5,1.1,{k == 0}")
-    out.append(f"tellor1dup,SpotPrice,q0,weighted-median,true,1,{day * 86400000},1.0,TX0-0,{day * 86400000},0,1.0,false")
+        out.append(f"rep1r{k},SpotPrice,q{k % 3},weighted-median,true,{10 + k},{ts},1.0,TX{day}-{k},{ts + 5},5,1.1,{k == 0}")
+    out.append(f"rep1dup,SpotPrice,q0,weighted-median,true,1,{day * 86400000},1.0,TX0-0,{day * 86400000},0,1.0,false")
     return out
 
 
