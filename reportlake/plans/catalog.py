@@ -12,9 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reportlake import sinks
+from reportlake.functions import metrics
 from reportlake.functions.buckets import bucket_spec
-from reportlake.operators import blocks, series
+from reportlake.functions.casts import to_double
+from reportlake.operators import blocks, dedupe, filters, registry, series, snapshots, stats
 from reportlake.plans.context import Inputs
+from reportlake.sources import doc_writers, documents, report_files
+from reportlake.sources.dirty_csv import write_dirty_report_csv, write_report_parquet_by_file
+from reportlake.streaming import reports as streams
 
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {}
 
@@ -153,9 +159,6 @@ def _locf_series(i: Inputs) -> DataFrame:
 
 # ---------------------------------------------------------------- statistics
 
-from reportlake.operators import filters, registry, stats  # noqa: E402
-from reportlake.functions import metrics  # noqa: E402
-from reportlake.functions.casts import to_double  # noqa: E402
 
 
 @query("stats_counts")
@@ -447,11 +450,6 @@ def _questionable(i: Inputs) -> DataFrame:
 
 # ---------------------------------------------------------------- sources and sinks
 
-from reportlake import sinks  # noqa: E402
-from reportlake.operators import dedupe, snapshots  # noqa: E402
-from reportlake.sources import report_files  # noqa: E402
-from reportlake.sources.dirty_csv import write_dirty_report_csv, write_report_parquet_by_file  # noqa: E402
-from reportlake.streaming import reports as streams  # noqa: E402
 
 _LANDED: dict[tuple, str] = {}
 
@@ -629,7 +627,6 @@ def _stream_active_reporters(i: Inputs) -> DataFrame:
 
 # ---------------------------------------------------------------- document sources
 
-from reportlake.sources import doc_writers, documents  # noqa: E402
 
 
 @query("read_query_mappings")
