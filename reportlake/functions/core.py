@@ -18,3 +18,15 @@ def idiv(a: str | Column, b: int | Column) -> Column:
 def round6(c: str | Column) -> Column:
     """Doubles are compared across engines after rounding to 6 decimals."""
     return F.round(col_(c), 6)
+
+
+def exact_mean(x: str | Column, scale: int = 6) -> Column:
+    """Aggregate: mean of ``x`` rounded half-up to ``scale`` decimals, as a double.
+
+    The sum is taken over DECIMAL(38,10) values, so it is exact and independent of the order in which
+    partial aggregates are merged; a mean that falls exactly on a rounding tie therefore rounds the
+    same way on every run (a double sum can land on either side of the tie). NULL when no values.
+    """
+    d = col_(x).cast("decimal(38,10)")
+    n = F.count(d)
+    return F.when(n > 0, F.round(F.sum(d) / n, scale)).cast("double")

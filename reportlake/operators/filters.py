@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from reportlake import constants as K
 from reportlake.functions.casts import to_double
+from reportlake.functions.core import exact_mean
 from reportlake.functions.metrics import exact_match, questionable, symmetric_agreement, symmetric_class
 from reportlake.operators.blocks import safe_block_predicate
 from reportlake.operators.ranks import page_after_rank
@@ -128,7 +129,7 @@ def search_stats(reports: DataFrame, q: str) -> DataFrame:
         F.countDistinct("QUERY_ID").alias("unique_query_ids"),
         F.min(v).alias("min_value"),
         F.max(v).alias("max_value"),
-        F.round(F.avg(exact_match(v, t)), 6).alias("avg_agreement"),
+        exact_mean(exact_match(v, t)).alias("avg_agreement"),
         F.min(TS).alias("oldest_timestamp"),
         F.max(TS).alias("newest_timestamp"),
         F.sum("POWER").cast("long").alias("total_power"),

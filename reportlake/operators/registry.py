@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reportlake import constants as K
+from reportlake.functions.core import exact_mean
 from reportlake.functions.metrics import commission_pct, reporter_status, share_pct
 
 
@@ -129,7 +130,7 @@ def reporters_summary(registry: DataFrame, reports: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_reporters"),
         F.count(F.when(F.col("jailed") == F.lit(True), F.lit(1))).alias("jailed_reporters"),
         F.count(F.when(F.col("active_24h"), F.lit(1))).alias("active_reporters"),
-        F.coalesce(F.round(F.avg("power"), 6), F.lit(0.0)).alias("avg_power"),
+        F.coalesce(exact_mean("power"), F.lit(0.0)).alias("avg_power"),
         F.coalesce(F.max("power"), F.lit(0)).alias("max_power"),
         F.coalesce(F.sum("power").cast("long"), F.lit(0).cast("long")).alias("total_power"),
     )

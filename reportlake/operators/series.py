@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from reportlake import constants as K
 from reportlake.functions.buckets import BucketSpec, bucket_frame, bucket_id, in_window, time_label
 from reportlake.functions.casts import to_double
+from reportlake.functions.core import exact_mean
 from reportlake.functions.metrics import deviation_pct, query_display_name, reporter_display_name
 from reportlake.operators.blocks import block_index_of, safe_block_predicate
 
@@ -157,7 +158,7 @@ def value_series(reports: DataFrame, spec: BucketSpec, mappings: DataFrame | Non
     x = to_double(column)
     s = keyed_series(
         reports, spec, "QUERY_ID",
-        aggs={"avg_value": F.avg(x)}, fill={}, top_n=top_n,
+        aggs={"avg_value": exact_mean(x)}, fill={}, top_n=top_n,
         rank_filter=spot, series_filter=spot & x.isNotNull(),
     )
     latest = _latest(reports, x, "most_recent_value", reports, spot)
@@ -171,7 +172,7 @@ def overlay_series(reports: DataFrame, spec: BucketSpec, mappings: DataFrame | N
     v, t = to_double("VALUE"), to_double("TRUSTED_VALUE")
     s = keyed_series(
         reports, spec, "QUERY_ID",
-        aggs={"avg_value": F.avg(v), "avg_trusted_value": F.avg(t)}, fill={}, top_n=top_n,
+        aggs={"avg_value": exact_mean(v), "avg_trusted_value": exact_mean(t)}, fill={}, top_n=top_n,
         rank_filter=spot, series_filter=spot,
     )
     latest_v = _latest(reports, v, "most_recent_value", reports, spot)

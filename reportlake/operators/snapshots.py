@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from reportlake import constants as K
 from reportlake.functions.casts import to_integral
+from reportlake.functions.core import exact_mean
 from reportlake.session import ship_package
 
 
@@ -74,7 +75,7 @@ def snapshot_summary(snapshots: DataFrame, enough: int = 5) -> DataFrame:
         F.count(F.lit(1)).alias("points"),
         F.min("maximal_power").alias("min_power"),
         F.max("maximal_power").alias("max_power"),
-        F.round(F.avg("maximal_power"), 6).alias("avg_power"),
+        exact_mean("maximal_power").alias("avg_power"),
         F.count(F.when(F.col("maximal_power") > 0, F.lit(1))).alias("positive_points"),
     ]
     per_type = snapshots.groupBy("sample_type").agg(*aggs)

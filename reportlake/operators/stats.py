@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from reportlake import constants as K
 from reportlake.functions.buckets import time_range
 from reportlake.functions.casts import to_double
+from reportlake.functions.core import exact_mean
 from reportlake.functions.metrics import agreement_pct, query_display_name, reporter_display_name, share_pct
 from reportlake.operators.blocks import safe_block_filter, safe_timestamp_value
 
@@ -166,7 +167,7 @@ def query_block_info(reports: DataFrame, query_id: str | Column | None = None) -
     return rows.groupBy("QUERY_ID", TS, "QUERY_TYPE").agg(
         F.count(F.lit(1)).alias("total_reports"),
         F.countDistinct("REPORTER").alias("unique_reporters"),
-        F.round(F.avg(v), 6).alias("avg_value"),
+        exact_mean(v).alias("avg_value"),
         F.min(v).alias("min_value"),
         F.max(v).alias("max_value"),
     )
@@ -204,7 +205,7 @@ def reporter_tx_stats(reports: DataFrame, reporter: str | None = None) -> DataFr
     return rows.groupBy("REPORTER").agg(
         F.count(F.lit(1)).alias("total_transactions"),
         F.countDistinct("QUERY_ID").alias("unique_queries"),
-        F.round(F.avg(v), 6).alias("avg_value"),
+        exact_mean(v).alias("avg_value"),
         F.min(TS).alias("first_transaction"),
         F.max(TS).alias("last_transaction"),
     )

@@ -16,6 +16,7 @@ from reportlake import sinks
 from reportlake.functions import metrics
 from reportlake.functions.buckets import bucket_spec
 from reportlake.functions.casts import to_double
+from reportlake.functions.core import exact_mean
 from reportlake.operators import blocks, dedupe, filters, registry, series, snapshots, stats
 from reportlake.plans.context import Inputs
 from reportlake.sources import doc_writers, documents, report_files
@@ -420,7 +421,7 @@ def _deviation_pct(i: Inputs) -> DataFrame:
 @query("exact_match_rate")
 def _exact_match_rate(i: Inputs) -> DataFrame:
     vt = _vt(i)
-    return vt.agg(F.round(F.avg(metrics.exact_match("V", "T")), 6).alias("exact_match_rate"))
+    return vt.agg(exact_mean(metrics.exact_match("V", "T")).alias("exact_match_rate"))
 
 
 @query("query_display_name")

@@ -98,6 +98,14 @@ def num(col: str) -> str:
     return f"(CASE WHEN NOT regexp_matches({col}, '[dDfF]\\s*$') AND isfinite({x}) THEN {x} END)"
 
 
+def exact_mean(x: str) -> str:
+    """Mean rounded half-up at 6 decimals from an exact decimal sum (twin of ``core.exact_mean``)."""
+    total = f"SUM(CAST(CAST({x} AS DECIMAL(38,10)) * 10000000000 AS HUGEINT))"
+    n = f"COUNT({x})"
+    q = f"(sign({total}) * ((2 * abs({total}) + {n} * 10000) // (2 * {n} * 10000)))"
+    return f"(CASE WHEN {n} > 0 THEN CAST({q} AS DOUBLE) / 1000000.0 END)"
+
+
 V = num('"VALUE"')
 T = num("TRUSTED_VALUE")
 
@@ -280,7 +288,7 @@ def _latest_cte(name: str, expr: str) -> str:
 def _value(tf: str, expr: str) -> str:
     return _keyed(
         tf, "QUERY_ID", K.TOP_VALUE_QUERIES, "QUERY_TYPE = 'SpotPrice'", f"QUERY_TYPE = 'SpotPrice' AND {expr} IS NOT NULL",
-        f"AVG({expr}) AS a", "round(pb.a, 6) AS avg_value",
+        f"{exact_mean(expr)} AS a", "pb.a AS avg_value",
         extra_ctes=_latest_cte("most_recent_value", expr),
         extra_join="LEFT JOIN most_recent_value lv USING (QUERY_ID) LEFT JOIN mappings m ON m.query_id = grid.QUERY_ID",
         extra_cols=f", lv.most_recent_value, {short_name('grid.QUERY_ID', 'm.name')} AS short_name",
@@ -292,7 +300,7 @@ SQL["trusted_value_series"] = _value("7d", T)
 
 SQL["overlay_series"] = _keyed(
     "30d", "QUERY_ID", K.TOP_VALUE_QUERIES, "QUERY_TYPE = 'SpotPrice'", "QUERY_TYPE = 'SpotPrice'",
-    f"AVG({V}) AS a, AVG({T}) AS b", "round(pb.a, 6) AS avg_value, round(pb.b, 6) AS avg_trusted_value",
+    f"{exact_mean(V)} AS a, {exact_mean(T)} AS b", "pb.a AS avg_value, pb.b AS avg_trusted_value",
     extra_ctes=_latest_cte("most_recent_value", V) + _latest_cte("most_recent_trusted_value", T),
     extra_join=(
         "LEFT JOIN most_recent_value lv USING (QUERY_ID) LEFT JOIN most_recent_trusted_value lt USING (QUERY_ID) "
@@ -386,7 +394,7 @@ FROM latest l LEFT JOIN registry g ON g.address = l.REPORTER"""
 
 SQL["query_block_info"] = f"""{with_(RAW, REPORTS, LATEST)}
 SELECT QUERY_ID, "TIMESTAMP", QUERY_TYPE, COUNT(*) AS total_reports, COUNT(DISTINCT REPORTER) AS unique_reporters,
-       round(AVG({V}), 6) AS avg_value, MIN({V}) AS min_value, MAX({V}) AS max_value
+       {exact_mean(V)} AS avg_value, MIN({V}) AS min_value, MAX({V}) AS max_value
 FROM latest GROUP BY QUERY_ID, "TIMESTAMP", QUERY_TYPE"""
 
 SAFE_TS = """(SELECT COALESCE((SELECT max("TIMESTAMP") FROM reports WHERE "TIMESTAMP" < (SELECT max("TIMESTAMP") FROM reports)),
@@ -413,7 +421,7 @@ FROM last LEFT JOIN registry g ON g.address = last.REPORTER"""
 
 SQL["reporter_tx_stats"] = f"""{BASE}
 SELECT REPORTER, COUNT(*) AS total_transactions, COUNT(DISTINCT QUERY_ID) AS unique_queries,
-       round(AVG({V}), 6) AS avg_value, MIN("TIMESTAMP") AS first_transaction, MAX("TIMESTAMP") AS last_transaction
+       {exact_mean(V)} AS avg_value, MIN("TIMESTAMP") AS first_transaction, MAX("TIMESTAMP") AS last_transaction
 FROM reports GROUP BY REPORTER"""
 
 
@@ -471,14 +479,14 @@ SQL["reporters_page_jailed"] = _reporters_page("jailed = true", "last_updated AS
 SQL["reporter_detail"] = f"""{REG},
 strongest AS (SELECT address FROM registry ORDER BY power DESC, address LIMIT 1),
 tx AS (SELECT REPORTER AS address, COUNT(*) AS total_transactions, COUNT(DISTINCT QUERY_ID) AS unique_queries,
-              round(AVG({V}), 6) AS avg_value, MIN("TIMESTAMP") AS first_transaction, MAX("TIMESTAMP") AS last_transaction
+              {exact_mean(V)} AS avg_value, MIN("TIMESTAMP") AS first_transaction, MAX("TIMESTAMP") AS last_transaction
        FROM reports WHERE REPORTER = (SELECT address FROM strongest) GROUP BY REPORTER)
 SELECT g.*, tx.total_transactions, tx.unique_queries, tx.avg_value, tx.first_transaction, tx.last_transaction
 FROM registry g LEFT JOIN tx USING (address) WHERE g.address = (SELECT address FROM strongest)"""
 
 SQL["reporters_summary"] = f"""{REG},{ACTIVE}
 SELECT COUNT(*) AS total_reporters, COUNT(CASE WHEN jailed = true THEN 1 END) AS jailed_reporters,
-       COUNT(CASE WHEN active_24h THEN 1 END) AS active_reporters, COALESCE(round(AVG(power), 6), 0.0) AS avg_power,
+       COUNT(CASE WHEN active_24h THEN 1 END) AS active_reporters, COALESCE({exact_mean('power')}, 0.0) AS avg_power,
        COALESCE(MAX(power), 0) AS max_power, CAST(COALESCE(SUM(power), 0) AS BIGINT) AS total_power
 FROM flagged"""
 
@@ -552,7 +560,7 @@ SQL["search_stats"] = f"""{BASE},{MATCHES},
 casted AS (SELECT {V} AS V, {T} AS T, REPORTER, QUERY_ID, "TIMESTAMP", POWER FROM matches)
 SELECT COUNT(*) AS total_matches, COUNT(DISTINCT REPORTER) AS unique_reporters, COUNT(DISTINCT QUERY_ID) AS unique_query_ids,
        MIN(V) AS min_value, MAX(V) AS max_value,
-       round(AVG(CASE WHEN V IS NOT NULL AND T IS NOT NULL AND V = T THEN 1.0 ELSE 0.0 END), 6) AS avg_agreement,
+       {exact_mean('(CASE WHEN V IS NOT NULL AND T IS NOT NULL AND V = T THEN 1.0 ELSE 0.0 END)')} AS avg_agreement,
        MIN("TIMESTAMP") AS oldest_timestamp, MAX("TIMESTAMP") AS newest_timestamp, CAST(SUM(POWER) AS BIGINT) AS total_power
 FROM casted"""
 
@@ -599,7 +607,7 @@ SELECT TX_HASH, round({_sym('V', 'T')}, 6) AS symmetric_agreement, {_classes(_sy
 SQL["deviation_pct"] = f"""{BASE},{VT}
 SELECT TX_HASH, round(CASE WHEN V IS NOT NULL AND T IS NOT NULL AND T != 0 THEN abs((V - T) / T) * 100 END, 6) AS deviation_pct FROM vt"""
 SQL["exact_match_rate"] = f"""{BASE},{VT}
-SELECT round(AVG(CASE WHEN V IS NOT NULL AND T IS NOT NULL AND V = T THEN 1.0 ELSE 0.0 END), 6) AS exact_match_rate FROM vt"""
+SELECT {exact_mean('(CASE WHEN V IS NOT NULL AND T IS NOT NULL AND V = T THEN 1.0 ELSE 0.0 END)')} AS exact_match_rate FROM vt"""
 
 SQL["query_display_name"] = f"""{with_(RAW, REPORTS, MAPPINGS)}
 SELECT i.QUERY_ID, {short_name('i.QUERY_ID', 'm.name')} AS short_name
@@ -688,8 +696,8 @@ FROM newest, range(0, {K.ESTIMATE_POINTS}) WHERE h - range * {K.ESTIMATE_STEP_BL
 SQL["recent_snapshots"] = f"{SNAP} SELECT * FROM snapshots WHERE timestamp_ms >= {NOW - 24 * K.HOUR_MS}"
 SQL["all_snapshots"] = f"{SNAP} SELECT * FROM snapshots"
 
-SUMMARY_AGGS = """COUNT(*) AS points, MIN(maximal_power) AS min_power, MAX(maximal_power) AS max_power,
-       round(AVG(maximal_power), 6) AS avg_power, COUNT(CASE WHEN maximal_power > 0 THEN 1 END) AS positive_points"""
+SUMMARY_AGGS = f"""COUNT(*) AS points, MIN(maximal_power) AS min_power, MAX(maximal_power) AS max_power,
+       {exact_mean('maximal_power')} AS avg_power, COUNT(CASE WHEN maximal_power > 0 THEN 1 END) AS positive_points"""
 SQL["snapshot_summary"] = f"""{SNAP},
 s AS (SELECT sample_type, {SUMMARY_AGGS} FROM snapshots GROUP BY sample_type
       UNION ALL SELECT 'all' AS sample_type, {SUMMARY_AGGS} FROM snapshots)
