@@ -15,11 +15,6 @@ def idiv(a: str | Column, b: int | Column) -> Column:
     return F.call_function("div", col_(a), b if isinstance(b, Column) else F.lit(b))
 
 
-def round6(c: str | Column) -> Column:
-    """Doubles are compared across engines after rounding to 6 decimals."""
-    return F.round(col_(c), 6)
-
-
 def exact_mean(x: str | Column, scale: int = 6) -> Column:
     """Aggregate: mean of ``x`` rounded half-up to ``scale`` decimals, as a double.
 
