@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from reportlake import sinks
 from reportlake.functions import metrics
 from reportlake.functions.buckets import bucket_spec
-from reportlake.functions.casts import to_double
+from reportlake.functions.casts import numeric_values, to_double
 from reportlake.functions.core import exact_mean
 from reportlake.operators import blocks, dedupe, filters, registry, series, snapshots, stats
 from reportlake.plans.context import Inputs
@@ -382,7 +382,7 @@ def _report_detail(i: Inputs) -> DataFrame:
 
 
 def _vt(i: Inputs) -> DataFrame:
-    return i.reports.select("TX_HASH", to_double("VALUE").alias("V"), to_double("TRUSTED_VALUE").alias("T"))
+    return numeric_values(i.reports).select("TX_HASH", "V", "T")
 
 
 @query("numeric_values")
