@@ -31,6 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def held(df: DataFrame, expr: Column, name: str) -> DataFrame:
+    """``df`` with a column that is computed once for each row: a generator of one row, which the optimizer doesn't
+    merge into the expressions (and lambdas) that use the column."""
+    return df.select("*", F.explode(F.array(expr)).alias(name))
+
+
 def ready(spark: SparkSession) -> SparkSession:
     """Python in tasks imports this package by name."""
     ship_package(spark)

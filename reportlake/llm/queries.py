@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from reportlake.llm import toxicity
-from reportlake.llm.common import Query, ready, table
+from reportlake.llm import decontaminate, mixing, tokens, toxicity
+from reportlake.llm.common import Query, ready, stored, table
+
+
+def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return tokens.token_ids(table(spark, sf_dir, "documents"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,8 +19,22 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.token_count(F.col("text")).alias("n_tokens"))
+    return mixing.mix(stored(docs, "mix-docs"), "n_tokens")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_token_ids": op1_token_ids,
     "op8_toxicity": op8_toxicity,
+    "op9_mixing": op9_mixing,
+    "op10_decontaminate": op10_decontaminate,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op10_decontaminate": decontaminate.SQL,
+}

@@ -37,7 +37,7 @@ _STRIP = ".,;:!?\"'()[]{}<>|%$&*#-_"
 @dataclass(frozen=True)
 class Params:
     window_bytes: int = 32
-    docs_per_class: int = 4000
+    docs_per_class: int = 2500
     max_train_chars: int = 100_000
     base_bytes: int = 32_768
     class_bytes: int = 8_192
@@ -117,10 +117,8 @@ def _features(margins: list[int], threshold: int) -> np.ndarray:
     return np.array([float(hits > 0), math.log1p(hits), hits / len(m), top / 10.0, 1.0])
 
 
-def _units(text: str) -> set[tuple[str, str]]:
-    """(word before, framed word) of a text."""
-    w = [x.strip(_STRIP) for x in text.lower().split()]
-    return {(a, f" {b} ") for a, b in zip(["", *w], w, strict=False) if b}
+def _words(text: str) -> list[str]:
+    return [x for w in text.lower().split() if (x := w.strip(_STRIP))]
 
 
 def _log_tail(a: int, n: int, q: float) -> float:
@@ -130,25 +128,32 @@ def _log_tail(a: int, n: int, q: float) -> float:
     return min(0.0, top - math.log1p(-min(ratio, 0.999)))
 
 
-def _contrast(of: list[set[tuple[str, str]]], other: list[set[tuple[str, str]]], p: Params) -> list[str]:
-    """Units typical of one class, the most typical last. A unit counts once for each document, and at most once for
-    each word before it, so that near copies of one document don't make its words typical. Kept are those whose
-    excess has a binomial tail under ``alpha`` shared out among all units of the class."""
-    a, b = Counter(), Counter()
-    for s in of:
-        a.update({w for _, w in s})
-    for s in other:
-        b.update({w for _, w in s})
-    contexts = Counter(w for _, w in set().union(*of))
+def _contrast(of: list[str], other: list[str], p: Params) -> list[str]:
+    """Words typical of one class's texts, the most typical last. A word counts once for each text, and at most once
+    for each word before it, so that near copies of one text don't make its words typical. Kept are those whose
+    excess has a binomial tail under ``alpha`` shared out among all words of the class."""
+    a = Counter()
+    for t in of:
+        a.update(set(_words(t)))
+    least, vocabulary = max(3, p.min_share * len(of)), len(a)
+    a = {w: n for w, n in a.items() if n >= least}
+    b, before = Counter(), {w: set() for w in a}
+    for t in other:
+        b.update(a.keys() & set(_words(t)))
+    for t in of:
+        w = _words(t)
+        for x, y in zip(["", *w], w, strict=False):
+            if y in before and len(before[y]) < a[y]:
+                before[y].add(x)
     q = len(of) / (len(of) + len(other))
     kept = []
     for w, n in a.items():
-        n = min(n, contexts[w])
-        if n >= max(3, p.min_share * len(of)) and n > 3 * q * (n + b[w]) - 2 and n > q * (n + b[w]):
+        n = min(n, len(before[w]))
+        if n >= least and n > q * (n + b[w]):
             tail = _log_tail(n, n + b[w], q)
-            if tail + math.log(len(a)) <= math.log(p.alpha):
+            if tail + math.log(vocabulary) <= math.log(p.alpha):
                 kept.append((-tail, w))
-    return [w for _, w in sorted(kept)]
+    return [f" {w} " for _, w in sorted(kept)]
 
 
 def _segments(samples: list[bytes], size: int) -> bytes:
@@ -175,12 +180,12 @@ def fit(rows: Iterable[tuple[str, int, int]], params: Params = Params()) -> Mode
         return Model(b"", b"", 1, [], params)
     rng = np.random.default_rng(params.seed)
     sample = [w for t in of[0, 0] + of[1, 0] for w in windows(t, 4 * params.window_bytes)]
-    sample = [sample[i] for i in rng.permutation(len(sample))[:40_000]]
+    sample = [sample[i] for i in rng.permutation(len(sample))[:40_000].tolist()]
     base = _segments([s for s in sample if len(s) >= 8], params.base_bytes)
 
     def train(halves: tuple[int, ...]) -> Model:
-        sets = [[_units(t) for h in halves for t in of[y, h]] for y in (0, 1)]
-        parts = [_class_part(_contrast(sets[y], sets[1 - y], params), params.class_bytes) for y in (0, 1)]
+        texts = [[t for h in halves for t in of[y, h]] for y in (0, 1)]
+        parts = [_class_part(_contrast(texts[y], texts[1 - y], params), params.class_bytes) for y in (0, 1)]
         return Model(base + parts[0], base + parts[1], 1, [], params)
 
     model = train((0,))
