@@ -35,7 +35,7 @@ from reportlake.llm.common import U64, components, mix, stored, text_key
 from reportlake.llm.shingles import shingles
 
 THRESHOLD = 0.8
-IDF_SPAN = 0.5
+IDF_SPAN = 0.25
 BANDS, ROWS = 12, 3
 K = BANDS * ROWS
 ESTIMATE_FLOOR = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / K) ** 0.5

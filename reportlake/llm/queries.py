@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import decontaminate, mixing, neardup, tokens, toxicity
+from reportlake.llm import decontaminate, extract, mixing, neardup, tokens, toxicity
 from reportlake.llm.common import Query, ready, stored, table
 
 
@@ -14,6 +14,11 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
@@ -35,6 +40,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_ids": op1_token_ids,
+    "op3_html_extraction": op3_html_extraction,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
