@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import decontaminate, extract, mixing, neardup, tokens, toxicity
+from reportlake.llm import decontaminate, embeddings, extract, mixing, neardup, secrets, tokens, toxicity
 from reportlake.llm.common import Query, ready, stored, table
 
 
@@ -24,6 +24,16 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -42,6 +52,8 @@ QUERIES: dict[str, Query] = {
     "op1_token_ids": op1_token_ids,
     "op3_html_extraction": op3_html_extraction,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op6_secret_scan": op6_secret_scan,
+    "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_decontaminate": op10_decontaminate,
