@@ -93,9 +93,9 @@ def _sql_seeds() -> str:
 
 SQL = f"""
 WITH words AS (
-  SELECT 0 AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '') AS t FROM documents
+  SELECT 0 AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM documents
   UNION ALL
-  SELECT 1, item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '') FROM benchmark
+  SELECT 1, item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') FROM benchmark
 ), pos AS (SELECT kind, id, t, unnest(range(0, len(t) - {SPAN - 1})) AS p FROM words WHERE len(t) >= {SPAN}),
 seeds AS ({_sql_seeds().replace("SELECT id", "SELECT kind, id")}),
 hits AS (
@@ -103,14 +103,14 @@ hits AS (
   FROM seeds d JOIN seeds b ON d.seed = b.seed WHERE d.kind = 0 AND b.kind = 1
 ), laid AS (
   SELECT h.*, len(b.t) AS n_item, least(len(b.t), {WINDOW}) AS w,
-    list_transform(range(0, len(b.t)), j -> CASE WHEN j + doc_start >= 0 AND j + doc_start < len(d.t) AND d.t[j + doc_start + 1] = b.t[j + 1] THEN 1 ELSE 0 END) AS m
+    list_transform(range(0, len(b.t)), lambda j: CASE WHEN j + doc_start >= 0 AND j + doc_start < len(d.t) AND d.t[j + doc_start + 1] = b.t[j + 1] THEN 1 ELSE 0 END) AS m
   FROM hits h JOIN words d ON d.kind = 0 AND d.id = h.doc_id JOIN words b ON b.kind = 1 AND b.id = h.item_id
 ), scored AS (
   SELECT doc_id, item_id, doc_start, list_sum(m) AS n_matched, n_item, w,
-    list_max(list_transform(range(1, n_item - w + 2), i -> list_sum(m[i : i + w - 1]))) AS best_window
+    list_max(list_transform(range(1, n_item - w + 2), lambda i: list_sum(m[i : i + w - 1]))) AS best_window
   FROM laid
 )
-SELECT doc_id, item_id, doc_start, CAST(n_matched AS INTEGER) AS n_matched, CAST(n_item AS INTEGER) AS n_item, CAST(best_window AS INTEGER) AS best_window
+SELECT doc_id, item_id, CAST(doc_start AS INTEGER) AS doc_start, CAST(n_matched AS INTEGER) AS n_matched, CAST(n_item AS INTEGER) AS n_item, CAST(best_window AS INTEGER) AS best_window
 FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY best_window DESC, n_matched DESC, doc_start, n_item) AS r
   FROM scored WHERE best_window * 100 >= w * {round(100 * MIN_SHARE)}

@@ -117,3 +117,56 @@ def mix(docs: DataFrame, tokens_col: str, target: Target = Target()) -> DataFram
     d = d.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
     d = d.withColumn("order_key", _hash(F.lit(target.seed), "_src", F.col("epoch").cast("string"), F.col("_b").cast("string")))
     return d.select(*docs.columns, "epoch", F.col("_b").alias("block"), "order_key")
+
+
+def _sql(target: Target = Target()) -> str:
+    """The same rows in SQL; both bisections run as recursive queries."""
+    budget = f"CAST({target.budget_tokens} AS DOUBLE)" if target.budget_tokens else "z / low"
+    md5 = "CAST('0x' || substr(md5({}), 1, 15) AS BIGINT)"
+    at = f"""SELECT (ln(z) - e / z) / ln(n) AS entropy, high / z * ({budget}) AS repeats FROM (
+        SELECT sum(pow(total / t, {{a}})) AS z, sum(pow(total / t, {{a}}) * ln(pow(total / t, {{a}}))) AS e, max(pow(total / t, {{a}}) / total) AS high,
+          min(pow(total / t, {{a}}) / total) AS low, count(*) AS n FROM pos, (SELECT CAST(sum(total) AS DOUBLE) AS t FROM pos))"""
+    return f"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, source, coalesce('s:' || source, 'null') AS src, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\r]+'), lambda x: x <> '')) AS n FROM documents
+), sources AS (SELECT src, CAST(sum(n) AS BIGINT) AS total FROM docs GROUP BY src),
+pos AS (SELECT * FROM sources WHERE total > 0),
+up AS (
+  SELECT 0 AS k, CAST(0.0 AS DOUBLE) AS lo, CAST(1.0 AS DOUBLE) AS hi
+  UNION ALL
+  SELECT k + 1, CASE WHEN ok THEN (lo + hi) / 2 ELSE lo END, CASE WHEN ok THEN hi ELSE (lo + hi) / 2 END
+  FROM (SELECT up.*, (SELECT entropy >= {target.min_entropy} FROM ({at.format(a="(up.lo + up.hi) / 2")})) AS ok FROM up WHERE k < {STEPS})
+), first AS (
+  SELECT CASE WHEN (SELECT count(*) FROM pos) < 2 OR (SELECT entropy >= {target.min_entropy} FROM ({at.format(a="1.0")})) THEN 1.0 ELSE (SELECT lo FROM up WHERE k = {STEPS}) END AS a
+), down AS (
+  SELECT 0 AS k, CAST(1.0 AS DOUBLE) AS lo, CAST(a AS DOUBLE) AS hi FROM first
+  UNION ALL
+  SELECT k + 1, CASE WHEN ok THEN (lo + hi) / 2 ELSE lo END, CASE WHEN ok THEN hi ELSE (lo + hi) / 2 END
+  FROM (SELECT down.*, (SELECT repeats <= {target.max_repeats} FROM ({at.format(a="(down.lo + down.hi) / 2")})) AS ok FROM down WHERE k < {STEPS})
+), exponent AS (
+  SELECT round(CASE WHEN (SELECT count(*) FROM pos) < 2 THEN 1.0 WHEN (SELECT repeats > {target.max_repeats} FROM ({at.format(a="(SELECT a FROM first)")})) THEN (SELECT lo FROM down WHERE k = {STEPS}) ELSE a END, 6) AS a FROM first
+), budgets AS (
+  SELECT src, total, CASE WHEN total > 0 THEN CAST(floor(pow(CAST(total AS DOUBLE), a) / z * ({"CAST(" + str(target.budget_tokens) + " AS DOUBLE)" if target.budget_tokens else "z / least"}) + 0.5) AS BIGINT) END AS budget
+  FROM sources, exponent, (SELECT sum(pow(CAST(total AS DOUBLE), a)) AS z, min(pow(CAST(total AS DOUBLE), a) / total) AS least FROM pos, exponent)
+), plan AS (
+  SELECT src, CASE WHEN total > 0 THEN budget // total ELSE 1 END AS epochs, CASE WHEN total > 0 THEN budget - (budget // total) * total ELSE 0 END AS rest,
+    CAST(least(greatest(ceil(total / {BLOCK_TOKENS}), 1), {MAX_BLOCKS}) AS BIGINT) AS blocks FROM budgets
+), dealt AS (
+  SELECT d.*, epochs, rest, {md5.format(f"'{target.seed}|' || d.src || '|' || doc_id")} % blocks AS block,
+    {md5.format(f"'{target.seed}|doc|' || doc_id")} AS place
+  FROM docs d JOIN plan p ON d.src = p.src
+), totals AS (SELECT src, block, epochs, sum(n) AS n FROM dealt GROUP BY ALL),
+starts AS (
+  SELECT src, block, coalesce(sum(n) OVER (PARTITION BY src ORDER BY {md5.format(f"'{target.seed}|' || src || '|' || epochs || '|' || block")}, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM totals
+), inner_sums AS (
+  SELECT *, coalesce(sum(n) OVER (PARTITION BY src, block ORDER BY place, CAST(doc_id AS VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inside FROM dealt
+), copies AS (
+  SELECT i.*, epochs + (start + inside < rest)::INT AS c FROM inner_sums i JOIN starts s ON i.src = s.src AND i.block = s.block
+), taken AS (SELECT doc_id, source, n, src, block, unnest(range(0, c)) AS epoch FROM copies)
+SELECT doc_id, source, CAST(n AS INTEGER) AS n_tokens, CAST(epoch AS INTEGER) AS epoch, CAST(block AS INTEGER) AS block,
+  {md5.format(f"'{target.seed}|' || src || '|' || epoch || '|' || block")} AS order_key
+FROM taken
+"""
+
+
+SQL = _sql()

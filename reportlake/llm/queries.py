@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import decontaminate, embeddings, extract, mixing, neardup, secrets, tokens, toxicity
+from reportlake.llm import decontaminate, embeddings, extract, linededup, mixing, neardup, secrets, tokens, toxicity, urlfilter
 from reportlake.llm.common import Query, ready, stored, table
 
 
@@ -14,6 +14,11 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = urlfilter.page_captures(table(spark, sf_dir, "pages"))
+    return urlfilter.url_filter(captures, urlfilter.page_entries(captures))
+
+
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return extract.main_text(table(spark, sf_dir, "pages"))
@@ -24,6 +29,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ready(spark)
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
@@ -50,8 +59,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_token_ids": op1_token_ids,
+    "op2_url_filter": op2_url_filter,
     "op3_html_extraction": op3_html_extraction,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_embedding_near_dedup": op7_embedding_near_dedup,
     "op8_toxicity": op8_toxicity,
@@ -60,5 +71,8 @@ QUERIES: dict[str, Query] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_url_filter": urlfilter.SQL,
+    "op5_line_dedup": linededup.SQL,
+    "op9_mixing": mixing.SQL,
     "op10_decontaminate": decontaminate.SQL,
 }
