@@ -53,7 +53,6 @@ REPORTER_NAME_MAX = 20  # addresses longer than this become first 8 + "..." + la
 REPORTER_HEAD = 8
 REPORTER_TAIL = 6
 PLACEHOLDER_PREFIX = 12  # placeholder moniker "Unknown (<first 12>...)"
-HEADERLESS_PREFIX = "tellor"  # a file whose first line starts with this has no header
 FIXED_POINT_SCALE = 10**18  # commission_rate is an 18-decimal fixed-point integer
 
 # --- fixed values: file rules ------------------------------------------------------------------

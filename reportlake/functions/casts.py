@@ -30,7 +30,8 @@ def to_integral(c: str | Column, kind: str = "int") -> Column:
     c = col_(c)
     lo, hi = _INT_RANGE[kind]
     d = F.round(to_double(c))
-    via_double = F.when((d >= F.lit(float(lo))) & (d <= F.lit(float(hi))), d.cast(kind))
+    # hi + 1 is a power of two, so exact as a double; hi itself isn't for long
+    via_double = F.when((d >= F.lit(float(lo))) & (d < F.lit(float(hi + 1))), d.cast(kind))
     return F.coalesce(c.try_cast(kind), via_double)
 
 

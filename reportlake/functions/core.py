@@ -16,12 +16,14 @@ def idiv(a: str | Column, b: int | Column) -> Column:
 
 
 def exact_mean(x: str | Column, scale: int = 6) -> Column:
-    """Aggregate: mean of ``x`` rounded half-up to ``scale`` decimals, as a double.
+    """Aggregate: the mean of ``x`` as a double, NULL when there are no values.
 
-    The sum is taken over DECIMAL(38,10) values, so it is exact and independent of the order in which
-    partial aggregates are merged; a mean that falls exactly on a rounding tie therefore rounds the
-    same way on every run (a double sum can land on either side of the tie). NULL when no values.
+    Groups whose values all have a magnitude of 0 or ``1e-3 .. 1e15`` are summed as DECIMAL(38,10) and the mean is
+    rounded half-up to ``scale`` decimals: that doesn't depend on the order in which partial aggregates are merged.
+    Other groups (18-decimal integers, ``1e30``, ``1e-12``) get the plain double mean, which keeps every finite double.
     """
-    d = col_(x).cast("decimal(38,10)")
-    n = F.count(d)
-    return F.when(n > 0, F.round(F.sum(d) / n, scale)).cast("double")
+    v = col_(x).cast("double")
+    d = F.when(F.abs(v) < 1e15, v).try_cast("decimal(38,10)")
+    n = F.count(v)
+    plain = (F.max(F.abs(v)) < 1e15) & F.coalesce(F.min(F.when(v != 0, F.abs(v))) >= 1e-3, F.lit(True))
+    return F.when(n == 0, None).when(plain, F.round(F.try_sum(d) / n, scale).cast("double")).otherwise(F.avg(v))

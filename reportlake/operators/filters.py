@@ -1,8 +1,8 @@
 """Report filters, pages and search.
 
 Filters are plain predicates, so Catalyst pushes the column comparisons into the Parquet scan.
-Pages are ``orderBy(...).offset(o).limit(l)``: a TakeOrdered that keeps ``o + l`` rows per task, never
-a global sort. Search matches literal substrings (``contains``), not LIKE patterns.
+A first page is a TakeOrdered of ``limit`` rows; a page at an offset finds its first row exactly by rank and takes
+``limit`` rows from there, so no task holds the rows before it. Search matches literal substrings (``contains``), not LIKE patterns.
 """
 
 from __future__ import annotations
@@ -17,10 +17,6 @@ from reportlake.functions.metrics import exact_match, questionable, symmetric_ag
 from reportlake.operators.blocks import safe_block_predicate
 from reportlake.operators.ranks import page_after_rank
 
-# Pages up to this offset use a TakeOrdered of offset + limit rows per task; deeper pages select the
-# boundary row exactly by rank (no task buffers more than one range partition).
-DEEP_PAGE_OFFSET = 10_000
-
 TS = "TIMESTAMP"
 
 
@@ -55,9 +51,16 @@ def filter_reports(reports: DataFrame, now_ms: int, reporter: str | None = None,
     return rows
 
 
+def page_limit(limit: int) -> int:
+    """A page's size: 1 to ``PAGE_MAX``; asking for more is an error, not a shorter page."""
+    if limit > K.PAGE_MAX:
+        raise ValueError(f"a page holds at most {K.PAGE_MAX} rows; use search_matches or filter_reports for all")
+    return max(1, int(limit))
+
+
 def page_offset(total: int, limit: int, offset: int) -> tuple[int, int]:
-    """F2 paging rule: limit clamped to 1..1000; the last page is always full."""
-    limit = max(1, min(int(limit), K.PAGE_MAX))
+    """F2 paging rule: the last page is always full."""
+    limit = page_limit(limit)
     return limit, min(int(offset), max(0, int(total) - limit))
 
 
@@ -70,10 +73,9 @@ def reports_page(filtered: DataFrame, limit: int = K.PAGE_DEFAULT, offset: int =
 
 
 def _page(rows: DataFrame, offset: int, limit: int) -> DataFrame:
-    if offset > DEEP_PAGE_OFFSET:
-        return page_after_rank(rows, newest_first(), [TS, "TX_HASH"], offset, limit)
-    ordered = rows.orderBy(*newest_first())
-    return (ordered.offset(offset) if offset else ordered).limit(limit)
+    if not offset:
+        return rows.orderBy(*newest_first()).limit(limit)
+    return page_after_rank(rows, newest_first(), [TS, "TX_HASH"], offset, limit)
 
 
 def null_defaults(page: DataFrame) -> DataFrame:
@@ -107,13 +109,13 @@ def search_matches(reports: DataFrame, q: str, safe: bool = True) -> DataFrame:
 
 def search_reports(reports: DataFrame, q: str, limit: int = K.PAGE_DEFAULT, offset: int = 0) -> DataFrame:
     """a page of matches, newest first."""
-    limit = max(1, min(int(limit), K.PAGE_MAX))
+    limit = page_limit(limit)
     return _page(search_matches(reports, q), int(offset), limit)
 
 
 def search_count(reports: DataFrame, q: str, limit: int = K.PAGE_DEFAULT, offset: int = 0) -> DataFrame:
     """number of matches and whether a next page exists."""
-    limit = max(1, min(int(limit), K.PAGE_MAX))
+    limit = page_limit(limit)
     return search_matches(reports, q).agg(F.count(F.lit(1)).alias("total")).withColumn(
         "has_more", F.lit(offset + limit) < F.col("total")
     )

@@ -143,11 +143,13 @@ def agreement_series(reports: DataFrame, spec: BucketSpec, mappings: DataFrame |
     return _with_query_names(s, mappings)
 
 
-def _latest(reports: DataFrame, value: Column, name: str, safe_src: DataFrame, spot: Column) -> DataFrame:
-    """Most recent numeric value per query id over all time (ties by TX_HASH), safe filter on."""
-    rows = reports.where(spot & safe_block_predicate(safe_src)).select("QUERY_ID", TS, "TX_HASH", value.alias("__v"))
-    rows = rows.where(F.col("__v").isNotNull())
-    return rows.groupBy("QUERY_ID").agg(F.max_by("__v", F.struct(TS, "TX_HASH")).alias(name))
+def _latest(reports: DataFrame, series: DataFrame, spot: Column, **values: Column) -> DataFrame:
+    """Most recent numeric value of each kind per query id of ``series`` over all time (ties by TX_HASH), safe filter
+    on: one aggregation of the rows of the ids shown (``top_n`` at most, broadcast)."""
+    shown = F.broadcast(series.select("QUERY_ID").distinct())
+    rows = reports.where(spot & safe_block_predicate(reports)).join(shown, "QUERY_ID", "left_semi")
+    at = F.struct(TS, "TX_HASH")
+    return rows.groupBy("QUERY_ID").agg(*[F.max_by(v, F.when(v.isNotNull(), at)).alias(n) for n, v in values.items()])
 
 
 def value_series(reports: DataFrame, spec: BucketSpec, mappings: DataFrame | None = None,
@@ -161,8 +163,7 @@ def value_series(reports: DataFrame, spec: BucketSpec, mappings: DataFrame | Non
         aggs={"avg_value": exact_mean(x)}, fill={}, top_n=top_n,
         rank_filter=spot, series_filter=spot & x.isNotNull(),
     )
-    latest = _latest(reports, x, "most_recent_value", reports, spot)
-    return _with_query_names(s.join(latest, "QUERY_ID", "left"), mappings)
+    return _with_query_names(s.join(_latest(reports, s, spot, most_recent_value=x), "QUERY_ID", "left"), mappings)
 
 
 def overlay_series(reports: DataFrame, spec: BucketSpec, mappings: DataFrame | None = None,
@@ -175,9 +176,8 @@ def overlay_series(reports: DataFrame, spec: BucketSpec, mappings: DataFrame | N
         aggs={"avg_value": exact_mean(v), "avg_trusted_value": exact_mean(t)}, fill={}, top_n=top_n,
         rank_filter=spot, series_filter=spot,
     )
-    latest_v = _latest(reports, v, "most_recent_value", reports, spot)
-    latest_t = _latest(reports, t, "most_recent_trusted_value", reports, spot)
-    return _with_query_names(s.join(latest_v, "QUERY_ID", "left").join(latest_t, "QUERY_ID", "left"), mappings)
+    latest = _latest(reports, s, spot, most_recent_value=v, most_recent_trusted_value=t)
+    return _with_query_names(s.join(latest, "QUERY_ID", "left"), mappings)
 
 
 def network_power_series(snapshots: DataFrame, spec: BucketSpec) -> DataFrame:

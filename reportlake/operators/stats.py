@@ -44,27 +44,16 @@ def average_agreement(reports: DataFrame) -> DataFrame:
     return rows.agg(F.round(F.avg(agreement_pct("V", "T")), 2).alias("average_agreement"))
 
 
-# Exact median strategy: Spark's ``median`` keeps a value -> count map whose final merge runs in one
-# task; it is used only while the measured number of distinct values is under this bound.
-MEDIAN_MAP_MAX_DISTINCT = 1_000_000
-
-
-def value_stats(reports: DataFrame, approx: bool = False, map_max_distinct: int = MEDIAN_MAP_MAX_DISTINCT) -> DataFrame:
+def value_stats(reports: DataFrame, approx: bool = False) -> DataFrame:
     """A4: min, max and median of the numeric VALUE over all rows.
 
-    Exact by default. The number of distinct values is measured first (HyperLogLog, one cheap job):
-    under ``map_max_distinct`` (with a 10 % margin for the estimate) Spark's exact ``median`` runs in one
-    pass; beyond it the median is a distributed rank selection
-    (:func:`reportlake.operators.ranks.exact_percentile`), where no task holds more than one range
-    partition of the distinct values. ``approx=True`` uses a ``percentile_approx`` sketch instead.
+    The exact median is a distributed rank selection (:func:`reportlake.operators.ranks.exact_percentile`): no task
+    holds more than one range partition of the distinct values. ``approx=True`` uses a ``percentile_approx`` sketch.
     """
     v = to_double("VALUE")
     if approx:
         med = F.percentile_approx(v, 0.5, 10000).cast("double")
         return reports.agg(F.min(v).alias("min_value"), F.max(v).alias("max_value"), med.alias("median_value"))
-    distinct = reports.select(F.approx_count_distinct(v)).first()[0]
-    if distinct * 1.1 <= map_max_distinct:
-        return reports.agg(F.min(v).alias("min_value"), F.max(v).alias("max_value"), F.median(v).alias("median_value"))
     from reportlake.operators.ranks import exact_percentile
 
     median = exact_percentile(reports, v, 0.5).scalar()
@@ -186,14 +175,12 @@ def absent_reporters(reports: DataFrame, now_ms: int, registry: DataFrame | None
                      window_ms: int = K.RECENT_ACTIVITY_MS) -> DataFrame:
     """Reporters seen since ``now - 1h`` but absent from the safe block, with their last report."""
     target = safe_timestamp_value(reports)
-    recent = reports.where(F.col("CURRENT_TIME") >= F.lit(now_ms - window_ms)).select("REPORTER").distinct()
+    # whoever reported in the last hour has their last report there too: only rows of that hour are aggregated
+    recent = reports.where(F.col("CURRENT_TIME") >= F.lit(now_ms - window_ms))
+    last = recent.groupBy("REPORTER").agg(F.max_by(F.struct("POWER", "CURRENT_TIME"), F.struct("CURRENT_TIME", "TX_HASH")).alias("__last"))
     in_block = reports.where(F.col(TS) == target).select("REPORTER")
-    absent = recent.join(in_block, "REPORTER", "left_anti")
-    last = (
-        reports.join(absent, "REPORTER", "left_semi")
-        .groupBy("REPORTER")
-        .agg(F.max_by(F.struct("POWER", "CURRENT_TIME"), F.struct("CURRENT_TIME", "TX_HASH")).alias("__last"))
-        .select("REPORTER", F.col("__last.POWER").alias("last_power"), F.col("__last.CURRENT_TIME").alias("last_report_time"))
+    last = last.where(F.col("REPORTER").isNotNull()).join(in_block, "REPORTER", "left_anti").select(
+        "REPORTER", F.col("__last.POWER").alias("last_power"), F.col("__last.CURRENT_TIME").alias("last_report_time")
     )
     return _name_reporters(last, registry)
 

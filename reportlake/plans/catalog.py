@@ -247,12 +247,12 @@ def _active_power(i: Inputs) -> DataFrame:
 
 @query("unknown_reporters")
 def _unknown_reporters(i: Inputs) -> DataFrame:
-    return registry.unknown_reporters(i.reports, i.registry)
+    return registry.unknown_reporters(i.reports, i.supplier_registry)
 
 
 @query("placeholder_reporters")
 def _placeholder_reporters(i: Inputs) -> DataFrame:
-    return registry.placeholder_reporters(i.reports, i.registry, i.now_ms)
+    return registry.placeholder_reporters(i.reports, i.supplier_registry, i.now_ms)
 
 
 @query("upsert_registry")
@@ -457,7 +457,7 @@ _LANDED: dict[tuple, str] = {}
 
 def landed_csv(i: Inputs) -> str:
     """The raw reports landed once per session as untidy CSV files (derived from ``events``)."""
-    key = (id(i.spark), i.sf_dir)
+    key = (i.spark.sparkContext.applicationId, i.sf_dir)
     if key not in _LANDED:
         path = i.scratch("csv")
         write_dirty_report_csv(i.raw_reports, path)
@@ -467,7 +467,7 @@ def landed_csv(i: Inputs) -> str:
 
 @query("csv_roundtrip")
 def _csv_roundtrip(i: Inputs) -> DataFrame:
-    raw = report_files.read_reports(i.spark, landed_csv(i), headerless_prefix="reporter1")
+    raw = report_files.read_reports(i.spark, landed_csv(i))
     return dedupe.dedupe_reports(raw)
 
 
@@ -475,7 +475,7 @@ def _csv_roundtrip(i: Inputs) -> DataFrame:
 def _load_inventory(i: Inputs) -> DataFrame:
     path = landed_csv(i)
     files = report_files.list_report_files(i.spark, path)
-    raw = report_files.read_reports(i.spark, path, headerless_prefix="reporter1")
+    raw = report_files.read_reports(i.spark, path)
     return sinks.load_inventory(files, dedupe.dedupe_reports(raw)).drop("size_mb")
 
 
@@ -500,6 +500,31 @@ def _append_new_rows(i: Inputs) -> DataFrame:
     return dedupe.append_new_rows(stored, incoming)
 
 
+def _appended_store(i: Inputs) -> str:
+    """A store of all reports but every second row of the newest block, then appended with those."""
+    path = i.scratch("store")
+    newest = i.raw_reports.select(F.max("TIMESTAMP")).scalar()
+    late = (F.col("TIMESTAMP") == newest) & (F.col("line_no") % 2 == 1)
+    first = dedupe.dedupe_reports(i.raw_reports.where(F.coalesce(~late, F.lit(True))))
+    sinks.ingest_reports(first, f"{path}/reports")
+    sinks.rebuild_index(i.spark, path)
+    sinks.append_to_store(i.spark, path, i.raw_reports)
+    return path
+
+
+@query("append_to_store")
+def _append_to_store(i: Inputs) -> DataFrame:
+    return sinks.open_store(i.spark, _appended_store(i))
+
+
+@query("power_of_aggr_after_append")
+def _power_of_aggr_after_append(i: Inputs) -> DataFrame:
+    stored = sinks.open_store(i.spark, _appended_store(i))
+    return blocks.power_of_aggr(stored).groupBy("TIMESTAMP").agg(
+        F.max("POWER_OF_AGGR").alias("POWER_OF_AGGR"), F.count(F.lit(1)).alias("rows")
+    ).where(F.col("TIMESTAMP").isNotNull())
+
+
 @query("replace_file_partition")
 def _replace_file_partition(i: Inputs) -> DataFrame:
     path = i.scratch("table")
@@ -576,7 +601,7 @@ def _snapshot_throttle(i: Inputs) -> DataFrame:
 
 
 def _landed_parquet(i: Inputs) -> str:
-    key = (id(i.spark), i.sf_dir, "parquet")
+    key = (i.spark.sparkContext.applicationId, i.sf_dir, "parquet")
     if key not in _LANDED:
         path = i.scratch("landed")
         write_report_parquet_by_file(i.reports, path)
@@ -584,6 +609,10 @@ def _landed_parquet(i: Inputs) -> str:
     return _LANDED[key]
 
 
+# the landed files hold whole days in no order and are read in one batch: blocks close as soon as a newer one is seen
+AT_ONCE = "1 millisecond"
+
+
 def _run_stream(i: Inputs, name: str, frame: DataFrame, mode: str = "append") -> DataFrame:
     out, ck = i.scratch(f"{name}-out"), i.scratch(f"{name}-ck")
     q = streams.run_to_table(frame, out, ck, mode)
@@ -594,21 +623,19 @@ def _run_stream(i: Inputs, name: str, frame: DataFrame, mode: str = "append") ->
 @query("stream_dedupe")
 def _stream_dedupe(i: Inputs) -> DataFrame:
     table, ck = i.scratch("ingest-table"), i.scratch("ingest-ck")
-    q = streams.ingest_stream(i.spark, landed_csv(i), table, ck, headerless_prefix="reporter1")
+    q = streams.ingest_stream(i.spark, landed_csv(i), table, ck)
     q.awaitTermination()
-    from reportlake.schema import REPORT_SCHEMA
-
-    return i.spark.read.schema(REPORT_SCHEMA).parquet(table)
+    return streams.read_ingested(i.spark, table).drop("key_bucket")
 
 
 @query("complete_blocks")
 def _complete_blocks(i: Inputs) -> DataFrame:
-    return _run_stream(i, "blocks", streams.complete_blocks(streams.parquet_report_stream(i.spark, _landed_parquet(i))))
+    return _run_stream(i, "blocks", streams.complete_blocks(streams.parquet_report_stream(i.spark, _landed_parquet(i)), delay=AT_ONCE))
 
 
 @query("stream_histogram")
 def _stream_histogram(i: Inputs) -> DataFrame:
-    return _run_stream(i, "hist", streams.stream_histogram(streams.parquet_report_stream(i.spark, _landed_parquet(i))))
+    return _run_stream(i, "hist", streams.stream_histogram(streams.parquet_report_stream(i.spark, _landed_parquet(i)), delay=AT_ONCE))
 
 
 @query("stream_questionable")
@@ -618,12 +645,12 @@ def _stream_questionable(i: Inputs) -> DataFrame:
 
 @query("stream_bucket_activity")
 def _stream_bucket_activity(i: Inputs) -> DataFrame:
-    return _run_stream(i, "activity", streams.stream_bucket_activity(streams.parquet_report_stream(i.spark, _landed_parquet(i))))
+    return _run_stream(i, "activity", streams.stream_bucket_activity(streams.parquet_report_stream(i.spark, _landed_parquet(i)), delay=AT_ONCE))
 
 
 @query("stream_active_reporters")
 def _stream_active_reporters(i: Inputs) -> DataFrame:
-    return _run_stream(i, "active", streams.stream_active_reporters(streams.parquet_report_stream(i.spark, _landed_parquet(i))))
+    return _run_stream(i, "active", streams.stream_active_reporters(streams.parquet_report_stream(i.spark, _landed_parquet(i)), delay=AT_ONCE))
 
 
 # ---------------------------------------------------------------- document sources
@@ -663,14 +690,14 @@ def _export_search_csv(i: Inputs) -> DataFrame:
     path = i.scratch("export")
     sinks.export_search_csv(filters.search_reports(i.reports, SEARCH_TERM, limit=1000), path)
     return i.spark.read.option("header", "true").schema(
-        "`Query ID` string, Reported string, Trusted string, Agreement string, Reporter string, Power int, "
+        "`Query ID` string, `Reported Value` string, `Trusted Value` string, Agreement string, Reporter string, Power int, "
         "Timestamp string, Disputable string"
     ).csv(path)
 
 
 @query("stream_dedupe_watermark")
 def _stream_dedupe_watermark(i: Inputs) -> DataFrame:
-    key = (id(i.spark), i.sf_dir, "raw-parquet")
+    key = (i.spark.sparkContext.applicationId, i.sf_dir, "raw-parquet")
     if key not in _LANDED:
         path = i.scratch("landed-raw")
         write_report_parquet_by_file(i.raw_reports.drop("line_no"), path)

@@ -33,15 +33,9 @@ class Inputs:
     def reports(self) -> DataFrame:
         """The fact table: first writer wins on TX_HASH (read from ``store`` when one is given)."""
         if self.store:
-            from reportlake.schema import REPORT_SCHEMA
+            from reportlake import sinks
 
-            from reportlake.operators.blocks import use_block_index
-
-            from pyspark.sql import types as T
-
-            schema = T.StructType(list(REPORT_SCHEMA.fields) + [T.StructField("day", T.LongType(), True)])
-            stored = self.spark.read.schema(schema).parquet(f"{self.store}/reports")
-            return use_block_index(stored, self.spark.read.parquet(f"{self.store}/blocks"))
+            return sinks.open_store(self.spark, self.store)
         return dedupe_reports(self.raw_reports)
 
     def _stored(self, name: str) -> DataFrame | None:
@@ -51,6 +45,11 @@ class Inputs:
     def registry(self) -> DataFrame:
         return self._stored("registry") or adapters.registry_from_customers(self.table("customer"), self.now_ms)
 
+    @cached_property
+    def supplier_registry(self) -> DataFrame:
+        """A registry that doesn't cover all reporters: one row per supplier."""
+        return adapters.registry_from_suppliers(self.table("supplier"), self.now_ms)
+
     @cached_property
     def mappings(self) -> DataFrame:
         return self._stored("mappings") or adapters.mappings_from_events(self.table("events"))

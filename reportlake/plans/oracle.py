@@ -72,7 +72,7 @@ MAPPINGS = """
 mappings AS (
   SELECT DISTINCT md5(event_type || '-' || CAST(event_id % 13 AS VARCHAR)) AS query_id,
          upper(event_type) || '/' || CAST(event_id % 13 AS VARCHAR) AS name
-  FROM events WHERE event_type IN ('click', 'view', 'purchase')
+  FROM events
 )"""
 
 REGISTRY = f"""
@@ -89,7 +89,7 @@ registry AS (
     CAST(floor(greatest(c_acctbal, 0.0)) AS INTEGER) AS power,
     CAST({NOW} AS BIGINT) AS fetched_at,
     CAST({NOW} AS BIGINT) AS updated_at
-  FROM customer WHERE c_acctbal >= 0
+  FROM customer
 )"""
 
 # numeric forms of VALUE / TRUSTED_VALUE (D7): suffix text and non-finite numbers are NULL
@@ -99,11 +99,14 @@ def num(col: str) -> str:
 
 
 def exact_mean(x: str) -> str:
-    """Mean rounded half-up at 6 decimals from an exact decimal sum (twin of ``core.exact_mean``)."""
-    total = f"SUM(CAST(CAST({x} AS DECIMAL(38,10)) * 10000000000 AS HUGEINT))"
-    n = f"COUNT({x})"
+    """Mean rounded half-up at 6 decimals from integer ten-billionths where all magnitudes are 0 or 1e-3 .. 1e15, else
+    the plain double mean."""
+    v = f"CAST({x} AS DOUBLE)"
+    total = f"SUM(CASE WHEN abs({v}) < 1e15 THEN CAST(CAST({v} AS DECIMAL(38,10)) * 10000000000 AS HUGEINT) END)"
+    n = f"COUNT({v})"
     q = f"(sign({total}) * ((2 * abs({total}) + {n} * 10000) // (2 * {n} * 10000)))"
-    return f"(CASE WHEN {n} > 0 THEN CAST({q} AS DOUBLE) / 1000000.0 END)"
+    plain = f"MAX(abs({v})) < 1e15 AND COALESCE(MIN(CASE WHEN {v} <> 0 THEN abs({v}) END) >= 1e-3, TRUE)"
+    return f"(CASE WHEN {n} = 0 THEN NULL WHEN {plain} THEN CAST({q} AS DOUBLE) / 1000000.0 ELSE AVG({v}) END)"
 
 
 V = num('"VALUE"')
@@ -442,9 +445,13 @@ unknown AS (SELECT DISTINCT REPORTER AS address FROM reports
             WHERE REPORTER IS NOT NULL AND REPORTER != ''
               AND REPORTER NOT IN (SELECT address FROM registry))"""
 
-SQL["unknown_reporters"] = f"{REG},{UNKNOWN} SELECT address FROM unknown"
+SUPPLIERS = """FROM (SELECT s_suppkey AS c_custkey, s_name AS c_name, s_nationkey AS c_nationkey, s_acctbal AS c_acctbal,
+        'MACHINERY' AS c_mktsegment FROM supplier)"""
+REG_S = REG.replace("FROM customer", SUPPLIERS)
 
-SQL["placeholder_reporters"] = f"""{REG},{UNKNOWN}
+SQL["unknown_reporters"] = f"{REG_S},{UNKNOWN} SELECT address FROM unknown"
+
+SQL["placeholder_reporters"] = f"""{REG_S},{UNKNOWN}
 SELECT * FROM registry
 UNION ALL
 SELECT address, 'Unknown (' || substr(address, 1, {K.PLACEHOLDER_PREFIX}) || '...)' AS moniker, '0' AS commission_rate,
@@ -657,6 +664,16 @@ incoming AS (
     FROM raw WHERE {FILE_NO} >= (SELECT second FROM sc) AND TX_HASH IS NOT NULL) d WHERE rn = 1)
 SELECT * FROM incoming WHERE TX_HASH NOT IN (SELECT TX_HASH FROM stored)"""
 
+SQL["append_to_store"] = f"""{with_(RAW)},
+newest AS (SELECT max("TIMESTAMP") AS t FROM raw),
+ordered AS (SELECT *, "TIMESTAMP" = (SELECT t FROM newest) AND line_no % 2 = 1 AS late FROM raw WHERE TX_HASH IS NOT NULL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY TX_HASH ORDER BY late, {FILE_NO}, line_no) AS rn FROM ordered)
+SELECT * EXCLUDE (rn, late, line_no), "TIMESTAMP" // 86400000 AS day FROM ranked WHERE rn = 1"""
+
+SQL["power_of_aggr_after_append"] = f"""{with_(RAW, REPORTS)}
+SELECT "TIMESTAMP", CAST(SUM(POWER) AS BIGINT) AS POWER_OF_AGGR, COUNT(*) AS "rows" FROM reports
+WHERE "TIMESTAMP" IS NOT NULL GROUP BY "TIMESTAMP" """
+
 SQL["replace_file_partition"] = f"""{with_(RAW, REPORTS, POA)},
 newest AS (SELECT arg_max(source_file, {FILE_NO}) AS f FROM reports)
 SELECT * EXCLUDE (POWER_OF_AGGR),
@@ -739,6 +756,11 @@ SQL["stream_questionable"] = f"""{with_(RAW, REPORTS)}
 SELECT TX_HASH, "TIMESTAMP", REPORTER, QUERY_ID, ({NOW} - "TIMESTAMP") < {K.URGENT_WINDOW_MS} AS urgent
 FROM reports WHERE COALESCE(DISPUTABLE, false) AND ({NOW} - "TIMESTAMP") < {K.QUESTIONABLE_WINDOW_MS}"""
 
+SQL["stream_active_reporters"] = f"""{with_(RAW, REPORTS)},
+w AS (SELECT ("TIMESTAMP" // 1800000) * 1800000 AS window_start_ms, REPORTER FROM reports)
+SELECT window_start_ms, COUNT(DISTINCT REPORTER) AS active_reporters FROM w
+WHERE window_start_ms + 1800000 < (SELECT max("TIMESTAMP") FROM reports) GROUP BY window_start_ms"""
+
 SQL["stream_bucket_activity"] = f"""{with_(RAW, REPORTS)},
 b AS (SELECT "TIMESTAMP", COUNT(*) AS n, SUM(POWER) AS poa FROM reports
       WHERE "TIMESTAMP" < (SELECT max("TIMESTAMP") FROM reports) GROUP BY "TIMESTAMP"),
@@ -760,8 +782,8 @@ SELECT height, timestamp_ms, maximal_power, timestamp_ms AS created_at, 'histori
 SQL["export_search_csv"] = f"""{BASE},{MATCHES},
 page AS (SELECT * FROM matches ORDER BY "TIMESTAMP" DESC NULLS LAST, TX_HASH ASC LIMIT 1000),
 d AS (SELECT *, {V} AS V, {T} AS T FROM page)
-SELECT QUERY_ID AS "Query ID", "VALUE" AS Reported, TRUSTED_VALUE AS Trusted,
-       printf('%.1f', {_sym('V', 'T')}) AS Agreement, REPORTER AS Reporter, POWER AS Power,
+SELECT QUERY_ID AS "Query ID", "VALUE" AS "Reported Value", TRUSTED_VALUE AS "Trusted Value",
+       CASE WHEN V = T THEN '100%' ELSE COALESCE(printf('%.1f', {_sym('V', 'T')}) || '%', 'N/A') END AS Agreement, REPORTER AS Reporter, POWER AS Power,
        strftime(epoch_ms("TIMESTAMP"), '%Y-%m-%dT%H:%M:%S.') || lpad(CAST("TIMESTAMP" % 1000 AS VARCHAR), 3, '0') || 'Z'
          AS "Timestamp",
        CASE WHEN DISPUTABLE THEN 'Yes' ELSE 'No' END AS Disputable

@@ -39,8 +39,8 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared folder and is used as is. Only when it is unset (tests,
-    local runs) a fresh scratch folder is created and registered with the context.
+    On a cluster this setting names a shared folder and is used as is; unset, it is an error there. Only in a
+    local run without it a fresh scratch folder is created and registered with the context.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
@@ -48,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not fallback and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     path = fallback or tempfile.mkdtemp(prefix="reportlake-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path

@@ -14,16 +14,21 @@ from reportlake.functions.casts import to_double
 from reportlake.functions.metrics import symmetric_agreement
 
 
+def _by_file(reports: DataFrame) -> DataFrame:
+    """Rows grouped by source file for a partitioned write; a large file is split over many tasks."""
+    return reports.repartitionByRange("source_file", "TX_HASH")
+
+
 def write_report_table(reports: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Store reports as Parquet partitioned by ``source_file`` (one folder per source file)."""
-    (reports.repartition("source_file").write.mode(mode).partitionBy("source_file").parquet(path))
+    (_by_file(reports).write.mode(mode).partitionBy("source_file").parquet(path))
 
 
-def ingest_reports(reports: DataFrame, path: str, files: int | None = None) -> None:
+def ingest_reports(reports: DataFrame, path: str, files: int | None = None, mode: str = "overwrite") -> None:
     """Store the deduplicated fact table once (E1), partitioned by ``day`` (of TIMESTAMP, UTC).
 
-    Rows are range-partitioned on TIMESTAMP (Spark samples the bounds, so a day holding a third of all
-    rows is spread over many tasks) and sorted by time within each task before the partitioned write:
+    Rows are range-partitioned on TIMESTAMP and TX_HASH (Spark samples the bounds, so a day or a block holding
+    a third of all rows is spread over many tasks) and sorted by time within each task before the partitioned write:
     time-window queries prune whole ``day`` folders (see :func:`reportlake.functions.buckets.time_range`)
     and skip row groups by their TIMESTAMP statistics. ``files`` defaults to the shuffle partitions.
     """
@@ -31,9 +36,9 @@ def ingest_reports(reports: DataFrame, path: str, files: int | None = None) -> N
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     (
         reports.withColumn("day", F.call_function("div", F.col("TIMESTAMP"), F.lit(86400000)))
-        .repartitionByRange(n, "TIMESTAMP")
+        .repartitionByRange(n, "TIMESTAMP", "TX_HASH")
         .sortWithinPartitions("day", "TIMESTAMP", "TX_HASH")
-        .write.mode("overwrite")
+        .write.mode(mode)
         .partitionBy("day")
         .parquet(path)
     )
@@ -61,6 +66,55 @@ def ingest_all(inputs, path: str) -> None:
             f.result()
 
 
+def open_store(spark: SparkSession, path: str) -> DataFrame:
+    """The stored reports with their block index, see :func:`ingest_all`. The index must hold the table's rows of each
+    day (a count that reads no column); a table written past it is refused."""
+    from pyspark.sql import types as T
+
+    from reportlake.operators.blocks import use_block_index
+    from reportlake.schema import REPORT_SCHEMA
+
+    schema = T.StructType([*REPORT_SCHEMA.fields, T.StructField("day", T.LongType(), True)])
+    stored = spark.read.schema(schema).parquet(f"{path}/reports")
+    index = spark.read.parquet(f"{path}/blocks")
+    there = stored.where(F.col("day").isNotNull()).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
+    known = index.groupBy(F.call_function("div", F.col("TIMESTAMP"), F.lit(86400000)).alias("day")).agg(F.sum("rows").alias("m"))
+    differ = there.join(known, "day", "full").where(~F.col("n").eqNullSafe(F.col("m")))
+    if not differ.isEmpty():
+        raise ValueError(f"the block index of {path} doesn't match its reports: append with append_to_store, or rebuild it")
+    return use_block_index(stored, index)
+
+
+def append_to_store(spark: SparkSession, path: str, incoming: DataFrame) -> None:
+    """K3: lands the rows of ``incoming`` whose TX_HASH isn't stored, and renews the block index.
+
+    A key may come back under another TIMESTAMP, so the anti-join reads the keys (one column) of all days. New rows are appended to their ``day``
+    folders; the index is rewritten from the old one plus the new rows' blocks (one row per block), beside the
+    old and then in its place. If the step is cut short, :func:`open_store` refuses the table until
+    :func:`rebuild_index` ran.
+    """
+    from reportlake.operators.blocks import block_index
+    from reportlake.operators.dedupe import append_new_rows
+
+    stored = spark.read.parquet(f"{path}/reports")
+    columns = [c for c in stored.columns if c != "day"]
+    # the new rows as a table of their own, so that the append and the index see the same ones
+    staging = f"{path}/incoming"
+    append_new_rows(stored, incoming.select(*[c for c in incoming.columns if c in columns or c in ("line_no", "line_block")])).write.mode("overwrite").parquet(staging)
+    fresh = spark.read.parquet(staging).select(*columns)
+    index = spark.read.parquet(f"{path}/blocks")
+    both = index.unionByName(block_index(fresh)).groupBy("TIMESTAMP").agg(F.sum("rows").alias("rows"), F.sum("POWER_OF_AGGR").cast("long").alias("POWER_OF_AGGR"))
+    both.write.mode("overwrite").parquet(f"{path}/blocks-next")
+    ingest_reports(fresh, f"{path}/reports", mode="append")
+    spark.read.parquet(f"{path}/blocks-next").write.mode("overwrite").parquet(f"{path}/blocks")
+
+
+def rebuild_index(spark: SparkSession, path: str) -> None:
+    from reportlake.operators.blocks import block_index
+
+    block_index(spark.read.parquet(f"{path}/reports")).write.mode("overwrite").parquet(f"{path}/blocks")
+
+
 def replace_file_partition(rows_of_files: DataFrame, path: str) -> None:
     """K2: replace the stored rows of exactly the files present in ``rows_of_files``.
 
@@ -68,7 +122,7 @@ def replace_file_partition(rows_of_files: DataFrame, path: str) -> None:
     files' rows stay untouched.
     """
     (
-        rows_of_files.repartition("source_file")
+        _by_file(rows_of_files)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("source_file")
@@ -101,9 +155,9 @@ def export_search_csv(rows: DataFrame, path: str) -> DataFrame:
     )
     out = rows.select(
         F.col("QUERY_ID").alias("Query ID"),
-        F.col("VALUE").alias("Reported"),
-        F.col("TRUSTED_VALUE").alias("Trusted"),
-        F.format_number(symmetric_agreement(v, t), 1).alias("Agreement"),
+        F.col("VALUE").alias("Reported Value"),
+        F.col("TRUSTED_VALUE").alias("Trusted Value"),
+        F.when(v == t, "100%").otherwise(F.coalesce(F.concat(F.format_number(symmetric_agreement(v, t), 1), F.lit("%")), F.lit("N/A"))).alias("Agreement"),
         F.col("REPORTER").alias("Reporter"),
         F.col("POWER").alias("Power"),
         iso.alias("Timestamp"),

@@ -1,7 +1,7 @@
 """Adapters that shape the driver's tables into the report data model.
 
 ``reports_from_events``   events   -> raw report rows (before dedupe), one per event
-``registry_from_customers`` customer -> reporter registry (accounts with a non-negative balance)
+``registry_from_customers`` customer -> reporter registry (all accounts)
 ``mappings_from_events``  events   -> query id -> display name dimension
 ``snapshots_from_reports`` reports -> network power snapshots, one per block
 
@@ -70,14 +70,11 @@ def reports_from_events(events: DataFrame) -> DataFrame:
 
 
 def registry_from_customers(customer: DataFrame, now_ms: int = FIXTURE_NOW_MS) -> DataFrame:
-    """Reporter registry: one row per customer account with a non-negative balance.
-
-    Accounts in debt never registered, so reporters whose user has such an account are unknown.
-    Times are epoch milliseconds.
+    """Reporter registry: one row per customer account. Times are epoch milliseconds.
     """
     key = F.col("c_custkey")
     jailed = (F.col("c_mktsegment") == "MACHINERY") & (key % 3 == 0)
-    return customer.where(F.col("c_acctbal") >= 0).select(
+    return customer.select(
         F.concat(F.lit("reporter1"), F.lpad(key.cast("string"), 24, "0")).alias("address"),
         F.when(key % 11 == 0, F.lit("")).otherwise(F.col("c_name")).alias("moniker"),
         F.concat((F.col("c_nationkey") + 1).cast("string"), F.lit("0000000000000000")).alias("commission_rate"),
@@ -91,12 +88,23 @@ def registry_from_customers(customer: DataFrame, now_ms: int = FIXTURE_NOW_MS) -
     )
 
 
+def registry_from_suppliers(supplier: DataFrame, now_ms: int = FIXTURE_NOW_MS) -> DataFrame:
+    """The same registry rows from the supplier accounts, which aren't all reporters."""
+    as_customers = supplier.select(
+        F.col("s_suppkey").alias("c_custkey"),
+        F.col("s_name").alias("c_name"),
+        F.col("s_nationkey").alias("c_nationkey"),
+        F.col("s_acctbal").alias("c_acctbal"),
+        F.lit("MACHINERY").alias("c_mktsegment"),
+    )
+    return registry_from_customers(as_customers, now_ms)
+
+
 def mappings_from_events(events: DataFrame) -> DataFrame:
-    """Query id -> display name for the price-feed event types; other ids fall back to truncation."""
+    """Query id -> display name, for every id."""
     eid = F.col("event_id")
     return (
-        events.where(F.col("event_type").isin("click", "view", "purchase"))
-        .select(
+        events.select(
             F.md5(F.concat(F.col("event_type"), F.lit("-"), (eid % 13).cast("string"))).alias("query_id"),
             F.concat(F.upper(F.col("event_type")), F.lit("/"), (eid % 13).cast("string")).alias("name"),
         )

@@ -5,14 +5,10 @@ historical. Files may or may not have a header line (a headerless file starts wi
 address), header names may be encoded (``+AF8-`` / ``%5F`` for ``_``), columns may be missing or
 reordered, rows may be short or long, and cells may hold junk.
 
-Reading is **one distributed scan** for all files together, whatever their layout:
-1. all files are parsed as CSV without a header into ``MAX_CELLS`` string cells (PERMISSIVE: short
-   rows are padded with NULL, over-long rows keep their first cells), each row tagged with its file
-   and its position ``(file_block_start, monotonically_increasing_id())`` taken right after the scan;
-2. the first row of every file (one row per file, partially aggregated) decides header or not and
-   yields a per-file column map (header name -> cell index); headerless files map positionally;
-3. the rows are joined to that per-file map (one row per file) and projected onto the fixed schema
-   with tolerant casts (S7). No per-file loop, no driver-side reading of file content.
+Reading takes every file as text lines and cuts a line into as many cells as it has (quotes respected), so a file may
+be of any width. The first line of a file decides its layout: a header if it holds a known column name (then cells map
+by name), else positional. Layouts are one row per file; while the number of files stays under
+``BROADCAST_FILES`` they are broadcast, so rows don't move, beyond that they are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -27,14 +23,12 @@ from reportlake import constants as K
 from reportlake.functions.casts import to_bool, to_integral
 from reportlake.schema import REPORT_COLUMNS, REPORT_TYPES
 
-MAX_CELLS = 32
+BROADCAST_FILES = 100_000
+# a cell: quoted (quotes doubled or behind a backslash) or bare, at the start or behind a comma
+CELL = r'(?:^|,)("(?:[^"\\]++|""|\\.)*+"[^,]*|[^,]*)'
 FILE_NAME_IN_PATH = r"(table_\d+\.csv)(/[^/]*)?$"
 
 
-def _cell_schema(n: int = MAX_CELLS) -> T.StructType:
-    return T.StructType([T.StructField(f"c{i}", T.StringType(), True) for i in range(n)])
-
-
 def file_name_of(path: str | Column) -> Column:
     """``table_<n>.csv`` of a path (also inside a ``key=table_<n>.csv/part-...`` directory)."""
     p = F.col(path) if isinstance(path, str) else path
@@ -66,7 +60,7 @@ def list_report_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFr
     )
 
 
-def classify_files(files: DataFrame, keep_historical: int | None = K.HISTORICAL_KEEP,
+def classify_files(files: DataFrame, keep_historical: int | None = None,
                    max_historical_bytes: int | None = None) -> DataFrame:
     """The largest number is ``active``; others ``historical`` (newest ``keep_historical`` kept,
     files above ``max_historical_bytes`` skipped). Caps are options; ``None`` turns them off.
@@ -97,49 +91,43 @@ def clean_name(c: Column) -> Column:
     return F.trim(F.replace(F.replace(c, F.lit("+AF8-"), F.lit("_")), F.lit("%5F"), F.lit("_")))
 
 
-def read_report_cells(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """All rows of all files as ``cells`` (array of strings) with file and position."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    raw = (
-        spark.read.schema(_cell_schema())
-        .option("header", "false")
-        .option("mode", "PERMISSIVE")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.csv")
-        .csv(paths)
-    )
-    return raw.select(
+def line_columns(text: DataFrame) -> DataFrame:
+    """``file_path, block_start, line`` of a text source (batch or stream)."""
+    return text.select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("row_id"),
-        F.array(*[F.col(f"c{i}") for i in range(MAX_CELLS)]).alias("cells"),
+        F.rtrim(F.col("value"), F.lit("\r")).alias("line"),
     )
 
 
-def file_layouts(cells: DataFrame, headerless_prefix: str = K.HEADERLESS_PREFIX) -> DataFrame:
-    """Per file: header or not, and the 1-based cell index of every report column (0 = missing).
+def read_report_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
+    return line_columns(reader.format("text").load(paths))
 
-    The first line of a file is in the split that starts at byte 0, at the smallest row id of that
-    split: a hash aggregate of longs finds it (one row per file), then a join on (file, row id)
-    fetches its cells. Only first-split rows take part; nothing is sorted.
-    """
-    first_splits = cells.where(F.col("block_start") == 0)
-    first_ids = first_splits.groupBy("file_path").agg(F.min("row_id").alias("row_id"))
-    first = first_splits.join(first_ids, ["file_path", "row_id"], "left_semi")
-    head = F.col("cells")
-    has_header = ~F.coalesce(F.trim(head.getItem(0)).startswith(headerless_prefix), F.lit(False))
-    names = F.transform(head, lambda x: clean_name(x))
-    idx = {
-        c: F.when(has_header, F.array_position(names, c).cast("int")).otherwise(F.lit(pos + 1))
+
+def line_cells(line: Column) -> Column:
+    """The cells of a CSV line: bare cells as they are (empty is NULL), quoted ones without their quotes."""
+
+    def bare(c: Column) -> Column:
+        inner = F.regexp_replace(F.regexp_extract(c, r'^"(.*)"[^"]*$', 1), r'""|\\"', '"')
+        return F.when(c.startswith('"'), inner).when(c != "", c)
+
+    return F.transform(F.regexp_extract_all(line, F.lit(CELL), F.lit(1)), bare)
+
+
+def file_layouts(lines: DataFrame) -> DataFrame:
+    """Per file: header or not, its first line, and the 1-based cell index of every report column (0 = missing)."""
+    first = lines.where((F.col("block_start") == 0) & (F.trim("line") != "")).withColumn("__row", F.monotonically_increasing_id())
+    first = first.groupBy("file_path").agg(F.min_by("line", "__row").alias("first_line"))
+    names = F.transform(line_cells(F.col("first_line")), lambda x: clean_name(F.coalesce(x, F.lit(""))))
+    known = F.array(*[F.lit(c) for c in REPORT_COLUMNS])
+    first = first.select("file_path", "first_line", names.alias("__names")).withColumn("has_header", F.arrays_overlap("__names", known))
+    idx = [
+        F.when(F.col("has_header"), F.array_position("__names", c).cast("int")).otherwise(F.lit(pos + 1)).alias(f"__i_{c}")
         for pos, c in enumerate(REPORT_COLUMNS)
-    }
-    return first.select(
-        "file_path",
-        has_header.alias("has_header"),
-        F.col("block_start").alias("header_block"),
-        F.col("row_id").alias("header_row"),
-        *[v.alias(f"__i_{c}") for c, v in idx.items()],
-    )
+    ]
+    return first.select("file_path", "first_line", "has_header", *idx)
 
 
 def _coerce(c: str, cell: Column) -> Column:
@@ -154,26 +142,17 @@ def _coerce(c: str, cell: Column) -> Column:
     return cell
 
 
-def read_reports(spark: SparkSession, paths: str | Sequence[str], headerless_prefix: str = K.HEADERLESS_PREFIX,
-                 with_instance: bool = False) -> DataFrame:
-    """S3-S8 (+S12): report rows of all files with the fixed schema, ``source_file`` and line order.
-
-    Output: the report columns, ``source_file``, ``line_block``, ``line_no`` (order within the file:
-    sort by both) and, with ``with_instance``, the chain ``instance`` of the file's directory.
-    """
-    cells = read_report_cells(spark, paths)
-    layouts = file_layouts(cells, headerless_prefix)
-    rows = cells.join(layouts, "file_path")
-    is_header_row = (
-        F.col("has_header") & (F.col("block_start") == F.col("header_block")) & (F.col("row_id") == F.col("header_row"))
-    )
-    rows = rows.where(~is_header_row)
-    # entirely empty lines are not rows
-    rows = rows.where(F.exists("cells", lambda x: x.isNotNull()))
+def project_lines(lines: DataFrame, with_instance: bool = False, few_files: bool = True) -> DataFrame:
+    """S3-S8 (+S12) of text lines, see :func:`read_reports`."""
+    layouts = file_layouts(lines)
+    rows = lines.withColumn("row_id", F.monotonically_increasing_id()).where(F.trim("line") != "")
+    rows = rows.join(F.broadcast(layouts) if few_files else layouts, "file_path")
+    # a header line is no row, also where it is repeated
+    rows = rows.where(~F.col("has_header") | (F.col("line") != F.col("first_line")))
+    rows = rows.withColumn("cells", F.explode(F.array(line_cells(F.col("line")))))  # cut once, not once a column
     out = []
     for c in REPORT_COLUMNS:
-        i = F.col(f"__i_{c}")
-        cell = F.when(i > 0, F.element_at("cells", i))
+        cell = F.when(F.col(f"__i_{c}") > 0, F.get("cells", F.col(f"__i_{c}") - 1))
         out.append(_coerce(c, cell).cast(REPORT_TYPES[c]).alias(c))
     out.append(file_name_of("file_path").alias("source_file"))
     out.append(F.col("block_start").alias("line_block"))
@@ -183,18 +162,21 @@ def read_reports(spark: SparkSession, paths: str | Sequence[str], headerless_pre
     return rows.select(*out)
 
 
-def read_report_dir(spark: SparkSession, directory: str, headerless_prefix: str = K.HEADERLESS_PREFIX,
-                    with_instance: bool = False) -> DataFrame:
-    """S1+S3: read only the ``table_<n>.csv`` files of a folder (other names are ignored).
+def read_reports(spark: SparkSession, paths: str | Sequence[str], with_instance: bool = False) -> DataFrame:
+    """S3-S8 (+S12): report rows of all files with the fixed schema, ``source_file`` and line order.
 
-    The file list (paths only, no content) is taken on the driver, as Spark's own file index does.
+    Output: the report columns, ``source_file``, ``line_block``, ``line_no`` (order within the file:
+    sort by both) and, with ``with_instance``, the chain ``instance`` of the file's directory.
     """
-    paths = [r.path for r in list_report_files(spark, directory).select("path").collect()]
-    if not paths:
-        from reportlake.schema import REPORT_SCHEMA
+    lines = read_report_lines(spark, paths)
+    return project_lines(lines, with_instance, few_files=len(lines.inputFiles()) <= BROADCAST_FILES)
+
 
-        return spark.createDataFrame([], REPORT_SCHEMA)
-    return read_reports(spark, paths, headerless_prefix, with_instance)
+def read_report_dir(spark: SparkSession, directory: str, with_instance: bool = False) -> DataFrame:
+    """S1+S3: read only the ``table_<n>.csv`` files of a folder (other names are ignored)."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "table_[0-9]*.csv")
+    lines = line_columns(reader.format("text").load(directory))
+    return project_lines(lines, with_instance, few_files=len(lines.inputFiles()) <= BROADCAST_FILES)
 
 
 def loaded_files(reports: DataFrame) -> DataFrame:

@@ -6,10 +6,10 @@
   micro-batch and appends only keys not stored yet (exact insert-or-ignore across batches), or
   ``dedupe_within_watermark`` for a bounded-state variant.
 * T3/T5 ``complete_blocks``: block aggregates emitted once a newer block has been seen: an event-time
-  watermark with a 1 ms delay on the block timestamp (delay 0 would also emit the newest block).
+  watermark on the block timestamp, ``LATENESS`` behind by default.
 * T4 ``stream_histogram``: tumbling event-time windows (epoch aligned).
 * T8 ``stream_questionable``: stateless filter.
-* T10 ``stream_bucket_activity``: windowed approximate distinct reporters / median block power.
+* T10 ``stream_bucket_activity``: windowed distinct reporters / median block power.
 * T7 lives in :mod:`reportlake.operators.snapshots` (``applyInPandasWithState``).
 
 Every sink here is a file sink in a caller-given folder with a checkpoint location, so a restarted
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from reportlake import constants as K
@@ -29,59 +30,49 @@ from reportlake.schema import REPORT_SCHEMA
 from reportlake.sources import report_files as rf
 
 
+#: How far behind the newest block a row may arrive: the two files that are read again span at most two days.
+LATENESS = "2 days"
+
+
 def report_file_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming rows of new CSV files as cell arrays with their file and block position."""
-    reader = (
-        spark.readStream.schema(rf._cell_schema())
-        .option("header", "false")
-        .option("mode", "PERMISSIVE")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.csv")
-    )
+    """Streaming lines of new CSV files with their file and block position."""
+    reader = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    raw = reader.csv(path)
-    return raw.select(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.array(*[F.col(f"c{i}") for i in range(rf.MAX_CELLS)]).alias("cells"),
-    )
+    return rf.line_columns(reader.format("text").load(path))
+
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written at ``path``; any other trouble with it fails."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(fs.exists(p)) and len(fs.listStatus(p)) > 0
 
-def _project_batch(cells: DataFrame, headerless_prefix: str) -> DataFrame:
-    """Batch reader logic (S3-S8) on one micro-batch: every file of a batch is complete in it."""
-    cells = cells.withColumn("row_id", F.monotonically_increasing_id())
-    layouts = rf.file_layouts(cells, headerless_prefix)
-    rows = cells.join(layouts, "file_path")
-    header = F.col("has_header") & (F.col("block_start") == F.col("header_block")) & (F.col("row_id") == F.col("header_row"))
-    rows = rows.where(~header).where(F.exists("cells", lambda x: x.isNotNull()))
-    out = []
-    for c in rf.REPORT_COLUMNS:
-        i = F.col(f"__i_{c}")
-        out.append(rf._coerce(c, F.when(i > 0, F.element_at("cells", i))).cast(rf.REPORT_TYPES[c]).alias(c))
-    out += [rf.file_name_of("file_path").alias("source_file"), F.col("block_start").alias("line_block"),
-            F.col("row_id").alias("line_no")]
-    return rows.select(*out)
+
+KEY_BUCKETS = 64
 
 
 def ingest_stream(spark: SparkSession, source: str, table: str, checkpoint: str,
-                  headerless_prefix: str = K.HEADERLESS_PREFIX, max_files_per_trigger: int | None = None,
+                  max_files_per_trigger: int | None = None,
                   available_now: bool = True, processing_time: str = "10 seconds") -> StreamingQuery:
     """T1+T2: land new files into the Parquet table at ``table``, insert-or-ignore on TX_HASH.
 
     Each micro-batch is deduplicated (first writer wins) and anti-joined with the stored keys, so a
-    key is stored once whatever batch it arrives in. Batches are retried as a whole on failure; the
-    table write is an append of only new keys, and the checkpoint records the processed files.
+    key is stored once whatever batch it arrives in. The table is partitioned by ``key_bucket`` (of the
+    key's hash): a batch reads the keys of the buckets it touches only. Batches are retried as a whole on
+    failure: what a failed try has stored is found again by the anti-join.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        rows = dedupe_reports(_project_batch(batch, headerless_prefix))
-        try:
-            stored = spark.read.schema(REPORT_SCHEMA).parquet(table).select(KEY)
-            rows = rows.join(stored, KEY, "left_anti")
-        except Exception:  # noqa: BLE001 - first batch: no table yet
-            pass
-        rows.write.mode("append").parquet(table)
+        rows = dedupe_reports(rf.project_lines(batch)).withColumn("key_bucket", F.pmod(F.xxhash64(KEY), F.lit(KEY_BUCKETS)).cast("int"))
+        if _exists(spark, table):
+            rows = rows.persist()
+            touched = [r[0] for r in rows.select("key_bucket").distinct().collect()]  # KEY_BUCKETS at most
+            stored = read_ingested(spark, table).where(F.col("key_bucket").isin(touched)).select("key_bucket", KEY)
+            rows.join(stored, ["key_bucket", KEY], "left_anti").write.mode("append").partitionBy("key_bucket").parquet(table)
+            rows.unpersist()
+        else:
+            rows.write.mode("append").partitionBy("key_bucket").parquet(table)
 
     writer = report_file_stream(spark, source, max_files_per_trigger).writeStream.foreachBatch(upsert).option(
         "checkpointLocation", checkpoint
@@ -90,6 +81,11 @@ def ingest_stream(spark: SparkSession, source: str, table: str, checkpoint: str,
     return writer.start()
 
 
+def read_ingested(spark: SparkSession, table: str) -> DataFrame:
+    """The table of :func:`ingest_stream`, with its ``key_bucket``."""
+    return spark.read.schema(T.StructType([*REPORT_SCHEMA.fields, T.StructField("key_bucket", T.IntegerType())])).parquet(table)
+
+
 def parquet_report_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Stream of landed report rows (Parquet with the fixed report schema)."""
     reader = spark.readStream.schema(REPORT_SCHEMA)
@@ -107,18 +103,19 @@ def dedupe_within_watermark(stream: DataFrame, delay: str = "1 day") -> DataFram
     return _event_time(stream).withWatermark("event_time", delay).dropDuplicatesWithinWatermark([KEY])
 
 
-def complete_blocks(stream: DataFrame) -> DataFrame:
-    """Per block rows and POWER sum, emitted (append mode) once a newer block is seen."""
+def complete_blocks(stream: DataFrame, delay: str = LATENESS) -> DataFrame:
+    """Per block rows and POWER sum, emitted (append mode) once a block newer by ``delay`` is seen. Rows later
+    than that are left out; Spark counts them (``numRowsDroppedByWatermark`` in the query's progress)."""
     return (
         _event_time(stream)
-        .withWatermark("event_time", "1 millisecond")
+        .withWatermark("event_time", delay)
         .groupBy("event_time", "TIMESTAMP")
         .agg(F.count(F.lit(1)).alias("rows"), F.sum("POWER").cast("long").alias("POWER_OF_AGGR"))
         .drop("event_time")
     )
 
 
-def stream_histogram(stream: DataFrame, interval: str = "30 minutes", delay: str = "1 millisecond") -> DataFrame:
+def stream_histogram(stream: DataFrame, interval: str = "30 minutes", delay: str = LATENESS) -> DataFrame:
     """T4: reports per tumbling event-time window (epoch aligned), emitted when the window closes."""
     w = F.window("event_time", interval)
     return (
@@ -141,7 +138,7 @@ def stream_questionable(stream: DataFrame, now_ms: int) -> DataFrame:
     )
 
 
-def stream_bucket_activity(stream: DataFrame, interval: str = "30 minutes", delay: str = "1 millisecond") -> DataFrame:
+def stream_bucket_activity(stream: DataFrame, interval: str = "30 minutes", delay: str = LATENESS) -> DataFrame:
     """Per tumbling window, reports and the exact median block power (A22 without D20).
 
     Two chained stateful aggregations: complete blocks (watermark on the block time), then windows
@@ -166,14 +163,19 @@ def stream_bucket_activity(stream: DataFrame, interval: str = "30 minutes", dela
     )
 
 
-def stream_active_reporters(stream: DataFrame, interval: str = "30 minutes", delay: str = "1 millisecond") -> DataFrame:
-    """T10 (distinct part): approximate distinct reporters per tumbling window (HyperLogLog++)."""
-    return (
+def stream_active_reporters(stream: DataFrame, interval: str = "30 minutes", delay: str = LATENESS) -> DataFrame:
+    """T10 (distinct part): exact distinct reporters per tumbling window: one state row per window and reporter, then
+    a count of them per window."""
+    pairs = (
         _event_time(stream)
         .withWatermark("event_time", delay)
-        .groupBy(F.window("event_time", interval).alias("w"))
-        .agg(F.approx_count_distinct("REPORTER").alias("active_reporters"))
-        .select(F.unix_millis(F.col("w.start")).alias("window_start_ms"), "active_reporters")
+        .groupBy(F.window("event_time", interval).alias("w"), "REPORTER")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    return (
+        pairs.groupBy(F.window(F.window_time("w"), interval).alias("v"))
+        .agg(F.count("REPORTER").alias("active_reporters"))
+        .select(F.unix_millis(F.col("v.start")).alias("window_start_ms"), "active_reporters")
     )
 
 
@@ -198,15 +200,12 @@ def registry_refresh_stream(spark: SparkSession, dumps: str, table: str, checkpo
     readers take the newest version (``<table>/v=<batch>``).
     """
     from reportlake.operators.registry import upsert_registry
-    from reportlake.schema import REGISTRY_SCHEMA
     from reportlake.sources.documents import DUMP_SCHEMA, flatten_dump
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         incoming = flatten_dump(batch, fetched_at + batch_id)
-        try:
-            current = latest_registry(spark, table)
-        except Exception:  # noqa: BLE001 - first batch: no table yet
-            current = spark.createDataFrame([], REGISTRY_SCHEMA)
+        # versions before this batch only: a retried batch doesn't read what it overwrites
+        current = registry_before(spark, table, batch_id)
         upsert_registry(current, incoming).write.mode("overwrite").parquet(f"{table}/v={batch_id:012d}")
 
     stream = spark.readStream.schema(DUMP_SCHEMA).option("multiLine", "true").json(dumps)
@@ -215,6 +214,17 @@ def registry_refresh_stream(spark: SparkSession, dumps: str, table: str, checkpo
     return writer.start()
 
 
+def registry_before(spark: SparkSession, table: str, batch_id: int) -> DataFrame:
+    """The newest registry version older than ``batch_id``, empty if there is none."""
+    from reportlake.schema import REGISTRY_SCHEMA
+
+    if not _exists(spark, table):
+        return spark.createDataFrame([], REGISTRY_SCHEMA)
+    versions = spark.read.schema(T.StructType([*REGISTRY_SCHEMA.fields, T.StructField("v", T.LongType())])).parquet(table)
+    older = versions.where(F.col("v") < batch_id)
+    return older.where(F.col("v") == older.select(F.max("v")).scalar()).drop("v")
+
+
 def latest_registry(spark: SparkSession, table: str) -> DataFrame:
     """The newest registry version written by :func:`registry_refresh_stream`."""
     versions = spark.read.parquet(table)

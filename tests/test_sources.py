@@ -5,7 +5,6 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from reportlake.constants import HEADERLESS_PREFIX
 from reportlake.operators import blocks, dedupe
 from reportlake.sources import documents, report_files
 
@@ -16,7 +15,7 @@ BLOCKS = [(1748870488336, POWERS_6), (1748870491820, POWERS_10), (1748870499834,
 
 
 def addr(i):
-    return HEADERLESS_PREFIX + "1" + f"{i:038d}"
+    return "reporter" + "1" + f"{i:038d}"
 
 
 def row(i, ts, power, tx, value="104111", disputable="False"):
