@@ -36,7 +36,7 @@ def test_export_search_csv(spark, tmp_path):
     path = str(tmp_path / "export")
     sinks.export_search_csv(rows, path)
     back = spark.read.option("header", "true").csv(path).collect()[0].asDict()
-    assert back == {"Query ID": "q", "Reported": "100.0", "Trusted": "99", "Agreement": "99.0", "Reporter": "r",
+    assert back == {"Query ID": "q", "Reported Value": "100.0", "Trusted Value": "99", "Agreement": "99.0%", "Reporter": "r",
                     "Power": "5", "Timestamp": "2024-01-30T23:59:59.999Z", "Disputable": "Yes"}
 
 
