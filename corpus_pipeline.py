@@ -23,7 +23,7 @@ MIX = mixing.Target(min_entropy=0.9, max_repeats=4.0)
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(ready(spark), sf_dir, "labels"))
-    return toxicity.score(docs, model).where("tox_score < 0.5").drop("tox_score")
+    return toxicity.score(docs, model, "__toxicity").where("__toxicity < 0.5").drop("__toxicity")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +35,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    counted = docs.withColumn("_tokens", mixing.token_count(F.col("text")))
-    return mixing.mix(counted, "_tokens", MIX).select(*docs.columns)
+    return mixing.mix(docs, mixing.token_count(F.col("text")), MIX).select(*docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

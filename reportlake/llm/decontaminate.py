@@ -79,8 +79,8 @@ def overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document overlaps no benchmark item."""
-    bad = stored(overlaps(docs, bench).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, F.expr("doc_id <=> _bad"), "left_anti")
+    bad = stored(overlaps(docs, bench).select(F.col("doc_id").alias("bad")).distinct(), "contaminated")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad"]), "left_anti")
 
 
 def _sql_seeds() -> str:

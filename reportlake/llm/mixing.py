@@ -78,10 +78,13 @@ def _exponent(sources: DataFrame, target: Target) -> float:
     return round(a, 6)
 
 
-def plan(docs: DataFrame, tokens_col: str, target: Target = Target()) -> DataFrame:
+def _source() -> Column:
+    return F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null"))
+
+
+def plan(docs: DataFrame, tokens: Column, target: Target = Target()) -> DataFrame:
     """(src, total, blocks, budget, epochs, rest) of each source."""
-    src = F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null"))
-    sources = docs.groupBy(src.alias("src")).agg(F.sum(F.col(tokens_col).cast("long")).alias("total"))
+    sources = docs.select(_source().alias("src"), tokens.cast("long").alias("n")).groupBy("src").agg(F.sum("n").alias("total"))
     sources = stored(sources, "sources")
     a = _exponent(sources.where("total > 0"), target)
     x = F.pow(F.col("total").cast("double"), F.lit(a))
@@ -94,29 +97,26 @@ def plan(docs: DataFrame, tokens_col: str, target: Target = Target()) -> DataFra
     return out.withColumn("blocks", blocks)
 
 
-def mix(docs: DataFrame, tokens_col: str, target: Target = Target()) -> DataFrame:
-    """``docs`` (doc_id, source, tokens_col and others), each row once for every epoch that takes it, with the columns
-    epoch (from 0), block and order_key: an epoch's blocks ascend by order_key."""
-    p = stored(plan(docs, tokens_col, target), "mix-plan")
-    src = F.coalesce(F.concat(F.lit("s:"), F.col("source")), F.lit("null"))
-    d = docs.withColumn("_src", src)
-    d = d.join(p.select(F.col("src").alias("_src"), "blocks"), "_src")
+def mix(docs: DataFrame, tokens: Column, target: Target = Target()) -> DataFrame:
+    """``docs`` (doc_id, source and others), each row once for every epoch that takes it, with the columns mix_epoch
+    (from 0), mix_block and mix_order_key: an epoch's blocks ascend by mix_order_key. Columns of these names in ``docs``
+    are replaced. ``tokens`` is the token count of a row."""
+    own = [c for c in docs.columns if c not in ("mix_epoch", "mix_block", "mix_order_key")]
+    p = stored(plan(docs, tokens, target), "mix-plan")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    d = d.withColumn("_b", F.pmod(_hash(F.lit(target.seed), "_src", key), F.col("blocks")).cast("int"))
-    per_block = d.groupBy("_src", "_b").agg(F.sum(F.col(tokens_col).cast("long")).alias("_n"))
-    per_block = per_block.join(p.select(F.col("src").alias("_src"), "epochs", "rest"), "_src")
-    order = _hash(F.lit(target.seed), "_src", F.col("epochs").cast("string"), F.col("_b").cast("string"))
-    before = Window.partitionBy("_src").orderBy(order, "_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_block.select("_src", "_b", "epochs", "rest", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_src", "_b").orderBy(_hash(F.lit(target.seed), F.lit("doc"), key), key)
-    d = d.withColumn("_row", F.row_number().over(inside))
-    d = d.withColumn("_in", F.sum(F.col(tokens_col).cast("long")).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col(tokens_col))
-    d = d.join(starts, ["_src", "_b"])
-    n = F.col("epochs") + (F.col("_start") + F.col("_in") < F.col("rest")).cast("int")
-    d = d.withColumn("_copies", n).where("_copies > 0")
-    d = d.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    d = d.withColumn("order_key", _hash(F.lit(target.seed), "_src", F.col("epoch").cast("string"), F.col("_b").cast("string")))
-    return d.select(*docs.columns, "epoch", F.col("_b").alias("block"), "order_key")
+    d = docs.select(F.struct(*own).alias("doc"), _source().alias("src"), key.alias("id"), tokens.cast("long").alias("n"))
+    d = d.join(p.select("src", "blocks"), "src")
+    d = d.withColumn("block", F.pmod(_hash(F.lit(target.seed), "src", "id"), F.col("blocks")).cast("int")).drop("blocks")
+    per_block = d.groupBy("src", "block").agg(F.sum("n").alias("n")).join(p.select("src", "epochs", "rest"), "src")
+    order = _hash(F.lit(target.seed), "src", F.col("epochs").cast("string"), F.col("block").cast("string"))
+    before = Window.partitionBy("src").orderBy(order, "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_block.select("src", "block", "epochs", "rest", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("src", "block").orderBy(_hash(F.lit(target.seed), F.lit("doc"), "id"), "id").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(starts, ["src", "block"])
+    copies = F.col("epochs") + (F.col("start") + F.col("inside") < F.col("rest")).cast("int")
+    d = d.withColumn("copies", copies).where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    order_key = _hash(F.lit(target.seed), "src", F.col("epoch").cast("string"), F.col("block").cast("string"))
+    return d.select("doc.*", F.col("epoch").alias("mix_epoch"), F.col("block").alias("mix_block"), order_key.alias("mix_order_key"))
 
 
 def _sql(target: Target = Target()) -> str:

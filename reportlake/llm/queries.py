@@ -50,7 +50,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.token_count(F.col("text")).alias("n_tokens"))
-    return mixing.mix(stored(docs, "mix-docs"), "n_tokens")
+    out = mixing.mix(stored(docs, "mix-docs"), F.col("n_tokens"))
+    return out.withColumnsRenamed({"mix_epoch": "epoch", "mix_block": "block", "mix_order_key": "order_key"})
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

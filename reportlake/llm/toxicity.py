@@ -28,7 +28,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _STRIP = ".,;:!?\"'()[]{}<>|%$&*#-_"
@@ -229,18 +229,18 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Mode
     return fit(rows, params)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs plus ``tox_score``; every window of every whole text is read."""
-    spark = SparkSession.getActiveSession()
-    shared = spark.sparkContext.broadcast(model)
-    schema = docs.select("*", F.lit(0.0).alias("tox_score")).schema
-    at = docs.columns.index(text_col)
+def score(docs: DataFrame, model: Model, name: str = "tox_score") -> DataFrame:
+    """docs plus its score in the column ``name`` (replacing one of that name); every window of every text is read."""
+    docs = docs.drop(name)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = docs.select("*", F.lit(0.0).alias(name)).schema
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
             scores = [m.score(t) for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, "tox_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 
