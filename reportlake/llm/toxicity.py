@@ -1,7 +1,7 @@
 """Operator 8: toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on toxic and one on ordinary text. Both hold the same base (segments
-that zstandard's trainer finds in all of the sample) and differ in a class part of one length: the
+that zstandard's trainer finds in ordinary text) and differ in a class part of one length: the
 words that one class uses significantly more often than the other. A text is cut into word windows; each window is compressed under both
 dictionaries, and ``ordinary length - toxic length`` is its margin. A margin at or over the calibrated threshold is
 a hit; a logistic curve over hit count, hit share and largest margins turns the windows of a text into a score.
@@ -44,7 +44,7 @@ class Params:
     alpha: float = 0.5
     min_share: float = 0.005
     level: int = 9
-    window_fpr: float = 2e-4
+    window_fpr: float = 1e-3
     seed: int = 17
 
 
@@ -179,7 +179,7 @@ def fit(rows: Iterable[tuple[str, int, int]], params: Params = Params()) -> Mode
     if not all(of.values()):
         return Model(b"", b"", 1, [], params)
     rng = np.random.default_rng(params.seed)
-    sample = [w for t in of[0, 0] + of[1, 0] for w in windows(t, 4 * params.window_bytes)]
+    sample = [w for t in of[0, 0] for w in windows(t, 4 * params.window_bytes)]
     sample = [sample[i] for i in rng.permutation(len(sample))[:40_000].tolist()]
     base = _segments([s for s in sample if len(s) >= 8], params.base_bytes)
 
