@@ -16,7 +16,7 @@ from reportlake import sinks
 from reportlake.functions import metrics
 from reportlake.functions.buckets import bucket_spec
 from reportlake.functions.casts import numeric_values, to_double
-from reportlake.functions.core import exact_mean
+from reportlake.functions.core import exact_mean, idiv
 from reportlake.operators import blocks, dedupe, filters, registry, series, snapshots, stats
 from reportlake.plans.context import Inputs
 from reportlake.sources import doc_writers, documents, report_files
@@ -479,6 +479,26 @@ def _load_inventory(i: Inputs) -> DataFrame:
     return sinks.load_inventory(files, dedupe.dedupe_reports(raw)).drop("size_mb")
 
 
+@query("load_totals")
+def _load_totals(i: Inputs) -> DataFrame:
+    path = landed_csv(i)
+    files = report_files.list_report_files(i.spark, path)
+    inventory = sinks.load_inventory(files, dedupe.dedupe_reports(report_files.read_reports(i.spark, path)))
+    return sinks.load_totals(inventory).drop("active_size_mb")  # the landed files' sizes are Spark's
+
+
+@query("parse_block_header")
+def _parse_block_header(i: Inputs) -> DataFrame:
+    """The block headers of all snapshots, dumped as text and parsed back."""
+    time = F.concat(F.date_format(F.date_from_unix_date(idiv("timestamp_ms", 86400000).cast("int")), "yyyy-MM-dd"), F.lit("T"),
+                    *[x for k, (unit, n, end) in enumerate(((3600000, 24, ":"), (60000, 60, ":"), (1000, 60, ".000000000Z")))
+                      for x in (F.lpad((idiv("timestamp_ms", unit) % n).cast("string"), 2, "0"), F.lit(end))])
+    dump = F.concat(F.lit("header:\n  height: \""), F.col("height").cast("string"), F.lit("\"\n  time: \""), time, F.lit("\"\n"))
+    return i.snapshots.select("height", documents.parse_block_header(dump).alias("b")).select(
+        "height", F.col("b.height").alias("parsed_height"), F.col("b.time_ms").alias("time_ms")
+    )
+
+
 @query("loaded_files")
 def _loaded_files(i: Inputs) -> DataFrame:
     return report_files.loaded_files(i.reports)

@@ -644,6 +644,13 @@ SELECT f.filename, COALESCE(c.n, 0) AS "rows", f.file_number AS "timestamp",
        CASE WHEN f.file_number = (SELECT max(file_number) FROM files) THEN 'active' ELSE 'historical' END AS type
 FROM files f LEFT JOIN counts c ON c.source_file = f.filename"""
 
+SQL["load_totals"] = f"""{with_(RAW, REPORTS, FILES)}
+SELECT (SELECT COUNT(*) FROM reports) AS total_rows, COUNT(*) AS files, COUNT(*) - 1 AS historical_files,
+       arg_max(filename, file_number) AS active_filename, max(file_number) AS active_timestamp FROM files"""
+
+SQL["parse_block_header"] = f"""{with_(RAW, SNAPSHOTS)}
+SELECT height, height AS parsed_height, timestamp_ms // 1000 * 1000 AS time_ms FROM snapshots"""
+
 SQL["loaded_files"] = f"{with_(RAW, REPORTS)} SELECT DISTINCT source_file FROM reports"
 
 SQL["classify_files"] = f"""{with_(RAW, FILES)},

@@ -175,6 +175,19 @@ def write_snapshots_json(snapshots: DataFrame, path: str) -> None:
     write_snapshot_docs(snapshots, path)
 
 
+def load_totals(inventory: DataFrame) -> DataFrame:
+    """K9: one row over :func:`load_inventory`: rows and files in all, and the active file's name, number and size."""
+    active = F.max(F.when(F.col("type") == "active", F.struct("timestamp", "filename", "size_mb")))
+    out = inventory.agg(
+        F.sum("rows").cast("long").alias("total_rows"),
+        F.count(F.lit(1)).alias("files"),
+        F.count_if(F.col("type") == "historical").alias("historical_files"),
+        active.alias("a"),
+    )
+    return out.select("total_rows", "files", "historical_files", F.col("a.filename").alias("active_filename"),
+                      F.col("a.timestamp").alias("active_timestamp"), F.col("a.size_mb").alias("active_size_mb"))
+
+
 def load_inventory(files: DataFrame, reports: DataFrame) -> DataFrame:
     """K9: per listed file: rows loaded, size in MB (2 decimals), file number and type."""
     counts = reports.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows"))

@@ -81,6 +81,20 @@ def flatten_dump(docs: DataFrame, fetched_at: int) -> DataFrame:
     ).select(*[F.col(f.name).cast(f.dataType) for f in REGISTRY_SCHEMA.fields])
 
 
+def parse_block_header(text: str | Column) -> Column:
+    """``struct(height long, time_ms long)`` from the text dump of a block header; NULL fields where it names none."""
+    c = F.col(text) if isinstance(text, str) else text
+    height = F.regexp_extract(c, r"""height:\s*["']?([0-9]+)""", 1)
+    time = F.regexp_extract(c, r"""time:\s*["']([^"']+)["']""", 1)
+    return F.struct(F.when(height != "", height.try_cast("long")).alias("height"), _time_ms(F.when(time != "", time)).alias("time_ms"))
+
+
+def read_block_headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Block header dumps, one document per file: ``file, height, time_ms``."""
+    docs = spark.read.text(_paths(paths), wholetext=True)
+    return docs.select(F.col("_metadata.file_name").alias("file"), parse_block_header("value").alias("b")).select("file", "b.*")
+
+
 def read_registry_json(spark: SparkSession, paths: str | Sequence[str], fetched_at: int) -> DataFrame:
     """S10 for JSON dumps (one document per file)."""
     docs = spark.read.schema(DUMP_SCHEMA).option("multiLine", "true").option("mode", "PERMISSIVE").json(_paths(paths))
