@@ -17,6 +17,7 @@ from reportlake.functions import metrics
 from reportlake.functions.buckets import bucket_spec
 from reportlake.functions.casts import numeric_values, to_double
 from reportlake.functions.core import exact_mean, idiv
+from reportlake.schema import REPORT_COLUMNS
 from reportlake.operators import blocks, dedupe, filters, registry, series, snapshots, stats
 from reportlake.plans.context import Inputs
 from reportlake.sources import doc_writers, documents, report_files
@@ -479,6 +480,29 @@ def _load_inventory(i: Inputs) -> DataFrame:
     return sinks.load_inventory(files, dedupe.dedupe_reports(raw)).drop("size_mb")
 
 
+@query("instance_scan")
+def _instance_scan(i: Inputs) -> DataFrame:
+    """The raw reports landed as two chains' folders, read in one scan and told apart by folder."""
+    path = i.scratch("instances")
+    chain = F.when(F.col("QUERY_TYPE") == "SpotPrice", "main").otherwise("test")
+    for name in ("main", "test"):
+        write_dirty_report_csv(i.raw_reports.where(chain == name), f"{path}/source_tables_{name}")
+    raw = report_files.read_reports(i.spark, path, with_instance=True)
+    return raw.groupBy("instance").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("TX_HASH").alias("hashes"), F.sum("POWER").cast("long").alias("power"))
+
+
+@query("malformed_rows")
+def _malformed_rows(i: Inputs) -> DataFrame:
+    """Headerless lines of uneven width: every third row lacks its last cell, every third has 30 more."""
+    path = i.scratch("uneven")
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in REPORT_COLUMNS]
+    kind = F.col("line_no") % 3
+    line = F.when(kind == 0, F.concat_ws(",", *cells[:-1])).when(kind == 1, F.concat_ws(",", *cells, F.repeat(F.lit("x,"), 29))).otherwise(F.concat_ws(",", *cells))
+    i.raw_reports.select(line.alias("value")).write.text(f"{path}/source_file=table_1.csv")
+    raw = report_files.project_lines(report_files.line_columns(i.spark.read.format("text").load(path)))
+    return raw.select("TX_HASH", "POWER", "VALUE", "DISPUTABLE", "source_file")
+
+
 @query("load_totals")
 def _load_totals(i: Inputs) -> DataFrame:
     path = landed_csv(i)
@@ -701,7 +725,7 @@ def _read_registry_yaml(i: Inputs) -> DataFrame:
 @query("read_power_snapshots")
 def _read_power_snapshots(i: Inputs) -> DataFrame:
     path = i.scratch("snap-json")
-    doc_writers.write_snapshot_docs(i.snapshots, path)
+    sinks.write_snapshots_json(i.snapshots, path)
     return documents.read_power_snapshots(i.spark, path)
 
 

@@ -644,6 +644,13 @@ SELECT f.filename, COALESCE(c.n, 0) AS "rows", f.file_number AS "timestamp",
        CASE WHEN f.file_number = (SELECT max(file_number) FROM files) THEN 'active' ELSE 'historical' END AS type
 FROM files f LEFT JOIN counts c ON c.source_file = f.filename"""
 
+SQL["instance_scan"] = f"""{with_(RAW)}
+SELECT CASE WHEN QUERY_TYPE = 'SpotPrice' THEN 'main' ELSE 'test' END AS instance, COUNT(*) AS "rows",
+       COUNT(DISTINCT TX_HASH) AS hashes, CAST(SUM(POWER) AS BIGINT) AS power FROM raw GROUP BY 1"""
+
+SQL["malformed_rows"] = f"""{with_(RAW)}
+SELECT TX_HASH, POWER, "VALUE", CASE WHEN line_no % 3 <> 0 THEN DISPUTABLE END AS DISPUTABLE, 'table_1.csv' AS source_file FROM raw"""
+
 SQL["load_totals"] = f"""{with_(RAW, REPORTS, FILES)}
 SELECT (SELECT COUNT(*) FROM reports) AS total_rows, COUNT(*) AS files, COUNT(*) - 1 AS historical_files,
        arg_max(filename, file_number) AS active_filename, max(file_number) AS active_timestamp FROM files"""
