@@ -27,6 +27,9 @@ def network_power_at_height(dumps: DataFrame, height: str = "height", power: str
     )
 
 
+_GRID_CHUNK = 10_000
+
+
 def height_grid(spark: SparkSession, end: Column | int, days: int = 30, interval: int = K.HEIGHT_STEP) -> DataFrame:
     """Heights to sample: ``end`` plus every multiple of ``interval`` in ``[start, end]``,
     ``start = max(0, end - days * 14400)`` (every multiple, as documented; see Q9 in the README)."""
@@ -34,13 +37,13 @@ def height_grid(spark: SparkSession, end: Column | int, days: int = 30, interval
     start = F.greatest(F.lit(0).cast("long"), end_c - F.lit(days * K.BLOCKS_PER_DAY))
     first = F.call_function("div", start + (interval - 1), F.lit(interval)) * interval
     last = F.call_function("div", end_c, F.lit(interval)) * interval
-    grid = spark.range(1).select(
-        F.array_union(
-            F.array(end_c),
-            F.when(first <= last, F.sequence(first, last, F.lit(interval).cast("long"))).otherwise(F.array().cast("array<bigint>")),
-        ).alias("h")
-    )
-    return grid.select(F.explode("h").alias("height"))
+    step = F.lit(interval).cast("long")
+    span = F.lit(_GRID_CHUNK * interval).cast("long")
+    # chunks of the grid, then the heights of each: no row holds more than a chunk
+    ends = spark.range(1).select(first.alias("first"), last.alias("last"), end_c.alias("end"))
+    chunks = ends.where("first <= last").select("last", F.explode(F.sequence("first", "last", span)).alias("at"))
+    grid = chunks.select(F.explode(F.sequence("at", F.least("last", F.col("at") + span - step), step)).alias("height"))
+    return grid.unionByName(ends.where(F.col("end") % interval != 0).select(F.col("end").alias("height")))
 
 
 def estimate_height_time(spark: SparkSession, height: Column | int, ts_seconds: Column | float,

@@ -52,7 +52,7 @@ def _dump_rows(registry: DataFrame) -> DataFrame:
 
 
 def write_registry_json(registry: DataFrame, path: str) -> None:
-    """Registry dump pages of at most 100 reporters, one JSON document per page."""
+    """Registry dump pages of about 100 reporters (dealt by a hash), one JSON document per page."""
     docs = _dump_rows(registry).groupBy("page").agg(
         F.to_json(F.struct(F.struct(F.count(F.lit(1)).cast("string").alias("total")).alias("pagination"),
                            F.collect_list("r").alias("reporters"))).alias("value")
