@@ -4,9 +4,13 @@
    A shingle weighs tf * (1 + IDF_SPAN * idf), idf = 1 - log df / log N in [0, 1]. The narrow span keeps weighted
    similarity near plain similarity, also in large groups of copies, whose shared shingles have a low idf.
 2. Each text gets K consistent weighted samples, banded by ROWS; equal texts are one class (smallest doc_id).
-3. In each band bucket the members are compared with leaders (in an order that differs from band to band). A member
-   linked to a leader is done in that bucket; what remains meets more leaders in the next round, until no bucket has
-   two members left. So a bucket of many copies costs one comparison a member, and no bucket is cut short.
+3. In each band bucket the members are compared with leaders. A member linked to a leader is done in that bucket; what
+   remains meets more leaders in the next round, until no bucket has two members left. So a bucket of many copies
+   costs one comparison a member, and no bucket is cut short.
+   For members of large buckets the share u of a text's weight in shingles that no other such member has is counted
+   exactly. Two texts can't be more similar than 1 / (1 / (1 - u1) + 1 / (1 - u2) - 1), so pairs whose bound is under
+   the threshold are never made: texts that share only a common passage leave the bucket at once, and the member
+   with the least u, the middle of a group of copies, is its first leader.
    Pairs whose samples agree too rarely (``ESTIMATE_FLOOR``, four standard errors below the threshold) are passed
    over; the others are verified by exact weighted Jaccard similarity >= THRESHOLD over whole texts.
 4. Links make connected components; a document's class_id is the smallest doc_id of its component.
@@ -27,11 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from reportlake.llm.common import U64, components, mix, stored, text_key
+from reportlake.llm.common import U64, components, lean, mix, stored, text_key
 from reportlake.llm.shingles import shingles
 
 THRESHOLD = 0.8
@@ -44,6 +47,8 @@ _BLOCKS = 8
 _FAN_IN = 64
 #: Leaders of a bucket in the rounds: few while copies fall away, then so many that the rest is soon compared.
 LEADERS = (1, 16, 256)
+#: Buckets of more members count what their texts hold alone before any pair is made.
+LARGE = 32
 
 
 def _cells(x: np.ndarray, row: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,7 +82,7 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
         return pd.DataFrame({"row": [key[0]], "block": [key[1]], "part": [key[2]], "cells": [total.tobytes()]})
 
     schema = "row long, block long, part long, cells binary"
-    sums = docs.select("text").mapInArrow(count, schema)
+    sums = docs.select("text").mapInArrow(lean(count), schema)
     parts = docs.rdd.getNumPartitions()
     while True:  # a tree: no group holds more than _FAN_IN blocks
         sums = sums.withColumn("part", F.floor(F.col("part") / _FAN_IN)).groupBy("row", "block", "part").applyInPandas(merge, schema)
@@ -170,7 +175,7 @@ def _signatures(docs: DataFrame, weights: Weights) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["doc_id", "key", "bands", "sig"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), "text")
-    return rows.mapInArrow(run, "doc_id long, key binary, bands array<long>, sig binary")
+    return rows.mapInArrow(lean(run), "doc_id long, key binary, bands array<long>, sig binary")
 
 
 def _promising(pairs: DataFrame) -> DataFrame:
@@ -181,7 +186,7 @@ def _promising(pairs: DataFrame) -> DataFrame:
             x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, K) for i in (2, 3))
             yield b.select([0, 1]).filter(pa.array((x == y).mean(1) >= ESTIMATE_FLOOR))
 
-    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(lean(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame:
@@ -206,7 +211,36 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame
 
     t = pairs.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b")), "b")
     t = t.join(texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a")), "a")
-    return t.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
+    return t.select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a long, b long, similarity double")
+
+
+def _alone(texts: DataFrame, ids: DataFrame, weights: Weights) -> DataFrame:
+    """(cid, u): the share of a text's weight in shingles that no other text of ``ids`` holds."""
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigh = shared.value
+        for b in batches:
+            for cid, (x, tf) in zip(b.column(0).to_pylist(), shingles(b.column(1).to_pylist()), strict=True):
+                w = weigh(x, tf)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), cid)), pa.array(x.view(np.int64)), pa.array(w / max(w.sum(), 1e-12))], names=["cid", "x", "w"])
+
+    rows = texts.join(ids, "cid", "left_semi").select("cid", "text").mapInArrow(lean(run), "cid long, x long, w double")
+    once = rows.groupBy("x").agg(F.count("*").alias("n"), F.min("cid").alias("cid"), F.min("w").alias("w")).where("n = 1")
+    return once.groupBy("cid").agg(F.sum("w").alias("u"))
+
+
+def _possible(u: Column, v: Column) -> Column:
+    """Whether texts that hold the shares u and v alone can reach THRESHOLD."""
+    return 1 / (1 - F.least(u, F.lit(0.999))) + 1 / (1 - F.least(v, F.lit(0.999))) - 1 <= 1 / THRESHOLD + 1e-9
+
+
+def _crowded(active: DataFrame) -> DataFrame:
+    """Members (band, bucket, cid, u) of buckets in which they can still meet a partner."""
+    low = active.groupBy("band", "bucket").agg(F.min("u").alias("low"))
+    active = active.join(low, ["band", "bucket"]).where(_possible(F.col("u"), F.col("low"))).drop("low")
+    some = active.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1").select("band", "bucket")
+    return active.join(some, ["band", "bucket"])
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -217,25 +251,32 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     classes = sigs.groupBy("key").agg(F.min("doc_id").alias("cid"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = stored(classes, "classes")
     member = classes.where("cid is not null and bands is not null").select("cid", F.posexplode("bands").alias("band", "bucket"))
-    crowded = member.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-    active = stored(member.join(crowded.select("band", "bucket"), ["band", "bucket"]), "buckets")
+    sizes = member.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+    active = stored(member.join(sizes, ["band", "bucket"]), "buckets")
     ids = stored(active.select("cid").distinct(), "members")
     sig = stored(classes.select("cid", "sig").join(ids, "cid"), "member-signatures")
     texts = docs.join(ids, docs.doc_id == ids.cid, "left_semi").select(F.col("doc_id").alias("cid"), "text")
     reps = classes.select("key", "cid")
     texts = texts.withColumn("key", text_key(F.col("text"))).join(reps, ["cid", "key"], "left_semi")
     texts = stored(texts.groupBy("cid").agg(F.first("text").alias("text")), "member-texts")
-    found, tried = None, None
-    turn = 0
+    large = stored(active.where(F.col("n") > LARGE).select("cid").distinct(), "large-members")
+    alone = stored(_alone(texts, large, weights), "alone")
+    active = active.join(alone, "cid", "left")
+    active = active.select("band", "bucket", "cid", F.when(F.col("n") > LARGE, F.coalesce("u", F.lit(0.0))).otherwise(F.lit(0.0)).alias("u"))
+    active = stored(_crowded(active), "buckets")
+    found, tried, turn = None, None, 0
     while True:
         lead = LEADERS[min(turn, len(LEADERS) - 1)]
-        order = F.xxhash64("band", "cid")
+        order = F.struct("u", F.xxhash64("band", "cid").alias("x"), "cid")
         if lead == 1:
-            leaders = active.groupBy("band", "bucket").agg(F.min_by("cid", order).alias("leader"))
+            leaders = active.groupBy("band", "bucket").agg(F.min(order).alias("o"))
         else:
-            first = Window.partitionBy("band", "bucket").orderBy(order, "cid")
-            leaders = active.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= lead).select("band", "bucket", F.col("cid").alias("leader"))
-        meets = stored(active.join(leaders, ["band", "bucket"]), "meetings")
+            first = Window.partitionBy("band", "bucket").orderBy(order)
+            leaders = active.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= lead).select("band", "bucket", order.alias("o"))
+        # a member meets the leaders before it, so that two leaders meet once
+        meets = active.join(leaders, ["band", "bucket"])
+        meets = meets.where((F.col("o.cid") == F.col("cid")) | (F.col("o") < order) & _possible(F.col("u"), F.col("o.u")))
+        meets = stored(meets.select("band", "bucket", "cid", F.col("o.cid").alias("leader")), "meetings")
         pairs = meets.where("leader <> cid").select(F.least("leader", "cid").alias("a"), F.greatest("leader", "cid").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -249,9 +290,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         linked = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
         done = meets.join(linked, (meets.leader == linked.a) & (meets.cid == linked.b)).select("band", "bucket", "cid")
         done = done.unionByName(meets.select("band", "bucket", F.col("leader").alias("cid")))
-        left = active.join(done.distinct(), ["band", "bucket", "cid"], "left_anti")
-        crowded = left.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1").select("band", "bucket")
-        active = stored(left.join(crowded, ["band", "bucket"]), "buckets")
+        active = stored(_crowded(active.join(done.distinct(), ["band", "bucket", "cid"], "left_anti")), "buckets")
         turn += 1
         if active.isEmpty():
             return sigs.select("doc_id", "key"), reps, found
@@ -269,5 +308,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is their class_id, and those without a doc_id."""
-    drop = near_duplicates(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(stored(drop, "near-copies"), F.col("doc_id") == F.col("_drop"), "left_anti")
+    drop = near_duplicates(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("copy")).distinct()
+    drop = stored(drop, "near-copies")
+    return docs.join(drop, docs["doc_id"] == drop["copy"], "left_anti")
