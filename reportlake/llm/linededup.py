@@ -8,8 +8,9 @@ stay. The document keeps its other lines in order.
 1. Equal lines become one row with the earliest place (hashes and places only).
 2. Two lines one edit apart share the words before or the words after the middle. A line that shares neither half with
    another line has no partner and leaves here; this bounds what the neighbourhood costs, and loses no pair.
-3. Each remaining line emits the hash of every variant with one word deleted, with its place (equal variants of one
-   length and place: a substitution), and without it against whole lines one word shorter (an insertion or deletion).
+3. Each remaining line emits the hash of every variant with one word deleted, where its halves leave the edit open: with
+   its place (equal variants of one length and place: a substitution), and without it against whole lines one word
+   shorter (an insertion or deletion).
    The variants of a line cost one sum of word hashes each: a variant's hash is the sum of hash(word, place) with the
    places after the gap moved up by one, taken from prefix sums.
 4. Per variant hash only the earliest line survives as partner, so a group of near copies is one aggregation, not all
@@ -33,7 +34,10 @@ _CHUNK = 256
 
 def _norm(line: Column) -> Column:
     squeezed = F.regexp_replace(line, "[ \\t\\r\\x0B\\f]+", " ")
-    return F.trim(F.when(line.rlike("[\\t\\r\\x0B\\f]|  "), squeezed).otherwise(line))
+    odd = line.contains("  ")
+    for c in "\t\r\x0b\f":
+        odd = odd | line.contains(c)
+    return F.trim(F.when(odd, squeezed).otherwise(line))
 
 
 def _text(words: Column) -> Column:
@@ -41,18 +45,37 @@ def _text(words: Column) -> Column:
 
 
 def _halves(w: Column, n: Column) -> Column:
-    """(key, own) of the halves: for partners as long or longer (own), and for partners one word shorter."""
+    """(key, own, front) of the halves: for partners as long or longer (own), and for partners one word shorter."""
 
     def half(m: Column, own: bool) -> list[Column]:
         h = F.floor(m / 2).cast("int")
         first = F.xxhash64(F.lit("first"), m, _text(F.slice(w, F.lit(1), h)))
         last = F.xxhash64(F.lit("last"), m, _text(F.slice(w, n - (m - h) + 1, m - h)))
-        return [F.struct(k.alias("key"), F.lit(own).alias("own")) for k in (first, last)]
+        return [F.struct(k.alias("key"), F.lit(own).alias("own"), F.lit(f).alias("front")) for k, f in ((first, True), (last, False))]
 
     own = F.array(*half(n, True))
     return F.when(n >= MIN_WORDS, F.concat(own, F.array(*half(n - 1, False)))).when(n >= MIN_WORDS - 1, own)
 
 
+def _candidates(distinct: DataFrame) -> DataFrame:
+    """(h, first, back, front, ...) of lines that share a half with another line, and what the halves leave open: a
+    substitution (sub_) or a missing word (gap_) behind the first half (back) or before the last one (front), or being
+    the shorter line (short)."""
+    keys = distinct.where("halves is not null").select("h", F.inline("halves"))
+    met = keys.groupBy("key").agg(F.count_if("own").alias("o"), F.count_if(~F.col("own")).alias("l")).where("o > 0 and o + l > 1")
+    k = keys.join(met, "key")
+    own, front = F.col("own"), F.col("front")
+    flags = {
+        "sub_back": own & front & (F.col("o") > 1),
+        "sub_front": own & ~front & (F.col("o") > 1),
+        "gap_back": ~own & front,
+        "gap_front": ~own & ~front,
+        "short": own & (F.col("l") > 0),
+    }
+    k = k.groupBy("h").agg(*[F.max(v).alias(n) for n, v in flags.items()])
+    return k.join(distinct.select("h", "first"), "h")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, tk (hash of the text), line_no, norm of every line that isn't blank."""
     d = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tk"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
@@ -60,8 +83,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(h, first, n, kind, key) of candidate lines (h, first, w, n): kind 0 a substitution's variant, 1 an insertion's
-    (a line without one word), 2 the line itself for kind 1."""
+    """(h, first, kind, key) of candidate lines (h, first, w, n and what their halves leave open): kind 0 a substitution's
+    variant, 1 an insertion's (a line without one word), 2 the line itself for kind 1."""
     w = F.col("w")
 
     def h(x: Column, i: Column) -> Column:
@@ -79,10 +102,19 @@ def _variants(lines: DataFrame) -> DataFrame:
     prefix = F.flatten(F.transform(chunks, lambda c: F.transform(F.slice(running(F.slice("step", c * _CHUNK + 1, F.lit(_CHUNK - 1))), F.lit(1), F.least(F.lit(_CHUNK), F.col("n") - c * _CHUNK)), lambda v: v + F.get("base", c))))
     x = held(x, F.struct(F.aggregate("here", zero, add).alias("whole"), F.aggregate("up", zero, add).alias("moved")), "sum")
     x = held(x, F.zip_with(prefix, "up", lambda p, u: p + F.col("sum.moved") - u), "gaps")
-    key = F.transform("gaps", lambda g, i: F.struct(F.lit(0).alias("kind"), F.xxhash64(F.lit("s"), "n", i, g).alias("key")))
-    longer = F.transform(F.array_distinct("gaps"), lambda g: F.struct(F.lit(1).alias("kind"), F.xxhash64(F.lit("d"), F.col("n") - 1, g).alias("key")))
-    itself = F.array(F.struct(F.lit(2).alias("kind"), F.xxhash64(F.lit("d"), "n", F.col("sum.whole")).alias("key")))
-    rows = F.when(F.col("n") >= MIN_WORDS, F.concat(key, longer, itself)).otherwise(itself)
+    n = F.col("n")
+
+    def left(i: Column, kind: str, m: Column, slack: int) -> Column:
+        """Whether the gap i lies in a part that the halves of m words leave open."""
+        h = F.floor(m / 2).cast("int")
+        return (F.col(f"{kind}_back") & (i >= h)) | (F.col(f"{kind}_front") & (i < h + slack))
+
+    places = F.sequence(F.lit(0), n - 1)
+    sub = F.transform(F.filter(places, lambda i: left(i, "sub", n, 0)), lambda i: F.struct(F.lit(0).alias("kind"), F.xxhash64(F.lit("s"), n, i, F.get("gaps", i)).alias("key")))
+    gap = F.transform(F.filter(places, lambda i: left(i, "gap", n - 1, 1)), lambda i: F.struct(F.lit(1).alias("kind"), F.xxhash64(F.lit("d"), n - 1, F.get("gaps", i)).alias("key")))
+    itself = F.array(F.struct(F.lit(2).alias("kind"), F.xxhash64(F.lit("d"), n, F.col("sum.whole")).alias("key")))
+    itself = F.when(F.col("short"), itself).otherwise(F.slice(itself, F.lit(1), F.lit(0)))
+    rows = F.when(n >= MIN_WORDS, F.concat(sub, F.array_distinct(gap), itself)).otherwise(itself)
     return x.select("h", "first", F.explode(rows).alias("v")).select("h", "first", "v.kind", "v.key")
 
 
@@ -106,10 +138,7 @@ def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     place = F.struct("doc_id", "tk", "line_no")
     distinct = rows.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("copies"), F.first("halves").alias("halves"))
     distinct = stored(distinct, "distinct-lines")
-    keys = distinct.where("halves is not null").select("h", F.inline("halves"))
-    crowded = keys.groupBy("key").agg(F.count("*").alias("c"), F.max("own").alias("o")).where("c > 1 and o").select("key")
-    cand = keys.join(crowded, "key").select("h").distinct().join(distinct.select("h", "first"), "h")
-    cand = stored(cand, "candidate-lines")
+    cand = stored(_candidates(distinct), "candidate-lines")
     # the words of the candidates, from the places where they stand first
     at = cand.groupBy(F.col("first.doc_id").alias("_d"), F.col("first.tk").alias("_k")).agg(F.collect_list(F.struct(F.col("first.line_no").alias("i"), "h")).alias("_at"))
     at = stored(at, "candidate-places")
@@ -120,7 +149,8 @@ def near_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = d.select(F.explode(F.transform("_at", lambda x: F.struct(x.h.alias("h"), x.i.alias("i"), F.get("_l", x.i).alias("line")))).alias("x"), "doc_id", "tk")
     found = found.select("x.h", F.struct("doc_id", "tk", F.col("x.i").alias("line_no")).alias("first"), F.split(_norm(F.col("x.line")), " ").alias("w"))
     found = stored(found.withColumn("n", F.size("w")), "candidate-words")
-    v = stored(_variants(found.select("h", "first", "w", "n")), "variants")
+    open_ = cand.drop("first")
+    v = stored(_variants(found.join(open_, "h")), "variants")
     earliest = F.struct("first", "h")
     best = v.groupBy("key", F.expr("kind = 0").alias("sub")).agg(
         F.min(F.when(F.col("kind") < 2, earliest)).alias("longest"),
