@@ -31,6 +31,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reportlake.llm.common import lean
+
 _STRIP = ".,;:!?\"'()[]{}<>|%$&*#-_"
 
 
@@ -171,8 +173,9 @@ def _class_part(units: list[str], size: int) -> bytes:
     return b"".join(w.encode("utf-8", "replace") for w in units)[-size:].rjust(size, b"\0")
 
 
-def fit(rows: Iterable[tuple[str, int, int]], params: Params = Params()) -> Model:
-    """rows: (text, label, half). Half 0 trains the dictionaries, half 1 the threshold and the curve."""
+def fit(rows: Iterable[tuple[str, int, int]], params: Params = Params(), totals: dict[int, int] | None = None) -> Model:
+    """rows: (text, label, half). Half 0 trains the dictionaries, half 1 the threshold and the curve. ``totals``: how many
+    labelled documents each class has, of which the rows are a sample; the curve weighs the classes by them."""
     rows = sorted({(t, y): h for t, y, h in rows}.items())  # copies would make any word of theirs look typical
     rows = [(t, y, h) for (t, y), h in rows]
     of = {(y, h): [t for t, y2, h2 in rows if (y2, h2) == (y, h)] for y in (0, 1) for h in (0, 1)}
@@ -195,11 +198,14 @@ def fit(rows: Iterable[tuple[str, int, int]], params: Params = Params()) -> Mode
     model.threshold = max(1, next((t for t in range(1, 64) if (flat >= t).mean() <= params.window_fpr), 64))
     x = np.array([_features(m, model.threshold) for y in (0, 1) for m in held[y]])
     y = np.array([float(y) for y in (0, 1) for _ in held[y]])
+    size = {y: len(of[y, 0]) + len(of[y, 1]) for y in (0, 1)}
+    share = np.where(y == 1, *((totals or size)[k] / size[k] for k in (1, 0)))
+    share /= share.mean()
     w = np.zeros(x.shape[1])
     ridge = np.diag([0.1] * (x.shape[1] - 1) + [1e-6])
     for _ in range(40):
         q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (q * (1 - q))[:, None]) + ridge, x.T @ (q - y) + ridge @ w)
+        step = np.linalg.solve(x.T @ (x * (share * q * (1 - q))[:, None]) + ridge, x.T @ (share * (q - y)) + ridge @ w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -226,7 +232,8 @@ def train(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Mode
     got = x.where(F.length("_t") <= params.max_train_chars).join(F.broadcast(picked), "doc_id")
     got = got.select("_t", "_y", F.pmod(F.xxhash64("doc_id", F.lit(params.seed + 1)), F.lit(2)).alias("_h"))
     rows = sorted((r[0], int(r[1]), int(r[2])) for r in got.collect())
-    return fit(rows, params)
+    totals = {int(k): n for k, n in y.groupBy("_y").count().collect()}
+    return fit(rows, params, {0: totals.get(0, 0), 1: totals.get(1, 0)})
 
 
 def score(docs: DataFrame, model: Model, name: str = "tox_score") -> DataFrame:
@@ -242,7 +249,7 @@ def score(docs: DataFrame, model: Model, name: str = "tox_score") -> DataFrame:
             scores = [m.score(t) for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> DataFrame:
