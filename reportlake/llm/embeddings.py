@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.llm.common import components, stored
+from reportlake.llm.common import components, lean, stored
 
 THRESHOLD = 0.95
 RECALL = 0.9995
@@ -70,7 +70,7 @@ def _keyed(vectors: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(vecs, pa.binary())], names=["vec_id", "key", "vec"])
 
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return rows.mapInArrow(run, "vec_id long, key binary, vec binary")
+    return rows.mapInArrow(lean(run), "vec_id long, key binary, vec binary")
 
 
 def _unit(raw: bytes) -> np.ndarray:
@@ -97,7 +97,7 @@ def _coded(classes: DataFrame, bits: int, bands: int) -> DataFrame:
             types = [pa.list_(pa.int32()), pa.binary(), pa.float64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], names=["cid", "keys", "code", "factor", "turned"])
 
-    return classes.select("cid", "vec").mapInArrow(run, "cid long, keys array<int>, code binary, factor double, turned binary")
+    return classes.select("cid", "vec").mapInArrow(lean(run), "cid long, keys array<int>, code binary, factor double, turned binary")
 
 
 def _kept_pairs(group: np.ndarray, side: np.ndarray, band: np.ndarray, keys: np.ndarray, sign: np.ndarray, factor: np.ndarray, turned: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -166,7 +166,7 @@ def _candidates(coded: DataFrame, bands: int) -> DataFrame:
     rows = rows.select("cid", "band", "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") < F.col("other")).cast("int")).alias("side"))
     rows = rows.join(coded, "cid").select("band", "bucket", "i", "j", "cid", "side", "keys", "code", "factor", "turned")
     rows = rows.repartition("band", "bucket", "i", "j").sortWithinPartitions("band", "bucket", "i", "j", "cid")
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 def _exact(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def _exact(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     p = pairs.join(classes.select(F.col("cid").alias("a"), F.col("vec").alias("x")), "a")
     p = p.join(classes.select(F.col("cid").alias("b"), F.col("vec").alias("y")), "b")
-    return p.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return p.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long")
 
 
 def near_duplicates(vectors: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reportlake.llm.common import stored, text_key
+from reportlake.llm.common import lean, stored, text_key
 from reportlake.llm.htmltree import Page, align, candidates, from_json, merge, skeleton, to_json
 
 CONSTANT = 0.6
@@ -58,7 +58,7 @@ def _parsed(pages: DataFrame) -> DataFrame:
 
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(text_key(F.col("html")).alias("key"), host.alias("host"), "html")
-    return rows.mapInArrow(run, "key binary, host string, tree string, main long, nodes array<int>, hashes array<long>, sizes array<int>")
+    return rows.mapInArrow(lean(run), "key binary, host string, tree string, main long, nodes array<int>, hashes array<long>, sizes array<int>")
 
 
 def _wrappers(parsed: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def _wrappers(parsed: DataFrame) -> DataFrame:
     trees = parsed.select("host", "tree").distinct().join(many, "host")
     trees = trees.select("host", F.pmod(F.xxhash64("tree"), F.lit(_MERGE * _MERGE)).cast("int").alias("part"), "tree")
     for _ in range(3):  # 4096 parts, then 64, then the host
-        trees = trees.repartition("host", "part").sortWithinPartitions("host", "part", "tree").mapInArrow(run, "host string, part int, tree string")
+        trees = trees.repartition("host", "part").sortWithinPartitions("host", "part", "tree").mapInArrow(lean(run), "host string, part int, tree string")
     return trees.select("host", F.col("tree").alias("wrapper"))
 
 
@@ -103,7 +103,7 @@ def _slots(parsed: DataFrame, wrappers: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in (0, 1, 2, 6, 7)), pa.array(slots, pa.list_(pa.int32()))], names=["key", "host", "main", "hashes", "sizes", "slots"])
 
     rows = parsed.join(wrappers, "host").select("key", "host", "main", "tree", "wrapper", "nodes", "hashes", "sizes")
-    rows = rows.mapInArrow(run, "key binary, host string, main long, hashes array<long>, sizes array<int>, slots array<int>")
+    rows = rows.mapInArrow(lean(run), "key binary, host string, main long, hashes array<long>, sizes array<int>, slots array<int>")
     rows = rows.select("key", "host", "main", F.posexplode(F.arrays_zip("slots", "hashes", "sizes")).alias("at", "b"))
     return rows.select("key", "host", "main", "at", F.col("b.slots").alias("slot"), F.col("b.hashes").alias("hash"), F.col("b.sizes").alias("size"))
 
@@ -137,4 +137,4 @@ def main_text(pages: DataFrame) -> DataFrame:
                 texts.append(" ".join(t for i, (_, t) in enumerate(candidates(Page(text.as_py()))) if i not in gone))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.select("page_id", "url", "html", "drop").mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "drop").mapInArrow(lean(run), f"page_id {dict(pages.dtypes)['page_id']}, url string, text string, n_chars long")

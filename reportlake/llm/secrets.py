@@ -25,6 +25,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from reportlake.llm.common import lean
+
 KINDS = ("assign", "access", "hex")
 MAX_INFLATED = 1 << 28
 # fixed values: the patterns of the contract
@@ -215,4 +217,4 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     kind = dict(docs.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
