@@ -22,6 +22,7 @@ are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -32,64 +33,113 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reportlake.llm.common import scratch
+from reportlake.llm.common import lean, scratch
 
 END_ID = 2
 SEGMENT_TOKENS = 1 << 20
 RANK_STEP = 512
+BATCH_ROWS = 500
 TOKENIZER = "byte_bpe_50k.json"
 MAGIC = b"DACT"
 _HEAD = struct.Struct("<4sIIQI")
 _SEGMENTS = "part int, seg int, first_doc long, last_doc long, n_docs int, n_tokens long, payload binary"
-# A text is cut at single spaces between characters that aren't white space: there the byte-level pre-tokenizer always
-# cuts. Texts with other arrangements of white space, or with a special token, are encoded in one call.
-_WHOLE = re.compile(r"\A | \Z|  |[^\S ] | [^\S ]|[\x1c-\x1f\x85\xa0᠎​﻿]|<\|")
+# Characters on which libraries disagree whether they are white space, and the mark of special tokens.
+_WHOLE = re.compile("[᠎​﻿]|<\\|")
+_ENDS = ".,;:!?"
+_JOIN = 64
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library; words already seen in this task are looked up."""
+    """Ids of whole texts by the tokenizers library; words this process has seen are looked up. A full table
+    of words (``max_words`` and those of the batch at hand) becomes the old one, from which words move back when they
+    are seen again; the table of the lines' first words, a quarter as large, starts anew."""
 
-    def __init__(self, path: str, max_words: int = 300_000):
+    def __init__(self, path: str, max_words: int = 220_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
         self.max_words = max_words
+        self.words: dict[str, bytes] = {}  # behind a space
+        self.old: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}  # behind a newline
         vocab = self.tok.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids whose text begins with a space
         for t, i in vocab.items():
             self.opens[i] = t.startswith("Ġ")
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Encodes unseen words, joined by spaces, in one call; each begins at an id that opens with its space."""
-        new: dict[str, bytes] = {}
-        for i in range(0, len(words), 5000):
-            part = words[i : i + 5000]
-            ids = self._ids(" " + " ".join(part))
-            at = [4 * x for x in np.flatnonzero(self.opens[ids]).tolist()] + [4 * len(ids)]
-            raw = ids.tobytes()
-            new.update((w, raw[a:b]) for w, a, b in zip(part, at[:-1], at[1:], strict=True))
-        if len(self.words) + len(new) > self.max_words:
-            self.words.clear()
-        if len(new) <= self.max_words:
-            self.words.update(new)
-        return new
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian u32 ids."""
-        if not text:
-            return b""
-        if _WHOLE.search(text):
-            return self._ids(text).tobytes()
-        first, *rest = text.split(" ")
-        got = [self.words.get(w) for w in rest]
-        if None in got:
-            new = self._learn(list(dict.fromkeys(w for w, g in zip(rest, got, strict=True) if g is None)))
-            got = [new[w] if g is None else g for w, g in zip(rest, got, strict=True)]
-        return self._ids(first).tobytes() + b"".join(got)
+        self.newline = self._ids("\n")
+        self.ends = {c: self._ids(c) for c in _ENDS}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, known: dict[str, bytes], words: set[str], sep: str) -> None:
+        """Adds the ids of words, encoded behind their separator, many in a text: each begins at an id that opens with
+        a space, or behind the newline's id. A final mark after letters has ids of its own."""
+        stems = {w: w[:-1] for w in words if w[-1] in self.ends and w[:-1].isalpha()}
+        todo = sorted((words - stems.keys()) | {s for s in stems.values() if s not in known})
+        texts = [sep + sep.join(todo[i : i + _JOIN]) for i in range(0, len(todo), _JOIN)]
+        line = np.frombuffer(self.newline, "<u4")[0]
+        for k, e in enumerate(self.tok.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            at = (4 * np.flatnonzero(self.opens[ids] if sep == " " else ids == line)).tolist()
+            raw, skip, part = ids.tobytes(), 0 if sep == " " else 4, todo[k * _JOIN : (k + 1) * _JOIN]
+            at.append(len(raw))
+            known.update((w, raw[a + skip : b]) for w, a, b in zip(part, at[:-1], at[1:], strict=True))
+        known.update((w, known[s] + self.ends[w[-1]]) for w, s in stems.items())
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian u32 ids of each text. A text whose white space is single spaces and newlines between words is
+        cut there, where the byte-level pre-tokenizer always cuts; any other text is encoded in one call."""
+        if len(self.words) > self.max_words:
+            self.words, self.old = {}, self.words
+        if len(self.heads) > self.max_words // 4:
+            self.heads = {}
+        cut, new, first = [], set(), set()
+        for text in texts:
+            words = text.split()
+            gaps = len(words) - 1
+            if gaps < 0 or gaps != text.count(" ") + text.count("\n") or gaps + sum(map(len, words)) != len(text) or _WHOLE.search(text):
+                cut.append(None)
+                continue
+            heads, at = {}, 0  # the first word of each line
+            for line in text.split("\n"):
+                heads[at], words[at] = words[at], ""
+                at += line.count(" ") + 1
+            cut.append((words, heads))
+            new.update(words)
+            first.update(heads.values())
+        new.discard("")
+        new.difference_update(self.words)
+        again = new.intersection(self.old)
+        self.words.update((w, self.old[w]) for w in again)
+        self._learn(self.words, new - again, " ")
+        self._learn(self.heads, first.difference(self.heads), "\n")
+        self.words[""] = b""
+        out = []
+        for text, x in zip(texts, cut, strict=True):
+            if x is None:
+                out.append(self._ids(text) if text else b"")
+                continue
+            got = list(map(self.words.__getitem__, x[0]))
+            for i, w in x[1].items():
+                got[i] = (self.newline if i else b"") + self.heads[w]
+            out.append(b"".join(got))
+        return out
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str | None) -> Encoder:
+    """This process's encoder of a tokenizer file, by default that of the installed public_tokenizers."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(TOKENIZER)
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def pack(docs: list[tuple[int | None, bytes]]) -> bytes:
@@ -168,18 +218,12 @@ class Segment:
 
 
 def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
-    """Encodes ``docs`` (doc_id, text) into a segment table at ``path``. ``tokenizer`` is a file every executor has;
-    by default that of the installed public_tokenizers."""
+    """Encodes ``docs`` (doc_id, text) into a segment table at ``path``; ``tokenizer`` is a file every executor has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if tokenizer is None:
-            import public_tokenizers
-
-            enc = Encoder(public_tokenizers.path(TOKENIZER))
-        else:
-            enc = Encoder(tokenizer)
+        enc = encoder(tokenizer)
         end = np.array([END_ID], "<u4").tobytes()
         part, seg, held, size = TaskContext.get().partitionId(), 0, [], 0
 
@@ -189,13 +233,14 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[x.split()[0] for x in _SEGMENTS.split(", ")])
 
         for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = enc.encode(t.as_py() or "") + end
-                held.append((d, ids))
-                size += len(ids) // 4
-                if size >= SEGMENT_TOKENS:
-                    yield flush()
-                    seg, held, size = seg + 1, [], 0
+            for i in range(0, b.num_rows, BATCH_ROWS):
+                ids, texts = (c.to_pylist() for c in b.slice(i, BATCH_ROWS).columns)
+                for d, x in zip(ids, enc.encode([t or "" for t in texts]), strict=True):
+                    held.append((d, x + end))
+                    size += len(x) // 4 + 1
+                    if size >= SEGMENT_TOKENS:
+                        yield flush()
+                        seg, held, size = seg + 1, [], 0
         if held:
             yield flush()
 
@@ -203,7 +248,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), key)
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), key)
-    rows.mapInArrow(run, _SEGMENTS).write.parquet(path)
+    rows.mapInArrow(lean(run), _SEGMENTS).write.parquet(path)
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
@@ -226,7 +271,7 @@ def index(spark: SparkSession, path: str) -> DataFrame:
                 rows = [(d, a, len(x), zlib.crc32(x.tobytes()), part, seg) for d, a, x in Segment(image.as_py()).documents()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64()] * 4 + [pa.int32()] * 2, strict=True)], names=["doc_id", "offset", "n_tokens", "ids_crc32", "part", "seg"])
 
-    docs = segs.select("part", "seg", "payload").mapInArrow(run, "doc_id long, offset long, n_tokens long, ids_crc32 long, part int, seg int")
+    docs = segs.select("part", "seg", "payload").mapInArrow(lean(run), "doc_id long, offset long, n_tokens long, ids_crc32 long, part int, seg int")
     out = docs.join(starts, ["part", "seg"])
     return out.select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", "part", "seg", "offset")
 
