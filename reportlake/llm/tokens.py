@@ -23,13 +23,13 @@ are ignored.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,94 +38,80 @@ from reportlake.llm.common import lean, scratch
 END_ID = 2
 SEGMENT_TOKENS = 1 << 20
 RANK_STEP = 512
-BATCH_ROWS = 500
+BATCH_BYTES = 8 << 20
 TOKENIZER = "byte_bpe_50k.json"
 MAGIC = b"DACT"
 _HEAD = struct.Struct("<4sIIQI")
 _SEGMENTS = "part int, seg int, first_doc long, last_doc long, n_docs int, n_tokens long, payload binary"
-# Characters on which libraries disagree whether they are white space, and the mark of special tokens.
-_WHOLE = re.compile("[᠎​﻿]|<\\|")
+# Texts that aren't words between single spaces and newlines, and those with the mark of special tokens.
+_ODD = "^[ \\n]|[ \\n]$|[ \\n][ \\n]|[\\t\\v\\f\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]|<\\|"
 _ENDS = ".,;:!?"
 _JOIN = 64
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library; words this process has seen are looked up. A full table
-    of words (``max_words`` and those of the batch at hand) becomes the old one, from which words move back when they
-    are seen again; the table of the lines' first words, a quarter as large, starts anew."""
+    """Ids of whole texts by the tokenizers library; words this task has seen are looked up. A word is named with the
+    newline it stands behind, or without the space. The table holds ``max_words`` and those of the batch at hand."""
 
-    def __init__(self, path: str, max_words: int = 220_000):
+    def __init__(self, path: str, max_words: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.max_words = max_words
-        self.words: dict[str, bytes] = {}  # behind a space
-        self.old: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}  # behind a newline
+        self.known: dict[str, bytes] = {}
         vocab = self.tok.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids whose text begins with a space
         for t, i in vocab.items():
             self.opens[i] = t.startswith("Ġ")
-        self.newline = self._ids("\n")
+        self.newline = int(np.frombuffer(self._ids("\n"), "<u4")[0])
         self.ends = {c: self._ids(c) for c in _ENDS}
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, known: dict[str, bytes], words: set[str], sep: str) -> None:
-        """Adds the ids of words, encoded behind their separator, many in a text: each begins at an id that opens with
-        a space, or behind the newline's id. A final mark after letters has ids of its own."""
-        stems = {w: w[:-1] for w in words if w[-1] in self.ends and w[:-1].isalpha()}
-        todo = sorted((words - stems.keys()) | {s for s in stems.values() if s not in known})
-        texts = [sep + sep.join(todo[i : i + _JOIN]) for i in range(0, len(todo), _JOIN)]
-        line = np.frombuffer(self.newline, "<u4")[0]
-        for k, e in enumerate(self.tok.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(e.ids, "<u4")
-            at = (4 * np.flatnonzero(self.opens[ids] if sep == " " else ids == line)).tolist()
-            raw, skip, part = ids.tobytes(), 0 if sep == " " else 4, todo[k * _JOIN : (k + 1) * _JOIN]
-            at.append(len(raw))
-            known.update((w, raw[a + skip : b]) for w, a, b in zip(part, at[:-1], at[1:], strict=True))
-        known.update((w, known[s] + self.ends[w[-1]]) for w, s in stems.items())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian u32 ids of each text. A text whose white space is single spaces and newlines between words is
-        cut there, where the byte-level pre-tokenizer always cuts; any other text is encoded in one call."""
-        if len(self.words) > self.max_words:
-            self.words, self.old = {}, self.words
-        if len(self.heads) > self.max_words // 4:
-            self.heads = {}
-        cut, new, first = [], set(), set()
-        for text in texts:
-            words = text.split()
-            gaps = len(words) - 1
-            if gaps < 0 or gaps != text.count(" ") + text.count("\n") or gaps + sum(map(len, words)) != len(text) or _WHOLE.search(text):
-                cut.append(None)
-                continue
-            heads, at = {}, 0  # the first word of each line
-            for line in text.split("\n"):
-                heads[at], words[at] = words[at], ""
-                at += line.count(" ") + 1
-            cut.append((words, heads))
-            new.update(words)
-            first.update(heads.values())
-        new.discard("")
-        new.difference_update(self.words)
-        again = new.intersection(self.old)
-        self.words.update((w, self.old[w]) for w in again)
-        self._learn(self.words, new - again, " ")
-        self._learn(self.heads, first.difference(self.heads), "\n")
-        self.words[""] = b""
-        out = []
-        for text, x in zip(texts, cut, strict=True):
-            if x is None:
-                out.append(self._ids(text) if text else b"")
-                continue
-            got = list(map(self.words.__getitem__, x[0]))
-            for i, w in x[1].items():
-                got[i] = (self.newline if i else b"") + self.heads[w]
-            out.append(b"".join(got))
-        return out
+    def _learn(self, words: list[str]) -> None:
+        """Adds the ids of words, encoded many in a text: each begins at an id that opens with its space, or at its
+        newline's id. A final mark after letters has ids of its own."""
+        stems = {w: w[:-1] for w in words if w[-1] in self.ends and w[:-1].lstrip("\n").isalpha()}
+        todo = set(words).difference(stems) | {s for s in stems.values() if s not in self.known}
+        for heads in (False, True):
+            part = [w for w in todo if (w[0] == "\n") == heads]
+            groups = [part[i : i + _JOIN] for i in range(0, len(part), _JOIN)]
+            texts = ["".join(g) if heads else " " + " ".join(g) for g in groups]
+            for group, e in zip(groups, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, "<u4")
+                at = (4 * np.flatnonzero(ids == self.newline if heads else self.opens[ids])).tolist()
+                raw = ids.tobytes()
+                self.known.update((w, raw[a:b]) for w, a, b in zip(group, at, [*at[1:], len(raw)], strict=True))
+        self.known.update((w, self.known[s] + self.ends[w[-1]]) for w, s in stems.items())
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian u32 ids of each text (null: empty). A text of words between single spaces and newlines is cut there, where the
+        byte-level pre-tokenizer always cuts; any other text is encoded in one call."""
+        col = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(col, _ODD).to_numpy(zero_copy_only=False)
+        whole = {i: self._ids(col[i].as_py()) for i in np.flatnonzero(odd).tolist()}
+        # each text as if behind a newline, whose id is taken off again
+        line, none = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
+        col = pc.binary_join_element_wise(line, pc.if_else(pa.array(odd), none, col), none)
+        col = pc.replace_substring(col, "\n", " \n")
+        lists = pc.split_pattern(col, " ")
+        words = lists.values.dictionary_encode()
+        names, which = words.dictionary.to_pylist(), words.indices.to_numpy()
+        if len(self.known) > self.max_words:
+            self.known = {}
+        known = self.known
+        known[""], known["\n"] = b"", np.array([self.newline], "<u4").tobytes()
+        self._learn([w for w in names if w not in known])
+        raw = [known[w] for w in names]
+        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        flat, start = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(size) - size
+        each = size[which]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        ids = flat[np.repeat(start[which] - ends[:-1], each) + np.arange(ends[-1])]
+        cuts = ends[lists.offsets.to_numpy()].tolist()
+        return [whole[i] if i in whole else ids[a + 1 : b].tobytes() for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -233,9 +219,11 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=[x.split()[0] for x in _SEGMENTS.split(", ")])
 
         for b in batches:
-            for i in range(0, b.num_rows, BATCH_ROWS):
-                ids, texts = (c.to_pylist() for c in b.slice(i, BATCH_ROWS).columns)
-                for d, x in zip(ids, enc.encode([t or "" for t in texts]), strict=True):
+            group = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // BATCH_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                texts = b.slice(i, j - i)
+                for d, x in zip(texts.column(0).to_pylist(), enc.encode(texts.column(1)), strict=True):
                     held.append((d, x + end))
                     size += len(x) // 4 + 1
                     if size >= SEGMENT_TOKENS:
@@ -243,6 +231,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
                         seg, held, size = seg + 1, [], 0
         if held:
             yield flush()
+        enc.known = {}  # the worker may go on with other tasks
 
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

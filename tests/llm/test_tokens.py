@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from reportlake.llm import tokens
@@ -21,7 +22,7 @@ def test_cut_texts_encode_as_whole_ones():
     enc = tokens.Encoder(public_tokenizers.path(tokens.TOKENIZER), max_words=30)
     texts = ["".join(r.choice(parts) for _ in range(r.randrange(15))) for _ in range(3000)]
     for i in range(0, len(texts), 100):
-        for text, got in zip(texts[i : i + 100], enc.encode(texts[i : i + 100]), strict=True):
+        for text, got in zip(texts[i : i + 100], enc.encode(pa.array(texts[i : i + 100])), strict=True):
             assert got == _ids_fast(enc, text), repr(text)
 
 
@@ -41,6 +42,7 @@ def test_segment_random_access():
 
 def test_index_equals_brute_force(make, monkeypatch):
     monkeypatch.setattr(tokens, "SEGMENT_TOKENS", 300)
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 500)
     rows = [(i, f"text {i} " * (i % 90)) for i in range(60, 0, -1)] + [(7, "again"), (7, "again"), (None, "no id"), (100, None), (101, ""), (102, "word " * 5000)]
     got = [r.asDict() for r in tokens.token_ids(make(rows)).collect()]
     assert len(got) == len(rows)
