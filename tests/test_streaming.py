@@ -57,7 +57,7 @@ def test_complete_blocks_equals_batch(spark, tmp_path):
             os.utime(os.path.join(part, name), (2_000_000 + i * 100, 2_000_000 + i * 100))
     stream = streams.parquet_report_stream(spark, landed + "/*", max_files_per_trigger=1)
     out = str(tmp_path / "out")
-    streams.run_to_table(streams.complete_blocks(stream), out, str(tmp_path / "ck")).awaitTermination()
+    streams.run_to_table(streams.complete_blocks(stream, delay="1 millisecond"), out, str(tmp_path / "ck")).awaitTermination()
     got = {(r.TIMESTAMP, r.rows, r.POWER_OF_AGGR) for r in spark.read.parquet(out).collect()}
     safe = blocks.safe_block_filter(batch)
     want = {(r.TIMESTAMP, r.rows, r.POWER_OF_AGGR) for r in safe.groupBy("TIMESTAMP").agg(
@@ -105,7 +105,7 @@ def test_late_rows_stream_versus_batch(spark, tmp_path):
     _land_parquet(spark, src, batches)
     out = str(tmp_path / "out")
     stream = streams.parquet_report_stream(spark, src + "/*", max_files_per_trigger=1)
-    streams.run_to_table(streams.complete_blocks(stream), out, str(tmp_path / "ck")).awaitTermination()
+    streams.run_to_table(streams.complete_blocks(stream, delay="1 millisecond"), out, str(tmp_path / "ck")).awaitTermination()
     got = {r.TIMESTAMP: r.POWER_OF_AGGR for r in spark.read.parquet(out).collect()}
     assert got == {1000: 9, 2000: 2, 3000: 4}  # the newest block (4000) stays open
     rows = [r for b in batches for r in b]
@@ -121,7 +121,7 @@ def test_stream_histogram_epoch_aligned(spark, tmp_path):
             _row(9 * half_hour, 1, "d")]
     _land_parquet(spark, src, [rows])
     out = str(tmp_path / "out")
-    streams.run_to_table(streams.stream_histogram(streams.parquet_report_stream(spark, src + "/*")), out,
+    streams.run_to_table(streams.stream_histogram(streams.parquet_report_stream(spark, src + "/*"), delay="1 millisecond"), out,
                          str(tmp_path / "ck")).awaitTermination()
     got = sorted((r.window_start_ms, r["count"]) for r in spark.read.parquet(out).collect())
     assert got == [(5 * half_hour, 2), (6 * half_hour, 1)]  # the window of the newest block is still open
