@@ -15,9 +15,9 @@
    over; the others are verified by exact weighted Jaccard similarity >= THRESHOLD over whole texts.
 4. Links make connected components; a document's class_id is the smallest doc_id of its component.
 
-Members linked to one leader aren't compared with each other in that bucket (they are in one class already), and a
-member that isn't linked to any leader isn't compared with the leaders' members there; it meets them under other
-leaders in the other bands.
+Members linked to one leader aren't compared with each other in that bucket: they are in one class already. A member
+that a leader didn't take hasn't met the leader's members, so after the rounds the members of each bucket that are still
+in different components meet across them (``REACH``: a few of each component first, then all that still differ).
 
 Defined results: null and empty texts are equal texts without shingles: one class, near nothing else; repeated rows
 give a row each; rows with a null doc_id keep a null doc_id, get the class of their text and link nothing; ties go to
@@ -47,6 +47,8 @@ _BLOCKS = 8
 _FAN_IN = 64
 #: Leaders of a bucket in the rounds: few while copies fall away, then so many that the rest is soon compared.
 LEADERS = (1, 16, 256)
+#: Members of a component that those of other components in its bucket meet after the rounds; at last all.
+REACH = (16, None)
 #: Buckets of more members count what their texts hold alone before any pair is made.
 LARGE = 32
 
@@ -243,6 +245,26 @@ def _crowded(active: DataFrame) -> DataFrame:
     return active.join(some, ["band", "bucket"])
 
 
+def _across(members: DataFrame, found: DataFrame, reach: int | None) -> DataFrame:
+    """Pairs (a, b) of members (band, bucket, cid, u) of one bucket that the links found leave in different components;
+    with ``reach`` only those of the first so many of each component. A bucket's largest component meets the others,
+    which also meet each other."""
+    comp = components(found, name="links-components").withColumnRenamed("node", "cid")
+    rows = members.join(comp, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    sizes = stored(rows.groupBy("band", "bucket", "component").agg(F.count("*").alias("n")), "bucket-components")
+    most = sizes.groupBy("band", "bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("o"))
+    most = most.where("parts > 1").select("band", "bucket", F.col("o.component").alias("most"))
+    rows = rows.join(most, ["band", "bucket"])
+    if reach:
+        first = Window.partitionBy("band", "bucket", "component").orderBy("u", "cid")
+        rows = rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= reach).drop("_r")
+    rows = stored(rows, "split-buckets")
+    other = rows.where("component <> most").select("band", "bucket", F.col("cid").alias("c"), F.col("u").alias("v"), F.col("component").alias("d"))
+    meets = rows.join(other, ["band", "bucket"]).where("component <> d and (component = most or cid < c)")
+    meets = meets.where(_possible(F.col("u"), F.col("v")))
+    return meets.select(F.least("cid", "c").alias("a"), F.greatest("cid", "c").alias("b")).distinct()
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows: doc_id, key), (classes: key, cid), (verified links between classes: a, b, similarity)."""
     docs = docs.select("doc_id", "text")
@@ -264,7 +286,19 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     active = active.join(alone, "cid", "left")
     active = active.select("band", "bucket", "cid", F.when(F.col("n") > LARGE, F.coalesce("u", F.lit(0.0))).otherwise(F.lit(0.0)).alias("u"))
     active = stored(_crowded(active), "buckets")
-    found, tried, turn = None, None, 0
+    members, found, tried, turn = active, None, None, 0
+
+    def compared(pairs: DataFrame) -> None:
+        nonlocal found, tried
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = pairs.join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a")
+        pairs = pairs.join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b")
+        pairs = stored(_promising(pairs), "pairs")
+        new = stored(_verified(pairs, texts, weights), "links")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = new if found is None else found.unionByName(new)
+
     while True:
         lead = LEADERS[min(turn, len(LEADERS) - 1)]
         order = F.struct("u", F.xxhash64("band", "cid").alias("x"), "cid")
@@ -277,15 +311,7 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         meets = active.join(leaders, ["band", "bucket"])
         meets = meets.where((F.col("o.cid") == F.col("cid")) | (F.col("o") < order) & _possible(F.col("u"), F.col("o.u")))
         meets = stored(meets.select("band", "bucket", "cid", F.col("o.cid").alias("leader")), "meetings")
-        pairs = meets.where("leader <> cid").select(F.least("leader", "cid").alias("a"), F.greatest("leader", "cid").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = pairs.join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a")
-        pairs = pairs.join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b")
-        pairs = stored(_promising(pairs), "pairs")
-        new = stored(_verified(pairs, texts, weights), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = new if found is None else found.unionByName(new)
+        compared(meets.where("leader <> cid").select(F.least("leader", "cid").alias("a"), F.greatest("leader", "cid").alias("b")).distinct())
         # done in a bucket: its leaders, and members linked to one of them
         linked = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
         done = meets.join(linked, (meets.leader == linked.a) & (meets.cid == linked.b)).select("band", "bucket", "cid")
@@ -293,7 +319,10 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         active = stored(_crowded(active.join(done.distinct(), ["band", "bucket", "cid"], "left_anti")), "buckets")
         turn += 1
         if active.isEmpty():
-            return sigs.select("doc_id", "key"), reps, found
+            break
+    for reach in REACH:
+        compared(_across(members, found, reach))
+    return sigs.select("doc_id", "key"), reps, found
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -73,6 +73,25 @@ def test_classes_equal_brute_force(make):
     assert sorted(k for k in kept if k is not None) == [i for i in ids if got[i].kept] and kept.count(None) == 1
 
 
+def test_versions_of_versions_are_one_class(make):
+    """Trees and a chain of edited copies, in buckets over LARGE: classes hold the all-pairs components."""
+    r, text = random.Random(5), {}
+    for g in range(3):
+        base = prose(700 + 100 * g, 220)
+        text[1000 * g] = base
+        for j in range(40):
+            text[1000 * g + 2 * j + 1] = _edit(base, 1, 1000 * g + j)
+            text[1000 * g + 2 * j + 2] = _edit(text[1000 * g + 2 * j + 1], 4, 5000 + 1000 * g + j)
+    text |= {5000: prose(9, 220)}
+    for j in range(1, 60):
+        text[5000 + j] = _edit(text[5000 + j - 1], 2, j)
+    rows = list(text.items())
+    r.shuffle(rows)
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(make(rows)).collect()}
+    near = [(a, b) for a in text for b in text if a < b and a // 1000 == b // 1000 and _jaccard(text[a], text[b]) >= 0.82]
+    assert len(near) > 1000 and [(a, b) for a, b in near if got[a] != got[b]] == []
+
+
 def test_large_bucket_makes_few_pairs(make, monkeypatch):
     """Texts that share a passage leave a large bucket before any pair is made."""
     monkeypatch.setattr(neardup, "LARGE", 4)
