@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from reportlake.llm.common import held, stored
 
 MASKS = ("11100111", "10111101")
+SHORT_MASK = "110101"
 SPAN = 8
 WINDOW = 24
 MIN_SHARE = 0.8
@@ -31,29 +32,33 @@ def tokens(text: Column) -> Column:
     return F.filter(words, lambda w: w != "")
 
 
-def _seeds(tok: Column, last: Column) -> Column:
-    """One hash for each mask and position, masks in turn; ``last`` is the last position, 0 or more."""
+def _seeds(tok: Column, k: int, mask: str) -> Column:
+    """One hash for each position of a mask; none where the text is shorter than the mask."""
+    read, last = [j for j, bit in enumerate(mask) if bit == "1"], F.size(tok) - len(mask)
+    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(k), *[tok[i + j] for j in read]))
+    return F.when(last >= 0, hashes).otherwise(F.array().cast("array<bigint>"))
 
-    def one(k: int, mask: str) -> Column:
-        read = [j for j, bit in enumerate(mask) if bit == "1"]
-        return F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(k), *[tok[i + j] for j in read]))
 
-    return F.concat(*[one(k, m) for k, m in enumerate(MASKS)])
-
-
-def _positions(df: DataFrame, key: str, text_col: str, pos: str) -> DataFrame:
-    """(key, pos, seed) of all texts of SPAN tokens or more."""
-    t = held(df.select(key, text_col), tokens(F.col(text_col)), "_t").where(F.size("_t") >= SPAN)
-    t = t.select(key, (F.size("_t") - (SPAN - 1)).alias("_p"), _seeds(F.col("_t"), F.size("_t") - SPAN).alias("_s"))
+def _positions(df: DataFrame, key: str, text_col: str, pos: str, items: bool = False) -> DataFrame:
+    """(key, pos, seed) of all texts under every mask; of ``items`` only those of SPAN tokens or more, and SHORT_MASK only
+    where they have under WINDOW tokens."""
+    t = held(df.select(key, text_col), tokens(F.col(text_col)), "_t").where(F.size("_t") >= (SPAN if items else len(SHORT_MASK)))
+    tok = F.col("_t")
+    short = _seeds(tok, len(MASKS), SHORT_MASK)
+    if items:
+        short = F.when(F.size(tok) < WINDOW, short).otherwise(F.array().cast("array<bigint>"))
+    seeds = F.concat(*[_seeds(tok, k, m) for k, m in enumerate(MASKS)], short)
+    t = t.select(key, F.greatest(F.size("_t") - (SPAN - 1), F.lit(0)).alias("_p"), seeds.alias("_s"))
     t = t.select(key, "_p", F.posexplode("_s").alias("_i", "seed"))
-    return t.select(key, (F.col("_i") % F.col("_p")).alias(pos), "seed")
+    masked = F.col("_p") * len(MASKS)
+    return t.select(key, F.when(F.col("_i") < masked, F.col("_i") % F.col("_p")).otherwise(F.col("_i") - masked).alias(pos), "seed")
 
 
 def overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """Contaminated pairs: doc_id, item_id, doc_start (token of the document under the item's first), n_matched (equal
     tokens on that diagonal), n_item (tokens of the item), best_window (equal tokens in the best window)."""
     bench = bench.select("item_id", "text")
-    seeds = stored(_positions(bench, "item_id", "text", "item_pos").distinct(), "seeds")
+    seeds = stored(_positions(bench, "item_id", "text", "item_pos", items=True).distinct(), "seeds")
     if seeds.count() <= BROADCAST_SEEDS:
         seeds = F.broadcast(seeds)
     hits = _positions(docs, "doc_id", "text", "doc_pos").join(seeds, "seed")

@@ -1,6 +1,9 @@
 """Operator 10 and its SQL."""
 
+from itertools import combinations
+
 import duckdb
+import pytest
 from conftest import prose
 
 from reportlake.llm import decontaminate
@@ -40,3 +43,26 @@ def test_without_broadcast(spark, make, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", 0)
     bench = spark.createDataFrame([(1, prose(1, 30))], "item_id long, text string")
     assert [r.doc_id for r in decontaminate.overlaps(make([(1, prose(1, 30)), (2, prose(3, 30))]), bench).collect()] == [1]
+
+
+@pytest.mark.parametrize("n", range(decontaminate.SPAN, decontaminate.WINDOW + 1))
+def test_masks_hit_every_allowed_substitution(n):
+    masks = (*decontaminate.MASKS, *([decontaminate.SHORT_MASK] if n < decontaminate.WINDOW else []))
+    placed = [sum(1 << p + j for j, bit in enumerate(m) if bit == "1") for m in masks for p in range(n - len(m) + 1)]
+    allowed = n - -(-n * round(100 * decontaminate.MIN_SHARE) // 100)
+    for sub in combinations(range(n), allowed):
+        changed = sum(1 << i for i in sub)
+        assert any(not m & changed for m in placed), sub
+
+
+def test_short_items_with_substitutions(spark, make):
+    items, rows = [], []
+    for n in (8, 10, 11):
+        words = prose(n, n).split()
+        items.append((n, " ".join(words)))
+        for k, sub in enumerate(combinations(range(n), n // 5)):
+            text = " ".join("changed" if i in sub else w for i, w in enumerate(words))
+            rows.append((100 * n + k, text if k % 2 else prose(70, 9) + " " + text + " " + prose(71, 9)))
+    rows += [(1, " ".join(items[0][1].split()[:7])), (2, " ".join(items[0][1].split()[:6])), (3, " ".join(items[1][1].split()[3:]))]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(make(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i // 100) for i, _ in rows if i >= 800} | {(1, 8)}
