@@ -2,13 +2,16 @@
 
 Every whole text is scanned for three kinds: assign, access and hex (the fixed patterns below). Then a worklist unwraps
 it until nothing new appears: percent escapes and Unicode escapes are undone over a whole layer, base64 runs one by one
-(a decoded run that is gzip, zlib or zstandard data is decompressed). Every new layer is scanned and unwrapped again. A
+(a decoded run that is gzip, zlib or zstandard data is decompressed); lines of base64 are also one run. Where a run as a
+whole is no base64 of a text, because words are glued to the blob, it is decoded from each of its first four characters,
+and every readable stretch and every compressed piece is a layer. Every new layer is scanned and unwrapped again. A
 layer whose text and place were seen before is not taken twice, so cycles end. A span found in a layer is mapped back
 through all layers to the code points of the text that encode it. Spans of the text itself always stay.
 
 Defined results: null and empty texts have no span (and the sha256 of the empty string); repeated rows and repeated or
-null doc_ids give a row each; an empty table gives an empty result; extra columns are ignored. A base64 run that does
-not decode to printable text or to compressed data of such text is no layer. A compressed run is followed as far as
+null doc_ids give a row each; an empty table gives an empty result; extra columns are ignored. Bytes of an escape run that
+are no UTF-8 stay as they are. A part of a base64 run that does not decode to ``SHORTEST`` bytes of printable text (the
+shortest secret) or to compressed data of such text is no layer. A compressed run is followed as far as
 ``MAX_INFLATED`` bytes, a guard against decompression bombs; its layer then holds those bytes.
 """
 
@@ -38,6 +41,10 @@ _MARKS = ("passw", "secret", "token", "api")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+SHORTEST = 12
+_READABLE = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){%d,}+" % SHORTEST)
+_PACKED = re.compile(rb"\x1f\x8b\x08|\x28\xb5\x2f\xfd|[\x08\x18\x28\x38\x48\x58\x68\x78]")
 _PRINTABLE = bytes(range(32, 127)) + b"\t\n\r"
 
 
@@ -101,24 +108,28 @@ def _undo(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
 
 
 def _percent(run: str) -> list[tuple[str, int, int]] | None:
-    """Each escaped code point with its place in the run; None unless the run is UTF-8."""
-    try:
-        text = bytes.fromhex(run.replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
-    out, at = [], 0
-    for c in text:
+    """Each escaped code point with its place in the run; bytes that aren't UTF-8 stay escaped. None if all do."""
+    out, at, some = [], 0, False
+    for c in bytes.fromhex(run.replace("%", "")).decode(errors="surrogateescape"):
+        if "\udc80" <= c <= "\udcff":
+            out += _kept(run, at, 3)
+            at += 3
+            continue
         n = 3 * len(c.encode())
         out.append((c, at, at + n))
-        at += n
-    return out
+        at, some = at + n, True
+    return out if some else None
+
+
+def _kept(run: str, at: int, n: int) -> list[tuple[str, int, int]]:
+    return [(run[i], i, i + 1) for i in range(at, at + n)]
 
 
 def _unicode(run: str) -> list[tuple[str, int, int]] | None:
     if run[0] == "&":
         code, n = int(run[3:-1], 16) if run[2] in "xX" else int(run[2:-1]), len(run)
     elif run.startswith("\\u") and run[2] != "{":
-        out, i = [], 0
+        out, i, some = [], 0, False
         while i < len(run):
             code, n = int(run[i + 2 : i + 6], 16), 6
             if 0xD800 <= code < 0xDC00 and i + 12 <= len(run):
@@ -126,16 +137,18 @@ def _unicode(run: str) -> list[tuple[str, int, int]] | None:
                 if 0xDC00 <= low < 0xE000:
                     code, n = 0x10000 + (code - 0xD800 << 10) + (low - 0xDC00), 12
             if 0xD800 <= code < 0xE000:
-                return None
-            out.append((chr(code), i, i + n))
+                out += _kept(run, i, n)
+            else:
+                out.append((chr(code), i, i + n))
+                some = True
             i += n
-        return out
+        return out if some else None
     else:
         code, n = int(run[2:].strip("{}"), 16), len(run)
     return [(chr(code), 0, n)] if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def _inflate(data: bytes) -> bytes | None:
+def _inflate(data: bytes | memoryview) -> bytes | None:
     """Decompressed gzip, zlib or zstandard data, None if it is none."""
     try:
         if data[:4] == b"\x28\xb5\x2f\xfd":
@@ -157,7 +170,10 @@ def _base64(run: str) -> str | None:
         data = base64.b64decode(bare + "=" * (-len(bare) % 4))
     except (binascii.Error, ValueError):
         return None
-    data = data if (inner := _inflate(data)) is None else inner
+    return _text(data if (inner := _inflate(data)) is None else inner)
+
+
+def _text(data: bytes) -> str | None:
     if data.translate(None, _PRINTABLE):
         try:
             text = data.decode()
@@ -167,6 +183,24 @@ def _base64(run: str) -> str | None:
     return data.decode()
 
 
+def _decoded(run: str) -> Iterator[tuple[str, int, int]]:
+    """(text, start, end): what a base64 run encodes as a whole, else what its parts encode."""
+    if (whole := _base64(run)) is not None:
+        yield whole, 0, len(run)
+        return
+    bare = run.rstrip("=").replace("-", "+").replace("_", "/")
+    for first in range(4):
+        n = len(bare) - first
+        n -= n % 4 == 1
+        data = base64.b64decode(bare[first : first + n] + "=" * (-n % 4))
+        view = memoryview(data)
+        for m in _PACKED.finditer(data):
+            if (inner := _inflate(view[m.start() :])) and (text := _text(inner)):
+                yield text, first + m.start() * 4 // 3, len(run)
+        for m in _READABLE.finditer(data):
+            yield m[0].decode("utf-8", "ignore"), first + m.start() * 4 // 3, first + -(-m.end() * 4 // 3)
+
+
 def secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(spans of the text itself, all spans), each (start, kind number, end) in order."""
     if not text:
@@ -181,8 +215,11 @@ def secrets(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[in
         if "\\" in layer.text or "&#" in layer.text:
             new.append(_undo(layer, _UNICODE, _unicode))
         for m in _BASE64.finditer(layer.text):
-            if (inner := _base64(m[0])) is not None:
-                new.append(_Layer(inner, span=layer.root(m.start(), m.end())))
+            new += [_Layer(inner, span=layer.root(m.start() + a, m.start() + b)) for inner, a, b in _decoded(m[0])]
+        for m in _WRAPPED.finditer(layer.text) if "\n" in layer.text else ():
+            at = [i for i, c in enumerate(m[0], m.start()) if c not in " \t\r\n"]
+            run = "".join(m[0].split())
+            new += [_Layer(inner, span=layer.root(at[a], at[b - 1] + 1)) for inner, a, b in _decoded(run)]
         for child in new:
             if child is None:
                 continue
