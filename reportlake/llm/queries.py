@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import decontaminate, embeddings, extract, linededup, mixing, neardup, secrets, tokens, toxicity, urlfilter
+from reportlake.llm import decontaminate, embeddings, extract, linededup, mixing, neardup, prefixtrie, secrets, tokens, toxicity, urlfilter
 from reportlake.llm.common import Query, ready, stored, table
 
 
@@ -58,6 +58,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"), rebuild=True)
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_ids": op1_token_ids,
     "op2_url_filter": op2_url_filter,
@@ -69,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_mixing": op9_mixing,
     "op10_decontaminate": op10_decontaminate,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 SQL: dict[str, str] = {
@@ -76,4 +82,5 @@ SQL: dict[str, str] = {
     "op5_line_dedup": linededup.SQL,
     "op9_mixing": mixing.SQL,
     "op10_decontaminate": decontaminate.SQL,
+    "op11_prefix_trie": prefixtrie.SQL,
 }
