@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import decontaminate, embeddings, extract, linededup, mixing, neardup, prefixtrie, secrets, tokens, toxicity, urlfilter
+from reportlake.llm import decontaminate, embeddings, extract, linededup, mixing, neardup, packing, prefixtrie, secrets, tokens, toxicity, urlfilter
 from reportlake.llm.common import Query, ready, stored, table
 
 
@@ -63,6 +63,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations"), rebuild=True)
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_ids": op1_token_ids,
     "op2_url_filter": op2_url_filter,
@@ -75,6 +80,7 @@ QUERIES: dict[str, Query] = {
     "op9_mixing": op9_mixing,
     "op10_decontaminate": op10_decontaminate,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_best_fit_packing": op12_best_fit_packing,
 }
 
 SQL: dict[str, str] = {

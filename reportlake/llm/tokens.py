@@ -34,84 +34,76 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reportlake.llm.common import lean, scratch
+from reportlake.llm.encoding import Units, UnitTable, sorted_ids
 
 END_ID = 2
 SEGMENT_TOKENS = 1 << 20
 RANK_STEP = 512
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 TOKENIZER = "byte_bpe_50k.json"
 MAGIC = b"DACT"
 _HEAD = struct.Struct("<4sIIQI")
 _SEGMENTS = "part int, seg int, first_doc long, last_doc long, n_docs int, n_tokens long, payload binary"
 # Texts that aren't words between single spaces and newlines, and those with the mark of special tokens.
-_ODD = "^[ \\n]|[ \\n]$|[ \\n][ \\n]|[\\t\\v\\f\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]|<\\|"
-_ENDS = ".,;:!?"
+_ODD = "^[ \\n]|[ \\n]$|[ \\n][ \\n]|[\\t\\v\\f\\r\\x1c-\\x1f\\x00\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]|<\\|"
 _JOIN = 64
+_SPACE = np.array([b == 32 for b in range(256)])
+_NEWLINE = np.array([b == 10 for b in range(256)])
 
 
 class Encoder:
-    """Ids of whole texts by the tokenizers library; words this task has seen are looked up. A word is named with the
-    newline it stands behind, or without the space. The table holds ``max_words`` and those of the batch at hand."""
+    """Ids of whole texts by the tokenizers library. Units are words with the newline they stand behind, or behind a
+    space, and final marks; a unit this task has seen is looked up."""
 
     def __init__(self, path: str, max_words: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.max_words = max_words
-        self.known: dict[str, bytes] = {}
+        self.table = UnitTable(self._learn, max_words)
         vocab = self.tok.get_vocab()
         self.opens = np.zeros(max(vocab.values()) + 1, bool)  # ids whose text begins with a space
         for t, i in vocab.items():
             self.opens[i] = t.startswith("Ġ")
-        self.newline = int(np.frombuffer(self._ids("\n"), "<u4")[0])
-        self.ends = {c: self._ids(c) for c in _ENDS}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """Adds the ids of words, encoded many in a text: each begins at an id that opens with its space, or at its
-        newline's id. A final mark after letters has ids of its own."""
-        stems = {w: w[:-1] for w in words if w[-1] in self.ends and w[:-1].lstrip("\n").isalpha()}
-        todo = set(words).difference(stems) | {s for s in stems.values() if s not in self.known}
-        for heads in (False, True):
-            part = [w for w in todo if (w[0] == "\n") == heads]
+        self.newline = int(self._ids("\n")[0])
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units, encoded many in a text: each begins at an id that opens with its space, or at its newline's
+        id. A glued mark has ids of its own."""
+        kind = np.array([0 if w[0] == 0 else 1 if w[0] == 10 else 2 for w in words])
+        size, flat, order = np.zeros(len(words), np.int64), [], []
+        for i in np.flatnonzero(kind == 0).tolist():
+            flat.append(self._ids(words[i][1:].decode()))
+            size[i] = len(flat[-1])
+            order.append([i])
+        for k in (1, 2):
+            part = np.flatnonzero(kind == k)
             groups = [part[i : i + _JOIN] for i in range(0, len(part), _JOIN)]
-            texts = ["".join(g) if heads else " " + " ".join(g) for g in groups]
-            for group, e in zip(groups, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            texts = [(b"" if k == 1 else b" ") + (b"" if k == 1 else b" ").join([words[i] for i in g.tolist()]) for g in groups]
+            for g, e in zip(groups, self.tok.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, "<u4")
-                at = (4 * np.flatnonzero(ids == self.newline if heads else self.opens[ids])).tolist()
-                raw = ids.tobytes()
-                self.known.update((w, raw[a:b]) for w, a, b in zip(group, at, [*at[1:], len(raw)], strict=True))
-        self.known.update((w, self.known[s] + self.ends[w[-1]]) for w, s in stems.items())
+                at = np.flatnonzero(ids == self.newline if k == 1 else self.opens[ids])
+                size[g] = np.diff(at, append=len(ids))
+                flat.append(ids)
+                order.append(g)
+        return sorted_ids(flat, size, np.concatenate(order))
 
     def encode(self, texts: pa.Array) -> list[bytes]:
-        """Little-endian u32 ids of each text (null: empty). A text of words between single spaces and newlines is cut there, where the
-        byte-level pre-tokenizer always cuts; any other text is encoded in one call."""
+        """Little-endian u32 ids of each text (null: empty). A text of words between single spaces and newlines is cut
+        there, where the byte-level pre-tokenizer always cuts; any other text is encoded in one call."""
         col = pc.fill_null(texts.cast(pa.large_string()), "")
         odd = pc.match_substring_regex(col, _ODD).to_numpy(zero_copy_only=False)
         whole = {i: self._ids(col[i].as_py()) for i in np.flatnonzero(odd).tolist()}
-        # each text as if behind a newline, whose id is taken off again
-        line, none = pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())
-        col = pc.binary_join_element_wise(line, pc.if_else(pa.array(odd), none, col), none)
-        col = pc.replace_substring(col, "\n", " \n")
-        lists = pc.split_pattern(col, " ")
-        words = lists.values.dictionary_encode()
-        names, which = words.dictionary.to_pylist(), words.indices.to_numpy()
-        if len(self.known) > self.max_words:
-            self.known = {}
-        known = self.known
-        known[""], known["\n"] = b"", np.array([self.newline], "<u4").tobytes()
-        self._learn([w for w in names if w not in known])
-        raw = [known[w] for w in names]
-        size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        flat, start = np.frombuffer(b"".join(raw), "<u4"), np.cumsum(size) - size
-        each = size[which]
-        ends = np.concatenate([[0], np.cumsum(each)])
-        ids = flat[np.repeat(start[which] - ends[:-1], each) + np.arange(ends[-1])]
-        cuts = ends[lists.offsets.to_numpy()].tolist()
-        return [whole[i] if i in whole else ids[a + 1 : b].tobytes() for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
+        # each text stands behind a newline, whose id is taken off again
+        raw = [b"" if x else t.encode() for t, x in zip(col.to_pylist(), odd, strict=True)]
+        ends = np.cumsum([len(x) + 1 for x in raw])
+        units = Units(b"\n" + b"\n".join(raw) if raw else b"", _SPACE, _NEWLINE)
+        ids, before = self.table.ids(units)
+        cuts = before[np.searchsorted(units.start, [0, *ends])].tolist()
+        return [(whole[i] if i in whole else ids[a + 1 : b]).tobytes() for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -231,7 +223,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
                         seg, held, size = seg + 1, [], 0
         if held:
             yield flush()
-        enc.known = {}  # the worker may go on with other tasks
+        enc.table.clear()  # the worker may go on with other tasks
 
     key = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
