@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reportlake.llm import decontaminate, embeddings, extract, linededup, mixing, neardup, packing, prefixtrie, secrets, tokens, toxicity, urlfilter
+from reportlake.llm import collocations, decontaminate, embeddings, extract, linededup, mixing, neardup, packing, prefixtrie, secrets, tokens, toxicity, urlfilter
 from reportlake.llm.common import Query, ready, stored, table
 
 
@@ -68,6 +68,11 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_ids": op1_token_ids,
     "op2_url_filter": op2_url_filter,
@@ -81,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op10_decontaminate": op10_decontaminate,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_collocations": op13_collocations,
 }
 
 SQL: dict[str, str] = {
@@ -89,4 +95,5 @@ SQL: dict[str, str] = {
     "op9_mixing": mixing.SQL,
     "op10_decontaminate": decontaminate.SQL,
     "op11_prefix_trie": prefixtrie.SQL,
+    "op13_collocations": collocations.SQL,
 }
