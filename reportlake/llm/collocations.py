@@ -44,7 +44,7 @@ BURST = 1 << 12
 TRIE_ENTRIES = 1 << 19
 RUN_BLOCK = 1 << 10
 BLOOM_BITS = 27
-CHUNK = 1 << 20
+CHUNK = 1 << 21
 WORD_ENTRIES = 1 << 18
 PART_WORDS = 1 << 17
 MERGE_ENTRIES = 1 << 18
@@ -244,51 +244,48 @@ def _bloom(keys: DataFrame, n: int) -> Bloom:
 
 class HatTrie:
     """Counts of word-id sequences. The root's children stand under a first word; a child is a hash container of the
-    words that follow, keyed by their ids, or, once burst, a node with a child for each next word."""
+    words that follow (an id, or a tuple of ids), or, once burst, a node with a child for each next word."""
 
     def __init__(self, words: int, burst: int):
         self.words, self.burst, self.entries = words, burst, 0
         self.root: dict[int, dict] = {}
         self.burst_nodes: set[int] = set()
 
-    def add(self, phrases: np.ndarray) -> None:
-        """Counts the rows of an array of word ids."""
-        root, burst_nodes = self.root, self.burst_nodes
-        for ids in map(tuple, phrases.tolist()):
-            node, depth = root.get(ids[0]), 1
-            if node is None:
-                node = root[ids[0]] = {}
-            while id(node) in burst_nodes:
-                down = node.get(ids[depth])
-                if down is None:
-                    down = node[ids[depth]] = {}
-                node, depth = down, depth + 1
-            rest = ids[depth:]
-            old = node.get(rest)
-            if old is None:
-                node[rest] = 1
-                self.entries += 1
-                if len(node) > self.burst and self.words - depth > 1:
-                    self._burst(node)
-            else:
-                node[rest] = old + 1
-
-    def _burst(self, container: dict) -> None:
-        """Turns a container into a node whose children are containers of one word less."""
-        held = list(container.items())
-        container.clear()
-        for rest, n in held:
-            container.setdefault(rest[0], {})[rest[1:]] = n
-        self.burst_nodes.add(id(container))
-
-    def _walk(self, node: dict, head: tuple[int, ...]) -> Iterator[tuple[tuple[int, ...], int]]:
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Counts different rows of word ids, those of equal first words together."""
+        first = np.flatnonzero(np.concatenate([[True], ids[1:, 0] != ids[:-1, 0]]))
+        rest = ids[:, 1].tolist() if self.words == 2 else list(map(tuple, ids[:, 1:].tolist()))
+        n, starts = counts.tolist(), first.tolist()
+        for word, a, z in zip(ids[first, 0].tolist(), starts, [*starts[1:], len(ids)], strict=True):
+            self._count(self.root.setdefault(word, {}), rest[a:z], n[a:z], self.words - 1)
+
+    def _count(self, node: dict, keys: list, counts: list[int], left: int) -> None:
+        """Adds keys of ``left`` words under a node."""
+        if id(node) in self.burst_nodes:
+            for k, n in zip(keys, counts, strict=True):
+                self._count(node.setdefault(k[0], {}), [k[1] if left == 2 else k[1:]], [n], left - 1)
+            return
+        before, get = len(node), node.get
+        for k, n in zip(keys, counts, strict=True):
+            node[k] = get(k, 0) + n
+        self.entries += len(node) - before
+        if left > 1 and len(node) > self.burst:  # bursts: its children are containers of one word less
+            held = list(node.items())
+            node.clear()
+            self.burst_nodes.add(id(node))
+            for k, n in held:
+                node.setdefault(k[0], {})[k[1] if left == 2 else k[1:]] = n
+
+    def _take(self, node: dict, head: tuple[int, ...], rows: list[np.ndarray], counts: list[np.ndarray]) -> None:
+        """Appends the entries of a subtree to ``rows`` and ``counts``."""
         if id(node) in self.burst_nodes:
             self.burst_nodes.discard(id(node))
             for word, down in node.items():
-                yield from self._walk(down, (*head, word))
-        else:
-            for rest, n in node.items():
-                yield (*head, *rest), n
+                self._take(down, (*head, word), rows, counts)
+            return
+        keys = np.array(list(node), U64).reshape(len(node), -1)
+        rows.append(np.hstack([np.tile(np.array(head, U64), (len(node), 1)), keys]))
+        counts.append(np.fromiter(node.values(), np.int64, len(node)))
 
     def _size(self, node: dict) -> int:
         return sum(self._size(x) for x in node.values()) if id(node) in self.burst_nodes else len(node)
@@ -296,17 +293,15 @@ class HatTrie:
     def spill(self, keep: int) -> tuple[np.ndarray, np.ndarray]:
         """Removes whole subtrees, the largest first, until ``keep`` entries are left; their entries in key order."""
         sizes = sorted(((self._size(x), word) for word, x in self.root.items()), reverse=True)
-        rows, counts = [], []
+        rows, counts = [np.zeros((0, self.words), U64)], [np.zeros(0, np.int64)]
         for size, word in sizes:
             if self.entries <= keep:
                 break  # the small subtrees stay
-            for ids, n in self._walk(self.root.pop(word), (word,)):
-                rows.append(ids)
-                counts.append(n)
+            self._take(self.root.pop(word), (word,), rows, counts)
             self.entries -= size
-        ids = np.array(rows, U64).reshape(-1, self.words)
+        ids, n = np.concatenate(rows), np.concatenate(counts)
         order = np.lexsort(ids.T[::-1])
-        return ids[order], np.array(counts, np.int64)[order]
+        return ids[order], n[order]
 
 
 _RUN = "lang string, words int, part long, first binary, ids binary, counts binary"
@@ -330,15 +325,38 @@ def _runs(lang: str, ids: np.ndarray, counts: np.ndarray, parts: int) -> Iterato
     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in _RUN.split(", ")])
 
 
-def _grams(ids: np.ndarray, linked: np.ndarray, words: int, old: int) -> np.ndarray:
-    """The phrases (rows of ids) that end behind the first ``old`` words; linked[i]: words i - 1 and i may be joined."""
+def _grams(ids: np.ndarray, linked: np.ndarray, words: int, old: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different phrases (rows of ids, ascending) that end behind the first ``old`` words, and how often each occurs;
+    linked[i]: words i - 1 and i may be joined."""
     n = len(ids) - words + 1
     ok = np.ones(max(n, 0), bool)
     for j in range(1, words):
         ok &= linked[j : j + len(ok)]
     ok[: max(0, old - words + 1)] = False
     at = np.flatnonzero(ok)
-    return np.stack([ids[at + j] for j in range(words)], axis=1)
+    if not len(at):
+        return np.zeros((0, words), U64), np.zeros(0, np.int64)
+    u, rank = np.unique(ids, return_inverse=True)
+    bits = U64(max(len(u) - 1, 1).bit_length())
+    if words * int(bits) > 64:
+        return _ranked(u, rank, at, words)
+    key = np.zeros(len(at), U64)  # the words' ranks
+    for k in range(words):
+        key = key << bits | rank[at + k].astype(U64)
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    counts = np.diff(first, append=len(key))
+    key = key[first]
+    mask = U64((1 << int(bits)) - 1)
+    return np.stack([u[(key >> (bits * U64(words - 1 - k)) & mask).astype(np.int64)] for k in range(words)], axis=1), counts
+
+
+def _ranked(u: np.ndarray, rank: np.ndarray, at: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for phrases that don't fit one sort key."""
+    rows = np.stack([rank[at + k] for k in range(words)], axis=1)
+    rows = rows[np.lexsort(rows.T[::-1])]
+    first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)]))
+    return u[rows[first]], np.diff(first, append=len(rows))
 
 
 def phrase_counts(docs: DataFrame, seed: int, sizes: tuple[int, ...], known: Bloom, parts: int, min_count: int) -> DataFrame:
@@ -371,9 +389,9 @@ def phrase_counts(docs: DataFrame, seed: int, sizes: tuple[int, ...], known: Blo
                     else:
                         linked[at] = bloom.has(_pair(code, ids[at - 1], ids[at]))
                     for words in sizes:
-                        grams = _grams(ids, linked, words, old)
-                        if len(grams):
-                            tries.setdefault((lang, words), HatTrie(words, BURST)).add(grams)
+                        grams, n = _grams(ids, linked, words, old)
+                        if len(n):
+                            tries.setdefault((lang, words), HatTrie(words, BURST)).add(grams, n)
                     while sum(t.entries for t in tries.values()) > TRIE_ENTRIES:
                         (name, _), large = max(tries.items(), key=lambda x: x[1].entries)
                         yield from _runs(name, *large.spill(large.entries // 2), parts)

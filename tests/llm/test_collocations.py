@@ -69,7 +69,7 @@ def test_trie_spills_whole_subtrees(words):
     for _ in range(30):
         rows = [[r.randrange(1 << 63, (1 << 63) + 6) for _ in range(words)] for _ in range(80)]
         want.update(map(tuple, rows))
-        trie.add(np.array(rows, np.uint64))
+        trie.add(*np.unique(np.array(rows, np.uint64), axis=0, return_counts=True))
         if trie.entries > 60:
             ids, counts = trie.spill(30)
             assert trie.entries <= 30 and ids.tolist() == sorted(ids.tolist())
@@ -101,3 +101,14 @@ def test_filter_holds_its_keys():
     f = co.Bloom(17)
     f.add(keys[:3000])
     assert f.has(keys[:3000]).all() and f.has(keys[3000:]).mean() < 0.05
+
+
+@pytest.mark.parametrize("different", [3, 70_000])
+def test_phrases_of_a_chunk(different):
+    r = np.random.default_rng(different)
+    ids = r.integers(0, 1 << 63, different, dtype=np.uint64)[r.integers(0, different, 140_000)]
+    linked = r.random(len(ids)) < 0.9
+    for words in (2, 3, 4):
+        rows, counts = co._grams(ids, linked, words, 5)
+        want = Counter(tuple(x) for i, x in enumerate(zip(*(ids[k:].tolist() for k in range(words)), strict=False)) if i + words > 5 and linked[i + 1 : i + words].all())
+        assert rows.tolist() == sorted(rows.tolist()) and dict(zip(map(tuple, rows.tolist()), counts.tolist(), strict=True)) == want
