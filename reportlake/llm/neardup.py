@@ -4,23 +4,21 @@
    A shingle weighs tf * (1 + IDF_SPAN * idf), idf = 1 - log df / log N in [0, 1]. The narrow span keeps weighted
    similarity near plain similarity, also in large groups of copies, whose shared shingles have a low idf.
 2. Each text gets K consistent weighted samples, banded by ROWS; equal texts are one class (smallest doc_id).
-3. In each band bucket the members are compared with leaders. A member linked to a leader is done in that bucket; what
-   remains meets more leaders in the next round, until no bucket has two members left. So a bucket of many copies
-   costs one comparison a member, and no bucket is cut short.
+3. In each band bucket the members are compared with one leader, so a bucket of many copies costs one comparison a
+   member. Pairs whose samples agree too rarely (``ESTIMATE_FLOOR``) are left to step 4; the others are verified by
+   exact weighted Jaccard similarity >= THRESHOLD over whole texts.
    For members of large buckets the share u of a text's weight in shingles that no other such member has is counted
    exactly. Two texts can't be more similar than 1 / (1 / (1 - u1) + 1 / (1 - u2) - 1), so pairs whose bound is under
    the threshold are never made: texts that share only a common passage leave the bucket at once, and the member
-   with the least u, the middle of a group of copies, is its first leader.
-   Pairs whose samples agree too rarely (``ESTIMATE_FLOOR``, four standard errors below the threshold) are passed
-   over; the others are verified by exact weighted Jaccard similarity >= THRESHOLD over whole texts.
-4. Links make connected components; a document's class_id is the smallest doc_id of its component.
-
-Members linked to one leader aren't compared with each other in that bucket: they are in one class already. A member
-that a leader didn't take hasn't met the leader's members, so after the rounds the members of each bucket that are still
-in different components meet across them (``REACH``: a few of each component first, then all that still differ).
+   with the least u, the middle of a group of copies, is its leader.
+4. The members of each bucket that are still in different components meet: a bucket is dealt into blocks of bounded size,
+   each pair of blocks is one task's work, and a pair of texts never becomes a row. Inside, weights summed by hash cell
+   bound the similarity of two texts from above; pairs that the bound allows are computed exactly, until their
+   components are one. No pair of a bucket is cut.
+5. Links make connected components; a document's class_id is the smallest doc_id of its component.
 
 Defined results: null and empty texts are equal texts without shingles: one class, near nothing else; repeated rows
-give a row each; rows with a null doc_id keep a null doc_id, get the class of their text and link nothing; ties go to
+give a row each, all of which ``keep_one`` keeps or drops alike; rows with a null doc_id keep a null doc_id, get the class of their text and link nothing; ties go to
 the smaller doc_id; an empty table gives an empty result. Extra columns are ignored.
 """
 
@@ -31,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reportlake.llm.common import U64, components, lean, mix, stored, text_key
@@ -45,10 +43,9 @@ ESTIMATE_FLOOR = THRESHOLD - 4 * (THRESHOLD * (1 - THRESHOLD) / K) ** 0.5
 SKETCH_ROWS, SKETCH_BITS = 3, 18
 _BLOCKS = 8
 _FAN_IN = 64
-#: Leaders of a bucket in the rounds: few while copies fall away, then so many that the rest is soon compared.
-LEADERS = (1, 16, 256)
-#: Members of a component that those of other components in its bucket meet after the rounds; at last all.
-REACH = (16, None)
+#: A block of members that meets another one: texts, and bytes of their shingles.
+BLOCK_TEXTS, BLOCK_BYTES = 256, 8 << 20
+_CELLS = 1 << 12
 #: Buckets of more members count what their texts hold alone before any pair is made.
 LARGE = 32
 
@@ -203,10 +200,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights: Weights) -> DataFrame
                 if last != ids[i]:
                     (x, tx), last = next(shingles([b.column(2)[i].as_py()])), ids[i]
                     held = x, weigh(x, tx)
-                v = weigh(y, tf)
-                _, p, q = np.intersect1d(held[0], y, assume_unique=True, return_indices=True)
-                both = float(np.minimum(held[1][p], v[q]).sum())
-                out.append(both / max(float(held[1].sum() + v.sum()) - both, 1e-12))
+                out.append(_similarity(held, (y, weigh(y, tf))))
             s = pa.array(out, pa.float64())
             keep = pa.array([v >= THRESHOLD for v in out])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), s], names=["a", "b", "similarity"]).filter(keep)
@@ -245,24 +239,94 @@ def _crowded(active: DataFrame) -> DataFrame:
     return active.join(some, ["band", "bucket"])
 
 
-def _across(members: DataFrame, found: DataFrame, reach: int | None) -> DataFrame:
-    """Pairs (a, b) of members (band, bucket, cid, u) of one bucket that the links found leave in different components;
-    with ``reach`` only those of the first so many of each component. A bucket's largest component meets the others,
-    which also meet each other."""
+def _similarity(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> float:
+    """Weighted Jaccard similarity of two texts' (ascending shingles, weights)."""
+    _, p, q = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+    both = float(np.minimum(x[1][p], y[1][q]).sum())
+    return both / max(float(x[1].sum() + y[1].sum()) - both, 1e-12)
+
+
+def _shapes(texts: DataFrame, weights: Weights) -> DataFrame:
+    """(cid, shape, size): a text's shingles and weights as bytes."""
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigh = shared.value
+        for b in batches:
+            blobs = [x.tobytes() + weigh(x, tf).tobytes() for x, tf in shingles(b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(blobs, pa.binary()), pa.array([len(x) for x in blobs], pa.int64())], names=["cid", "shape", "size"])
+
+    return texts.select("cid", "text").mapInArrow(lean(run), "cid long, shape binary, size long")
+
+
+class _Meeting:
+    """Members of two blocks of a bucket: which pairs link different components."""
+
+    def __init__(self, cids: list[int], components: list[int], left: list[bool], right: list[bool], shapes: list[bytes]):
+        self.cids, self.components, self.left, self.right = cids, components, left, right
+        self.shapes = [(np.frombuffer(x, U64, len(x) // 16), np.frombuffer(x, np.float64, len(x) // 16, len(x) // 2)) for x in shapes]
+
+    def links(self) -> Iterator[tuple[int, int, float]]:
+        n, root = len(self.cids), {c: c for c in self.components}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        cells = min(_CELLS, 1 << int(4 * max(1, np.median([len(x) for x, _ in self.shapes]))).bit_length())
+        table = np.stack([np.bincount((x & U64(cells - 1)).astype(np.int64), w, cells) for x, w in self.shapes]).astype(np.float32)
+        total = np.array([w.sum() for _, w in self.shapes])
+        own, right = np.array(self.components), np.array(self.right)
+        order = np.arange(n)
+        for i in range(n):
+            if not self.left[i]:
+                continue
+            # two blocks meet across; a block that meets itself has both marks
+            others = np.flatnonzero(right & (own != own[i]) & (~np.array(self.left) | (order > i)))
+            if not len(others):
+                continue
+            both = np.minimum(table[i], table[others]).sum(1, dtype=np.float64)
+            could = both / np.maximum(total[i] + total[others] - both, 1e-12) >= THRESHOLD - 1e-3
+            for j in others[could].tolist():
+                a, b = find(self.components[i]), find(self.components[j])
+                if a != b and (s := _similarity(self.shapes[i], self.shapes[j])) >= THRESHOLD:
+                    root[max(a, b)] = min(a, b)
+                    yield min(self.cids[i], self.cids[j]), max(self.cids[i], self.cids[j]), s
+
+
+def _met(members: DataFrame, found: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Links (a, b, similarity) between members (band, bucket, cid) of one bucket that the links found leave in different
+    components: enough to connect what is linked."""
     comp = components(found, name="links-components").withColumnRenamed("node", "cid")
-    rows = members.join(comp, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    sizes = stored(rows.groupBy("band", "bucket", "component").agg(F.count("*").alias("n")), "bucket-components")
-    most = sizes.groupBy("band", "bucket").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("o"))
-    most = most.where("parts > 1").select("band", "bucket", F.col("o.component").alias("most"))
-    rows = rows.join(most, ["band", "bucket"])
-    if reach:
-        first = Window.partitionBy("band", "bucket", "component").orderBy("u", "cid")
-        rows = rows.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= reach).drop("_r")
-    rows = stored(rows, "split-buckets")
-    other = rows.where("component <> most").select("band", "bucket", F.col("cid").alias("c"), F.col("u").alias("v"), F.col("component").alias("d"))
-    meets = rows.join(other, ["band", "bucket"]).where("component <> d and (component = most or cid < c)")
-    meets = meets.where(_possible(F.col("u"), F.col("v")))
-    return meets.select(F.least("cid", "c").alias("a"), F.greatest("cid", "c").alias("b")).distinct()
+    rows = members.select("band", "bucket", "cid").join(comp, "cid", "left").join(shapes.select("cid", "size"), "cid")
+    rows = stored(rows.withColumn("component", F.coalesce("component", "cid")), "bucket-members")
+    split = rows.groupBy("band", "bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("bytes") / BLOCK_BYTES))
+    rows = rows.join(split.where("low < high").select("band", "bucket", blocks.cast("long").alias("blocks")), ["band", "bucket"])
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("cid", "band"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("band", "bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "cid", "component", (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"))
+    rows = rows.join(shapes.select("cid", "shape"), "cid").repartition("band", "bucket", "p", "q").sortWithinPartitions("band", "bucket", "p", "q", "cid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def met(held: list[tuple]) -> pa.RecordBatch:
+            out = list(_Meeting(*(list(c) for c in zip(*held, strict=True))).links()) if len({r[1] for r in held}) > 1 else []
+            cols = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
+            return pa.RecordBatch.from_arrays(cols, names=["a", "b", "similarity"])
+
+        group, held = None, []
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[:4] != group:
+                    if held:
+                        yield met(held)
+                    group, held = row[:4], []
+                held.append(row[4:])
+        if held:
+            yield met(held)
+
+    return rows.select("band", "bucket", "p", "q", "cid", "component", "left", "right", "shape").mapInArrow(lean(run), "a long, b long, similarity double")
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -286,42 +350,15 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     active = active.join(alone, "cid", "left")
     active = active.select("band", "bucket", "cid", F.when(F.col("n") > LARGE, F.coalesce("u", F.lit(0.0))).otherwise(F.lit(0.0)).alias("u"))
     active = stored(_crowded(active), "buckets")
-    members, found, tried, turn = active, None, None, 0
-
-    def compared(pairs: DataFrame) -> None:
-        nonlocal found, tried
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = pairs.join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a")
-        pairs = pairs.join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b")
-        pairs = stored(_promising(pairs), "pairs")
-        new = stored(_verified(pairs, texts, weights), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = new if found is None else found.unionByName(new)
-
-    while True:
-        lead = LEADERS[min(turn, len(LEADERS) - 1)]
-        order = F.struct("u", F.xxhash64("band", "cid").alias("x"), "cid")
-        if lead == 1:
-            leaders = active.groupBy("band", "bucket").agg(F.min(order).alias("o"))
-        else:
-            first = Window.partitionBy("band", "bucket").orderBy(order)
-            leaders = active.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= lead).select("band", "bucket", order.alias("o"))
-        # a member meets the leaders before it, so that two leaders meet once
-        meets = active.join(leaders, ["band", "bucket"])
-        meets = meets.where((F.col("o.cid") == F.col("cid")) | (F.col("o") < order) & _possible(F.col("u"), F.col("o.u")))
-        meets = stored(meets.select("band", "bucket", "cid", F.col("o.cid").alias("leader")), "meetings")
-        compared(meets.where("leader <> cid").select(F.least("leader", "cid").alias("a"), F.greatest("leader", "cid").alias("b")).distinct())
-        # done in a bucket: its leaders, and members linked to one of them
-        linked = found.select("a", "b").unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        done = meets.join(linked, (meets.leader == linked.a) & (meets.cid == linked.b)).select("band", "bucket", "cid")
-        done = done.unionByName(meets.select("band", "bucket", F.col("leader").alias("cid")))
-        active = stored(_crowded(active.join(done.distinct(), ["band", "bucket", "cid"], "left_anti")), "buckets")
-        turn += 1
-        if active.isEmpty():
-            break
-    for reach in REACH:
-        compared(_across(members, found, reach))
+    order = F.struct("u", "cid")
+    leaders = active.groupBy("band", "bucket").agg(F.min(order).alias("o"))
+    meets = active.join(leaders, ["band", "bucket"]).where((F.col("o") < order) & _possible(F.col("u"), F.col("o.u")))
+    pairs = meets.select(F.least("o.cid", "cid").alias("a"), F.greatest("o.cid", "cid").alias("b")).distinct()
+    pairs = pairs.join(sig.select(F.col("cid").alias("a"), F.col("sig").alias("sig_a")), "a")
+    pairs = pairs.join(sig.select(F.col("cid").alias("b"), F.col("sig").alias("sig_b")), "b")
+    found = stored(_verified(stored(_promising(pairs), "pairs"), texts, weights), "links")
+    shapes = stored(_shapes(texts.join(active.select("cid").distinct(), "cid", "left_semi"), weights), "shapes")
+    found = found.unionByName(stored(_met(active, found, shapes), "links"))
     return sigs.select("doc_id", "key"), reps, found
 
 

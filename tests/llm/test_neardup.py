@@ -120,3 +120,34 @@ def test_icws_estimates_weighted_jaccard():
         x, w = y, v
     est, true = np.mean(agree, axis=0)
     assert est == pytest.approx(true, abs=0.04)
+
+
+def test_blocks_that_meet_link_what_all_pairs_link():
+    import random
+
+    import numpy as np
+
+    r = random.Random(9)
+    base = [r.sample(range(1, 1 << 40), 60) for _ in range(3)]
+    texts = []
+    for i in range(90):
+        x = np.array(sorted(set(r.choice(base)[: r.randrange(40, 61)] + [r.randrange(1, 1 << 40) for _ in range(r.randrange(6))])), np.uint64)
+        texts.append((x, np.array([1 + (int(v) % 3) / 2 for v in x])))
+    ids = list(range(90))
+    block = [r.randrange(3) for _ in ids]
+    links = []
+    for p in range(3):
+        for q in range(p, 3):
+            rows = [(i, 1000 + i // 2, block[i] == p, block[i] == q, texts[i][0].tobytes() + texts[i][1].tobytes()) for i in ids if block[i] in (p, q)]
+            links += neardup._Meeting(*(list(c) for c in zip(*rows, strict=True))).links()
+
+    def classes(pairs):
+        root = list(ids)
+        for a, b in [*pairs, *((i, i + 1) for i in range(0, 90, 2))]:
+            low, high = sorted((root[a], root[b]))
+            root = [low if x == high else x for x in root]
+        return root
+
+    every = [(a, b) for a in ids for b in ids[:a] if neardup._similarity(texts[a], texts[b]) >= neardup.THRESHOLD]
+    assert len(links) < len(every) and all(neardup._similarity(texts[a], texts[b]) == s >= neardup.THRESHOLD for a, b, s in links)
+    assert classes([(a, b) for a, b, _ in links]) == classes(every)
