@@ -21,7 +21,8 @@ from reportlake.schema import REPORT_COLUMNS
 from reportlake.operators import blocks, dedupe, filters, registry, series, snapshots, stats
 from reportlake.plans.context import Inputs
 from reportlake.sources import doc_writers, documents, report_files
-from reportlake.sources.dirty_csv import write_dirty_report_csv, write_report_parquet_by_file
+from reportlake.sources.dirty_csv import append_bytes, write_dirty_report_csv, write_report_lines, write_report_parquet_by_file
+from reportlake.sources.growing import growing_lines
 from reportlake.streaming import reports as streams
 
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {}
@@ -664,12 +665,49 @@ def _run_stream(i: Inputs, name: str, frame: DataFrame, mode: str = "append") ->
     return i.spark.read.parquet(out)
 
 
+#: Micro-batches of the ingest queries; each lands its files and runs the query from its checkpoint.
+STEPS = 4
+
+
+def _ingested(i: Inputs, name: str, step) -> str:
+    """The table of an ingest query that gets the raw reports in STEPS micro-batches, in ascending ``step``."""
+    source, table, ck = i.scratch(f"{name}-csv"), i.scratch(f"{name}-table"), i.scratch(f"{name}-ck")
+    for k in range(STEPS):
+        write_dirty_report_csv(i.raw_reports.where(step == k), f"{source}/step={k}")
+        streams.ingest_stream(i.spark, source, table, ck, slot_keys=1 << 10).awaitTermination()
+    return table
+
+
+def _step(i: Inputs):
+    """Ascending file numbers in STEPS shares of the days."""
+    day = idiv(dedupe.file_number("source_file"), 86400)
+    span = i.raw_reports.select(F.struct(F.min(day).alias("low"), F.max(day).alias("high"))).scalar()
+    low, high = span.getField("low"), span.getField("high")
+    return F.call_function("div", (day - low) * STEPS, high - low + 1)
+
+
 @query("stream_dedupe")
 def _stream_dedupe(i: Inputs) -> DataFrame:
-    table, ck = i.scratch("ingest-table"), i.scratch("ingest-ck")
-    q = streams.ingest_stream(i.spark, landed_csv(i), table, ck)
-    q.awaitTermination()
-    return streams.read_ingested(i.spark, table).drop("key_bucket")
+    return streams.read_ingested(i.spark, _ingested(i, "dedupe", _step(i)))
+
+
+@query("late_block_power")
+def _late_block_power(i: Inputs) -> DataFrame:
+    """Rows of every fifth group of 50 arrive in the last micro-batch, whatever the age of their blocks."""
+    step = F.when(idiv("line_no", 50) % 5 == 0, F.lit(STEPS - 1)).otherwise(_step(i))
+    return streams.read_ingested_blocks(i.spark, _ingested(i, "late", step))
+
+
+@query("stream_growing_file")
+def _stream_growing_file(i: Inputs) -> DataFrame:
+    """All raw reports as one file that grows three times; each time the stream reads what is new."""
+    text, folder, table, ck = (i.scratch(f"growing-{x}") for x in ("text", "csv", "table", "ck"))
+    write_report_lines(i.raw_reports, text)
+    for k in range(3):
+        append_bytes(text, f"{folder}/table_1.csv", (k, 3), (",".join(REPORT_COLUMNS) + "\n").encode())
+        lines = growing_lines(i.spark, folder, part_bytes=1 << 18)
+        streams.ingest_stream(i.spark, lines, table, ck).awaitTermination()
+    return streams.read_ingested(i.spark, table).drop("source_file")
 
 
 @query("complete_blocks")

@@ -757,6 +757,9 @@ SELECT 'default' AS instance, rt.height, rt.timestamp_ms, rt.maximal_power FROM
 
 # ---------------------------------------------------------------- streams (computed in batch)
 
+SQL["stream_growing_file"] = f"SELECT * EXCLUDE (source_file) FROM ({SQL['dedupe_reports']})"
+SQL["late_block_power"] = f"""{with_(RAW, REPORTS)}
+SELECT TIMESTAMP, count(*) AS rows, CAST(sum(POWER) AS BIGINT) AS POWER_OF_AGGR FROM reports WHERE TIMESTAMP IS NOT NULL GROUP BY TIMESTAMP"""
 SQL["complete_blocks"] = f"""{with_(RAW, REPORTS)}
 SELECT "TIMESTAMP", COUNT(*) AS "rows", CAST(SUM(POWER) AS BIGINT) AS POWER_OF_AGGR FROM reports
 WHERE "TIMESTAMP" < (SELECT max("TIMESTAMP") FROM reports) GROUP BY "TIMESTAMP" """

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from reportlake.functions.casts import to_double
 from reportlake.functions.metrics import symmetric_agreement
+from reportlake.keyindex import SLOT_KEYS, KeyIndex, folders
+from reportlake.operators.dedupe import KEY
 
 
 def _by_file(reports: DataFrame) -> DataFrame:
@@ -44,6 +46,18 @@ def ingest_reports(reports: DataFrame, path: str, files: int | None = None, mode
     )
 
 
+def _write_blocks(spark: SparkSession, path: str, index: DataFrame) -> None:
+    """A new version of the store's block index; readers of the one before aren't disturbed."""
+    newest = folders(spark, f"{path}/blocks")
+    v = int(newest[-1].removeprefix("v=")) + 1 if newest else 0
+    index.write.mode("overwrite").parquet(f"{path}/blocks/v={v:012d}")
+
+
+def _read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of the store's block index."""
+    return spark.read.parquet(f"{path}/blocks/{folders(spark, f'{path}/blocks')[-1]}")
+
+
 def ingest_all(inputs, path: str) -> None:
     """Load every source once into stored tables under ``path`` (as the dashboard loads its tables at
     start): ``reports`` (deduplicated, see :func:`ingest_reports`), its block index ``blocks`` (one row
@@ -54,7 +68,7 @@ def ingest_all(inputs, path: str) -> None:
 
     def facts() -> None:
         ingest_reports(inputs.reports, f"{path}/reports")
-        block_index(inputs.spark.read.parquet(f"{path}/reports")).write.mode("overwrite").parquet(f"{path}/blocks")
+        _write_blocks(inputs.spark, path, block_index(inputs.spark.read.parquet(f"{path}/reports")))
 
     def dimension(name: str) -> None:
         getattr(inputs, name).write.mode("overwrite").parquet(f"{path}/{name}")
@@ -76,7 +90,7 @@ def open_store(spark: SparkSession, path: str) -> DataFrame:
 
     schema = T.StructType([*REPORT_SCHEMA.fields, T.StructField("day", T.LongType(), True)])
     stored = spark.read.schema(schema).parquet(f"{path}/reports")
-    index = spark.read.parquet(f"{path}/blocks")
+    index = _read_blocks(spark, path)
     there = stored.where(F.col("day").isNotNull()).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
     known = index.groupBy(F.call_function("div", F.col("TIMESTAMP"), F.lit(86400000)).alias("day")).agg(F.sum("rows").alias("m"))
     differ = there.join(known, "day", "full").where(~F.col("n").eqNullSafe(F.col("m")))
@@ -85,34 +99,43 @@ def open_store(spark: SparkSession, path: str) -> DataFrame:
     return use_block_index(stored, index)
 
 
-def append_to_store(spark: SparkSession, path: str, incoming: DataFrame) -> None:
+def append_to_store(spark: SparkSession, path: str, incoming: DataFrame, slot_keys: int = SLOT_KEYS) -> None:
     """K3: lands the rows of ``incoming`` whose TX_HASH isn't stored, and renews the block index.
 
-    A key may come back under another TIMESTAMP, so the anti-join reads the keys (one column) of all days. New rows are appended to their ``day``
-    folders; the index is rewritten from the old one plus the new rows' blocks (one row per block), beside the
-    old and then in its place. If the step is cut short, :func:`open_store` refuses the table until
-    :func:`rebuild_index` ran.
+    Stored keys are looked up in the store's key index (:class:`~reportlake.keyindex.KeyIndex`), which is built from the
+    reports at the first append: later ones read the slots that may hold their keys, not the stored table. New rows are
+    appended to their ``day`` folders; the block index gets a new version, the old one plus the new rows' blocks (one row
+    per block). If the step is cut short, :func:`open_store` refuses the table until :func:`rebuild_index` ran.
     """
     from reportlake.operators.blocks import block_index
-    from reportlake.operators.dedupe import append_new_rows
-
-    stored = spark.read.parquet(f"{path}/reports")
-    columns = [c for c in stored.columns if c != "day"]
-    # the new rows as a table of their own, so that the append and the index see the same ones
-    staging = f"{path}/incoming"
-    append_new_rows(stored, incoming.select(*[c for c in incoming.columns if c in columns or c in ("line_no", "line_block")])).write.mode("overwrite").parquet(staging)
-    fresh = spark.read.parquet(staging).select(*columns)
-    index = spark.read.parquet(f"{path}/blocks")
-    both = index.unionByName(block_index(fresh)).groupBy("TIMESTAMP").agg(F.sum("rows").alias("rows"), F.sum("POWER_OF_AGGR").cast("long").alias("POWER_OF_AGGR"))
-    both.write.mode("overwrite").parquet(f"{path}/blocks-next")
+    from reportlake.operators.dedupe import dedupe_reports
+    from reportlake.schema import REPORT_SCHEMA
+
+    columns = REPORT_SCHEMA.fieldNames()
+    keys = KeyIndex(spark, f"{path}/keys", slot_keys=slot_keys)
+    if keys.is_empty():
+        keys.add(spark.read.parquet(f"{path}/reports"), 0)
+    run = keys.next_run()
+    # the batch and its new rows as tables of their own, so that every step sees the same ones
+    batch = f"{path}/incoming/run={run:012d}"
+    dedupe_reports(incoming.select(*[c for c in incoming.columns if c in columns or c in ("line_no", "line_block")])).write.mode("overwrite").parquet(f"{batch}-all")
+    keys.absent(spark.read.parquet(f"{batch}-all"), run).write.mode("overwrite").parquet(batch)
+    fresh = spark.read.parquet(batch).select(*columns)
+    both = _read_blocks(spark, path).unionByName(block_index(fresh)).groupBy("TIMESTAMP").agg(F.sum("rows").alias("rows"), F.sum("POWER_OF_AGGR").cast("long").alias("POWER_OF_AGGR"))
     ingest_reports(fresh, f"{path}/reports", mode="append")
-    spark.read.parquet(f"{path}/blocks-next").write.mode("overwrite").parquet(f"{path}/blocks")
+    keys.add(fresh, run)
+    _write_blocks(spark, path, both)
 
 
 def rebuild_index(spark: SparkSession, path: str) -> None:
+    """Renews the block index, and the key index if there is one, from the stored reports."""
     from reportlake.operators.blocks import block_index
 
-    block_index(spark.read.parquet(f"{path}/reports")).write.mode("overwrite").parquet(f"{path}/blocks")
+    reports = spark.read.parquet(f"{path}/reports")
+    _write_blocks(spark, path, block_index(reports))
+    keys = KeyIndex(spark, f"{path}/keys")
+    if not keys.is_empty():
+        keys.add(keys.absent(reports.select(KEY)), keys.next_run())
 
 
 def replace_file_partition(rows_of_files: DataFrame, path: str) -> None:

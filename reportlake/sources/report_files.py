@@ -118,8 +118,9 @@ def line_cells(line: Column) -> Column:
 
 def file_layouts(lines: DataFrame) -> DataFrame:
     """Per file: header or not, its first line, and the 1-based cell index of every report column (0 = missing)."""
-    first = lines.where((F.col("block_start") == 0) & (F.trim("line") != "")).withColumn("__row", F.monotonically_increasing_id())
-    first = first.groupBy("file_path").agg(F.min_by("line", "__row").alias("first_line"))
+    # a growing file's first line comes again at block -1 with the ranges that follow it
+    first = lines.where((F.col("block_start") <= 0) & (F.trim("line") != "")).withColumn("__row", F.monotonically_increasing_id())
+    first = first.groupBy("file_path").agg(F.min_by("line", F.struct("block_start", "__row")).alias("first_line"))
     names = F.transform(line_cells(F.col("first_line")), lambda x: clean_name(F.coalesce(x, F.lit(""))))
     known = F.array(*[F.lit(c) for c in REPORT_COLUMNS])
     first = first.select("file_path", "first_line", names.alias("__names")).withColumn("has_header", F.arrays_overlap("__names", known))
@@ -145,7 +146,7 @@ def _coerce(c: str, cell: Column) -> Column:
 def project_lines(lines: DataFrame, with_instance: bool = False, few_files: bool = True) -> DataFrame:
     """S3-S8 (+S12) of text lines, see :func:`read_reports`."""
     layouts = file_layouts(lines)
-    rows = lines.withColumn("row_id", F.monotonically_increasing_id()).where(F.trim("line") != "")
+    rows = lines.withColumn("row_id", F.monotonically_increasing_id()).where((F.col("block_start") >= 0) & (F.trim("line") != ""))
     rows = rows.join(F.broadcast(layouts) if few_files else layouts, "file_path")
     # a header line is no row, also where it is repeated
     rows = rows.where(~F.col("has_header") | (F.col("line") != F.col("first_line")))

@@ -3,8 +3,8 @@
 * T1 ``report_file_stream``: new report CSV files as they land (file source reads a file once, so
   writers must land closed files; a growing file is re-read in batch with K3).
 * T2 ``ingest_stream``: ``foreachBatch`` applies the batch reader's per-file layout logic to each
-  micro-batch and appends only keys not stored yet (exact insert-or-ignore across batches), or
-  ``dedupe_within_watermark`` for a bounded-state variant.
+  micro-batch and appends only keys not stored yet (exact insert-or-ignore across batches, by a key index), or
+  ``dedupe_within_watermark`` for a bounded-state variant. T9: its block sums take late rows at any time.
 * T3/T5 ``complete_blocks``: block aggregates emitted once a newer block has been seen: an event-time
   watermark on the block timestamp, ``LATENESS`` behind by default.
 * T4 ``stream_histogram``: tumbling event-time windows (epoch aligned).
@@ -25,6 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from reportlake import constants as K
 from reportlake.functions.metrics import questionable
+from reportlake.keyindex import SLOT_KEYS, KeyIndex, folders
 from reportlake.operators.dedupe import KEY, dedupe_reports
 from reportlake.schema import REPORT_SCHEMA
 from reportlake.sources import report_files as rf
@@ -49,41 +50,52 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p)) and len(fs.listStatus(p)) > 0
 
 
-KEY_BUCKETS = 64
-
-
-def ingest_stream(spark: SparkSession, source: str, table: str, checkpoint: str,
+def ingest_stream(spark: SparkSession, source: str | DataFrame, table: str, checkpoint: str,
                   max_files_per_trigger: int | None = None,
-                  available_now: bool = True, processing_time: str = "10 seconds") -> StreamingQuery:
-    """T1+T2: land new files into the Parquet table at ``table``, insert-or-ignore on TX_HASH.
-
-    Each micro-batch is deduplicated (first writer wins) and anti-joined with the stored keys, so a
-    key is stored once whatever batch it arrives in. The table is partitioned by ``key_bucket`` (of the
-    key's hash): a batch reads the keys of the buckets it touches only. Batches are retried as a whole on
-    failure: what a failed try has stored is found again by the anti-join.
+                  available_now: bool = True, processing_time: str = "10 seconds", slot_keys: int = SLOT_KEYS) -> StreamingQuery:
+    """T1+T2: land new files of the folder ``source`` (or lines of a stream like :func:`report_file_stream`) into the table at
+    ``table``, insert-or-ignore on TX_HASH.
+
+    Each micro-batch is deduplicated (first writer wins) and cleared of the keys that earlier batches stored, which the
+    key index finds without reading the stored keys (:class:`~reportlake.keyindex.KeyIndex`). Its new rows, their keys and
+    their blocks (T9: rows and power to add to each block, whatever its age) are three folders named by the batch. A
+    batch that is retried looks at earlier batches only and overwrites its own folders, so no try counts twice.
     """
+    from reportlake.operators.blocks import block_index
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        rows = dedupe_reports(rf.project_lines(batch)).withColumn("key_bucket", F.pmod(F.xxhash64(KEY), F.lit(KEY_BUCKETS)).cast("int"))
-        if _exists(spark, table):
-            rows = rows.persist()
-            touched = [r[0] for r in rows.select("key_bucket").distinct().collect()]  # KEY_BUCKETS at most
-            stored = read_ingested(spark, table).where(F.col("key_bucket").isin(touched)).select("key_bucket", KEY)
-            rows.join(stored, ["key_bucket", KEY], "left_anti").write.mode("append").partitionBy("key_bucket").parquet(table)
-            rows.unpersist()
-        else:
-            rows.write.mode("append").partitionBy("key_bucket").parquet(table)
-
-    writer = report_file_stream(spark, source, max_files_per_trigger).writeStream.foreachBatch(upsert).option(
-        "checkpointLocation", checkpoint
-    )
+        keys = KeyIndex(spark, f"{table}/keys", slot_keys=slot_keys)
+        rows = dedupe_reports(rf.project_lines(batch)).persist()
+        own = f"{table}/rows/batch={batch_id:012d}"
+        keys.absent(rows, batch_id).select(*REPORT_SCHEMA.fieldNames()).write.mode("overwrite").parquet(own)
+        rows.unpersist()
+        fresh = spark.read.schema(REPORT_SCHEMA).parquet(own)
+        block_index(fresh).write.mode("overwrite").parquet(f"{table}/blocks/batch={batch_id:012d}")
+        keys.add(fresh, batch_id)
+
+    lines = report_file_stream(spark, source, max_files_per_trigger) if isinstance(source, str) else source
+    writer = lines.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=processing_time)
     return writer.start()
 
 
+def _batches(table: str, part: str, spark: SparkSession) -> list[str]:
+    return [f"{table}/{part}/{x}" for x in folders(spark, f"{table}/{part}")]
+
+
 def read_ingested(spark: SparkSession, table: str) -> DataFrame:
-    """The table of :func:`ingest_stream`, with its ``key_bucket``."""
-    return spark.read.schema(T.StructType([*REPORT_SCHEMA.fields, T.StructField("key_bucket", T.IntegerType())])).parquet(table)
+    """The rows that :func:`ingest_stream` has stored."""
+    paths = _batches(table, "rows", spark)
+    return spark.read.schema(REPORT_SCHEMA).parquet(*paths) if paths else spark.createDataFrame([], REPORT_SCHEMA)
+
+
+def read_ingested_blocks(spark: SparkSession, table: str) -> DataFrame:
+    """Rows and POWER sum of each block, merged from the batches' shares when read: a row counts in its block
+    however late it came, where a watermark would drop it."""
+    schema = "TIMESTAMP long, rows long, POWER_OF_AGGR long"
+    paths = _batches(table, "blocks", spark)
+    shares = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    return shares.groupBy("TIMESTAMP").agg(F.sum("rows").alias("rows"), F.sum("POWER_OF_AGGR").cast("long").alias("POWER_OF_AGGR"))
 
 
 def parquet_report_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:

@@ -34,7 +34,7 @@ def test_ingest_stream_equals_batch(spark, tmp_path):
     _land(src, [19700, 19701, 19702])
     table, ck = str(tmp_path / "table"), str(tmp_path / "ck")
     streams.ingest_stream(spark, src, table, ck, max_files_per_trigger=1).awaitTermination()
-    got = spark.read.schema(REPORT_SCHEMA).parquet(table)
+    got = streams.read_ingested(spark, table)
     from reportlake.sources.report_files import read_reports
 
     want = dedupe.dedupe_reports(read_reports(spark, src))
