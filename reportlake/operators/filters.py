@@ -1,16 +1,17 @@
 """Report filters, pages and search.
 
 Filters are plain predicates, so Catalyst pushes the column comparisons into the Parquet scan.
-A first page is a TakeOrdered of ``limit`` rows; a page at an offset finds its first row exactly by rank and takes
-``limit`` rows from there, so no task holds the rows before it. Search matches literal substrings (``contains``), not LIKE patterns.
+A first page is a TakeOrdered of ``limit`` rows; a page at an offset counts the rows of the blocks, which names the blocks
+it lies in, and reads their days only. Search matches literal substrings (``contains``), not LIKE patterns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reportlake import constants as K
+from reportlake.functions.buckets import time_range
 from reportlake.functions.casts import to_double
 from reportlake.functions.core import exact_mean
 from reportlake.functions.metrics import exact_match, questionable, symmetric_agreement, symmetric_class
@@ -72,10 +73,36 @@ def reports_page(filtered: DataFrame, limit: int = K.PAGE_DEFAULT, offset: int =
     return _page(filtered, offset, limit)
 
 
+#: Rows of its first block that a page may skip by sorting; beyond, the row is found by rank.
+SKIP_MAX = 10_000
+
+
 def _page(rows: DataFrame, offset: int, limit: int) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit - 1``, newest first.
+
+    One job counts the rows of each block (TIMESTAMP) and sums them by day, then inside the days; it gives the driver the
+    blocks that the page touches, ``limit`` + 1 at most. The page itself reads their ``day`` folders only."""
     if not offset:
         return rows.orderBy(*newest_first()).limit(limit)
-    return page_after_rank(rows, newest_first(), [TS, "TX_HASH"], offset, limit)
+    per_block = rows.groupBy(TS).agg(F.count(F.lit(1)).alias("n")).withColumn("day", F.call_function("div", F.col(TS), F.lit(86400000)))
+    later_days = Window.orderBy(F.col("day").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    days = per_block.groupBy("day").agg(F.sum("n").alias("m")).withColumn("later", F.coalesce(F.sum("m").over(later_days), F.lit(0)))
+    days = days.where((F.col("later") < offset + limit) & (F.col("later") + F.col("m") > offset)).drop("m")
+    newer = Window.partitionBy("day").orderBy(F.col(TS).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    held = per_block.join(F.broadcast(days), per_block["day"].eqNullSafe(days["day"])).drop(days["day"])  # days of a page
+    held = held.withColumn("before", F.col("later") + F.coalesce(F.sum("n").over(newer), F.lit(0)))
+    held = held.where((F.col("before") < offset + limit) & (F.col("before") + F.col("n") > offset)).select(TS, "before").collect()
+    if not held:
+        return rows.limit(0)
+    times = [r[TS] for r in held if r[TS] is not None]
+    inside = F.col(TS).isNull() if len(times) < len(held) else F.lit(False)
+    if times:
+        inside = inside | time_range(rows, min(times), max(times) + 1)
+    skip = offset - min(r.before for r in held)
+    page = rows.where(inside)
+    if skip > SKIP_MAX:
+        return page_after_rank(page, newest_first(), [TS, "TX_HASH"], skip, limit)
+    return page.orderBy(*newest_first()).offset(skip).limit(limit)
 
 
 def null_defaults(page: DataFrame) -> DataFrame:

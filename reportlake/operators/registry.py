@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from reportlake import constants as K
 from reportlake.functions.core import exact_mean
 from reportlake.functions.metrics import commission_pct, reporter_status, share_pct
+from reportlake.operators.filters import page_limit
 
 
 def active_addresses(reports: DataFrame, window_ms: int = K.ACTIVE_WINDOW_MS) -> DataFrame:
@@ -98,7 +99,7 @@ def _sort(sort_by: str) -> Column:
 def reporters_page(registry: DataFrame, reports: DataFrame, search: str | None = None, jailed_only: bool = False,
                    sort_by: str = "power", limit: int = K.PAGE_DEFAULT, offset: int = 0) -> DataFrame:
     """filtered, sorted page of the registry with the ``active_24h`` flag (address breaks ties)."""
-    limit = max(1, min(int(limit), K.PAGE_MAX))
+    limit = page_limit(limit)
     rows = with_active_flag(registry, reports)
     if search:
         rows = rows.where(F.col("moniker").contains(search) | F.col("address").contains(search))

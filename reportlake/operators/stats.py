@@ -47,19 +47,17 @@ def average_agreement(reports: DataFrame) -> DataFrame:
 def value_stats(reports: DataFrame, approx: bool = False) -> DataFrame:
     """A4: min, max and median of the numeric VALUE over all rows.
 
-    The exact median is a distributed rank selection (:func:`reportlake.operators.ranks.exact_percentile`): no task
-    holds more than one range partition of the distinct values. ``approx=True`` uses a ``percentile_approx`` sketch.
+    The exact median is a radix selection (:func:`reportlake.operators.ranks.select_value`), whose first pass also gives
+    the extremes; its passes run when this is called. ``approx=True`` uses a ``percentile_approx`` sketch in one scan.
     """
     v = to_double("VALUE")
     if approx:
         med = F.percentile_approx(v, 0.5, 10000).cast("double")
         return reports.agg(F.min(v).alias("min_value"), F.max(v).alias("max_value"), med.alias("median_value"))
-    from reportlake.operators.ranks import exact_percentile
+    from reportlake.operators.ranks import select_value
 
-    median = exact_percentile(reports, v, 0.5).scalar()
-    return reports.agg(F.min(v).alias("min_value"), F.max(v).alias("max_value")).select(
-        "min_value", "max_value", median.alias("median_value")
-    )
+    found = select_value(reports, v) or (None, None, None)
+    return reports.sparkSession.createDataFrame([found], "min_value double, max_value double, median_value double")
 
 
 def recent_activity(reports: DataFrame, window_ms: int = K.RECENT_ACTIVITY_MS) -> DataFrame:
