@@ -36,7 +36,7 @@ TOKENIZER = "word_bpe_49k.json"
 OPEN_BINS = 1 << 14
 TASK_PIECES = 1 << 15
 LEFT, LEFT_PIECES = 8, 1 << 11
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
 _JOIN = 64
 _BLANK = np.array([chr(b) in " \t\n\r" for b in range(256)])
 _NO_HEADS = np.zeros(256, bool)

@@ -39,7 +39,7 @@ from reportlake.llm.encoding import Units, UnitTable, sorted_ids
 END_ID = 2
 SEGMENT_TOKENS = 1 << 20
 RANK_STEP = 512
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
 TOKENIZER = "byte_bpe_50k.json"
 MAGIC = b"DACT"
 _HEAD = struct.Struct("<4sIIQI")
