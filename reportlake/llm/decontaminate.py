@@ -90,9 +90,11 @@ def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 def _sql_seeds() -> str:
     parts = []
-    for k, mask in enumerate(MASKS):
+    for k, mask in enumerate((*MASKS, SHORT_MASK)):
         read = " || ' ' || ".join(f"t[p + {j + 1}]" for j, bit in enumerate(mask) if bit == "1")
-        parts.append(f"SELECT id, p, '{k} ' || {read} AS seed FROM pos")
+        which = f" WHERE kind = 0 OR len(t) BETWEEN {SPAN} AND {WINDOW - 1}" if mask == SHORT_MASK else f" WHERE len(t) >= {SPAN}"
+        at = f"SELECT kind, id, t, unnest(range(0, len(t) - {len(mask) - 1})) AS p FROM words{which}"
+        parts.append(f"SELECT kind, id, p, '{k} ' || {read} AS seed FROM ({at})")
     return " UNION ALL ".join(parts)
 
 
@@ -101,8 +103,7 @@ WITH words AS (
   SELECT 0 AS kind, doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM documents
   UNION ALL
   SELECT 1, item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') FROM benchmark
-), pos AS (SELECT kind, id, t, unnest(range(0, len(t) - {SPAN - 1})) AS p FROM words WHERE len(t) >= {SPAN}),
-seeds AS ({_sql_seeds().replace("SELECT id", "SELECT kind, id")}),
+), seeds AS ({_sql_seeds()}),
 hits AS (
   SELECT DISTINCT d.id AS doc_id, b.id AS item_id, d.p - b.p AS doc_start
   FROM seeds d JOIN seeds b ON d.seed = b.seed WHERE d.kind = 0 AND b.kind = 1

@@ -66,3 +66,7 @@ def test_short_items_with_substitutions(spark, make):
     rows += [(1, " ".join(items[0][1].split()[:7])), (2, " ".join(items[0][1].split()[:6])), (3, " ".join(items[1][1].split()[3:]))]
     got = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(make(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {(i, i // 100) for i, _ in rows if i >= 800} | {(1, 8)}
+    con = duckdb.connect()
+    con.register("documents", make(rows).toPandas())
+    con.register("benchmark", spark.createDataFrame(items, "item_id long, text string").toPandas())
+    assert {r[:2] for r in con.execute(decontaminate.SQL).fetchall()} == got

@@ -111,3 +111,32 @@ def test_query_rows(make):
         base = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in _base(t or ""))
         assert r.doc_id == i and r.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and r.n_hex == base.count("hex")
     assert secrets.find_secrets(make([])).collect() == []
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, zstandard.compress])
+def test_all_members_and_frames_are_read(pack):
+    parts = [pack(b"nothing in the first part"), pack(PLAIN.encode())]
+    for blob in (b"".join(parts), b"".join(parts) + b"\0 rest", gzip.compress(b"of another kind") + parts[1]):
+        t = "see " + base64.b64encode(blob).decode() + " end"
+        kinds = {k for _, k, _ in secrets.secrets(t)[1]}
+        assert kinds >= {0, 1}, t
+
+
+def test_compressed_layers_are_read_in_overlapping_pieces(monkeypatch):
+    monkeypatch.setattr(secrets, "PIECE", 1000)
+    monkeypatch.setattr(secrets, "OVERLAP", 200)
+    for shift in range(0, 1000, 37):
+        text = "é word " * 700 + "z" * shift + " " + PLAIN + " " + "ü" * 3001
+        t = "x " + base64.b64encode(gzip.compress(text.encode())).decode()
+        assert {k for _, k, _ in secrets.secrets(t)[1]} >= {0, 1}
+
+
+def test_very_long_texts_with_escapes_take_bounded_memory():
+    import tracemalloc
+
+    text = "word " * 2_000_000 + "%41" * 200_000 + "%70assword=hunter2secret"
+    tracemalloc.start()
+    _, spans = secrets.secrets(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert spans == [(10_600_000, 0, len(text))] and peak < 8 * len(text)
