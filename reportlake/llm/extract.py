@@ -4,9 +4,11 @@ Each page becomes a tree of block elements. Skeletons (trees in which siblings o
 pages of a host are aligned by simple tree matching and merged into the host's wrapper; distinct skeletons are merged
 in groups, then their wrappers, so a host with a third of all pages is many small tasks. Every page is aligned to its
 host's wrapper: a block's place is a wrapper slot. Spark counts on how many different pages of the host a slot holds
-the same text; a text on at least CONSTANT of them (MIN_PAGES or more) is template, what varies is content.
-Role marks (elements and class words of menus, headers, footers, sidebars, notices, adverts, forms, comments) leave
-the tree before that, and an article or main element bounds the content where a page has one.
+the same text. A text on at least CONSTANT of them (MIN_PAGES or more) is template, what varies is content. A slot that
+CONSTANT of them hold and in which CONSTANT of its pages hold nothing but texts of MIN_PAGES or more pages is template
+too, with all those texts (a frame in several languages).
+Role marks (elements and class tokens of menus, headers, footers, sidebars, notices, adverts, forms, comments) leave
+the tree before that, and the article elements (without one, the main elements) bound the content where a page has them.
 
 Pages with equal main text count as one page, and where more than half of a page's main text is constant its pages are
 copies rather than framed by a template: all of it is kept. A host with few pages has no constant node: the roles and
@@ -48,8 +50,9 @@ def _parsed(pages: DataFrame) -> DataFrame:
             out = []
             for text in b.column(2):
                 page = Page(text.as_py())
-                tree, number = skeleton(page, page.inherit())
-                found = candidates(page)
+                out_of = page.inherit()
+                tree, number = skeleton(page, out_of)
+                found = candidates(page, out_of)
                 texts = [t for _, t in found]
                 out.append((json.dumps(to_json(tree)), _hash(" ".join(texts)), [number[i] for i, _ in found], [_hash(t) for t in texts], [len(t) for t in texts]))
             types = [pa.string(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
@@ -114,9 +117,14 @@ def template_blocks(pages: DataFrame) -> DataFrame:
     wrappers = stored(_wrappers(parsed), "wrappers")
     blocks = stored(_slots(parsed, wrappers), "blocks")
     of_host = parsed.select("host", "main").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    held = blocks.where("slot >= 0").select("host", "slot", "hash", "main").distinct()
-    held = held.groupBy("host", "slot", "hash").agg(F.count("*").alias("n")).join(of_host, "host")
-    constant = stored(held.where((F.col("n") >= MIN_PAGES) & (F.col("n") >= CONSTANT * F.col("pages"))).select("host", "slot", "hash"), "constant")
+    held = stored(blocks.where("slot >= 0").select("host", "slot", "hash", "main").distinct(), "held")
+    texts = stored(held.groupBy("host", "slot", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_PAGES), "texts")
+    per_slot = held.join(texts.select("host", "slot", "hash", F.lit(1).alias("r")), ["host", "slot", "hash"], "left")
+    per_slot = per_slot.groupBy("host", "slot", "main").agg(F.min(F.coalesce("r", F.lit(0))).alias("closed"))
+    per_slot = per_slot.groupBy("host", "slot").agg(F.count("*").alias("holders"), F.sum("closed").alias("closed"))
+    constant = texts.join(per_slot, ["host", "slot"]).join(of_host, "host")
+    frame = (F.col("holders") >= CONSTANT * F.col("pages")) & (F.col("closed") >= CONSTANT * F.col("holders"))
+    constant = stored(constant.where((F.col("n") >= CONSTANT * F.col("pages")) | frame).select("host", "slot", "hash"), "constant")
     hit = blocks.join(constant.withColumn("c", F.lit(1)), ["host", "slot", "hash"], "left")
     per_page = hit.groupBy("key", "host").agg(F.collect_list(F.when(F.col("c") == 1, F.col("at"))).alias("drop"), F.sum(F.when(F.col("c") == 1, F.col("size")).otherwise(0)).alias("same"), F.sum("size").alias("size"))
     return stored(per_page.where("size(drop) > 0 and 2 * same <= size").select("key", "host", "drop"), "template")

@@ -1,14 +1,18 @@
 """A small tolerant HTML reader for operator 3: blocks of text and the tree of block elements they stand in.
 
 One regular expression cuts a page into tags and text. Elements that end a block become tree nodes; elements whose
-role (tag, or a word of their class, id or role attribute) is a menu, header, footer, sidebar, notice, advert, form or
-comment list are marked as dropped with all they hold, unless an article or main element opens inside them.
+role is a menu, header, footer, sidebar, notice, advert, form or comment list are marked as dropped with all they hold.
+A role is a tag, or a whole class token, id or role value made of role words and neutral ones ("site-header"; not
+"related-work", "has-sidebar"); words that name nothing else ("advert", "comments") also count beside other words of a class.
+Headings have no role by their attributes. Inside an article ids are anchors (but for those made of such words), and a
+paragraph is dropped only for a class that is one such word.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -19,7 +23,7 @@ _ATTR = re.compile(r"""(?i)(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 # fixed values: element names of the HTML standard and the role words
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript iframe template svg math select object canvas audio video".split())
+_RAW = frozenset("script style textarea title noscript iframe template svg select canvas audio video annotation".split())
 _BLOCK = frozenset(
     "html head body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption "
     "blockquote pre figure figcaption address details summary fieldset hr br center nav header footer aside form menu dialog hgroup".split()
@@ -31,25 +35,61 @@ _ROLES = frozenset(
     "advertisement advertising sponsor sponsored sponsors promo promotion promoted comment comments commentlist reply replies respond disqus discussion "
     "share sharing social related recommended form login search toolbar pagination pager complementary contentinfo".split()
 )
+_STRONG = frozenset(
+    "cookie cookies gdpr ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promoted comment "
+    "comments commentlist respond disqus newsletter paywall popup breadcrumb breadcrumbs navbar pagination pager".split()
+)
+_COMMENT = frozenset("comment comments commentlist reply replies respond disqus".split())
+_NEUTRAL = frozenset(
+    "site page main top bottom left right box block area wrapper wrap container section bar list links inner outer global "
+    "primary secondary sticky fixed group holder panel module region content slot item items posts buttons icons form widgets thread".split()
+)
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 dt dd td th blockquote pre figcaption caption".split())
+_STATE = frozenset("no has with without is hide show not non enable disable".split())
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 _MAIN = ("article", "main")
 _CLOSES_P = _BLOCK - {"br", "html", "head", "body"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 _SCOPE = frozenset("article section main div table ul ol dl td th body html nav header footer aside form blockquote".split())
-_DEPTH = 60
+#: Levels of the tree that take part in alignment; what lies deeper is content like all else, in the slot of the element around it.
+ALIGNED_DEPTH = 100
+
+
+def _role(tag: str, attrs: list[tuple[str, str]], inside: bool) -> int:
+    """0 if the attributes of an element name no role, 2 for reader comments, 1 for the others. inside: in an article."""
+    role = 0
+    for name, value in attrs:
+        for token in value.split():
+            words = [w.lower() for w in _WORD.findall(token)]
+            hits = [w for w in words if w in _ROLES]
+            if not hits or words[0] in _STATE:
+                continue
+            strong = any(w in _STRONG for w in hits)
+            whole = all(w in _ROLES or w in _NEUTRAL for w in words)
+            if tag == "p" and inside:
+                found = name == "class" and strong and len(words) == 1
+            elif name == "id" and inside:
+                found = strong and whole
+            else:
+                found = whole or strong and name == "class" and tag != "p"
+            if found:
+                role = max(role, 2 if any(w in _COMMENT for w in hits) else 1)
+    return role
 
 
 class Page:
-    """Nodes as parallel lists (parent, tag, label, dropped) in page order; blocks as [node, raw text, linked length]."""
+    """Nodes as parallel lists (parent, tag, label, dropped: 0, 1 or 2 for comments) in page order; blocks as [node, raw
+    text, linked length]."""
 
     __slots__ = ("parent", "tag", "label", "dropped", "blocks")
 
     def __init__(self, text: str | None):
-        self.parent, self.tag, self.label, self.dropped = [-1], ["#"], ["#"], [False]
+        self.parent, self.tag, self.label, self.dropped = [-1], ["#"], ["#"], [0]
         self.blocks: list[list] = []
         if text:
             self._read(text)
 
-    def _node(self, parent: int, tag: str, label: str, dropped: bool) -> int:
+    def _node(self, parent: int, tag: str, label: str, dropped: int) -> int:
         self.parent.append(parent)
         self.tag.append(tag)
         self.label.append(label)
@@ -60,6 +100,7 @@ class Page:
         stack: list[tuple[str, int]] = []  # (element, its node or that around it)
         links, here, buffer, linked, at = 0, 0, [], 0, 0
         lower = None
+        opened: dict[str, int] = defaultdict(int)  # how many of each element are open
 
         def flush() -> None:
             nonlocal buffer, linked
@@ -71,7 +112,9 @@ class Page:
             nonlocal here, links
             if any(t in _BLOCK or n != (stack[k - 1][1] if k else 0) for k, (t, n) in enumerate(stack[i:], i)):
                 flush()
-            links -= sum(t == "a" for t, _ in stack[i:])
+            for t, _ in stack[i:]:
+                opened[t] -= 1
+            links = opened["a"]
             del stack[i:]
             here = stack[-1][1] if stack else 0
 
@@ -90,7 +133,7 @@ class Page:
                 continue
             tag = tag.lower()
             if m[1]:
-                for i in range(len(stack) - 1, -1, -1):
+                for i in range(len(stack) - 1 if opened[tag] else -1, -1, -1):
                     if stack[i][0] == tag:
                         pop_to(i)
                         break
@@ -118,7 +161,7 @@ class Page:
                 elif tag == "wbr" or tag == "img":
                     pass
                 continue
-            if tag in _CLOSES_P or tag in _SAME:
+            if tag in _CLOSES_P and opened["p"] or any(opened[t] for t in _SAME.get(tag, ())):
                 for i in range(len(stack) - 1, -1, -1):
                     t = stack[i][0]
                     if t in _SAME.get(tag, ()) or t == "p" and tag in _CLOSES_P:
@@ -127,79 +170,94 @@ class Page:
                     if t in _SCOPE and t not in _SAME:
                         break
             label = tag
-            drop = tag in _DROP
+            drop = int(tag in _DROP)
             if m[3] and len(m[3]) > 4:
-                words = []
-                for a in _ATTR.finditer(m[3]):
-                    value = a[2] or a[3] or a[4] or ""
-                    drop = drop or tag not in ("html", "body", *_MAIN) and any(w.lower() in _ROLES for w in _WORD.findall(value))
-                    drop = drop or tag == "article" and any(w.lower() in ("comment", "reply") for w in _WORD.findall(value))
-                    words.append(re.sub(r"\d+", "", value))
-                label = f"{tag}.{' '.join(words)}"[:80]
+                attrs = [(a[1].lower(), a[2] or a[3] or a[4] or "") for a in _ATTR.finditer(m[3])]
+                if tag == "article":
+                    drop = max(drop, 2 * any(w.lower() in _COMMENT for _, v in attrs for t in v.split() for w in _WORD.findall(t)[:1]))
+                elif tag not in _HEADING and tag not in ("html", "body", "main"):
+                    drop = max(drop, _role(tag, attrs, opened["article"] > 0))
+                label = f"{tag}.{' '.join(re.sub(r'[0-9]+', '', v) for _, v in attrs)}"[:80]
             if tag in _BLOCK or drop:
-                if tag in _BLOCK:
-                    flush()
-                elif buffer:
+                if tag in _BLOCK or buffer:
                     flush()
-                depth = len(stack)
-                if depth < _DEPTH or drop:
-                    here = self._node(here, tag, label, drop)
-                if tag in _MAIN and not drop:  # what holds an article isn't a side matter
-                    p = self.parent[here]
-                    while p > 0:
-                        if self.tag[p] not in _MAIN:
-                            self.dropped[p] = False
-                        p = self.parent[p]
-            links += tag == "a"
+                here = self._node(here, tag, label, drop)
+            opened[tag] += 1
+            links = opened["a"]
             stack.append((tag, here))
         flush()
 
     def inherit(self) -> list[bool]:
-        """Whether a node or one around it is dropped."""
+        """Whether a node or one around it is dropped. Where an article or main element stands only inside dropped elements
+        (a form around the page, an advert that never ends) and holds more text than all that is kept, these count as
+        kept; not so for comments."""
+        out = self._below()
+        if not any(t in _MAIN and not o for t, o in zip(self.tag, out, strict=True)):
+            size = self._sizes(self._below(inner=True))
+            found = [i for i, t in enumerate(self.tag) if t in _MAIN and not self.dropped[i] and out[i] < 2]
+            kept = sum(len(t) for n, t, _ in self.blocks if not out[n] and not t.isspace())
+            if found:
+                top = max(found, key=lambda i: (size[i], -i))
+                if size[top] > kept:
+                    p = self.parent[top]
+                    while p > 0:
+                        self.dropped[p] = 0
+                        p = self.parent[p]
+                    out = self._below()
+        return [o > 0 for o in out]
+
+    def _below(self, inner: bool = False) -> list[int]:
+        """The strongest mark of a node and those around it; ``inner``: of those inside the nearest main element."""
         out = list(self.dropped)
         for i in range(1, len(out)):
-            out[i] = out[i] or out[self.parent[i]]
+            if not (inner and self.tag[i] in _MAIN):
+                out[i] = max(out[i], out[self.parent[i]])
         return out
 
+    def _sizes(self, out: list) -> list[int]:
+        """Characters of the blocks that aren't dropped, in each subtree."""
+        size = [0] * len(self.tag)
+        for node, text, _ in self.blocks:
+            if not out[node] and not text.isspace():
+                size[node] += len(text)
+        for i in range(len(size) - 1, 0, -1):
+            size[self.parent[i]] += size[i]
+        return size
+
 
 def squeeze(text: str) -> str:
     return " ".join(text.split())
 
 
 def main_region(page: Page, out: list[bool]) -> tuple[list[bool], bool]:
-    """(whether each node lies in the main region, whether an article or main element marks it): the article with most
-    text, else the main element with most, else all."""
-    n = len(page.tag)
-    size = [0] * n
-    for node, text, _ in page.blocks:
-        if not out[node]:
-            size[node] += len(text)
-    for i in range(n - 1, 0, -1):
-        size[page.parent[i]] += size[i]
+    """(whether each node lies in the main region, whether an article or main element marks it): all articles that hold
+    text, else the main elements that do, else all."""
+    size = page._sizes(out)
     for tag in _MAIN:
-        found = [i for i in range(n) if page.tag[i] == tag and not out[i] and size[i]]
-        if found:
-            top = max(found, key=lambda i: (size[i], -i))
-            inside = [False] * n
-            inside[top] = True
-            for i in range(top + 1, n):
-                inside[i] = inside[page.parent[i]]
+        inside = [t == tag and not o and n > 0 for t, o, n in zip(page.tag, out, size, strict=True)]
+        if any(inside):
+            for i in range(1, len(inside)):
+                inside[i] = inside[i] or inside[page.parent[i]]
             return inside, True
-    return [True] * n, False
+    return [True] * len(size), False
 
 
-def candidates(page: Page) -> list[tuple[int, str]]:
+def candidates(page: Page, out: list[bool] | None = None) -> list[tuple[int, str]]:
     """(node, text) of the blocks that may be content: in the main region, not dropped, and, where no element marks the
-    region, not mostly links."""
-    out = page.inherit()
+    region, no menu: a bare block that is mostly links, or an entry of a list in which every entry is."""
+    out = page.inherit() if out is None else out
     inside, marked = main_region(page, out)
-    found = []
+    found, lists = [], {}
     for node, text, linked in page.blocks:
         if inside[node] and not out[node]:
             t = squeeze(text)
-            if t and (marked or 2 * linked <= len(text)):
-                found.append((node, t))
-    return found
+            if t:
+                mostly = not marked and 2 * linked > len(text)
+                found.append((node, t, mostly))
+                if page.tag[node] == "li":
+                    lists.setdefault(page.parent[node], []).append(mostly)
+    menus = {p for p, links in lists.items() if len(links) > 1 and all(links)}
+    return [(n, t) for n, t, mostly in found if not (mostly and (page.parent[n] in menus if page.tag[n] == "li" else page.tag[n] not in _TEXT))]
 
 
 Tree = tuple  # (label, (children ...))
@@ -207,11 +265,13 @@ Tree = tuple  # (label, (children ...))
 
 def skeleton(page: Page, out: list[bool]) -> tuple[Tree, list[int]]:
     """The tree without dropped nodes in which siblings of equal shape are one node, and each node's number in it
-    (preorder, -1 if dropped)."""
+    (preorder, -1 if dropped). Nodes below ALIGNED_DEPTH levels have the number of the node around them."""
     n = len(page.tag)
     kids: list[list[int]] = [[] for _ in range(n)]
+    depth = [0] * n
     for i in range(1, n):
-        if not out[i]:
+        depth[i] = depth[page.parent[i]] + 1
+        if not out[i] and depth[i] < ALIGNED_DEPTH:
             kids[page.parent[i]].append(i)
     shape: list = [None] * n
     for i in range(n - 1, -1, -1):
@@ -228,6 +288,9 @@ def skeleton(page: Page, out: list[bool]) -> tuple[Tree, list[int]]:
             for k in kids[i]:
                 below[shape[k]].append(k)
         order += [(below[c], c) for c in reversed(s[1])]
+    for i in range(1, n):
+        if depth[i] >= ALIGNED_DEPTH and not out[i]:
+            number[i] = number[page.parent[i]]
     return shape[0], number
 
 

@@ -55,3 +55,35 @@ def test_template_is_what_stays_constant(spark):
     assert by[200].text.startswith("Welcome") and by[300].text == "x" and by[301].text == by[302].text == "" and by[None].text == "y"
     assert all(r.n_chars == len(r.text) for r in got)
     assert extract.main_text(pages.where("false")).collect() == []
+
+
+def test_roles_are_whole_class_tokens():
+    article = '<article>a<h2 id="related-work">h</h2><section id="search">s</section><div id="discussion">d</div><p class="social-history">p</p>{}</article>'
+    assert text(article.format("")) == "a h s d p"
+    gone = '<div class="post-comments">1</div><div class="related-posts">2</div><aside>3</aside><p class="ad">4</p><div class="google-ad">5</div><div class="share buttons">6</div><section id="comments"><p>7</section>'
+    assert text(article.format(gone)) == "a h s d p"
+    assert text('<div class="content has-sidebar"><p>body text</p></div><div class="cookie-notice">c</div><div id="site-header">h</div>') == "body text"
+    assert text('<p>the real body</p><div class="comments"><article>Nice</article></div>') == "the real body"
+    assert text("<form><div><article>body</article></div></form><p>x") == "body"
+
+
+def test_all_articles_and_inline_elements_stay():
+    assert text('<article>one</article><article>two <p>x</article><article class="comment">c</article><p>out') == "one two x"
+    assert text("<article>let <math><mi>x</mi></math> be <object>o</object></article>") == "let x be o"
+    menu = "<ul><li><a>Home</a><li><a>About</a></ul><div><a>More</a></div>"
+    assert text(menu + "<p><a>linked title</a></p><ul><li>text here</li><li><a>link</a></li></ul>") == "linked title text here link"
+
+
+def test_any_depth(spark):
+    assert text("<div>" * 70 + "<article>deep<p>in</article>" + "</div>after") == "deep in"
+    deep = '<div class="widget">' * 1200 + "<article>in<p>b</article>"
+    rows = [(i, "https://deep.example.com", deep + str(i)) for i in range(6)] + [(9, "https://deep.example.com", "<section>" * 5000 + "x")]
+    got = extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {**{i: "in b" for i in range(6)}, 9: "x"}
+
+
+def test_frame_in_several_languages(spark):
+    words = ("Read more about us", "Lesen Sie mehr", "En savoir plus", "Leer mas")
+    rows = [(i, "https://four.example.com", f"<body><h3>{words[i % 4]}</h3><div><p>{prose(i, 30)}</p><p>{prose(500, 12) if i % 9 == 0 else prose(900 + i, 12)}</p></div></body>") for i in range(80)]
+    got = extract.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"{prose(i, 30)} {prose(500, 12) if i % 9 == 0 else prose(900 + i, 12)}" for i in range(80)}
