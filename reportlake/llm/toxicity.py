@@ -1,8 +1,10 @@
 """Operator 8: toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text. Both hold the same base (segments
-that zstandard's trainer finds in ordinary text) and differ in a class part of one length: the
-words that one class uses significantly more often than the other. A text is cut into word windows; each window is compressed under both
+Two zstandard dictionaries of equal size are trained, one on toxic and one on ordinary text. Both begin with a base that
+zstandard's trainer finds in windows of ordinary text, so that a match in ordinary language costs the same under
+either. The rest is trained on the stretches of each class's own texts that are typical of the class (runs of words
+that it uses significantly more often than the other); most of a toxic text is ordinary language, whose chance matches
+would drown those of the toxic words. A text is cut into word windows; each window is compressed under both
 dictionaries, and ``ordinary length - toxic length`` is its margin. A margin at or over the calibrated threshold is
 a hit; a logistic curve over hit count, hit share and largest margins turns the windows of a text into a score.
 
@@ -42,7 +44,7 @@ class Params:
     docs_per_class: int = 2500
     max_train_chars: int = 100_000
     base_bytes: int = 32_768
-    class_bytes: int = 8_192
+    class_bytes: int = 4_096
     alpha: float = 0.5
     min_share: float = 0.005
     level: int = 9
@@ -159,18 +161,27 @@ def _contrast(of: list[str], other: list[str], p: Params) -> list[str]:
 
 
 def _segments(samples: list[bytes], size: int) -> bytes:
-    """The content zstandard's trainer picks; the samples themselves where they are too few to train on."""
+    """The content zstandard's trainer picks; the different samples themselves where they are too few to train on."""
     try:
-        raw = zstandard.train_dictionary(size, samples, k=32, d=6).as_bytes()
-        return raw[-size:]
+        return zstandard.train_dictionary(size, samples, k=32, d=6).as_bytes()[-size:]
     except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+        return b"".join(dict.fromkeys(samples))[-size:]
 
 
-def _class_part(units: list[str], size: int) -> bytes:
-    """The class's units behind zero bytes, which no text matches: either class part has one length, so that a match
-    in the base costs the same under both dictionaries."""
-    return b"".join(w.encode("utf-8", "replace") for w in units)[-size:].rjust(size, b"\0")
+def _stretches(texts: list[str], units: list[str]) -> list[bytes]:
+    """One sample for each text that holds units: those words where they stand, framed by spaces, in order."""
+    marks, out = {u.strip() for u in units}, []
+    for t in texts:
+        if found := [w for w in _words(t) if w in marks]:
+            out.append((" " + "  ".join(found) + " ").encode("utf-8", "replace"))
+    return out
+
+
+def _class_part(texts: list[str], units: list[str], size: int) -> bytes:
+    """The dictionary part trained on a class's typical stretches, behind zero bytes, which no text matches: either
+    class part has one length, so that a match in the base costs the same under both dictionaries."""
+    samples = _stretches(texts, units)
+    return _segments(samples, size).rjust(size, b"\0") if samples else b"\0" * size
 
 
 def fit(rows: Iterable[tuple[str, int, int]], params: Params = Params(), totals: dict[int, int] | None = None) -> Model:
@@ -188,7 +199,7 @@ def fit(rows: Iterable[tuple[str, int, int]], params: Params = Params(), totals:
 
     def train(halves: tuple[int, ...]) -> Model:
         texts = [[t for h in halves for t in of[y, h]] for y in (0, 1)]
-        parts = [_class_part(_contrast(texts[y], texts[1 - y], params), params.class_bytes) for y in (0, 1)]
+        parts = [_class_part(texts[y], _contrast(texts[y], texts[1 - y], params), params.class_bytes) for y in (0, 1)]
         return Model(base + parts[0], base + parts[1], 1, [], params)
 
     model = train((0,))
