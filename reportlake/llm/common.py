@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from reportlake.session import ensure_checkpoint_dir, ship_package
 
 U64 = np.uint64
+#: Bytes of rows that go to a Python worker at once. Both the JVM, outside its heap, and the worker hold a batch.
+ARROW_BYTES = 4 << 20
+_ARROW_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -27,10 +30,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes and rereads a table: its rows survive a lost executor and aren't computed twice."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside hand rows to Python workers by ``ARROW_BYTES`` (a single row may be larger) in place of up to
+    10 000 rows of any length; the session's own setting holds again afterwards."""
+    before = spark.conf.get(_ARROW_KEY, None)
+    spark.conf.set(_ARROW_KEY, ARROW_BYTES)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_ARROW_KEY)
+        else:
+            spark.conf.set(_ARROW_KEY, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reportlake.llm.common import lean, scratch
+from reportlake.llm.common import lean, scratch, small_batches
 from reportlake.llm.encoding import Units, UnitTable, sorted_ids
 
 END_ID = 2
@@ -229,7 +229,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), key)
     rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), key)
-    rows.mapInArrow(lean(run), _SEGMENTS).write.parquet(path)
+    with small_batches(docs.sparkSession):
+        rows.mapInArrow(lean(run), _SEGMENTS).write.parquet(path)
 
 
 def index(spark: SparkSession, path: str) -> DataFrame:
