@@ -17,7 +17,8 @@ import weakref
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reportlake.constants import RECENT_BLOCKS
+from reportlake.constants import DAY_MS, RECENT_BLOCKS
+from reportlake.functions.core import idiv
 
 TS = "TIMESTAMP"
 
@@ -78,20 +79,66 @@ _INDEX: "weakref.WeakKeyDictionary[DataFrame, DataFrame]" = weakref.WeakKeyDicti
 
 
 def use_block_index(reports: DataFrame, index: DataFrame) -> DataFrame:
-    """Declare ``index`` (one row per block: TIMESTAMP, rows, POWER_OF_AGGR; written at ingest by
-    :func:`block_index`) as the block index of the stored table ``reports``. Whole-table block facts
-    (newest/oldest block) are then read from the index instead of the fact table's TIMESTAMP column."""
+    """Declare ``index`` (one row per block, written at ingest by :func:`block_index`) as the block index of the stored
+    table ``reports``. Whole-table block facts (newest/oldest block) are then read from the index instead of the fact
+    table's TIMESTAMP column, and a bound on CURRENT_TIME becomes one on ``day`` (:func:`seen_since`)."""
     _INDEX[reports] = index
     return reports
 
 
 def block_index(reports: DataFrame) -> DataFrame:
-    """One row per block with its row count and power sum: a small table (blocks, not reports)."""
+    """One row per block with its row count, power sum and newest CURRENT_TIME: a small table (blocks, not reports)."""
     return reports.where(F.col(TS).isNotNull()).groupBy(TS).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("POWER").cast("long").alias("POWER_OF_AGGR")
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("POWER").cast("long").alias("POWER_OF_AGGR"),
+        F.max("CURRENT_TIME").cast("long").alias("last_seen"),
     )
 
 
+def merged_index(shares: DataFrame) -> DataFrame:
+    """The block index of a table from those of its parts."""
+    return shares.groupBy(TS).agg(
+        F.sum("rows").alias("rows"),
+        F.sum("POWER_OF_AGGR").cast("long").alias("POWER_OF_AGGR"),
+        F.max("last_seen").alias("last_seen"),
+    )
+
+
+def _zones(reports: DataFrame) -> DataFrame | None:
+    """The block index, where it tells CURRENT_TIME and the table is stored by ``day``."""
+    index = _INDEX.get(reports)
+    return index if index is not None and "last_seen" in index.columns and "day" in reports.columns else None
+
+
+def newest_seen(reports: DataFrame) -> Column:
+    """The table's newest CURRENT_TIME as a scalar: from the block index and the rows outside blocks (their own ``day``
+    folder), or from a scan where there is no index."""
+    zones = _zones(reports)
+    if zones is None:
+        return reports.select(F.max("CURRENT_TIME")).scalar()
+    loose = reports.where(F.col("day").isNull()).select(F.max("CURRENT_TIME").cast("long")).scalar()
+    return F.greatest(zones.select(F.max("last_seen")).scalar(), loose)
+
+
+def seen_since(reports: DataFrame, lo: Column) -> Column:
+    """``CURRENT_TIME >= lo``. On a stored table the blocks whose newest CURRENT_TIME reaches ``lo`` bound ``day``, so only
+    their folders (and that of rows outside blocks) are read, however CURRENT_TIME and TIMESTAMP differ."""
+    cond = F.col("CURRENT_TIME") >= lo
+    zones = _zones(reports)
+    if zones is None:
+        return cond
+    days = zones.where(F.col("last_seen") >= lo).select(
+        F.struct(F.min(idiv(TS, DAY_MS)).alias("low"), F.max(idiv(TS, DAY_MS)).alias("high"))).scalar()
+    day = F.col("day")
+    return cond & (day.isNull() | ((day >= days.getField("low")) & (day <= days.getField("high"))))
+
+
+def in_block(reports: DataFrame, block: Column) -> Column:
+    """``TIMESTAMP = block``, within the block's ``day`` folder on a stored table."""
+    cond = F.col(TS) == block
+    return cond & (F.col("day") == idiv(block, DAY_MS)) if "day" in reports.columns else cond
+
+
 def _bounds(reports: DataFrame) -> tuple[Column, Column]:
     """Scalar subqueries ``(mn, mx)`` of the non-NULL timestamps, memoised per input frame so every
     safe predicate of one query shares the same two subqueries. With a block index the bounds are a

@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from reportlake import constants as K
 from reportlake.functions.core import exact_mean
 from reportlake.functions.metrics import commission_pct, reporter_status, share_pct
+from reportlake.operators.blocks import newest_seen, seen_since
 from reportlake.operators.filters import page_limit
 
 
 def active_addresses(reports: DataFrame, window_ms: int = K.ACTIVE_WINDOW_MS) -> DataFrame:
     """Reporters with ``CURRENT_TIME > max(CURRENT_TIME) - 24h`` (relative to the data's max)."""
-    mx = reports.select(F.max("CURRENT_TIME")).scalar()
-    return reports.where(F.col("CURRENT_TIME") > mx - window_ms).select(F.col("REPORTER").alias("address")).distinct()
+    since = newest_seen(reports) - (window_ms - 1)
+    return reports.where(seen_since(reports, since)).select(F.col("REPORTER").alias("address")).distinct()
 
 
 def with_active_flag(registry: DataFrame, reports: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def with_active_flag(registry: DataFrame, reports: DataFrame) -> DataFrame:
 def active_power(registry: DataFrame, reports: DataFrame, now_ms: int,
                  window_ms: int = K.ACTIVE_WINDOW_MS) -> DataFrame:
     """Registry reporters that reported with ``CURRENT_TIME >= now - 24h``: count and power."""
-    seen = reports.where(F.col("CURRENT_TIME") >= F.lit(now_ms - window_ms)).select(F.col("REPORTER").alias("address"))
+    seen = reports.where(seen_since(reports, F.lit(now_ms - window_ms))).select(F.col("REPORTER").alias("address"))
     rows = registry.join(seen, "address", "left_semi")
     return rows.agg(
         F.countDistinct("address").alias("active_reporter_count"),

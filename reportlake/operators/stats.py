@@ -15,7 +15,7 @@ from reportlake.functions.buckets import time_range
 from reportlake.functions.casts import to_double
 from reportlake.functions.core import exact_mean
 from reportlake.functions.metrics import agreement_pct, query_display_name, reporter_display_name, share_pct
-from reportlake.operators.blocks import safe_block_filter, safe_timestamp_value
+from reportlake.operators.blocks import in_block, newest_seen, safe_block_filter, safe_timestamp_value, seen_since
 
 TS = "TIMESTAMP"
 
@@ -62,8 +62,8 @@ def value_stats(reports: DataFrame, approx: bool = False) -> DataFrame:
 
 def recent_activity(reports: DataFrame, window_ms: int = K.RECENT_ACTIVITY_MS) -> DataFrame:
     """A5: rows with ``CURRENT_TIME > max(CURRENT_TIME) - 1h`` (relative to the data)."""
-    mx = reports.select(F.max("CURRENT_TIME")).scalar()
-    return reports.where(F.col("CURRENT_TIME") > mx - window_ms).agg(F.count(F.lit(1)).alias("recent_activity"))
+    since = newest_seen(reports) - (window_ms - 1)
+    return reports.where(seen_since(reports, since)).agg(F.count(F.lit(1)).alias("recent_activity"))
 
 
 def questionable_stats(reports: DataFrame, now_ms: int) -> DataFrame:
@@ -163,7 +163,7 @@ def query_block_info(reports: DataFrame, query_id: str | Column | None = None) -
 def power_distribution_overall(reports: DataFrame, registry: DataFrame | None = None) -> DataFrame:
     """One row per report of the safe block (D6) with its power, total power and share."""
     target = safe_timestamp_value(reports)
-    rows = reports.where(F.col(TS) == target).select(TS, "REPORTER", "POWER", "TX_HASH")
+    rows = reports.where(in_block(reports, target)).select(TS, "REPORTER", "POWER", "TX_HASH")
     total = rows.select(F.sum("POWER").cast("long")).scalar()
     out = rows.select("*", total.alias("total_power"), share_pct("POWER", total).alias("power_share"))
     return _name_reporters(out, registry)
@@ -174,10 +174,10 @@ def absent_reporters(reports: DataFrame, now_ms: int, registry: DataFrame | None
     """Reporters seen since ``now - 1h`` but absent from the safe block, with their last report."""
     target = safe_timestamp_value(reports)
     # whoever reported in the last hour has their last report there too: only rows of that hour are aggregated
-    recent = reports.where(F.col("CURRENT_TIME") >= F.lit(now_ms - window_ms))
+    recent = reports.where(seen_since(reports, F.lit(now_ms - window_ms)))
     last = recent.groupBy("REPORTER").agg(F.max_by(F.struct("POWER", "CURRENT_TIME"), F.struct("CURRENT_TIME", "TX_HASH")).alias("__last"))
-    in_block = reports.where(F.col(TS) == target).select("REPORTER")
-    last = last.where(F.col("REPORTER").isNotNull()).join(in_block, "REPORTER", "left_anti").select(
+    present = reports.where(in_block(reports, target)).select("REPORTER")
+    last = last.where(F.col("REPORTER").isNotNull()).join(present, "REPORTER", "left_anti").select(
         "REPORTER", F.col("__last.POWER").alias("last_power"), F.col("__last.CURRENT_TIME").alias("last_report_time")
     )
     return _name_reporters(last, registry)

@@ -735,6 +735,38 @@ def _stream_active_reporters(i: Inputs) -> DataFrame:
     return _run_stream(i, "active", streams.stream_active_reporters(streams.parquet_report_stream(i.spark, _landed_parquet(i)), delay=AT_ONCE))
 
 
+def _in_steps(i: Inputs, name: str, operator) -> DataFrame:
+    """A streaming operator with its own delay over reports that land in STEPS shares of ascending days. Each share is a
+    micro-batch of the query, which goes on from its checkpoint and state."""
+    source, out, ck = (i.scratch(f"{name}-{x}") for x in ("landed", "out", "ck"))
+    rows, step = i.reports, _step(i)
+    for k in range(STEPS):
+        rows.where(step == k).write.mode("append").parquet(source)
+        frame = operator(streams.parquet_report_stream(i.spark, source))
+        streams.run_to_table(frame, out, ck).awaitTermination()
+    return i.spark.read.parquet(out)
+
+
+@query("complete_blocks_delayed")
+def _complete_blocks_delayed(i: Inputs) -> DataFrame:
+    return _in_steps(i, "blocks-steps", streams.complete_blocks)
+
+
+@query("stream_histogram_delayed")
+def _stream_histogram_delayed(i: Inputs) -> DataFrame:
+    return _in_steps(i, "hist-steps", streams.stream_histogram)
+
+
+@query("stream_bucket_activity_delayed")
+def _stream_bucket_activity_delayed(i: Inputs) -> DataFrame:
+    return _in_steps(i, "activity-steps", streams.stream_bucket_activity)
+
+
+@query("stream_active_reporters_delayed")
+def _stream_active_reporters_delayed(i: Inputs) -> DataFrame:
+    return _in_steps(i, "active-steps", streams.stream_active_reporters)
+
+
 # ---------------------------------------------------------------- document sources
 
 
@@ -796,6 +828,17 @@ def _registry_refresh(i: Inputs) -> DataFrame:
     return streams.latest_registry(i.spark, table)
 
 
+@query("registry_refresh_later_dump")
+def _registry_refresh_later_dump(i: Inputs) -> DataFrame:
+    """Two dumps, one after the other: jailed reporters vanish from the second, which renames the others."""
+    dumps, table, ck = i.scratch("dumps"), i.scratch("registry"), i.scratch("registry-ck")
+    later = i.registry.where(~F.col("jailed")).withColumn("moniker", F.concat("moniker", F.lit(" II")))
+    for k, dump in enumerate((i.registry, later)):
+        doc_writers.write_registry_json(dump, f"{dumps}/dump={k}")
+        streams.registry_refresh_stream(i.spark, dumps, table, ck, i.now_ms).awaitTermination()
+    return streams.latest_registry(i.spark, table)
+
+
 @query("commission_pct")
 def _commission_pct(i: Inputs) -> DataFrame:
     return i.registry.select("address", "commission_rate", metrics.commission_pct("commission_rate").alias("commission_pct"))

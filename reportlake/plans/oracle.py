@@ -787,6 +787,10 @@ SELECT window_start_ms, COUNT(*) AS total_reports,
        PERCENTILE_CONT(0.5) WITHIN GROUP (ORDER BY poa) AS representative_power_of_aggr
 FROM x WHERE window_start_ms + 1800000 < (SELECT max("TIMESTAMP") FROM reports) GROUP BY window_start_ms"""
 
+# the same with the default delay: what ends within two days of the newest block is still open
+for _name in ("complete_blocks", "stream_histogram", "stream_bucket_activity", "stream_active_reporters"):
+    SQL[f"{_name}_delayed"] = SQL[_name].replace("< (SELECT max(\"TIMESTAMP\") FROM reports)", "<= (SELECT max(\"TIMESTAMP\") - 172800000 FROM reports)")
+
 
 # ---------------------------------------------------------------- document sources
 
@@ -809,6 +813,12 @@ FROM d"""
 SQL["stream_dedupe_watermark"] = f"{with_(RAW)} SELECT DISTINCT TX_HASH FROM raw WHERE TX_HASH IS NOT NULL"
 SQL["registry_refresh"] = SQL["read_registry_dump"]
 
+SQL["registry_refresh_later_dump"] = f"""{with_(REGISTRY)}
+SELECT * REPLACE (CASE WHEN jailed THEN moniker ELSE moniker || ' II' END AS moniker,
+                  CASE WHEN jailed THEN fetched_at ELSE fetched_at + 1 END AS fetched_at,
+                  CASE WHEN jailed THEN updated_at ELSE updated_at + 1 END AS updated_at)
+FROM registry"""
+
 SQL["commission_pct"] = f"""{with_(REGISTRY)}
 SELECT address, commission_rate, round(TRY_CAST(commission_rate AS DOUBLE) / {K.FIXED_POINT_SCALE // 100}, 1) AS commission_pct
 FROM registry"""

@@ -68,7 +68,7 @@ def ingest_all(inputs, path: str) -> None:
 
     def facts() -> None:
         ingest_reports(inputs.reports, f"{path}/reports")
-        _write_blocks(inputs.spark, path, block_index(inputs.spark.read.parquet(f"{path}/reports")))
+        _write_blocks(inputs.spark, path, block_index(_read_stored(inputs.spark, path)))
 
     def dimension(name: str) -> None:
         getattr(inputs, name).write.mode("overwrite").parquet(f"{path}/{name}")
@@ -80,16 +80,22 @@ def ingest_all(inputs, path: str) -> None:
             f.result()
 
 
-def open_store(spark: SparkSession, path: str) -> DataFrame:
-    """The stored reports with their block index, see :func:`ingest_all`. The index must hold the table's rows of each
-    day (a count that reads no column); a table written past it is refused."""
+def _read_stored(spark: SparkSession, path: str) -> DataFrame:
+    """The stored reports; the schema is given, so an empty table reads as one."""
     from pyspark.sql import types as T
 
-    from reportlake.operators.blocks import use_block_index
     from reportlake.schema import REPORT_SCHEMA
 
     schema = T.StructType([*REPORT_SCHEMA.fields, T.StructField("day", T.LongType(), True)])
-    stored = spark.read.schema(schema).parquet(f"{path}/reports")
+    return spark.read.schema(schema).parquet(f"{path}/reports")
+
+
+def open_store(spark: SparkSession, path: str) -> DataFrame:
+    """The stored reports with their block index, see :func:`ingest_all`. The index must hold the table's rows of each
+    day (a count that reads no column); a table written past it is refused."""
+    from reportlake.operators.blocks import use_block_index
+
+    stored = _read_stored(spark, path)
     index = _read_blocks(spark, path)
     there = stored.where(F.col("day").isNotNull()).groupBy("day").agg(F.count(F.lit(1)).alias("n"))
     known = index.groupBy(F.call_function("div", F.col("TIMESTAMP"), F.lit(86400000)).alias("day")).agg(F.sum("rows").alias("m"))
@@ -107,21 +113,21 @@ def append_to_store(spark: SparkSession, path: str, incoming: DataFrame, slot_ke
     appended to their ``day`` folders; the block index gets a new version, the old one plus the new rows' blocks (one row
     per block). If the step is cut short, :func:`open_store` refuses the table until :func:`rebuild_index` ran.
     """
-    from reportlake.operators.blocks import block_index
+    from reportlake.operators.blocks import block_index, merged_index
     from reportlake.operators.dedupe import dedupe_reports
     from reportlake.schema import REPORT_SCHEMA
 
     columns = REPORT_SCHEMA.fieldNames()
     keys = KeyIndex(spark, f"{path}/keys", slot_keys=slot_keys)
     if keys.is_empty():
-        keys.add(spark.read.parquet(f"{path}/reports"), 0)
+        keys.add(_read_stored(spark, path), 0)
     run = keys.next_run()
     # the batch and its new rows as tables of their own, so that every step sees the same ones
     batch = f"{path}/incoming/run={run:012d}"
     dedupe_reports(incoming.select(*[c for c in incoming.columns if c in columns or c in ("line_no", "line_block")])).write.mode("overwrite").parquet(f"{batch}-all")
     keys.absent(spark.read.parquet(f"{batch}-all"), run).write.mode("overwrite").parquet(batch)
     fresh = spark.read.parquet(batch).select(*columns)
-    both = _read_blocks(spark, path).unionByName(block_index(fresh)).groupBy("TIMESTAMP").agg(F.sum("rows").alias("rows"), F.sum("POWER_OF_AGGR").cast("long").alias("POWER_OF_AGGR"))
+    both = merged_index(_read_blocks(spark, path).unionByName(block_index(fresh)))
     ingest_reports(fresh, f"{path}/reports", mode="append")
     keys.add(fresh, run)
     _write_blocks(spark, path, both)
@@ -131,7 +137,7 @@ def rebuild_index(spark: SparkSession, path: str) -> None:
     """Renews the block index, and the key index if there is one, from the stored reports."""
     from reportlake.operators.blocks import block_index
 
-    reports = spark.read.parquet(f"{path}/reports")
+    reports = _read_stored(spark, path)
     _write_blocks(spark, path, block_index(reports))
     keys = KeyIndex(spark, f"{path}/keys")
     if not keys.is_empty():

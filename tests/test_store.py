@@ -11,7 +11,8 @@ SF = "/root/testdata/sf0.001"
 NAMES = ["safe_block_filter", "safe_timestamp", "power_of_aggr", "activity_series", "activity_series_30d",
          "query_series", "reporter_series", "agreement_series", "value_series", "overlay_series", "stats_counts",
          "unique_query_ids_30d", "questionable_stats", "queries_24h", "value_stats", "search_reports",
-         "search_stats", "power_distribution_overall", "absent_reporters", "reporters_summary", "reports_page_last"]
+         "search_stats", "power_distribution_overall", "absent_reporters", "reporters_summary", "reports_page_last",
+         "active_power", "recent_activity", "reporters_page"]
 
 
 @pytest.fixture(scope="module")
