@@ -4,7 +4,8 @@ Layout under the index's folder:
 
 * ``runs/run=<n>``: the keys of one append;
 * ``slots/v=<n>-bits=<b>/slot=<s>``: the keys of all runs up to n, dealt into 2^b slots by the top bits of their hash, about
-  ``slot_keys`` keys each.
+  ``slot_keys`` keys each. Smaller ones than ``SLOT_KEYS`` are only made up to ``SMALL_SLOTS`` of them: each is a folder to
+  write and to list, which takes longer than reading its keys.
 
 A lookup reads the slots that hold the hash of a key asked for, and the runs since the last merge; these hold at most
 ``slot_keys`` keys or a ``share``-th of the merged ones before they are merged into a new version. So an append of b keys to a
@@ -26,6 +27,8 @@ from pyspark.sql import types as T
 from reportlake.operators.dedupe import KEY
 
 SLOT_KEYS = 1 << 16
+#: Slots of fewer than SLOT_KEYS keys that a version may have; above that a slot takes up to SLOT_KEYS before more are made.
+SMALL_SLOTS = 1 << 10
 SHARE = 8
 #: Slots that a lookup names one by one; a batch that touches more reads all slots.
 NAMED_SLOTS = 4096
@@ -47,6 +50,7 @@ class KeyIndex:
     def __init__(self, spark: SparkSession, path: str, key: str = KEY, slot_keys: int = SLOT_KEYS, share: int = SHARE):
         self.spark, self.path, self.key, self.slot_keys, self.share = spark, path, key, slot_keys, share
         self.schema = T.StructType([T.StructField(key, T.StringType()), T.StructField("slot", T.LongType())])
+        self._listed: dict[tuple[int, int], DataFrame] = {}
 
     def _versions(self, before: int | None) -> list[tuple[int, int]]:
         """(n, bits) of the merged versions, oldest first."""
@@ -70,8 +74,17 @@ class KeyIndex:
     def _slot(self, bits: int) -> Column:
         return F.shiftrightunsigned(F.xxhash64(self.key), 64 - bits) if bits else F.lit(0).cast("long")
 
+    def _bits(self, keys: int) -> int:
+        """2^bits slots for so many keys."""
+        bits, large = (max(0, math.ceil(math.log2(keys / n))) for n in (self.slot_keys, SLOT_KEYS))
+        return min(bits, max(large, SMALL_SLOTS.bit_length() - 1))
+
     def _slots(self, version: tuple[int, int]) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/slots/v={version[0]:012d}-bits={version[1]:02d}")
+        """The slots of a complete version, whose folders are listed once."""
+        if version not in self._listed:
+            path = f"{self.path}/slots/v={version[0]:012d}-bits={version[1]:02d}"
+            self._listed[version] = self.spark.read.schema(self.schema).parquet(path)
+        return self._listed[version]
 
     def _runs(self, runs: list[int]) -> DataFrame:
         paths = [f"{self.path}/runs/run={r:012d}" for r in runs]
@@ -98,7 +111,7 @@ class KeyIndex:
         fresh = self._runs(runs).count()
         if fresh > max(self.slot_keys, merged // self.share):
             old = self._runs(runs) if newest is None else self._runs(runs).unionByName(self._slots(newest).select(self.key))
-            bits = max(0, math.ceil(math.log2((merged + fresh) / self.slot_keys)))
+            bits = self._bits(merged + fresh)
             slotted = old.withColumn("slot", self._slot(bits))
             slotted = slotted.repartition("slot").sortWithinPartitions("slot", self.key)
             slotted.write.mode("overwrite").partitionBy("slot").parquet(f"{self.path}/slots/v={run:012d}-bits={bits:02d}")

@@ -671,9 +671,13 @@ STEPS = 4
 
 def _ingested(i: Inputs, name: str, step) -> str:
     """The table of an ingest query that gets the raw reports in STEPS micro-batches, in ascending ``step``."""
-    source, table, ck = i.scratch(f"{name}-csv"), i.scratch(f"{name}-table"), i.scratch(f"{name}-ck")
+    source, table, ck, shares = (i.scratch(f"{name}-{x}") for x in ("csv", "table", "ck", "shares"))
+    # the shares are cut once; each step reads its own
+    dealt = i.raw_reports.withColumn("__step", step.cast("int"))
+    dealt.write.partitionBy("__step").parquet(shares)
+    cut = i.spark.read.schema(dealt.schema).parquet(shares)
     for k in range(STEPS):
-        write_dirty_report_csv(i.raw_reports.where(step == k), f"{source}/step={k}")
+        write_dirty_report_csv(cut.where(F.col("__step") == k).drop("__step"), f"{source}/step={k}")
         streams.ingest_stream(i.spark, source, table, ck, slot_keys=1 << 10).awaitTermination()
     return table
 

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from reportlake.keyindex import KeyIndex, folders
+from reportlake.keyindex import SLOT_KEYS, SMALL_SLOTS, KeyIndex, folders
 
 
 def _rows(spark, keys):
@@ -54,3 +54,16 @@ def test_null_keys_are_not_stored(spark, tmp_path):
     index = KeyIndex(spark, str(tmp_path / "keys"))
     index.add(_rows(spark, [None, "a"]), 0)
     assert {x.TX_HASH for x in index.absent(_rows(spark, ["a", "b"])).collect()} == {"b"}
+
+
+def test_small_slots_are_bounded(spark, tmp_path):
+    index = KeyIndex(spark, str(tmp_path / "keys"), slot_keys=1)
+    keys = spark.range(1_500).select(F.md5(F.col("id").cast("string")).alias("TX_HASH"))
+    index.add(keys, 0)
+    slots = [x for x in (tmp_path / "keys/slots").glob("v=*/slot=*")]
+    assert 512 < len(slots) <= SMALL_SLOTS  # not 2048
+    assert [index._bits(SLOT_KEYS * n) for n in (1 << 9, 1 << 10, 1 << 12)] == [10, 10, 12]  # beyond, SLOT_KEYS each
+    rows = _rows(spark, ["new"]).select("TX_HASH").unionByName(keys).persist()
+    assert [x.TX_HASH for x in index.absent(rows).collect()] == ["new"]
+    usual = KeyIndex(spark, str(tmp_path / "usual"))
+    assert [usual._bits(n) for n in (1, SLOT_KEYS, SLOT_KEYS + 1, SLOT_KEYS << 14)] == [0, 0, 1, 14]
