@@ -1,6 +1,8 @@
 """Lands derived data as the documents the document sources read (mapping maps, registry dump pages,
 snapshot lists). Documents are built per bounded group (an event type, a page of at most 100
-reporters, a day of snapshots), never from a whole table in one task."""
+reporters, a day of snapshots), never from a whole table in one task. A file of a registry dump holds up to
+``FILE_PAGES`` pages: a reader lists every file through the driver, so a file a page would send it the more
+the larger the registry is."""
 
 from __future__ import annotations
 
@@ -11,6 +13,9 @@ from pyspark.sql import functions as F
 from reportlake.functions.core import idiv
 from reportlake.sources.documents import SENTINEL_TIME
 
+#: Pages of about 100 reporters in a file of a registry dump, a few megabytes.
+FILE_PAGES = 128
+
 
 def iso_ms(ms: Column) -> Column:
     """Epoch ms -> ``yyyy-MM-ddTHH:mm:ss.fffffffffZ`` (zone-free arithmetic; 9 fractional digits)."""
@@ -51,17 +56,24 @@ def _dump_rows(registry: DataFrame) -> DataFrame:
     )
 
 
+def _write_files(docs: DataFrame, path: str, separator: str, frame: tuple[str, str] = ("", "")) -> None:
+    """Documents (``page, value``) as files of FILE_PAGES pages each, in one folder."""
+    files = docs.groupBy(idiv("page", FILE_PAGES).alias("file")).agg(F.array_join(F.collect_list("value"), separator).alias("value"))
+    text = F.concat(F.lit(frame[0]), "value", F.lit(frame[1])).alias("value")
+    files.select(text).write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+
+
 def write_registry_json(registry: DataFrame, path: str) -> None:
-    """Registry dump pages of about 100 reporters (dealt by a hash), one JSON document per page."""
+    """Registry dump pages of about 100 reporters (dealt by a hash), one JSON document per page, files as arrays of them."""
     docs = _dump_rows(registry).groupBy("page").agg(
         F.to_json(F.struct(F.struct(F.count(F.lit(1)).cast("string").alias("total")).alias("pagination"),
                            F.collect_list("r").alias("reporters"))).alias("value")
     )
-    docs.write.mode("overwrite").partitionBy("page").text(path)
+    _write_files(docs, path, ",\n", ("[", "]"))
 
 
 def write_registry_yaml(registry: DataFrame, path: str) -> None:
-    """The same pages rendered as YAML text (per page in its task)."""
+    """The same pages rendered as YAML text (per page in its task), files as streams of them."""
     import yaml
 
     from reportlake.session import ship_package
@@ -79,7 +91,7 @@ def write_registry_yaml(registry: DataFrame, path: str) -> None:
         return pd.DataFrame({"page": [int(pdf["page"].iloc[0])], "value": [text]})
 
     docs = _dump_rows(registry).groupBy("page").applyInPandas(render, "page long, value string")
-    docs.write.mode("overwrite").partitionBy("page").text(path)
+    _write_files(docs, path, "---\n")
 
 
 def write_snapshot_docs(snapshots: DataFrame, path: str) -> None:

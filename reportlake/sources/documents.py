@@ -96,14 +96,15 @@ def read_block_headers(spark: SparkSession, paths: str | Sequence[str]) -> DataF
 
 
 def read_registry_json(spark: SparkSession, paths: str | Sequence[str], fetched_at: int) -> DataFrame:
-    """S10 for JSON dumps (one document per file)."""
+    """S10 for JSON dumps (a file holds one document or an array of them)."""
     docs = spark.read.schema(DUMP_SCHEMA).option("multiLine", "true").option("mode", "PERMISSIVE").json(_paths(paths))
     return flatten_dump(docs, fetched_at)
 
 
 def read_registry_yaml(spark: SparkSession, paths: str | Sequence[str], fetched_at: int) -> DataFrame:
     """S10 for YAML dumps: each file is parsed in its task (``mapInPandas``) into the dump schema,
-    then flattened with the same Spark expressions as JSON dumps. Unparsable files yield no rows."""
+    then flattened with the same Spark expressions as JSON dumps. A file holds one document or a stream of them;
+    unparsable files yield no rows."""
     import yaml
 
     from reportlake.session import ship_package
@@ -115,26 +116,27 @@ def read_registry_yaml(spark: SparkSession, paths: str | Sequence[str], fetched_
             out = []
             for text in pdf["value"]:
                 try:
-                    doc = yaml.safe_load(text) or {}
+                    docs = [doc or {} for doc in yaml.safe_load_all(text)]
                 except yaml.YAMLError:
                     continue
-                reps = []
-                for r in doc.get("reporters") or []:
-                    if not isinstance(r, dict):
-                        continue
-                    meta = r.get("metadata") or {}
-                    reps.append(
-                        {
-                            "address": r.get("address"),
-                            "power": None if r.get("power") is None else str(r.get("power")),
-                            "metadata": {
-                                k: (None if meta.get(k) is None else (bool(meta[k]) if k == "jailed" else str(meta[k])))
-                                for k in _META.fieldNames()
-                            },
-                        }
-                    )
-                total = (doc.get("pagination") or {}).get("total")
-                out.append({"pagination": {"total": None if total is None else str(total)}, "reporters": reps})
+                for doc in docs:
+                    reps = []
+                    for r in doc.get("reporters") or []:
+                        if not isinstance(r, dict):
+                            continue
+                        meta = r.get("metadata") or {}
+                        reps.append(
+                            {
+                                "address": r.get("address"),
+                                "power": None if r.get("power") is None else str(r.get("power")),
+                                "metadata": {
+                                    k: (None if meta.get(k) is None else (bool(meta[k]) if k == "jailed" else str(meta[k])))
+                                    for k in _META.fieldNames()
+                                },
+                            }
+                        )
+                    total = (doc.get("pagination") or {}).get("total")
+                    out.append({"pagination": {"total": None if total is None else str(total)}, "reporters": reps})
             yield pd.DataFrame(out, columns=["pagination", "reporters"])
 
     text = spark.read.text(_paths(paths), wholetext=True)
