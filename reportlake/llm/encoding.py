@@ -6,7 +6,9 @@ Equal units of a batch are found by a 64-bit hash and then compared byte by byte
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable
+from itertools import count
 
 import numpy as np
 
@@ -95,21 +97,24 @@ class UnitTable:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known: defaultdict[bytes, int] = defaultdict(count().__next__)  # a new unit gets the next number
         self.flat, self.at, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def ids(self, units: Units) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of all units one after another, the number of ids before each unit and at last of all)."""
         if len(self.known) > self.max_units:
             self.clear()
-        names = units.names()
-        new = [x for x in names if x not in self.known]
-        if new:
-            ids, size = self.learn(new)
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        names, learned = units.names(), len(self.known)
+        which = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        if len(self.known) > learned:
+            try:
+                ids, size = self.learn([names[i] for i in np.flatnonzero(which >= learned).tolist()])
+            except BaseException:
+                self.clear()  # the new units have numbers, but no ids
+                raise
             self.at = np.concatenate([self.at, len(self.flat) + np.cumsum(size) - size])
             self.size = np.concatenate([self.size, size])
             self.flat = np.concatenate([self.flat, ids])
-        which = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[units.which]
+        which = which[units.which]
         size = self.size[which]
         return gathered(self.flat, self.at[which], size), np.concatenate([[0], np.cumsum(size)])

@@ -46,7 +46,7 @@ _HEAD = struct.Struct("<4sIIQI")
 _SEGMENTS = "part int, seg int, first_doc long, last_doc long, n_docs int, n_tokens long, payload binary"
 # Texts that aren't words between single spaces and newlines, and those with the mark of special tokens.
 _ODD = "^[ \\n]|[ \\n]$|[ \\n][ \\n]|[\\t\\v\\f\\r\\x1c-\\x1f\\x00\\x{85}\\x{a0}\\x{1680}\\x{180e}\\x{2000}-\\x{200b}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{feff}]|<\\|"
-_JOIN = 64
+_JOIN = 256
 _SPACE = np.array([b == 32 for b in range(256)])
 _NEWLINE = np.array([b == 10 for b in range(256)])
 
