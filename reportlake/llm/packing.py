@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -41,6 +42,10 @@ _JOIN = 64
 _BLANK = np.array([chr(b) in " \t\n\r" for b in range(256)])
 _NO_HEADS = np.zeros(256, bool)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+# Letters that no normal form or lower case turns into others than letters, and the words of a unit as the tokenizer cuts it.
+_LETTERS = "a-zA-Z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\u012f\\u0131-\\u024f"
+_COUNTED = re.compile(f"[{_LETTERS}0-9!-/:;=>?@[-`{{|}}~]+")
+_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^{_LETTERS}0-9]+")
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -64,23 +69,27 @@ class Encoder:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
 
     def _learn(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of units: plain words are encoded many in a text, whose words each close with one id; other units one by
-        one."""
+        """Ids of units: those whose words can be counted are encoded many in a text, whose words each close with one id;
+        other units one by one."""
         size, flat, order = np.zeros(len(units), np.int64), [], []
-        plain = np.array([w.isalpha() for w in units])  # ASCII letters only
-        rest = np.flatnonzero(~plain)
-        for i, e in zip(rest.tolist(), self.tok.encode_batch_fast([units[i].lstrip(b"\0").decode() for i in rest.tolist()], add_special_tokens=False), strict=True):
-            flat.append(np.array(e.ids, "<u4"))
-            size[i] = len(flat[-1])
-            order.append([i])
-        part = np.flatnonzero(plain)
+        texts = [x.lstrip(b"\0").decode() for x in units]
+        words = np.array([1 if w.isalpha() else len(_WORD.findall(t)) if _COUNTED.fullmatch(t) else 0 for w, t in zip(units, texts, strict=True)])
+        rest, part = np.flatnonzero(words == 0), np.flatnonzero(words)
         groups = [part[i : i + _JOIN] for i in range(0, len(part), _JOIN)]
-        texts = [b" ".join([units[i] for i in g.tolist()]).decode() for g in groups]
-        for g, e in zip(groups, self.tok.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        joined = [" ".join([texts[i] for i in g.tolist()]) for g in groups]
+        for g, e in zip(groups, self.tok.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
-            size[g] = np.diff(np.flatnonzero(self.closes[ids]), prepend=-1)
+            at, last = np.flatnonzero(self.closes[ids]), np.cumsum(words[g])
+            if len(at) != last[-1] or at[-1] != len(ids) - 1:
+                rest = np.concatenate([rest, g])
+                continue
+            size[g] = np.diff(at[last - 1], prepend=-1)
             flat.append(ids)
             order.append(g)
+        for i, e in zip(rest.tolist(), self.tok.encode_batch_fast([texts[i] for i in rest.tolist()], add_special_tokens=False), strict=True):
+            flat.append(np.array(e.ids, "<u4"))
+            size[i] = len(flat[-1])
+            order.append([i])
         return sorted_ids(flat, size, np.concatenate([np.zeros(0, np.int64), *order]))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
